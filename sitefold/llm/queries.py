@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sitefold.llm.minhash_dedup import near_duplicates
+from sitefold.llm.substring_dedup import remove_repeats
 from sitefold.llm.sql import ORACLE_SQL  # noqa: F401
+from sitefold.llm.token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,16 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_token_counts": op8_token_counts,
 }
