@@ -90,31 +90,58 @@ def _sets(words: int):
 
 
 def _leader_pairs(lists: DataFrame, longest: int) -> DataFrame:
-    """``(a, b)``: each member of a posting list with the first of its branch, level by level; ``a`` is the first."""
+    """``(a, b)``: each member of a posting list with the first of its branch, level by level; ``a`` is the first.
+
+    First comes the document whose values are the most common ones: of many altered copies that is the least altered.
+    """
     rows, pairs, level = lists, None, 0
     while True:
         rows = rows.withColumn("branch", F.expr(f"h & (shiftleft(1L, greatest(0, cast(ceil(log2(freq)) AS int) - {6 * (level + 1)})) - 1L)"))
-        heads = rows.groupBy("key", "branch").agg(F.min(F.struct("h", "doc")).alias("head"), F.first("freq").alias("freq"))
+        heads = rows.groupBy("key", "branch").agg(F.min(F.struct("rank", "h", "doc")).alias("head"), F.first("freq").alias("freq"))
         found = rows.join(heads.select("key", "branch", F.col("head.doc").alias("a")), ["key", "branch"]).where("a <> doc").select("a", F.col("doc").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
         level += 1
         if longest <= FAN_OUT**level:
             return pairs
-        rows = heads.select("key", "freq", F.col("head.h").alias("h"), F.col("head.doc").alias("doc"))
+        rows = heads.select("key", "freq", F.col("head.rank").alias("rank"), F.col("head.h").alias("h"), F.col("head.doc").alias("doc"))
 
 
-def _crossing_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of a posting list whose documents are still in different components, in blocks of about FAN_OUT."""
-    named = lists.join(labels, lists.doc == labels.node, "left").select("key", "freq", "h", "doc", F.coalesce("component", "doc").alias("component"))
+def _undecided(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc, component)`` of the members of posting lists that more than one component has."""
+    named = lists.join(labels, lists.doc == labels.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return named.join(mixed, "key").groupBy("doc").agg(F.min("component").alias("component"))
+
+
+def _crossing_pairs(undecided: DataFrame, sets: DataFrame, space: Workspace, similar: int) -> DataFrame:
+    """``(a, b)``: every pair of different components that may still be a link, by the prefixes of their shingle sets.
+
+    Shingles are ranked by how many of these documents have them. Two sets with a link share one of their first
+    ``size - ceil(size * similar / 100) + 1``; a set of which too many shingles are its own has no link at all. A pair is made
+    under its first common shingle only. Long lists are joined in blocks.
+    """
+    size, least = "size(shingles)", f"cast(ceil(size(shingles) * {similar} / 100D) AS int)"
+    held = space.write(sets.join(undecided, sets.doc_id == undecided.doc).select("doc", "component", "shingles", F.expr(size).alias("n"), F.expr(least).alias("least")), "undecided")
+    each = held.select("doc", F.explode("shingles").alias("key"))
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    ranked = each.join(common, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("ranked"))
+    # the shingles that no other set has come first in the ranking; they are n - size(ranked) of the prefix
+    prefixes = (
+        held.select("doc", "component", "n", "least").join(ranked, "doc")
+        .withColumn("room", F.expr("n - least + 1 - (n - size(ranked))")).where("room > 0")
+        .select("doc", "component", "n", F.xxhash64("doc").alias("h"), F.expr("slice(ranked, 1, room)").alias("prefix"))
+    )
+    prefixes = space.write(prefixes, "prefixes")
     rows = (
-        named.join(mixed, "key")
-        .withColumn("blocks", F.expr("shiftleft(1, greatest(0, cast(ceil(log2(freq)) AS int) - 6))"))
+        prefixes.select("doc", "component", "n", "h", F.expr("transform(prefix, x -> x.key)").alias("keys"), F.explode("prefix").alias("at"))
+        .select("doc", "component", "n", "keys", F.col("at.key").alias("key"), F.expr("shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - 6))").alias("blocks"), "h")
         .withColumn("block", F.expr("cast(h & (blocks - 1) AS int)"))
     )
-    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc").alias("a"), F.col("component").alias("ca"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, ["key", "i", "j"]).where("ca <> cb AND (i < j OR a < b)").select("a", "b")
+    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    lengths = f"100 * least(na, nb) >= {similar} * greatest(na, nb)"
+    met = left.join(right, ["key", "i", "j"]).where(f"ca <> cb AND (i < j OR a < b) AND {lengths} AND key = element_at(array_intersect(ka, kb), 1)")
+    return met.select("a", "b")
 
 
 def near_duplicates(
@@ -132,8 +159,9 @@ def near_duplicates(
     Nodes are posted under their signature's coordinate-value pairs. A value that only one node has is dropped; a node
     left with fewer than ``matches`` values can link with nothing. Of the others just a prefix is walked, rarest values
     first: two nodes with ``matches`` collisions meet in it. Members of a list are paired with the head of their branch,
-    at most about FAN_OUT to a head; then pairs of different components only, until none is left. Collisions are counted
-    over all coordinates, and the links confirmed on full shingle sets.
+    at most about FAN_OUT to a head. Collisions are counted over all coordinates, and the links confirmed on full shingle
+    sets. Members of lists that still hold several components are then compared across components only, each pair once, by
+    an exact prefix bound on their shingle sets; so no link is lost and no group is expanded into all its pairs.
 
     Null or empty texts and texts without words have an empty set and link with nothing. Rows with a null doc_id are
     returned as their own component (null). Rows that repeat a doc_id are one document, whose links are those of all its
@@ -160,8 +188,9 @@ def near_duplicates(
         "survivors",
     )
     lists = space.write(
-        survivors.select("doc", F.explode(F.slice("values", F.lit(1), F.size("values") - (matches - 1))).alias("v"))
-        .select(F.col("v.key").alias("key"), F.col("v.freq").alias("freq"), "doc", F.xxhash64("doc").alias("h")),
+        survivors.withColumn("rank", F.expr("-aggregate(values, 0L, (n, v) -> n + v.freq)"))
+        .select("doc", "rank", F.explode(F.slice("values", F.lit(1), F.size("values") - (matches - 1))).alias("v"))
+        .select(F.col("v.key").alias("key"), F.col("v.freq").alias("freq"), "doc", "rank", F.xxhash64("doc").alias("h")),
         "lists",
     )
     longest = lists.agg(F.max("freq")).first()[0] or 0
@@ -192,7 +221,7 @@ def near_duplicates(
     tried = tried.unionByName(more)
     labels = connected_components(tried.where("linked").select("a", "b"), space, "labels2")
     seen = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = confirmed(_crossing_pairs(lists, labels).distinct().join(seen, ["a", "b"], "left_anti"), "round3").where("linked")
+    rest = confirmed(_crossing_pairs(_undecided(lists, labels), sets, space, similar).join(seen, ["a", "b"], "left_anti"), "round3").where("linked")
     if rest.limit(1).count():
         labels = connected_components(tried.where("linked").select("a", "b").unionByName(rest.select("a", "b")), space, "labels3")
     space.drop("lists", "ranked", "sets")
