@@ -118,7 +118,7 @@ def _crossing_pairs(undecided: DataFrame, sets: DataFrame, space: Workspace, sim
 
     Shingles are ranked by how many of these documents have them. Two sets with a link share one of their first
     ``size - ceil(size * similar / 100) + 1``; a set of which too many shingles are its own has no link at all. A pair is made
-    under its first common shingle only. Long lists are joined in blocks.
+    under its first common shingle only, and if what both have from there on suffices. Long lists are joined in blocks.
     """
     size, least = "size(shingles)", f"cast(ceil(size(shingles) * {similar} / 100D) AS int)"
     held = space.write(sets.join(undecided, sets.doc_id == undecided.doc).select("doc", "component", "shingles", F.expr(size).alias("n"), F.expr(least).alias("least")), "undecided")
@@ -129,18 +129,18 @@ def _crossing_pairs(undecided: DataFrame, sets: DataFrame, space: Workspace, sim
     prefixes = (
         held.select("doc", "component", "n", "least").join(ranked, "doc")
         .withColumn("room", F.expr("n - least + 1 - (n - size(ranked))")).where("room > 0")
-        .select("doc", "component", "n", F.xxhash64("doc").alias("h"), F.expr("slice(ranked, 1, room)").alias("prefix"))
+        .select("doc", "component", "n", F.xxhash64("doc").alias("h"), F.expr("size(ranked)").alias("held"), F.expr("slice(ranked, 1, room)").alias("prefix"))
     )
     prefixes = space.write(prefixes, "prefixes")
     rows = (
-        prefixes.select("doc", "component", "n", "h", F.expr("transform(prefix, x -> x.key)").alias("keys"), F.explode("prefix").alias("at"))
-        .select("doc", "component", "n", "keys", F.col("at.key").alias("key"), F.expr("shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - 6))").alias("blocks"), "h")
+        prefixes.select("doc", "component", "n", "h", "held", F.expr("transform(prefix, x -> x.key)").alias("keys"), F.posexplode("prefix").alias("place", "at"))
+        .select("doc", "component", "n", "keys", F.expr("held - place").alias("after"), F.col("at.key").alias("key"), F.expr("shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - 6))").alias("blocks"), "h")
         .withColumn("block", F.expr("cast(h & (blocks - 1) AS int)"))
     )
-    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    lengths = f"100 * least(na, nb) >= {similar} * greatest(na, nb)"
-    met = left.join(right, ["key", "i", "j"]).where(f"ca <> cb AND (i < j OR a < b) AND {lengths} AND key = element_at(array_intersect(ka, kb), 1)")
+    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("after").alias("ra"), F.col("keys").alias("ka"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("after").alias("rb"), F.col("keys").alias("kb"))
+    enough = f"100 * least(na, nb) >= {similar} * greatest(na, nb) AND least(ra, rb) * (100 + {similar}) >= {similar} * (na + nb)"
+    met = left.join(right, ["key", "i", "j"]).where(f"ca <> cb AND (i < j OR a < b) AND {enough} AND key = element_at(array_intersect(ka, kb), 1)")
     return met.select("a", "b")
 
 

@@ -24,7 +24,7 @@ TIERS = (4096, 2048, 1024, 512)
 GROUP = 1 << 21
 STEP = 1 << 16
 #: Words whose ids a Python worker keeps, and bytes of a text that are split into words at once.
-KNOWN = 300_000
+KNOWN = 500_000
 SEGMENT = 1 << 20
 _SPECIAL = "<|endoftext|>"
 
@@ -48,27 +48,60 @@ class WordIds:
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > KNOWN:
+        """Add words. One that is a letter run with a mark after it gets the ids of both; ASCII letters are lowered first."""
+        if len(self.known) + 3 * len(words) > KNOWN:
             self.clear()
+        known, whole, made = self.known, {}, []
+        for w in words:
+            low = w.lower() if w.isascii() else w
+            body, mark = low[:-1], low[-1:]
+            if mark in (b".", b",", b"!", b"|") and body.isalpha():
+                made.append((w, body, mark))
+                whole[body] = whole[mark] = None
+            else:
+                whole[low] = None
+                if low is not w and low != w:
+                    made.append((w, low, b""))
+        self._encode([w for w in whole if w not in known])
+        if made:
+            at, flat = self.at, self.flat
+            parts = []
+            for _, body, mark in made:
+                k = known[body]
+                parts.append(flat[at[k] : at[k + 1]])
+                if mark:
+                    k = known[mark]
+                    parts.append(flat[at[k] : at[k + 1]])
+            sizes = [len(x) for x in parts]
+            lengths, i = [], 0
+            for _, _, mark in made:
+                lengths.append(sizes[i] + (sizes[i + 1] if mark else 0))
+                i += 2 if mark else 1
+            self._store([w for w, _, _ in made], np.concatenate(parts), np.array(lengths))
+
+    def _encode(self, words: list[bytes]) -> None:
         plain = [w for w in words if b"<|" not in w]
-        parts: list[np.ndarray] = []
         for k in range(0, len(plain), 4096):
             some = plain[k : k + 4096]
             ids = np.array(self.tokenizer.encode(_SPECIAL.join(map(bytes.decode, some)), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.split)
-            parts += [x if k == 0 else x[1:] for k, x in enumerate(np.split(ids, cuts))]
-        odd = [w for w in words if b"<|" in w]
-        parts += [np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32) for w in odd]
-        n, base = len(parts), len(self.known)
-        ends = self.used + np.cumsum([len(x) for x in parts])
+            cuts = ids == self.split
+            self._store(some, ids[~cuts], np.diff(np.concatenate(([-1], np.flatnonzero(cuts), [len(ids)]))) - 1)
+        for w in words:
+            if b"<|" in w:
+                ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+                self._store([w], ids, np.array([len(ids)]))
+
+    def _store(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, base = len(words), len(self.known)
+        ends = self.used + np.cumsum(lengths)
         while base + n + 1 > len(self.at):
             self.at = np.concatenate((self.at, np.zeros_like(self.at)))
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : ends[-1]] = np.concatenate(parts)
+        self.flat[self.used : ends[-1]] = ids
         self.at[base + 1 : base + n + 1] = ends
         self.used = int(ends[-1])
-        self.known.update(zip(plain + odd, range(base, base + n), strict=True))
+        self.known.update(zip(words, range(base, base + n), strict=True))
 
     def ids(self, text: bytes) -> np.ndarray:
         out, begin = [], 0
@@ -79,15 +112,11 @@ class WordIds:
                 end = min(found, default=end)
             words = text[begin:end].split()
             begin = max(end, begin + 1)
-            get = self.known.get
-            index = [get(w, -1) for w in words]
-            if -1 in index:
-                self.learn(list(dict.fromkeys(w for w, k in zip(words, index, strict=True) if k < 0)))
-                get = self.known.get
-                index = [get(w, -1) for w in words]
-                if -1 in index:  # the table was emptied meanwhile
-                    self.learn(list(dict.fromkeys(w for w, k in zip(words, index, strict=True) if k < 0)))
-                    index = [self.known[w] for w in words]
+            index = list(map(self.known.get, words))
+            while None in index:  # twice, if the table was emptied meanwhile
+                known = self.known
+                self.learn(list({w for w in words if w not in known}))
+                index = list(map(self.known.get, words))
             if index:
                 k = np.array(index)
                 first, size = self.at[k], self.at[k + 1] - self.at[k]
