@@ -20,6 +20,8 @@ COORDINATES = 48
 MATCHES = 20
 #: Posting lists are walked as trees whose nodes have about so many children.
 FAN_OUT = 64
+#: Long lists of undecided documents are joined in blocks of about 2 ** BLOCK_BITS.
+BLOCK_BITS = 10
 
 _rng = np.random.default_rng(20240605)
 _FLIPS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -134,7 +136,7 @@ def _crossing_pairs(undecided: DataFrame, sets: DataFrame, space: Workspace, sim
     prefixes = space.write(prefixes, "prefixes")
     rows = (
         prefixes.select("doc", "component", "n", "h", "held", F.expr("transform(prefix, x -> x.key)").alias("keys"), F.posexplode("prefix").alias("place", "at"))
-        .select("doc", "component", "n", "keys", F.expr("held - place").alias("after"), F.col("at.key").alias("key"), F.expr("shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - 6))").alias("blocks"), "h")
+        .select("doc", "component", "n", "keys", F.expr("held - place").alias("after"), F.col("at.key").alias("key"), F.expr(f"shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - {BLOCK_BITS}))").alias("blocks"), "h")
         .withColumn("block", F.expr("cast(h & (blocks - 1) AS int)"))
     )
     left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("after").alias("ra"), F.col("keys").alias("ka"))
