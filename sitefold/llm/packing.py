@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.llm.token_counts import tokenizer
+from sitefold.llm.token_counts import encoded_apart, tokenizer
 from sitefold.llm.workspace import bound_arrow_batches
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,31 +26,20 @@ STEP = 1 << 16
 #: Words whose ids a Python worker keeps, and bytes of a text that are split into words at once.
 KNOWN = 500_000
 SEGMENT = 1 << 20
-_SPECIAL = "<|endoftext|>"
 
 
 class WordIds:
-    """Ids of texts whose tokenizer drops white space and never joins across it, from the ids of their words.
+    """Ids of texts whose tokenizer lowers case, drops white space and never joins across it, from the ids of their words.
 
-    The tokenizer encodes each different word once. New words go to it joined by a special token, which splits its input
-    before anything else happens, so each is encoded as if alone.
+    The library encodes each different word once while it is remembered.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.split = self.tokenizer.token_to_id(_SPECIAL)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(KNOWN // 4, np.int64)
-        self.used = 0
+        self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
         """Add words. One that is a letter run with a mark after it gets the ids of both; ASCII letters are lowered first."""
-        if len(self.known) + 3 * len(words) > KNOWN:
-            self.clear()
         known, whole, made = self.known, {}, []
         for w in words:
             low = w.lower() if w.isascii() else w
@@ -60,71 +49,36 @@ class WordIds:
                 whole[body] = whole[mark] = None
             else:
                 whole[low] = None
-                if low is not w and low != w:
+                if low != w:
                     made.append((w, low, b""))
-        self._encode([w for w in whole if w not in known])
-        if made:
-            at, flat = self.at, self.flat
-            parts = []
-            for _, body, mark in made:
-                k = known[body]
-                parts.append(flat[at[k] : at[k + 1]])
-                if mark:
-                    k = known[mark]
-                    parts.append(flat[at[k] : at[k + 1]])
-            sizes = [len(x) for x in parts]
-            lengths, i = [], 0
-            for _, _, mark in made:
-                lengths.append(sizes[i] + (sizes[i + 1] if mark else 0))
-                i += 2 if mark else 1
-            self._store([w for w, _, _ in made], np.concatenate(parts), np.array(lengths))
-
-    def _encode(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        for k in range(0, len(plain), 4096):
-            some = plain[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(_SPECIAL.join(map(bytes.decode, some)), add_special_tokens=False).ids, np.uint32)
-            cuts = ids == self.split
-            self._store(some, ids[~cuts], np.diff(np.concatenate(([-1], np.flatnonzero(cuts), [len(ids)]))) - 1)
-        for w in words:
-            if b"<|" in w:
-                ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
-                self._store([w], ids, np.array([len(ids)]))
-
-    def _store(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, base = len(words), len(self.known)
-        ends = self.used + np.cumsum(lengths)
-        while base + n + 1 > len(self.at):
-            self.at = np.concatenate((self.at, np.zeros_like(self.at)))
-        while ends[-1] > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : ends[-1]] = ids
-        self.at[base + 1 : base + n + 1] = ends
-        self.used = int(ends[-1])
-        self.known.update(zip(words, range(base, base + n), strict=True))
+        new = [w for w in whole if w not in known]
+        for some, ids, ends in encoded_apart(self.tokenizer, new):
+            data, begin = ids.astype("<u4").tobytes(), 0
+            for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                known[w] = data[begin:end]
+                begin = end
+        for w, body, mark in made:
+            known[w] = known[body] + known[mark] if mark else known[body]
 
     def ids(self, text: bytes) -> np.ndarray:
         out, begin = [], 0
-        while begin < len(text) or not out:
+        while begin < len(text):
             end = len(text)
             if end - begin > SEGMENT:
                 found = [x for x in (text.find(c, begin + SEGMENT) for c in b" \n") if x >= 0]
                 end = min(found, default=end)
             words = text[begin:end].split()
             begin = max(end, begin + 1)
-            index = list(map(self.known.get, words))
-            while None in index:  # twice, if the table was emptied meanwhile
-                known = self.known
-                self.learn(list({w for w in words if w not in known}))
-                index = list(map(self.known.get, words))
-            if index:
-                k = np.array(index)
-                first, size = self.at[k], self.at[k + 1] - self.at[k]
-                shift = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-                out.append(self.flat[np.arange(len(shift)) + shift])
-            else:
-                out.append(self.flat[:0])
-        return out[0] if len(out) == 1 else np.concatenate(out)
+            try:
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            except KeyError:
+                new = list({w for w in words if w not in self.known})
+                if len(self.known) + 2 * len(new) > KNOWN:
+                    self.known.clear()
+                    new = list(set(words))
+                self.learn(new)
+                out.append(b"".join(map(self.known.__getitem__, words)))
+        return np.frombuffer(b"".join(out), "<u4")
 
 
 _encoders: dict[str, WordIds] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitefold.llm.minhash_dedup import near_duplicates
 from sitefold.llm.packing import pack_documents
+from sitefold.llm.quality import score_quality
 from sitefold.llm.substring_dedup import remove_repeats
 from sitefold.llm.sql import ORACLE_SQL  # noqa: F401
 from sitefold.llm.token_counts import count_tokens
@@ -31,9 +32,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
 }

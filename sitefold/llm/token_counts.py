@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,13 @@ CHUNK = 1 << 15
 OVERLAP = 256
 #: Spaces at which any text may be cut: the pre-tokenizer never joins one to a letter or digit before it.
 _SPACES = frozenset(" \n\t\r")
+_MARKS = frozenset((b".", b",", b"!", b"?", b":", b";"))
+_SPECIAL = "<|endoftext|>"
+#: Pieces whose counts a Python worker keeps.
+KNOWN = 500_000
+#: ASCII white space beside a space or at an end; white space of any other kind.
+_RUNS = re.compile(rb"[\t-\r] |^ | $|[\x1c-\x1f]")
+_ODD = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _loaded: dict[str, object] = {}
 
 
@@ -37,6 +45,86 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def encoded_apart(t, pieces: list[bytes], most: int = 4096) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Each piece encoded as if alone: ``(pieces, ids, ends of their ids)`` in runs.
+
+    The pieces go to the library joined by a special token, which splits its input before anything else happens. Pieces
+    that may hold a special token themselves go alone.
+    """
+    split = t.token_to_id(_SPECIAL)
+    plain = [x for x in pieces if b"<|" not in x]
+    for k in range(0, len(plain), most):
+        some = plain[k : k + most]
+        ids = np.array(t.encode(_SPECIAL.join(map(bytes.decode, some)), add_special_tokens=False).ids, np.int64)
+        cuts = ids == split
+        ends = np.append(np.flatnonzero(cuts), len(ids)) - np.arange(len(some))
+        yield some, ids[~cuts], ends
+    for x in pieces:
+        if b"<|" in x:
+            ids = np.array(t.encode(x.decode(), add_special_tokens=False).ids, np.int64)
+            yield [x], ids, np.array([len(ids)])
+
+
+class PieceCounts:
+    """Counts of texts from those of their pieces, each cut before a space that follows something else than white space.
+
+    That position is certain (see ``certain``) wherever white space other than ASCII is absent. Texts with such white
+    space, or with runs of it, are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.known: dict[bytes, int] = {}
+        self.bare: dict[bytes, int] = {}
+        size = lambda x: len(self.tokenizer.encode(x, add_special_tokens=False).ids)
+        self.marks = {m: size(m.decode()) for m in _MARKS}
+        self.line = size("\n")
+
+    def _bare(self, pieces: set[bytes], lead: bytes, into: dict[bytes, int]) -> None:
+        """Counts of pieces after ``lead``; a letter run with a mark after it is the sum of both."""
+        whole, made = set(), []
+        for x in pieces:
+            body, mark = x[:-1], x[-1:]
+            if mark in _MARKS and body.isalpha():
+                made.append((x, body, self.marks[mark]))
+                if body not in into:
+                    whole.add(body)
+            else:
+                whole.add(x)
+        for some, _, ends in encoded_apart(self.tokenizer, [lead + x for x in whole]):
+            into.update(zip([x[len(lead) :] for x in some], np.diff(ends, prepend=0).tolist(), strict=True))
+        for x, body, n in made:
+            into[x] = into[body] + n
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        if len(self.known) + len(self.bare) + 2 * len(pieces) > KNOWN:
+            self.known.clear()
+            self.bare.clear()
+        broken = {x: x.split(b"\n") for x in pieces if b"\n" in x and b"\n\n" not in x and not x.startswith(b"\n")}
+        heads = {parts[0] for parts in broken.values()}
+        tails = {y for parts in broken.values() for y in parts[1:]}
+        self._bare({x for x in pieces - broken.keys() | heads if x not in self.known}, b" ", self.known)
+        self._bare({x for x in tails if x not in self.bare}, b"", self.bare)
+        for x, parts in broken.items():
+            self.known[x] = self.known[parts[0]] + sum(self.bare[y] + self.line for y in parts[1:])
+
+    def count(self, text: str) -> int:
+        data = text.encode()
+        if b"  " in data or _RUNS.search(data) or not data.isascii() and _ODD.search(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        pieces = data.split(b" ")
+        n = len(self.tokenizer.encode(pieces[0].decode(), add_special_tokens=False).ids)
+        del pieces[0]
+        try:
+            return n + sum(map(self.known.__getitem__, pieces))
+        except KeyError:
+            new = {x for x in pieces if x not in self.known}
+            if len(self.known) + len(self.bare) + 2 * len(new) > KNOWN:
+                new = set(pieces)
+            self._learn(new)
+            return n + sum(map(self.known.__getitem__, pieces))
+
+
 def certain(text: str, at: int) -> bool:
     """Whether the tokens before and after this position don't depend on each other.
 
@@ -88,22 +176,12 @@ def encode_long(text: str, encode: Callable[[str], tuple[list[int], list[tuple[i
     return ids + left
 
 
-def _together(rows: list[int], texts: list[str], most: int) -> Iterator[list[int]]:
-    """Rows in runs of at most so many characters: the library's encodings take many times the room of the text."""
-    some, size = [], 0
-    for k in rows:
-        if some and size + len(texts[k]) > most:
-            yield some
-            some, size = [], 0
-        some.append(k)
-        size += len(texts[k])
-    if some:
-        yield some
+_counters: dict[str, PieceCounts] = {}
 
 
 def _counted(path: str, huge: int, chunk: int, overlap: int):
     def run(batches):
-        t = tokenizer(path)
+        t, pieces = tokenizer(path), _counters.setdefault(path, PieceCounts(path))
 
         def encode(text):
             x = t.encode(text, add_special_tokens=False)
@@ -112,11 +190,8 @@ def _counted(path: str, huge: int, chunk: int, overlap: int):
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             counts = np.zeros(len(texts), np.int64)
-            for some in _together([k for k, x in enumerate(texts) if len(x) <= huge], texts, 4 * huge):
-                counts[some] = [len(x) for x in t.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)]
             for k, x in enumerate(texts):
-                if len(x) > huge:
-                    counts[k] = len(encode_long(x, encode, chunk, overlap))
+                counts[k] = pieces.count(x) if len(x) <= huge else len(encode_long(x, encode, chunk, overlap))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
