@@ -13,72 +13,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.llm.token_counts import encoded_apart, tokenizer
+from sitefold.llm import textkernel as tk
+from sitefold.llm.wordunits import UnitIds, split_marks
 from sitefold.llm.workspace import bound_arrow_batches
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 #: Context sizes, longest first; powers of two.
 TIERS = (4096, 2048, 1024, 512)
-#: Tokens of the documents that are packed together, and of a step group.
+#: Tokens of the documents that are packed together, and of a step group; bytes of text that are cut into words at once.
 GROUP = 1 << 21
 STEP = 1 << 16
 #: Words whose ids a Python worker keeps, and bytes of a text that are split into words at once.
 KNOWN = 500_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 21
 
 
 class WordIds:
-    """Ids of texts whose tokenizer lowers case, drops white space and never joins across it, from the ids of their words.
-
-    The library encodes each different word once while it is remembered.
-    """
+    """Ids of texts whose tokenizer lowers case, drops white space and never joins across it."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        """Add words. One that is a letter run with a mark after it gets the ids of both; ASCII letters are lowered first."""
-        known, whole, made = self.known, {}, []
-        for w in words:
-            low = w.lower() if w.isascii() else w
-            body, mark = low[:-1], low[-1:]
-            if mark in (b".", b",", b"!", b"|") and body.isalpha():
-                made.append((w, body, mark))
-                whole[body] = whole[mark] = None
+        self.units = UnitIds(path, lower=True, lead="", joint=" ", opens=None, closes=lambda token: token.endswith("</w>"))
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for a, b in tk.row_slices(offsets):
+            part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            if b > a + 1 or len(part) <= SEGMENT:
+                yield from self._few(part, at)
             else:
-                whole[low] = None
-                if low != w:
-                    made.append((w, low, b""))
-        new = [w for w in whole if w not in known]
-        for some, ids, ends in encoded_apart(self.tokenizer, new):
-            data, begin = ids.astype("<u4").tobytes(), 0
-            for w, end in zip(some, (4 * ends).tolist(), strict=True):
-                known[w] = data[begin:end]
-                begin = end
-        for w, body, mark in made:
-            known[w] = known[body] + known[mark] if mark else known[body]
-
-    def ids(self, text: bytes) -> np.ndarray:
-        out, begin = [], 0
-        while begin < len(text):
-            end = len(text)
-            if end - begin > SEGMENT:
-                found = [x for x in (text.find(c, begin + SEGMENT) for c in b" \n") if x >= 0]
-                end = min(found, default=end)
-            words = text[begin:end].split()
-            begin = max(end, begin + 1)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                new = list({w for w in words if w not in self.known})
-                if len(self.known) + 2 * len(new) > KNOWN:
-                    self.known.clear()
-                    new = list(set(words))
-                self.learn(new)
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return np.frombuffer(b"".join(out), "<u4")
+                yield np.concatenate([next(self._few(x, np.array([0, len(x)]))) for x in _segments(part)])
+
+    def _few(self, raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        starts, ends, first = tk.word_spans(raw, at)
+        starts, ends, word = split_marks(raw, starts, ends)
+        slots = self.units.slots(raw, starts, ends)
+        flat = self.units.gather(slots)
+        cuts = np.concatenate(([0], np.cumsum(self.units.sizes(slots))))[word[first]].tolist()
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield flat[i:j]
+
+
+def _segments(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts, cut at white space."""
+    begin, text = 0, raw.tobytes()
+    while begin < len(raw):
+        found = [x for x in (text.find(c, begin + SEGMENT) for c in (b" ", b"\n")) if x >= 0]
+        end = min(found, default=len(raw))
+        yield raw[begin:end]
+        begin = end
 
 
 _encoders: dict[str, WordIds] = {}
@@ -176,8 +159,8 @@ def _packed(path: str, end: int, tiers: tuple[int, ...], group: int, with_ids: b
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids = np.append(words.ids(text.as_py() or b""), np.uint32(end))
+            for doc, ids in zip(batch.column(0).to_pylist(), words.ids(*tk.text_bytes(batch.column(1))), strict=True):
+                ids = np.append(ids, np.uint32(end))
                 held.append((doc, ids))
                 tokens += len(ids)
                 if tokens >= group:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.llm import textkernel as tk
+from sitefold.llm.wordunits import UnitIds, split_marks, tokenizer
 from sitefold.llm.workspace import bound_arrow_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,107 +22,69 @@ CHUNK = 1 << 15
 OVERLAP = 256
 #: Spaces at which any text may be cut: the pre-tokenizer never joins one to a letter or digit before it.
 _SPACES = frozenset(" \n\t\r")
-_MARKS = frozenset((b".", b",", b"!", b"?", b":", b";"))
-_SPECIAL = "<|endoftext|>"
-#: Pieces whose counts a Python worker keeps.
-KNOWN = 500_000
-#: ASCII white space beside a space or at an end; white space of any other kind.
-_RUNS = re.compile(rb"[\t-\r] |^ | $|[\x1c-\x1f]")
-_ODD = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_loaded: dict[str, object] = {}
-
-
-def tokenizer(path: str):
-    """The tokenizer of a file, read once in each Python worker."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _loaded[path] = t
-    return _loaded[path]
-
-
-def encoded_apart(t, pieces: list[bytes], most: int = 4096) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Each piece encoded as if alone: ``(pieces, ids, ends of their ids)`` in runs.
-
-    The pieces go to the library joined by a special token, which splits its input before anything else happens. Pieces
-    that may hold a special token themselves go alone.
-    """
-    split = t.token_to_id(_SPECIAL)
-    plain = [x for x in pieces if b"<|" not in x]
-    for k in range(0, len(plain), most):
-        some = plain[k : k + most]
-        ids = np.array(t.encode(_SPECIAL.join(map(bytes.decode, some)), add_special_tokens=False).ids, np.int64)
-        cuts = ids == split
-        ends = np.append(np.flatnonzero(cuts), len(ids)) - np.arange(len(some))
-        yield some, ids[~cuts], ends
-    for x in pieces:
-        if b"<|" in x:
-            ids = np.array(t.encode(x.decode(), add_special_tokens=False).ids, np.int64)
-            yield [x], ids, np.array([len(ids)])
+#: Two first bytes of white space, joiners and marks of order in UTF-8: U+0085, U+00A0, U+1680, U+180E, U+2000 to U+206F,
+#: U+3000 to U+303F, U+FEFF. Fixed values.
+_ODD = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,)))
+_ODD_FIRST = np.zeros(256, bool)
+_ODD_FIRST[[*range(0x1C, 0x20), *(x for x, _ in _ODD)]] = True
 
 
 class PieceCounts:
-    """Counts of texts from those of their pieces, each cut before a space that follows something else than white space.
+    """Counts of texts from those of their words, each with the space before it, and of the marks that close words.
 
-    That position is certain (see ``certain``) wherever white space other than ASCII is absent. Texts with such white
-    space, or with runs of it, are encoded whole.
+    Where words are one space or line break apart and there is no white space of other kinds, these are pieces of the
+    pre-tokenizer or whole runs of them (see ``certain``).
     """
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.known: dict[bytes, int] = {}
-        self.bare: dict[bytes, int] = {}
-        size = lambda x: len(self.tokenizer.encode(x, add_special_tokens=False).ids)
-        self.marks = {m: size(m.decode()) for m in _MARKS}
-        self.line = size("\n")
-
-    def _bare(self, pieces: set[bytes], lead: bytes, into: dict[bytes, int]) -> None:
-        """Counts of pieces after ``lead``; a letter run with a mark after it is the sum of both."""
-        whole, made = set(), []
-        for x in pieces:
-            body, mark = x[:-1], x[-1:]
-            if mark in _MARKS and body.isalpha():
-                made.append((x, body, self.marks[mark]))
-                if body not in into:
-                    whole.add(body)
-            else:
-                whole.add(x)
-        for some, _, ends in encoded_apart(self.tokenizer, [lead + x for x in whole]):
-            into.update(zip([x[len(lead) :] for x in some], np.diff(ends, prepend=0).tolist(), strict=True))
-        for x, body, n in made:
-            into[x] = into[body] + n
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) + len(self.bare) + 2 * len(pieces) > KNOWN:
-            self.known.clear()
-            self.bare.clear()
-        broken = {x: x.split(b"\n") for x in pieces if b"\n" in x and b"\n\n" not in x and not x.startswith(b"\n")}
-        heads = {parts[0] for parts in broken.values()}
-        tails = {y for parts in broken.values() for y in parts[1:]}
-        self._bare({x for x in pieces - broken.keys() | heads if x not in self.known}, b" ", self.known)
-        self._bare({x for x in tails if x not in self.bare}, b"", self.bare)
-        for x, parts in broken.items():
-            self.known[x] = self.known[parts[0]] + sum(self.bare[y] + self.line for y in parts[1:])
-
-    def count(self, text: str) -> int:
-        data = text.encode()
-        if b"  " in data or _RUNS.search(data) or not data.isascii() and _ODD.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces = data.split(b" ")
-        n = len(self.tokenizer.encode(pieces[0].decode(), add_special_tokens=False).ids)
-        del pieces[0]
-        try:
-            return n + sum(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = {x for x in pieces if x not in self.known}
-            if len(self.known) + len(self.bare) + 2 * len(new) > KNOWN:
-                new = set(pieces)
-            self._learn(new)
-            return n + sum(map(self.known.__getitem__, pieces))
+        self.spaced = UnitIds(path, lower=False, lead=" ", joint=" ", opens=lambda token: token.startswith("Ġ"), closes=None)
+        self.bare = UnitIds(path, lower=False, lead="", joint="", opens=None, closes=None)
+        self.line = len(tokenizer(path).encode("\n", add_special_tokens=False).ids)
+
+    def count(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each text, and whether it could be made so."""
+        starts, ends, first = tk.word_spans(raw, at)
+        n = len(at) - 1
+        if not len(starts):
+            return np.zeros(n, np.int64), np.diff(at) == 0
+        row = np.repeat(np.arange(n), np.diff(first))
+        lead = raw[np.maximum(starts - 1, 0)]
+        heads = first[:-1][np.diff(first) > 0]
+        gap = np.ones(len(starts), bool)
+        gap[1:] = (starts[1:] - ends[:-1] == 1) & ((lead[1:] == 0x20) | (lead[1:] == 0x0A))
+        gap[heads] = starts[heads] == at[row[heads]]
+        fine = np.ones(n, bool)
+        fine[row[~gap]] = False
+        tails = first[1:][np.diff(first) > 0] - 1
+        fine[row[tails][ends[tails] != at[row[tails] + 1]]] = False
+        fine[(np.diff(first) == 0) & (np.diff(at) > 0)] = False
+        fine[np.searchsorted(at, odd_spaces(raw), "right") - 1] = False
+        spaced = lead == 0x20
+        spaced[heads] = False
+        use = fine[row]
+        lines = np.bincount(row[use & (lead == 0x0A)], minlength=n) - np.bincount(row[heads][use[heads] & (lead[heads] == 0x0A)], minlength=n)
+        out = lines * self.line
+        s, e, word = split_marks(raw, starts[use], ends[use])
+        spaced_unit = np.zeros(len(s), bool)
+        spaced_unit[word[:-1]] = spaced[use]
+        unit_row = np.repeat(row[use], np.diff(word))
+        for units, some in ((self.spaced, spaced_unit), (self.bare, ~spaced_unit)):
+            slots = units.slots(raw, s[some], e[some])
+            out = out + np.bincount(unit_row[some], weights=units.sizes(slots), minlength=n).astype(np.int64)
+        return out, fine
+
+
+def odd_spaces(raw: np.ndarray) -> np.ndarray:
+    """Positions of characters, other than ASCII space to carriage return, that are or may be taken for white space."""
+    first = np.flatnonzero(_ODD_FIRST[raw])
+    if not len(first):
+        return first
+    first = first[(raw[first] < 0x80) | (first + 1 < len(raw))]
+    second = raw[np.minimum(first + 1, len(raw) - 1)]
+    odd = raw[first] < 0x80
+    for lead, follow in _ODD:
+        odd |= (raw[first] == lead) & np.isin(second, follow)
+    return first[odd]
 
 
 def certain(text: str, at: int) -> bool:
@@ -188,10 +150,16 @@ def _counted(path: str, huge: int, chunk: int, overlap: int):
             return x.ids, x.offsets
 
         for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            counts = np.zeros(len(texts), np.int64)
-            for k, x in enumerate(texts):
-                counts[k] = pieces.count(x) if len(x) <= huge else len(encode_long(x, encode, chunk, overlap))
+            raw, offsets = tk.text_bytes(batch.column(1))
+            counts = np.zeros(len(offsets) - 1, np.int64)
+            for a, b in tk.row_slices(offsets):
+                part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                made = np.zeros(1, bool)
+                if b > a + 1 or len(part) <= huge:
+                    counts[a:b], made = pieces.count(part, at)
+                for k in np.flatnonzero(~made):
+                    text = part[at[k] : at[k + 1]].tobytes().decode()
+                    counts[a + k] = len(encode_long(text, encode, chunk, overlap) if len(text) > huge else encode(text)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
