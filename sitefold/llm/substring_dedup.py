@@ -124,7 +124,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are judged on the input. Runs of ``window - PERIOD + 1`` words are hashed at cover positions only: equal windows share
     an anchor at the same place, whatever their positions. Anchors of one document only are dropped; the rest are
     extended to the whole windows around them, and the smallest doc_id of each window's hash (64 bits) decides. Both
-    steps are partial minima, so passages that very many documents share cost one row a task and key.
+    steps are partial minima, so passages that very many documents share cost one row a task and key. A document with the
+    words of an earlier one loses all of them and takes no further part.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, case kept. Null texts have no words. Rows with a null doc_id
     lose nothing and make no other lose. Rows that repeat a doc_id are taken for copies of one row: they don't remove each
@@ -135,23 +136,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bound_arrow_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = space.write(texts.mapInArrow(_anchored(window), "doc_id long, n_words long, sha256 string, anchors array<long>"), "anchors")
-    anchors = base.where("doc_id IS NOT NULL").select("doc_id", F.posexplode("anchors").alias("place", "key"))
+    same = base.where(f"n_words >= {window}").groupBy("sha256").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    copies = space.write(base.select("doc_id", "sha256").join(same, "sha256").where("doc_id > lo").select("doc_id").distinct(), "copies")
+    anchors = (
+        base.where("doc_id IS NOT NULL AND size(anchors) > 0").select("doc_id", "anchors").join(copies, "doc_id", "left_anti")
+        .select("doc_id", F.posexplode("anchors").alias("place", "key"))
+    )
     shared = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     marks = space.write(anchors.join(shared, "key").groupBy("doc_id").agg(F.collect_list("place").alias("places")), "marks")
     space.release()
     near = space.write(texts.join(marks, "doc_id").select("doc_id", "text", "places"), "near")
     space.release()
     windows = near.mapInArrow(_near_anchors(window), "key long, doc long, start int")
-    windows = space.write(windows, "windows")
     first = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "lo")
     repeats = windows.join(first, "key").where("doc > lo").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("start").alias("starts"))
     repeats = space.write(repeats, "repeats")
-    space.drop("windows", "marks")
+    space.drop("marks")
     changed = (
         near.select("doc_id", "text").join(repeats, "doc_id").select("doc_id", "text", "starts")
         .mapInArrow(_without(window), "doc_id long, n_removed long, changed_sha256 string, kept_text string")
     )
     changed = (changed if with_text else changed.drop("kept_text")).dropDuplicates(["doc_id"])
-    out = base.select("doc_id", "n_words", "sha256").join(changed, "doc_id", "left")
-    columns = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("changed_sha256", "sha256").alias("kept_sha256")]
-    return out.select(*columns, *(["kept_text"] if with_text else []))
+    out = base.select("doc_id", "n_words", "sha256").join(changed, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    nothing = hashlib.sha256(b"").hexdigest()
+    columns = [
+        "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("changed_sha256", "sha256")).alias("kept_sha256"),
+    ]
+    return out.select(*columns, *([F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
