@@ -10,6 +10,8 @@ from sitefold.llm.quality import score_quality
 from sitefold.llm.substring_dedup import remove_repeats
 from sitefold.llm.sql import ORACLE_SQL  # noqa: F401
 from sitefold.llm.token_counts import count_tokens
+from sitefold.llm.vector_dedup import near_vectors
+from sitefold.llm.vector_search import EVERY, top_inner_products
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_inner_products(vectors, vectors.where(f"vec_id % {EVERY} = 0"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +49,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_exact_topk": op3_exact_topk,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_token_counts": op8_token_counts,
