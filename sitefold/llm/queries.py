@@ -10,6 +10,7 @@ from sitefold.llm.quality import score_quality
 from sitefold.llm.substring_dedup import remove_repeats
 from sitefold.llm.sql import ORACLE_SQL  # noqa: F401
 from sitefold.llm.token_counts import count_tokens
+from sitefold.llm.url_filter import judge_urls
 from sitefold.llm.vector_dedup import near_vectors
 from sitefold.llm.vector_search import EVERY, top_inner_products
 
@@ -18,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the query, longest first or not; given with the task.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +57,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_exact_topk": op3_exact_topk,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
