@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefold.llm.line_dedup import dedup_lines
 from sitefold.llm.minhash_dedup import near_duplicates
+from sitefold.llm.mixing import mix_to_targets
 from sitefold.llm.packing import pack_documents
 from sitefold.llm.quality import score_quality
 from sitefold.llm.substring_dedup import remove_repeats
@@ -64,6 +65,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains are the languages of the labelled documents."""
+    docs = _table(spark, sf_dir, "documents")
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return mix_to_targets(docs, labelled)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -74,4 +82,5 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_mixing": op10_mixing,
 }
