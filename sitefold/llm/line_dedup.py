@@ -28,7 +28,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """``(key, first, kind)``: hashed deletion variants of the part of each line that may hold an edit.
+    """``(key, o, kind)``: hashed deletion variants of the part of each line that may hold an edit.
 
     Kind 0 tells the place of the deletion too, so lines that meet differ by a substitution there; kind 1 is a deletion
     without its place and kind 2 the undeleted part, so lines of kinds 1 and 2 that meet differ by an insertion. Long parts
@@ -38,58 +38,61 @@ def _variants(lines: DataFrame) -> DataFrame:
     head, tail = f"cast(part * {base} div {PARTS} AS int)", f"cast(({PARTS} - 1 - part) * {base} div {PARTS} AS int)"
     middles = (
         lines.withColumn("bucket", F.expr(f"CASE WHEN place < {PARTS} THEN {_BUCKETS[0]} ELSE {_BUCKETS[1]} END")).withColumn("part", F.expr(f"place % {PARTS}"))
-        .selectExpr("first", "key", f"substring(norm, {head} + 1, n - {head} - {tail}) AS middle", f"{base} - {head} - {tail} AS size")
+        .selectExpr("o", "key", f"substring(norm, {head} + 1, n - {head} - {tail}) AS middle", f"{base} - {head} - {tail} AS size")
         .withColumn("subs", F.expr(f"CASE WHEN size <= {SHORT} THEN 1 ELSE least(64, cast(ceil(size / {SHORT // 2}D) AS int)) END"))
         .withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
     )
     before, after = "cast(sub * size div subs AS int)", "cast(size - (sub + 1) * size div subs AS int)"
     parts = middles.selectExpr(
-        "first", f"xxhash64(key, sub, left(middle, {before}), right(middle, {after})) AS key", f"substring(middle, {before} + 1, length(middle) - {before} - {after}) AS w"
+        "o", f"xxhash64(key, sub, left(middle, {before}), right(middle, {after})) AS key", f"substring(middle, {before} + 1, length(middle) - {before} - {after}) AS w"
     )
-    cut = parts.selectExpr("first", "key", "w", "explode(sequence(0, length(w))) AS i")
+    cut = parts.selectExpr("o", "key", "w", "explode(sequence(0, length(w))) AS i")
     cut = cut.withColumn("v", F.expr("CASE WHEN i = 0 THEN w ELSE concat(left(w, i - 1), substring(w, i + 1)) END"))
     kinds = F.expr(
         "CASE WHEN i = 0 THEN array(named_struct('key', xxhash64(key, v), 'kind', 2))"
         " ELSE array(named_struct('key', xxhash64(key, v, i), 'kind', 0), named_struct('key', xxhash64(key, v), 'kind', 1)) END"
     )
-    return cut.select("first", F.explode(kinds).alias("k")).select("k.key", "first", "k.kind")
+    return cut.select("o", F.explode(kinds).alias("k")).select("k.key", "o", "k.kind")
 
 
 def repeated_lines(docs: DataFrame, space: Workspace, least: int = LEAST) -> DataFrame:
-    """``(doc_id, removed)``: for each document that loses any, the positions of its lines that go."""
+    """``(doc_id, removed)``: for each document that loses any, the positions of its lines that go.
+
+    A line's order is one decimal, doc_id * 2^32 + position, so that all minima are hash aggregates.
+    """
     lines = _lines(docs, least)
-    key_columns = [F.expr(_key(_BUCKETS[0], q)) for q in range(PARTS)] + [F.expr(f"CASE WHEN n % 2 = 1 THEN {_key(_BUCKETS[1], q)} END") for q in range(PARTS)]
-    hashed = lines.select("doc_id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(key_columns)])
-    distinct = space.write(
-        hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(2 * PARTS)]), "distinct"
-    )
-    posts = distinct.select("first", F.posexplode(F.array(*[f"k{i}" for i in range(2 * PARTS)])).alias("place", "key")).where("key IS NOT NULL")
-    shared = posts.groupBy("key").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("key")
-    near = space.write(posts.join(shared, "key").groupBy("first").agg(F.collect_list(F.struct("place", "key")).alias("keys")), "near")
+    keys = [F.expr(_key(_BUCKETS[0], q)) for q in range(PARTS)] + [F.expr(f"CASE WHEN n % 2 = 1 THEN {_key(_BUCKETS[1], q)} END") for q in range(PARTS)]
+    names = [f"k{i}" for i in range(2 * PARTS)]
+    hashed = space.write(lines.select("doc_id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), *[k.alias(c) for k, c in zip(keys, names, strict=True)]), "hashed")
+    order = "cast(doc_id AS decimal(20,0)) * 4294967296BD + pos"
+    firsts = hashed.select("h1", "h2", "doc_id", F.expr(order).alias("o")).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min("o").alias("o"), F.count(F.lit(1)).alias("n"))
+    firsts = firsts.withColumn("first", F.expr("cast(o - cast(doc AS decimal(20,0)) * 4294967296BD AS int)"))
+    posts = hashed.select("h1", F.posexplode(F.array(*names)).alias("place", "key")).where("key IS NOT NULL")
+    shared = posts.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
+    near = space.write(posts.join(shared, "key").groupBy("h1").agg(F.collect_set(F.struct("place", "key")).alias("keys")), "near")
     space.release()
-    wanted = near.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "keys"))).alias("wanted"))
-    found = docs.where("text IS NOT NULL").join(wanted, "doc_id")
+    near = space.write(firsts.select("h1", "doc", "first", "o").join(near, "h1").withColumnRenamed("doc", "doc_id"), "firsts")
+    space.release()
+    wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("first", "o", "keys")).alias("wanted"))
+    found = docs.where("text IS NOT NULL").hint("merge").join(wanted, "doc_id").select("wanted", F.split("text", "\n", -1).alias("lines"))
+    picked = found.select(F.explode(F.expr("transform(wanted, w -> named_struct('o', w.o, 'keys', w.keys, 'line', get(lines, w.first)))")).alias("x"))
     texts = space.write(
-        found.select("doc_id", "wanted", F.split("text", "\n", -1).alias("lines")).select("doc_id", F.expr("explode(transform(map_entries(wanted), e -> named_struct('pos', e.key, 'keys', e.value, 'line', get(lines, e.key))))").alias("x"))
-        .select(F.struct("doc_id", F.col("x.pos").alias("pos")).alias("first"), "x.keys", F.expr("lower(trim(BOTH ' \\t\\r' FROM x.line))").alias("norm")).where("norm IS NOT NULL"),
-        "texts",
+        picked.select("x.o", "x.keys", F.expr("lower(trim(BOTH ' \\t\\r' FROM x.line))").alias("norm")).where("norm IS NOT NULL").dropDuplicates(["o"]), "texts"
     )
     space.release()
-    rows = texts.select("first", "norm", F.length("norm").alias("n"), F.explode("keys").alias("k")).select("first", "norm", "n", "k.place", "k.key")
+    rows = texts.select("o", "norm", F.length("norm").alias("n"), F.explode("keys").alias("k")).select("o", "norm", "n", "k.place", "k.key")
     variants = space.write(_variants(rows), "variants")
-    least_of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))
-    most_of = F.max(F.when(F.col("kind") == 0, F.col("first")))
-    met = variants.groupBy("key").agg(least_of(0).alias("swap"), most_of.alias("last"), least_of(1).alias("cut"), least_of(2).alias("whole")).where("swap < last OR (cut IS NOT NULL AND whole IS NOT NULL)")
-    pairs = variants.join(met, "key").select("first", F.expr("CASE kind WHEN 0 THEN swap WHEN 1 THEN whole ELSE cut END").alias("earlier")).where("earlier < first").distinct()
-    text = texts.select("first", "norm").dropDuplicates(["first"])
-    verified = (
-        pairs.join(text, "first").join(text.toDF("earlier", "other"), "earlier").where("levenshtein(norm, other, 1) BETWEEN 0 AND 1").select("first").distinct()
-    )
-    verified = space.write(verified.select("first.doc_id", "first.pos"), "verified")
-    copied = distinct.where("n > 1").select("h1", "h2", "first")
-    copies = lines.select("doc_id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2")).join(copied, ["h1", "h2"]).where("struct(doc_id, pos) <> first").select("doc_id", "pos")
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("o"))
+    met = variants.groupBy("key").agg(F.min(of(0)).alias("swap"), F.max(of(0)).alias("last"), F.min(of(1)).alias("cut"), F.min(of(2)).alias("whole"))
+    met = met.where("swap < last OR (cut IS NOT NULL AND whole IS NOT NULL)")
+    pairs = variants.join(met, "key").select("o", F.expr("CASE kind WHEN 0 THEN swap WHEN 1 THEN whole ELSE cut END").alias("earlier")).where("earlier < o").distinct()
+    text = texts.select("o", "norm")
+    verified = pairs.join(text, "o").join(text.toDF("earlier", "other"), "earlier").where("levenshtein(norm, other, 1) BETWEEN 0 AND 1").select("o").distinct()
+    verified = space.write(verified.join(near.select("o", "doc_id", F.col("first").alias("pos")), "o").select("doc_id", "pos"), "verified")
+    copied = firsts.where("n > 1").select("h1", "h2", "doc", "first")
+    copies = hashed.select("doc_id", "pos", "h1", "h2").join(copied, ["h1", "h2"]).where("doc_id <> doc OR pos <> first").select("doc_id", "pos")
     gone = space.write(copies.unionByName(verified).groupBy("doc_id").agg(F.collect_set("pos").alias("removed")), "gone")
-    space.drop("distinct", "near", "texts", "variants", "verified")
+    space.drop("hashed", "near", "firsts", "texts", "variants", "verified")
     return gone
 
 
@@ -116,7 +119,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_lines(base: DataFrame, gone: DataFrame) -> DataFrame:
     """``base`` with ``n_lines``, ``n_removed`` and ``kept_text`` instead of ``text``."""
-    joined = base.join(gone, "doc_id", "left").withColumn("lines", F.when(F.col("removed").isNotNull(), F.split("text", "\n", -1)))
+    joined = base.hint("merge").join(gone, "doc_id", "left").withColumn("lines", F.when(F.col("removed").isNotNull(), F.split("text", "\n", -1)))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), removed), i -> lines[i]), '\\n')")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
     others = [c for c in base.columns if c not in ("doc_id", "text")]
