@@ -133,12 +133,13 @@ _LAST = lambda p: f"list_last(list_transform(list_filter(tok, lambda t: starts_w
 _PARSED = f"""SELECT value, CASE WHEN {_HAS('noindex', 'none')} THEN true WHEN {_HAS('index', 'all')} THEN false END AS noindex, CASE WHEN {_HAS('nofollow', 'none')} THEN true WHEN {_HAS('follow', 'all')} THEN false END AS nofollow,
  CASE WHEN {_HAS('noarchive')} THEN true END AS noarchive, CASE WHEN {_HAS('nosnippet')} THEN true END AS nosnippet, {_LIMIT('max-snippet')} AS max_snippet, {_LAST('max-image-preview')} AS max_image_preview,
  {_LIMIT('max-video-preview')} AS max_video_preview, {_LAST('unavailable_after')} AS unavailable_after FROM (SELECT value, {_TOKENS} AS tok FROM {_values([(v,) for v in cases.DIRECTIVES], 'value')}) x"""
-ORACLE_SQL["robots_directive_parse"] = _PARSED
+_TEXT = lambda *names: ", ".join(f"CAST({n} AS varchar) AS {n}" for n in names)
+ORACLE_SQL["robots_directive_parse"] = f"SELECT value, {_TEXT('noindex', 'nofollow', 'noarchive', 'nosnippet', 'max_snippet', 'max_image_preview', 'max_video_preview', 'unavailable_after')} FROM ({_PARSED}) q"
 _RANK = lambda x: f"CASE {x} WHEN 'none' THEN 0 WHEN 'standard' THEN 1 WHEN 'large' THEN 2 ELSE 3 END"
-ORACLE_SQL["robots_directive_merge"] = f"""WITH p AS ({_PARSED}) SELECT a.value AS value_a, b.value AS value_b, coalesce(a.noindex OR b.noindex, a.noindex, b.noindex) AS noindex, coalesce(a.nofollow OR b.nofollow, a.nofollow, b.nofollow) AS nofollow,
+ORACLE_SQL["robots_directive_merge"] = f"""WITH p AS ({_PARSED}) SELECT value_a, value_b, {_TEXT('noindex', 'nofollow', 'max_snippet', 'max_image_preview')} FROM (SELECT a.value AS value_a, b.value AS value_b, coalesce(a.noindex OR b.noindex, a.noindex, b.noindex) AS noindex, coalesce(a.nofollow OR b.nofollow, a.nofollow, b.nofollow) AS nofollow,
  CASE WHEN a.max_snippet >= 0 AND b.max_snippet >= 0 THEN least(a.max_snippet, b.max_snippet) WHEN a.max_snippet >= 0 THEN a.max_snippet WHEN b.max_snippet >= 0 THEN b.max_snippet ELSE least(a.max_snippet, b.max_snippet) END AS max_snippet,
  CASE WHEN a.max_image_preview IS NULL THEN b.max_image_preview WHEN b.max_image_preview IS NULL OR {_RANK('a.max_image_preview')} <= {_RANK('b.max_image_preview')} THEN a.max_image_preview ELSE b.max_image_preview END AS max_image_preview
- FROM p a CROSS JOIN p b"""
+ FROM p a CROSS JOIN p b) q"""
 _ROBOTS = _with(
     """SELECT url, CASE WHEN p LIKE '/p/12%' THEN CASE WHEN length('/p/12') >= 4 THEN 'Allowed' END WHEN p LIKE '/p/1%' THEN 'Blocked' WHEN p LIKE '/p/%5' THEN 'Blocked' WHEN p LIKE '/p/%' THEN 'Allowed'
     WHEN p LIKE '/s/3%' THEN 'Allowed' WHEN p LIKE '/s/%' THEN 'Blocked' ELSE 'NoRule' END AS status FROM (SELECT url, url[18:] AS p FROM state) x""")
@@ -163,4 +164,4 @@ ORACLE_SQL["pages_link_degree"] = f"SELECT page_id, count(*) AS n_links, count(D
 ORACLE_SQL["redirect_chain_replay"] = _with(
     """, hop AS (SELECT url AS request_url, url AS here, [url] AS chain, 0 AS n FROM state WHERE redirect_target IS NOT NULL AND http_status IS NOT NULL
      UNION ALL SELECT h.request_url, s.redirect_target, list_append(h.chain, s.redirect_target), n + 1 FROM hop h JOIN state s ON s.url = h.here AND s.http_status = 301 AND s.redirect_target IS NOT NULL WHERE n < 10 AND len(list_distinct(h.chain)) = len(h.chain))
-    SELECT request_url, 301 AS initial_status, s.http_status AS status, array_to_string(chain, ' ') AS chain, here AS final_url FROM (SELECT *, row_number() OVER (PARTITION BY request_url ORDER BY n DESC) AS r FROM hop) h LEFT JOIN state s ON s.url = h.here WHERE r = 1""")
+    SELECT request_url, 301 AS initial_status, coalesce(s.http_status, 0) AS status, array_to_string(chain, ' ') AS chain, here AS final_url FROM (SELECT *, row_number() OVER (PARTITION BY request_url ORDER BY n DESC) AS r FROM hop) h LEFT JOIN state s ON s.url = h.here WHERE r = 1""")

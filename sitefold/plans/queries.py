@@ -14,7 +14,7 @@ from sitefold.operators import diff, findings, rules
 from sitefold.operators.reach import reachable_keys
 from sitefold.operators.state import fold_sources, statistics
 from sitefold.plans import cases, synthetic
-from sitefold.schemas import EVIDENCE
+from sitefold.schemas import EVIDENCE, ROBOTS
 from sitefold.sources import robots_txt, sitemap
 from sitefold.sources.crawl import follow, replay
 from sitefold.sources.html import page_signals
@@ -190,14 +190,14 @@ def findings_new_only(spark, sf_dir):
 
 @query
 def robots_directive_parse(spark, sf_dir):
-    return _rows(spark, tuple((v,) for v in cases.DIRECTIVES), "value").selectExpr("value", f"{directive_sql('value')} AS d").select("value", "d.*")
+    return _rows(spark, tuple((v,) for v in cases.DIRECTIVES), "value").selectExpr("value", f"{directive_sql('value')} AS d").selectExpr("value", *[f"cast(d.{c} AS string) AS {c}" for c in ROBOTS.names])
 
 
 @query
 def robots_directive_merge(spark, sf_dir):
     pairs = tuple((a, b) for a in cases.DIRECTIVES for b in cases.DIRECTIVES)
     parsed = _rows(spark, pairs, "a, b").selectExpr("a AS value_a", "b AS value_b", f"{directive_sql('a')} AS a", f"{directive_sql('b')} AS b")
-    return parsed.selectExpr("value_a", "value_b", f"{merge('a', 'b')} AS m").select("value_a", "value_b", "m.noindex", "m.nofollow", "m.max_snippet", "m.max_image_preview")
+    return parsed.selectExpr("value_a", "value_b", f"{merge('a', 'b')} AS m").selectExpr("value_a", "value_b", *[f"cast(m.{c} AS string) AS {c}" for c in ("noindex", "nofollow", "max_snippet", "max_image_preview")])
 
 
 @query
@@ -300,4 +300,4 @@ def redirect_chain_replay(spark, sf_dir):
     location = F.expr("CASE WHEN redirect_target IS NOT NULL THEN array(named_struct('name', 'location', 'value', redirect_target)) ELSE cast(array() AS array<struct<name:string,value:string>>) END")
     recorded = state.select(F.col("url").alias("request_url"), F.col("http_status").alias("status"), location.alias("headers"), F.lit(None).cast("string").alias("body"))
     done = follow(state.where("redirect_target IS NOT NULL").select("url"), replay(recorded), "https://site.test", "https://site.test")
-    return done.select("request_url", "initial_status", "status", F.array_join("chain", " ").alias("chain"), "final_url")
+    return done.select("request_url", "initial_status", F.coalesce("status", F.lit(0)).alias("status"), F.array_join("chain", " ").alias("chain"), "final_url")

@@ -17,7 +17,7 @@ from sitefold.operators.reach import with_reachability
 from sitefold.operators.state import Site, derive, fold_sources, with_defaults
 from sitefold.schemas import FETCHES
 from sitefold.sources import robots_txt, sitemap
-from sitefold.sources.html import page_signals, with_meta_robots
+from sitefold.sources.html import page_signals, signals_with_alias, with_meta_robots
 
 #: Redirects that are followed; pages that are fetched by default. Fixed values.
 HOPS = 10
@@ -112,7 +112,7 @@ def follow(urls: DataFrame, fetch: Fetcher, crawl_origin: str, base_origin: str)
         met = met.withColumn("next", remap_origin(F.col("next"), base_origin, crawl_origin) if base_origin != crawl_origin else F.col("next"))
         ends = F.col("next").isNull() | F.array_contains("chain", F.col("next")) | ~F.startswith(F.concat("next", F.lit("/")), F.lit(crawl_origin + "/")) | F.lit(hop == HOPS)
         chain = F.when(F.col("next").isNotNull(), F.concat("chain", F.array("next"))).otherwise(F.col("chain"))
-        met = cut(met.withColumn("chain", chain).withColumn("ends", ends))
+        met = cut(met.withColumn("ends", ends).withColumn("chain", chain))
         part = met.where("ends")
         done = part if done is None else done.unionByName(part)
         state = met.where("NOT ends").select("request_url", F.col("next").alias("at"), "chain", "initial_status")
@@ -136,7 +136,8 @@ def pages_state(fetched: DataFrame, crawl_origin: str, base_origin: str) -> tupl
     named = fetched.withColumn("request", public(F.col("request_url"))).withColumn("final", public(F.col("final_url"))).withColumn("chain", F.transform("chain", public))
     moved = named.where("size(chain) > 1").select(url_key(F.col("request")).alias("url_key"), F.col("initial_status").alias("http_status"), F.col("chain").alias("redirect_chain"), F.element_at("chain", -1).alias("redirect_target"))
     ended = named.where("size(chain) = 1 OR status IS NOT NULL AND initial_status <> status").dropDuplicates(["final"])
-    read = ended.withColumn("s", page_signals("body", "final"))
+    extract = page_signals if crawl_origin == base_origin else signals_with_alias(crawl_origin)
+    read = ended.withColumn("s", extract("body", "final"))
     link = resolve_url("final", F.expr(f"nullif({http_canonical()}, '')"))
     own = read.select(
         url_key(F.col("final")).alias("url_key"), F.col("final").alias("url"), F.col("status").alias("http_status"), F.col("s.canonical").alias("html_canonical"), link.alias("http_canonical"),
