@@ -22,6 +22,8 @@ MATCHES = 20
 FAN_OUT = 64
 #: Long lists of undecided documents are joined in blocks of about 2 ** BLOCK_BITS.
 BLOCK_BITS = 10
+#: 64-bit words of a set's bitmap.
+BITMAP = 16
 
 _rng = np.random.default_rng(20240605)
 _FLIPS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -82,11 +84,19 @@ def _signed(coordinates: int, words: int):
     return run
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each shingle, by its low bits; a bit that two sets don't share stands for a shingle that they don't."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(shingles % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def _sets(words: int):
     def run(batches):
         for batch in batches:
             raw, offsets = tk.text_bytes(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _list_column(shingle_sets(raw, offsets, words))], ["doc_id", "shingles"])
+            sets = shingle_sets(raw, offsets, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _list_column(sets), _list_column([_bitmap(x) for x in sets])], ["doc_id", "shingles", "bitmap"])
 
     return run
 
@@ -120,28 +130,31 @@ def _crossing_pairs(undecided: DataFrame, sets: DataFrame, space: Workspace, sim
 
     Shingles are ranked by how many of these documents have them. Two sets with a link share one of their first
     ``size - ceil(size * similar / 100) + 1``; a set of which too many shingles are its own has no link at all. A pair is made
-    under its first common shingle only, and if what both have from there on suffices. Long lists are joined in blocks.
+    under its first common shingle only, and if what both have from there on suffices and their bitmaps don't differ in more
+    than a link allows. Long lists are joined in blocks.
     """
     size, least = "size(shingles)", f"cast(ceil(size(shingles) * {similar} / 100D) AS int)"
-    held = space.write(sets.join(undecided, sets.doc_id == undecided.doc).select("doc", "component", "shingles", F.expr(size).alias("n"), F.expr(least).alias("least")), "undecided")
+    held = space.write(sets.join(undecided, sets.doc_id == undecided.doc).select("doc", "component", "shingles", "bitmap", F.expr(size).alias("n"), F.expr(least).alias("least")), "undecided")
     each = held.select("doc", F.explode("shingles").alias("key"))
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     ranked = each.join(common, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("ranked"))
     # the shingles that no other set has come first in the ranking; they are n - size(ranked) of the prefix
     prefixes = (
-        held.select("doc", "component", "n", "least").join(ranked, "doc")
+        held.select("doc", "component", "n", "least", "bitmap").join(ranked, "doc")
         .withColumn("room", F.expr("n - least + 1 - (n - size(ranked))")).where("room > 0")
-        .select("doc", "component", "n", F.xxhash64("doc").alias("h"), F.expr("size(ranked)").alias("held"), F.expr("slice(ranked, 1, room)").alias("prefix"))
+        .select("doc", "component", "n", "bitmap", F.xxhash64("doc").alias("h"), F.expr("size(ranked)").alias("held"), F.expr("slice(ranked, 1, room)").alias("prefix"))
     )
     prefixes = space.write(prefixes, "prefixes")
     rows = (
-        prefixes.select("doc", "component", "n", "h", "held", F.expr("transform(prefix, x -> x.key)").alias("keys"), F.posexplode("prefix").alias("place", "at"))
-        .select("doc", "component", "n", "keys", F.expr("held - place").alias("after"), F.col("at.key").alias("key"), F.expr(f"shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - {BLOCK_BITS}))").alias("blocks"), "h")
+        prefixes.select("doc", "component", "n", "bitmap", "h", "held", F.expr("transform(prefix, x -> x.key)").alias("keys"), F.posexplode("prefix").alias("place", "at"))
+        .select("doc", "component", "n", "bitmap", "keys", F.expr("held - place").alias("after"), F.col("at.key").alias("key"), F.expr(f"shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - {BLOCK_BITS}))").alias("blocks"), "h")
         .withColumn("block", F.expr("cast(h & (blocks - 1) AS int)"))
     )
-    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("after").alias("ra"), F.col("keys").alias("ka"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("after").alias("rb"), F.col("keys").alias("kb"))
+    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("after").alias("ra"), F.col("keys").alias("ka"), F.col("bitmap").alias("ma"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("after").alias("rb"), F.col("keys").alias("kb"), F.col("bitmap").alias("mb"))
     enough = f"100 * least(na, nb) >= {similar} * greatest(na, nb) AND least(ra, rb) * (100 + {similar}) >= {similar} * (na + nb)"
+    apart = " + ".join(f"bit_count(ma[{k}] ^ mb[{k}])" for k in range(BITMAP))
+    enough += f" AND ({apart}) * (100 + {similar}) <= (100 - {similar}) * (na + nb)"
     met = left.join(right, ["key", "i", "j"]).where(f"ca <> cb AND (i < j OR a < b) AND {enough} AND key = element_at(array_intersect(ka, kb), 1)")
     return met.select("a", "b")
 
@@ -197,7 +210,7 @@ def near_duplicates(
     )
     longest = lists.agg(F.max("freq")).first()[0] or 0
     sets = space.write(
-        texts.join(survivors.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets"
+        texts.join(survivors.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>, bitmap array<long>"), "sets"
     )
     values = survivors.select("doc", F.col("values.key").alias("values"))
     space.release()
@@ -208,7 +221,7 @@ def near_duplicates(
             pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
             .where(F.size(F.array_intersect("va", "vb")) >= matches).select("a", "b")
         )
-        both = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        both = met.join(sets.select("doc_id", "shingles").toDF("a", "sa"), "a").join(sets.select("doc_id", "shingles").toDF("b", "sb"), "b")
         common = both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("n"))
         return space.write(common.select("a", "b", F.expr(f"100 * n >= {similar} * (na + nb - n)").alias("linked")), name)
 
