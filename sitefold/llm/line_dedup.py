@@ -17,9 +17,12 @@ _BUCKETS = ("n div 2", "(n + 1) div 2")
 
 
 def _key(bucket: str, part: int) -> str:
-    """What two lines with an edit in this part have in common: all before it and all after it."""
+    """What two lines with an edit in this part have in common: so many bytes before it and after it as there are characters
+    at least. Bytes are cut without counting characters, and the first k bytes lie within the first k characters."""
     base = f"(2 * ({bucket}) - 1)"
-    return f"xxhash64({part}, {bucket}, left(norm, cast({part} * {base} div {PARTS} AS int)), right(norm, cast(({PARTS} - 1 - {part}) * {base} div {PARTS} AS int)))"
+    before, after = f"cast({part} * {base} div {PARTS} AS int)", f"cast(({PARTS} - 1 - {part}) * {base} div {PARTS} AS int)"
+    raw = "cast(norm AS binary)"
+    return f"xxhash64({part}, {bucket}, substring({raw}, 1, {before}), substring({raw}, octet_length(norm) - {after} + 1, {after}))"
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -121,7 +124,7 @@ def kept_lines(base: DataFrame, gone: DataFrame) -> DataFrame:
     """``base`` with ``n_lines``, ``n_removed`` and ``kept_text`` instead of ``text``."""
     joined = base.hint("merge").join(gone, "doc_id", "left").withColumn("lines", F.when(F.col("removed").isNotNull(), F.split("text", "\n", -1)))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), removed), i -> lines[i]), '\\n')")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     others = [c for c in base.columns if c not in ("doc_id", "text")]
     return joined.select(
         "doc_id", n_lines.cast("long").alias("n_lines"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
