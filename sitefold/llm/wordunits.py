@@ -15,7 +15,7 @@ import pandas as pd
 from sitefold.llm import textkernel as tk
 
 #: Units that a Python worker remembers.
-KNOWN = 500_000
+KNOWN = 1_000_000
 SPECIAL = "<|endoftext|>"
 _MARK = np.zeros(256, bool)
 _MARK[[*b".,!?;:"]] = True
@@ -84,8 +84,8 @@ class UnitIds:
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.at = np.zeros(KNOWN // 4, np.int64)
-        self.flat = np.zeros(KNOWN // 2, np.uint32)
+        self.at = np.zeros(KNOWN // 8, np.int64)
+        self.flat = np.zeros(KNOWN // 4, np.uint32)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -121,8 +121,8 @@ class UnitIds:
             return np.zeros(0, np.int64)
         codes, unique = pd.factorize(tk.word_hashes(raw, starts, ends, self.lower))
         keys = unique.tolist()
-        found = [self.known.get(x, -1) for x in keys]
-        new = [k for k, x in enumerate(found) if x < 0]
+        found = list(map(self.known.get, keys))
+        new = [k for k, x in enumerate(found) if x is None]
         if new and len(self.known) + len(new) > KNOWN:
             self.clear()
             new = list(range(len(keys)))
@@ -142,8 +142,8 @@ class UnitIds:
                     self.flat = np.append(self.flat, np.zeros_like(self.flat))
                 self.flat[self.at[base] : stop[-1]] = ids
                 self.at[base + 1 : base + len(some) + 1] = stop
-                self.known.update((keys[new[k]], base + i) for i, k in enumerate(some))
-            found = [self.known[x] for x in keys]
+                for slot, k in enumerate(some, base):
+                    self.known[keys[new[k]]] = found[new[k]] = slot
         return np.array(found)[codes]
 
     def sizes(self, slots: np.ndarray) -> np.ndarray:
