@@ -69,12 +69,13 @@ _encoders: dict[str, WordIds] = {}
 Piece = tuple[int, int, int]  # document, start, length
 
 
-def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[Piece]]:
+def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS, rest: list[Piece] | None = None) -> list[list[Piece]]:
     """Sequences of pieces; each sequence is as long as a tier, or a smaller power of two for the very last tokens.
 
     A document gives as many whole longest windows as it has; its rest goes to the smallest tier that holds it. Rests open
     windows of their tier, longest first. What a window lacks comes from the shorter rests: the longest that fits, and in
-    the end the head of one that is cut. When nothing is left to fill it, the window is cut into powers of two.
+    the end the head of one that is cut. When nothing is left to fill it, the window is cut into powers of two, or its pieces
+    go to the list ``rest`` for a later call.
     """
     top, out = tiers[0], []
     rests: list[tuple[int, int, int]] = []  # length, document, start
@@ -102,6 +103,9 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[Piece]
         if not gap:
             out.append(window)
             continue
+        if rest is not None:
+            rest += window
+            break
         left = size - gap
         while left:  # the last window only
             part, room = [], 1 << (left.bit_length() - 1)
@@ -137,22 +141,26 @@ def _packed(path: str, end: int, tiers: tuple[int, ...], group: int, with_ids: b
     def run(batches) -> Iterator[pa.RecordBatch]:
         words = _encoders.setdefault(path, WordIds(path))
         high = TaskContext.get().partitionId() << 32
-        held: list[tuple[object, np.ndarray]] = []
+        held: list[tuple[object, np.ndarray, int, int]] = []  # document, ids, how many precede them, how many it has
         tokens = sequences = steps = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, tokens, sequences, steps
-            packed = pack([len(x) for _, x in held], tiers)
+            rest: list[Piece] = []
+            packed = pack([len(x[1]) for x in held], tiers, None if last else rest)
             groups = step_groups(packed)
             rows = []
             for k, pieces in enumerate(packed):
                 offset, size = 0, sum(n for _, _, n in pieces)
                 for d, s, n in pieces:
-                    ids = held[d][1][s : s + n]
-                    rows.append((held[d][0], s, n, zlib.crc32(ids.astype("<u4").tobytes()), len(held[d][1]), high + sequences + k, offset, size, high + steps + groups[k]) + ((ids,) if with_ids else ()))
+                    doc, all_ids, before, total = held[d]
+                    ids = all_ids[s : s + n]
+                    rows.append((doc, before + s, n, zlib.crc32(ids.astype("<u4").tobytes()), total, high + sequences + k, offset, size, high + steps + groups[k]) + ((ids,) if with_ids else ()))
                     offset += n
-            sequences, steps, held, tokens = sequences + len(packed), steps + max(groups) + 1, [], 0
-            columns = list(zip(*rows, strict=True))
+            sequences, steps = sequences + len(packed), steps + max(groups, default=0) + 1
+            held = [(held[d][0], held[d][1][s : s + n], held[d][2] + s, held[d][3]) for d, s, n in rest]
+            tokens = sum(len(x[1]) for x in held)
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
             arrays = [pa.array(x, pa.int64()) for x in columns[:9]]
             if with_ids:
                 arrays.append(pa.array([x.astype(np.int32) for x in columns[9]], pa.list_(pa.int32())))
@@ -161,12 +169,12 @@ def _packed(path: str, end: int, tiers: tuple[int, ...], group: int, with_ids: b
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), words.ids(*tk.text_bytes(batch.column(1))), strict=True):
                 ids = np.append(ids, np.uint32(end))
-                held.append((doc, ids))
+                held.append((doc, ids, 0, len(ids)))
                 tokens += len(ids)
                 if tokens >= group:
-                    yield flush()
+                    yield flush(False)
         if held:
-            yield flush()
+            yield flush(True)
 
     return run
 
