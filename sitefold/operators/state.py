@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,10 @@ class Site:
     public_origin: str | None = None
     scanned_at: str | None = None
 
+    def cached(self) -> Site:
+        """The same site with its states kept, for plans that read them many times."""
+        return replace(self, state=self.state.persist())
+
     def links(self) -> DataFrame:
         """One row per outgoing link."""
         rows = self.state.select(F.col("url_key").alias("src_key"), F.col("url").alias("src_url"), F.posexplode("internal_links_out").alias("pos", "link_url"))

@@ -72,6 +72,7 @@ for _id in sorted({b.split("'")[1] for b in _BRANCHES}):
     _name = "rule_" + _id.removeprefix("CC-").lower().replace("-", "_")
     ORACLE_SQL[_name] = _with(f"SELECT {_SHOWN} FROM ({' UNION ALL '.join(b for b in _BRANCHES if _id in b)}) f", reach="ORPHAN" in _id)
 
+ORACLE_SQL["findings_all_sorted"] = _with(f"SELECT {_SHOWN}, rule_ord, src_key, pos, seq FROM ({_ALL}) f", True)
 ORACLE_SQL["findings_keys"] = _with(f"SELECT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject, rule_ord, pos, seq FROM ({_ALL}) f", True)
 ORACLE_SQL["findings_by_severity"] = _with(f"SELECT severity, count(*) AS n FROM ({_ALL}) f GROUP BY 1", True)
 ORACLE_SQL["findings_by_rule"] = _with(f"SELECT rule_id, count(*) AS n, CASE WHEN bool_or(severity = 'error') THEN 'error' ELSE 'warning' END AS severity FROM ({_ALL}) f GROUP BY 1", True)
@@ -165,3 +166,13 @@ ORACLE_SQL["redirect_chain_replay"] = _with(
     """, hop AS (SELECT url AS request_url, url AS here, [url] AS chain, 0 AS n FROM state WHERE redirect_target IS NOT NULL AND http_status IS NOT NULL
      UNION ALL SELECT h.request_url, s.redirect_target, list_append(h.chain, s.redirect_target), n + 1 FROM hop h JOIN state s ON s.url = h.here AND s.http_status = 301 AND s.redirect_target IS NOT NULL WHERE n < 10 AND len(list_distinct(h.chain)) = len(h.chain))
     SELECT request_url, 301 AS initial_status, coalesce(s.http_status, 0) AS status, array_to_string(chain, ' ') AS chain, here AS final_url FROM (SELECT *, row_number() OVER (PARTITION BY request_url ORDER BY n DESC) AS r FROM hop) h LEFT JOIN state s ON s.url = h.here WHERE r = 1""")
+_KEYS = f"SELECT DISTINCT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_NOT_ORPHAN}) f"
+ORACLE_SQL["findings_new_only"] = _with(
+    f""", bst AS (SELECT * FROM state WHERE k % 67 <> 1),
+    c0 AS (SELECT * REPLACE (CASE WHEN k % 83 <> 1 THEN html_canonical END AS html_canonical, CASE WHEN k % 83 <> 1 THEN http_canonical END AS http_canonical, CASE WHEN k % 83 <> 1 THEN canonical END AS canonical) FROM state WHERE k % 71 <> 1),
+    cst AS (SELECT * REPLACE ((NOT noindex AND NOT blocked AND coalesce(http_status = 200, false) AND coalesce(canonical = url, true)) AS indexable) FROM c0),
+    blink AS (SELECT l.* FROM links l JOIN bst ON bst.url = l.src), clink AS (SELECT l.* FROM links l JOIN cst ON cst.url = l.src WHERE NOT (k % 10 = 3 AND url LIKE '%/s/%') OR pos < (SELECT count(*) FROM links m WHERE m.src = l.src) // 2),
+    blang AS (SELECT h.* FROM lang h JOIN bst ON bst.url = h.src), clang AS (SELECT h.* FROM lang h JOIN cst ON cst.url = h.src),
+    old AS (WITH state AS (SELECT * FROM bst), links AS (SELECT * FROM blink), lang AS (SELECT * FROM blang) {_KEYS}),
+    now AS (WITH state AS (SELECT * FROM cst), links AS (SELECT * FROM clink), lang AS (SELECT * FROM clang) SELECT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_NOT_ORPHAN}) f)
+    SELECT rule_id, is_new, count(*) AS n FROM (SELECT rule_id, NOT EXISTS (SELECT 1 FROM old o WHERE o.rule_id = now.rule_id AND o.url = now.url AND o.severity = now.severity AND o.subject IS NOT DISTINCT FROM now.subject) AS is_new FROM now) x GROUP BY ALL""")

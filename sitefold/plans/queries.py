@@ -142,12 +142,17 @@ def diff_counts(spark, sf_dir):
 
 
 def _all(spark: SparkSession, sf_dir: str, exclusions: list[dict] | None = None) -> DataFrame:
-    return findings.run_rules(synthetic.site(spark, sf_dir, reach=True), exclusions=exclusions)
+    return findings.run_rules(synthetic.site(spark, sf_dir, reach=True).cached(), exclusions=exclusions)
 
 
 @query
 def findings_all_sorted(spark, sf_dir):
-    return findings.in_report_order(_all(spark, sf_dir)).select(*_SHOWN, "message", "rule_ord", "src_key", "pos", "seq")
+    return findings.in_report_order(_all(spark, sf_dir)).select(*_SHOWN, "rule_ord", "src_key", "pos", "seq")
+
+
+@query
+def findings_messages(spark, sf_dir):
+    return _all(spark, sf_dir).select("rule_id", "url", "message")
 
 
 @query
@@ -180,7 +185,7 @@ def findings_catalog_join(spark, sf_dir):
 def findings_new_only(spark, sf_dir):
     """Findings of the candidate that the baseline lacks, without the families that need reachability."""
     families = tuple(f for f in rules.FAMILIES if f is not rules.orphan)
-    old, now = _sites(spark, sf_dir)
+    old, now = (s.cached() for s in _sites(spark, sf_dir))
     marked = findings.mark_new(findings.run_rules(now, families), findings.run_rules(old, families))
     return marked.groupBy("rule_id", "is_new").agg(F.count(F.lit(1)).alias("n"))
 

@@ -75,7 +75,7 @@ def base_state(spark: SparkSession, sf_dir: str, drop: int | None = None) -> Dat
 
 def site(spark: SparkSession, sf_dir: str, reach: bool = False) -> Site:
     state = derive(with_defaults(base_state(spark, sf_dir)))
-    return Site(with_reachability(state, HOME) if reach else state, HOME)
+    return Site(with_reachability(state.persist(), HOME) if reach else state, HOME)
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> Site:
