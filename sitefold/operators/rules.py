@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.catalog import SITE_WIDE, SOURCE_NAMES
+from sitefold.functions.redirects import has_cycle
 from sitefold.operators.state import Site, statistics
 from sitefold.schemas import EVIDENCE, ORDER
 
@@ -143,7 +144,7 @@ def link_target(site: Site) -> DataFrame:
 
 
 def redirect_resolution(site: Site) -> DataFrame:
-    rows = site.state.where("size(redirect_chain) <> size(array_distinct(redirect_chain))").withColumn("chain", F.array_join("redirect_chain", " → "))
+    rows = site.state.where(has_cycle(F.col("redirect_chain"))).withColumn("chain", F.array_join("redirect_chain", " → "))
     return _finding(rows, 10, 0, "CC-REDIRECT-RESOLUTION-001", "error", "concat('Redirect cycle detected: ', chain)", observed="chain")
 
 

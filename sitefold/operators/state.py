@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from sitefold.functions.robots import merge
 from sitefold.schemas import ROBOTS, URL_STATE
 
 
+def utc_now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
 @dataclass
 class Site:
     """A point-in-time table of URL states with its header."""

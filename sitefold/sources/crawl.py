@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
@@ -14,8 +15,8 @@ from sitefold.functions.robots import directive_sql, merge_all
 from sitefold.functions.urls import path_and_query, remap_origin, resolve, resolve_url, url_key
 from sitefold.operators.checkpoints import cut
 from sitefold.operators.reach import with_reachability
-from sitefold.operators.state import Site, derive, fold_sources, with_defaults
-from sitefold.schemas import FETCHES
+from sitefold.operators.state import Site, derive, fold_sources, utc_now, with_defaults
+from sitefold.schemas import FETCHES, ROBOTS
 from sitefold.sources import robots_txt, sitemap
 from sitefold.sources.html import page_signals, signals_with_alias, with_meta_robots
 
@@ -74,6 +75,7 @@ def over_http(options: Options, timeout: float = 30.0) -> Fetcher:
         for batch in batches:
             rows = []
             for url in batch["url"]:
+                time.sleep(options.crawl_delay or 0)
                 headers = {"User-Agent": options.user_agent} | (options.headers if url.startswith(home) else {})
                 try:
                     with opener.open(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
@@ -85,8 +87,8 @@ def over_http(options: Options, timeout: float = 30.0) -> Fetcher:
                     rows.append((url, None, None, None))
             yield pd.DataFrame(rows, columns=FETCHES.names)
 
-    workers = 1 if options.crawl_delay else options.concurrency
-    return lambda urls: urls.repartition(workers).mapInPandas(run, FETCHES)
+    # one worker if there is a delay; the crawl sets it from robots.txt before the first page
+    return lambda urls: urls.repartition(1 if options.crawl_delay else options.concurrency).mapInPandas(run, FETCHES)
 
 
 def header(name: str) -> str:
@@ -144,16 +146,10 @@ def pages_state(fetched: DataFrame, crawl_origin: str, base_origin: str) -> tupl
         F.expr(f"transform({header('x-robots-tag')}, v -> {directive_sql('v')})").alias("tags"), F.col("s.meta_robots").alias("meta"), F.col("s.hreflang").alias("hreflang"),
         F.col("s.internal_links").alias("internal_links_out"), F.col("s.word_count").alias("word_count"), F.col("s.heading_count").alias("heading_count"),
     )
-    own = with_meta_robots(own, "coalesce(meta, cast(array() AS array<string>))", "html_meta_robots").withColumn("http_x_robots_tag", merge_all("coalesce(tags, cast(array() AS array<" + _robots_type() + ">))"))
+    own = with_meta_robots(own, "coalesce(meta, cast(array() AS array<string>))", "html_meta_robots").withColumn("http_x_robots_tag", merge_all("coalesce(tags, cast(array() AS array<" + ROBOTS.simpleString() + ">))"))
     return moved, own.drop("tags", "meta")
 
 
-def _robots_type() -> str:
-    from sitefold.schemas import ROBOTS
-
-    return ROBOTS.simpleString()
-
-
 def crawl(options: Options, fetch: Fetcher, spark) -> Site:
     """The site reached from an entry page, breadth first: a wave fetches the queue, its targets make the next one.
 
@@ -167,18 +163,18 @@ def crawl(options: Options, fetch: Fetcher, spark) -> Site:
     if got is None or got["status"] is None:
         raise RuntimeError("robots.txt could not be fetched")
     robots = robots_txt.parse(got["body"] or "", home + "/", options.user_agent) if got["status"] == 200 else None
-    robots_txt.crawl_delay(options.crawl_delay, robots)
+    options.crawl_delay = robots_txt.crawl_delay(options.crawl_delay, robots)
     listed = _sitemaps(spark, one, home, robots)
     entry = resolve(base + "/", options.entry.removeprefix(home) or "/")
     seeds = [(entry, "DirectScan", 0)] + [(resolve(u, "").replace(home, base, 1) if u.startswith(home) else u, "Sitemap", 1) for u in sorted(listed)]
     seed = spark.createDataFrame([(u.partition("#")[0], u, s, p) for u, s, p in seeds], "url_key string, url string, source string, wave int")
     facts = seed.select("url_key", "url", "source", F.struct("wave", F.col("url").alias("page"), F.lit(0).alias("n")).alias("prio"))
-    blocked = lambda f: robots_txt.status_column(path_and_query(F.col("url")), robots) if f is None else f
+    status = robots_txt.status_column(path_and_query(F.col("url")), robots)
     own_parts, moved_parts, fetched_total, wave = [], [], 0, 1
     seen = cut(seed.where(F.startswith(F.concat("url_key", F.lit("/")), F.lit(base + "/"))).groupBy("url_key").agg(F.min_by("url", "wave").alias("url")))
     queue = seen
     while True:
-        open_ = cut(queue.where(blocked(None) != "Blocked"))
+        open_ = cut(queue.where(status != "Blocked"))
         n = open_.count()
         if wave == 1 and open_.where(F.col("url_key") == entry).isEmpty():
             raise RuntimeError(f"entry URL {entry} is blocked by robots.txt")
@@ -217,9 +213,10 @@ def _folded(facts, own_parts, moved_parts, robots, base, entry, options) -> Site
     in_map = facts.where("source = 'Sitemap'").select("url_key", F.lit(True).alias("found_in_sitemap")).distinct()
     rows = fold_sources(facts).join(own, "url_key", "left").join(moved.withColumnRenamed("http_status", "moved_status"), "url_key", "left").join(in_map, "url_key", "left")
     rows = rows.withColumn("http_status", F.coalesce("moved_status", "http_status"))
-    checked = rows.withColumn("robots_txt_status", robots_txt.status_column(path_and_query(F.col("url")), robots))
+    here = F.startswith(F.concat("url_key", F.lit("/")), F.lit(base + "/"))
+    checked = rows.withColumn("robots_txt_status", F.when(here, robots_txt.status_column(path_and_query(F.col("url")), robots)).otherwise("NoRule"))
     state = cut(derive(with_defaults(checked)))
-    return Site(with_reachability(state, entry), base + "/", options.public_origin)
+    return Site(with_reachability(state, entry), base + "/", options.public_origin, utc_now())
 
 
 def _sitemaps(spark, one, home: str, robots) -> set[str]:

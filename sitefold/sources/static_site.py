@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.urls import path_and_query, resolve, route_of_file, url_key
 from sitefold.operators.reach import with_reachability
-from sitefold.operators.state import Site, derive, fold_sources, static_not_found, with_defaults
+from sitefold.operators.state import Site, derive, fold_sources, static_not_found, utc_now, with_defaults
 from sitefold.sources import robots_txt, sitemap
 from sitefold.sources.html import page_signals, with_meta_robots
 
@@ -63,4 +63,4 @@ def scan_directory(spark: SparkSession, directory: str, base_url: str = BASE_URL
     pages = files.where("kind = 'html'").select(route("relative").alias("url"), F.col("body").alias("html"))
     listed = sitemap.page_urls(files.where("kind = 'sitemap'").select(F.col("relative").alias("path"), "body"))
     state = build_state(pages, listed, robots, base).cache()
-    return Site(with_reachability(state, base), base, base_url)
+    return Site(with_reachability(state, base), base, base_url, utc_now())

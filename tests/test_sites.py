@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sitefold.functions.redirects import has_cycle, last_hop
 from sitefold.functions.robots import parse_directive
 from sitefold.operators import diff, findings
 from sitefold.operators.rules import FAMILIES, diff_loss
@@ -201,6 +202,11 @@ def test_crawl_failures(spark):
         crawl.crawl(crawl.Options("https://a.test/", max_pages=1), responses(spark, linked | {"https://a.test/x": (200, HTML, "x")}), spark)
 
 
+def test_chains(spark):
+    rows_ = spark.createDataFrame([(["a", "b", "a"],), (["a", "b"],), ([],)], "c array<string>").select(has_cycle(F.col("c")).alias("x"), last_hop(F.col("c")).alias("y")).collect()
+    assert [tuple(r) for r in rows_] == [(True, "a"), (False, "b"), (False, None)]
+
+
 def test_directives(spark):
     values = ["index, noindex, max-snippet:-1, max-snippet:20", "none", "googlebot: noindex"]
     got = spark.createDataFrame([(v,) for v in values], "v string").select(parse_directive("v").alias("d")).select("d.*").collect()
