@@ -15,18 +15,20 @@ from sitefold.schemas import EVIDENCE, ORDER
 Family = Callable[[Site], DataFrame]
 
 
-def _finding(rows: DataFrame, ord_: int, seq: int, rule: str, severity: str, message: str, pos: str = "0", url: str = "url", key: str = "url_key", **evidence: str) -> DataFrame:
-    """SQL texts for each part of a finding; evidence that isn't named is null."""
+def _branch(when: str, ord_: int, seq: int, rule: str, severity: str, message: str, pos: str = "0", url: str = "url", key: str = "url_key", **evidence: str) -> str:
+    """SQL of one finding of a row, null where ``when`` doesn't hold; evidence that isn't named is null."""
     parts = {"rule_id": f"'{rule}'", "severity": f"'{severity}'", "url": url, "message": message} | {e: f"cast({evidence.get(e, 'NULL')} AS string)" for e in EVIDENCE}
     parts |= dict(zip(ORDER, (str(ord_), key, f"cast({pos} AS int)", str(seq)), strict=True))
-    return rows.selectExpr(*[f"{v} AS {k}" for k, v in parts.items()])
+    return f"CASE WHEN {when} THEN named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ") END"
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _emit(rows: DataFrame, *branches: str) -> DataFrame:
+    """All findings of each row: rules that look at the same rows share one scan and one join."""
+    return rows.selectExpr(f"inline(array_compact(array({', '.join(branches)})))")
+
+
+def _finding(rows: DataFrame, *args, **parts) -> DataFrame:
+    return _emit(rows, _branch("true", *args, **parts))
 
 
 # Evidence texts are parts of the finding key and message texts are what reports show: fixed values.
@@ -35,12 +37,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def sitemap_indexability(site: Site) -> DataFrame:
     rows, mark = site.state.where("found_in_sitemap"), {"declared": "'sitemap.xml'"}
     rule = "CC-SITEMAP-INDEXABILITY-00"
-    return _union([
-        _finding(rows.where("coalesce(effective_robots.noindex, false)"), 0, 0, rule + "1", "error", "'The sitemap declares this URL for indexing, but the effective indexing directive excludes it.'", observed="'noindex'", canonical="effective_canonical", **mark),
-        _finding(rows.where("robots_txt_status = 'Blocked'"), 0, 1, rule + "2", "error", "'The sitemap declares this URL for indexing, but robots.txt disallows crawling it.'", observed="'robots.txt: disallow'", **mark),
-        _finding(rows.where("effective_canonical <> url"), 0, 2, rule + "3", "warning", "'The sitemap declares this URL, but it canonicalizes to a different URL. The sitemap should contain the canonical URL.'", canonical="effective_canonical", **mark),
-        _finding(rows.where("robots_txt_status <> 'Blocked' AND NOT coalesce(http_status = 200, false)"), 0, 3, rule + "4", "error", "'The sitemap declares this URL, but it did not resolve to a successful page response.'", observed="coalesce(concat('HTTP ', http_status), 'not fetched or absent from static output')", canonical="effective_canonical", **mark),
-    ])
+    return _emit(
+        rows,
+        _branch("coalesce(effective_robots.noindex, false)", 0, 0, rule + "1", "error", "'The sitemap declares this URL for indexing, but the effective indexing directive excludes it.'", observed="'noindex'", canonical="effective_canonical", **mark),
+        _branch("robots_txt_status = 'Blocked'", 0, 1, rule + "2", "error", "'The sitemap declares this URL for indexing, but robots.txt disallows crawling it.'", observed="'robots.txt: disallow'", **mark),
+        _branch("effective_canonical <> url", 0, 2, rule + "3", "warning", "'The sitemap declares this URL, but it canonicalizes to a different URL. The sitemap should contain the canonical URL.'", canonical="effective_canonical", **mark),
+        _branch("robots_txt_status <> 'Blocked' AND NOT coalesce(http_status = 200, false)", 0, 3, rule + "4", "error", "'The sitemap declares this URL, but it did not resolve to a successful page response.'", observed="coalesce(concat('HTTP ', http_status), 'not fetched or absent from static output')", canonical="effective_canonical", **mark),
+    )
 
 
 def sitemap_coverage(site: Site) -> DataFrame:
@@ -57,14 +60,16 @@ def sitemap_coverage(site: Site) -> DataFrame:
 def canonical_consistency(site: Site) -> DataFrame:
     rule = "CC-CANONICAL-CONSISTENCY-00"
     target = site.state.selectExpr("url_key AS t_key", "http_status AS t_status", "is_indexable AS t_indexable", "true AS t_found")
-    away = site.state.where("effective_canonical <> url").withColumn("t_key", F.regexp_replace("effective_canonical", r"(?s)#.*$", "")).join(target, "t_key", "left")
-    return _union([
-        _finding(site.state.where("html_canonical <> http_canonical"), 2, 0, rule + "1", "error", "'The HTML canonical and HTTP Link header canonical disagree. Use a single, consistent canonical method.'", declared="concat('HTTP Link: ', http_canonical)", observed="concat('HTML canonical: ', html_canonical)"),
-        _finding(away.where("t_status <> 200"), 2, 1, rule + "3", "error", "concat('The canonical target returned HTTP ', t_status, '. Canonical targets must resolve successfully.')", observed="concat('HTTP ', t_status)", canonical="effective_canonical"),
-        _finding(away.where("t_found AND t_status IS NULL"), 2, 2, rule + "3", "error", "'The canonical target was discovered but not fetched, so it could not be verified.'", observed="'no response recorded'", canonical="effective_canonical"),
-        _finding(away.where("t_status = 200 AND NOT t_indexable"), 2, 3, rule + "4", "error", "'The canonical target resolves successfully but is not indexable.'", observed="'canonical target is non-indexable'", canonical="effective_canonical"),
-        _finding(away.where("t_found IS NULL"), 2, 4, rule + "3", "warning", "'The canonical target was not found in the scanned site. It may be unreachable or external.'", observed="'not found in scan'", canonical="effective_canonical"),
-    ])
+    rows = site.state.where("effective_canonical <> url OR html_canonical <> http_canonical")
+    rows = rows.withColumn("t_key", F.expr("CASE WHEN effective_canonical <> url THEN regexp_replace(effective_canonical, '(?s)#.*$', '') END")).join(target, "t_key", "left")
+    return _emit(
+        rows,
+        _branch("html_canonical <> http_canonical", 2, 0, rule + "1", "error", "'The HTML canonical and HTTP Link header canonical disagree. Use a single, consistent canonical method.'", declared="concat('HTTP Link: ', http_canonical)", observed="concat('HTML canonical: ', html_canonical)"),
+        _branch("t_status <> 200", 2, 1, rule + "3", "error", "concat('The canonical target returned HTTP ', t_status, '. Canonical targets must resolve successfully.')", observed="concat('HTTP ', t_status)", canonical="effective_canonical"),
+        _branch("t_found AND t_status IS NULL", 2, 2, rule + "3", "error", "'The canonical target was discovered but not fetched, so it could not be verified.'", observed="'no response recorded'", canonical="effective_canonical"),
+        _branch("t_status = 200 AND NOT t_indexable", 2, 3, rule + "4", "error", "'The canonical target resolves successfully but is not indexable.'", observed="'canonical target is non-indexable'", canonical="effective_canonical"),
+        _branch("t_key IS NOT NULL AND t_found IS NULL", 2, 4, rule + "3", "warning", "'The canonical target was not found in the scanned site. It may be unreachable or external.'", observed="'not found in scan'", canonical="effective_canonical"),
+    )
 
 
 def canonical_presence(site: Site) -> DataFrame:
@@ -80,19 +85,21 @@ def canonical_resolution(site: Site) -> DataFrame:
     hop = site.state.where("effective_canonical IS NOT NULL").select("url_key", F.regexp_replace("effective_canonical", r"(?s)#.*$", "").alias("c1"))
     walk = hop.where("c1 <> url_key").join(hop.select(F.col("url_key").alias("c1"), F.col("c1").alias("c2")), "c1").where("c2 <> c1")
     walk = walk.withColumn("chain", F.concat_ws(" → ", "url_key", "c1", "c2"))
-    return _union([
-        _finding(walk.where("c2 <> url_key"), 4, 0, "CC-CANONICAL-RESOLUTION-001", "error", "concat('Canonical chain exceeds depth 1: ', chain)", url="url_key", canonical="chain", detail="'Chain length: 2'"),
-        _finding(walk.where("c2 = url_key"), 4, 1, "CC-CANONICAL-RESOLUTION-002", "error", "concat('Canonical cycle detected: ', chain)", url="url_key", canonical="chain"),
-    ])
+    return _emit(
+        walk,
+        _branch("c2 <> url_key", 4, 0, "CC-CANONICAL-RESOLUTION-001", "error", "concat('Canonical chain exceeds depth 1: ', chain)", url="url_key", canonical="chain", detail="'Chain length: 2'"),
+        _branch("c2 = url_key", 4, 1, "CC-CANONICAL-RESOLUTION-002", "error", "concat('Canonical cycle detected: ', chain)", url="url_key", canonical="chain"),
+    )
 
 
 def robots_effective(site: Site) -> DataFrame:
-    def conflict(k: int, name: str) -> DataFrame:
+    def conflict(k: int, name: str) -> str:
         meta, http = f"html_meta_robots.{name}", f"http_x_robots_tag.{name}"
         text = f"concat('Meta robots and X-Robots-Tag disagree on {name}. Meta robots: ', {meta}, ', X-Robots-Tag: ', {http}, '. Resolve the conflict to ensure predictable indexing behavior.')"
-        return _finding(site.state.where(f"{meta} <> {http}"), 5, k, "CC-ROBOTS-EFFECTIVE-001", "warning", text, declared=f"concat('meta robots: {name}=', {meta})", observed=f"concat('X-Robots-Tag: {name}=', {http})")
+        return _branch(f"{meta} <> {http}", 5, k, "CC-ROBOTS-EFFECTIVE-001", "warning", text, declared=f"concat('meta robots: {name}=', {meta})", observed=f"concat('X-Robots-Tag: {name}=', {http})")
 
-    return _union([conflict(0, "noindex"), conflict(1, "nofollow")])
+    rows = site.state.where("html_meta_robots IS NOT NULL AND http_x_robots_tag IS NOT NULL")
+    return _emit(rows, conflict(0, "noindex"), conflict(1, "nofollow"))
 
 
 _ENTRIES = "array_join(transform({0}, e -> concat(e.lang, ' → ', e.url)), ', ')"
@@ -109,11 +116,13 @@ def hreflang_reciprocal(site: Site) -> DataFrame:
     open_ = away.join(back, ["src_url", "target_url"], "left_anti").join(known, "target_url", "left")
     says = "concat('This page declares hreflang ', lang, ' → ', target_url, ', but ', target_url, {})"
     at = {"pos": "pos", "url": "src_url", "key": "src_key", "declared": _ENTRY}
-    return _union([
-        _finding(alone, 6, 0, "CC-HREFLANG-RECIPROCAL-002", "error", "'This page declares hreflang entries for other pages but does not include a self-referencing hreflang entry.'", observed=f"concat('hreflang entries: ', {_ENTRIES.format('hreflang')})"),
-        _finding(open_.where("t_hreflang IS NOT NULL"), 6, 1, "CC-HREFLANG-RECIPROCAL-001", "error", says.format("' does not link back with a reciprocal hreflang entry.'"), observed=f"concat('target hreflang: [', {_ENTRIES.format('t_hreflang')}, ']')", **at),
-        _finding(open_.where("t_hreflang IS NULL"), 6, 2, "CC-HREFLANG-RECIPROCAL-001", "error", says.format("' was not found in the scan and cannot be verified for reciprocity.'"), observed="'target not found in scan'", **at),
-    ])
+    no_self = _emit(alone, _branch("true", 6, 0, "CC-HREFLANG-RECIPROCAL-002", "error", "'This page declares hreflang entries for other pages but does not include a self-referencing hreflang entry.'", observed=f"concat('hreflang entries: ', {_ENTRIES.format('hreflang')})"))
+    one_way = _emit(
+        open_,
+        _branch("t_hreflang IS NOT NULL", 6, 1, "CC-HREFLANG-RECIPROCAL-001", "error", says.format("' does not link back with a reciprocal hreflang entry.'"), observed=f"concat('target hreflang: [', {_ENTRIES.format('t_hreflang')}, ']')", **at),
+        _branch("t_hreflang IS NULL", 6, 2, "CC-HREFLANG-RECIPROCAL-001", "error", says.format("' was not found in the scan and cannot be verified for reciprocity.'"), observed="'target not found in scan'", **at),
+    )
+    return no_self.unionByName(one_way)
 
 
 def _targets(site: Site, key: str) -> DataFrame:
@@ -135,12 +144,13 @@ def hreflang_indexability(site: Site) -> DataFrame:
 
 def link_target(site: Site) -> DataFrame:
     met, at, rule = site.links().join(_targets(site, "link_key"), "link_key"), {"pos": "pos", "url": "src_url", "key": "src_key"}, "CC-LINK-TARGET-00"
-    return _union([
-        _finding(met.where("t_status <> 200 AND t_redirect IS NULL"), 9, 0, rule + "1", "error", "concat('Internal link target ', link_url, ' returned HTTP ', t_status, ' without a usable redirect target.')", observed="concat('HTTP ', t_status)", detail="concat('link target: ', link_url)", **at),
-        _finding(met.where("t_status IS NULL"), 9, 1, rule + "3", "error", "concat('Internal link target ', link_url, ' was not fetched, so its resolution could not be verified.')", declared="link_url", observed="'no response recorded'", **at),
-        _finding(met.where("t_redirect IS NOT NULL"), 9, 2, rule + "2", "warning", "concat('Internal link targets ', link_url, ' which redirects to ', t_redirect, '. Link directly to the canonical URL.')", declared="link_url", observed="concat('redirect → ', t_redirect)", canonical="t_canonical", **at),
-        _finding(met.where("t_canonical <> link_url"), 9, 3, rule + "4", "warning", "concat('Internal link targets ', link_url, ', but that page canonicalizes to ', t_canonical, '.')", declared="link_url", observed="'link target canonicalizes elsewhere'", canonical="t_canonical", **at),
-    ])
+    return _emit(
+        met,
+        _branch("t_status <> 200 AND t_redirect IS NULL", 9, 0, rule + "1", "error", "concat('Internal link target ', link_url, ' returned HTTP ', t_status, ' without a usable redirect target.')", observed="concat('HTTP ', t_status)", detail="concat('link target: ', link_url)", **at),
+        _branch("t_status IS NULL", 9, 1, rule + "3", "error", "concat('Internal link target ', link_url, ' was not fetched, so its resolution could not be verified.')", declared="link_url", observed="'no response recorded'", **at),
+        _branch("t_redirect IS NOT NULL", 9, 2, rule + "2", "warning", "concat('Internal link targets ', link_url, ' which redirects to ', t_redirect, '. Link directly to the canonical URL.')", declared="link_url", observed="concat('redirect → ', t_redirect)", canonical="t_canonical", **at),
+        _branch("t_canonical <> link_url", 9, 3, rule + "4", "warning", "concat('Internal link targets ', link_url, ', but that page canonicalizes to ', t_canonical, '.')", declared="link_url", observed="'link target canonicalizes elsewhere'", canonical="t_canonical", **at),
+    )
 
 
 def redirect_resolution(site: Site) -> DataFrame:
@@ -180,9 +190,9 @@ def diff_loss(baseline: Site, candidate: Site, limits: dict[str, float]) -> Data
     parts = [_finding(counts, 12, 0, "CC-DIFF-LOSS-INDEXABLE", "error", text, url=f"'{SITE_WIDE}'", key="''", declared="concat('baseline indexable: ', was)", observed="concat('candidate indexable: ', now)", detail=shown("loss_pct"))]
     lost = baseline.state.where("is_indexable").join(candidate.state.select("url_key"), "url_key", "left_anti")
     parts.append(_finding(lost, 12, 1, "CC-DIFF-LOSS-INDEXABLE", "error", "'An indexable URL from the baseline is missing in the candidate.'", url="url_key", declared="'present in baseline'", observed="'missing in candidate'"))
-    rows = loss_rows(baseline, candidate)
+    branches = []
     for seq, (what, noun, rule) in enumerate((("words", "Word", "CONTENT"), ("headings", "Heading", "CONTENT"), ("links", "Internal link", "LINKS"))):
         text = f"concat('{noun} count decreased by ', format_string('%.1f', loss_pct), '% (baseline: ', was, ', candidate: ', now, ').')"
-        over = rows.where((F.col("what") == what) & (F.col("loss_pct") > float(limits[what])))
-        parts.append(_finding(over, 12, 2 + seq, f"CC-DIFF-LOSS-{rule}", "warning", text, url="url_key", declared=f"concat('baseline {what}: ', was)", observed=f"concat('candidate {what}: ', now)", detail=shown("loss_pct")))
-    return _union(parts)
+        over = f"what = '{what}' AND loss_pct > {float(limits[what])!r}D"
+        branches.append(_branch(over, 12, 2 + seq, f"CC-DIFF-LOSS-{rule}", "warning", text, url="url_key", declared=f"concat('baseline {what}: ', was)", observed=f"concat('candidate {what}: ', now)", detail=shown("loss_pct")))
+    return parts[0].unionByName(parts[1]).unionByName(_emit(loss_rows(baseline, candidate), *branches))
