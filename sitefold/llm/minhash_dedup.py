@@ -135,6 +135,7 @@ def _crossing_pairs(undecided: DataFrame, sets: DataFrame, space: Workspace, sim
     """
     size, least = "size(shingles)", f"cast(ceil(size(shingles) * {similar} / 100D) AS int)"
     held = space.write(sets.join(undecided, sets.doc_id == undecided.doc).select("doc", "component", "shingles", "bitmap", F.expr(size).alias("n"), F.expr(least).alias("least")), "undecided")
+    space.release()
     each = held.select("doc", F.explode("shingles").alias("key"))
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     ranked = each.join(common, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("ranked"))
@@ -145,6 +146,7 @@ def _crossing_pairs(undecided: DataFrame, sets: DataFrame, space: Workspace, sim
         .select("doc", "component", "n", "bitmap", F.xxhash64("doc").alias("h"), F.expr("size(ranked)").alias("held"), F.expr("slice(ranked, 1, room)").alias("prefix"))
     )
     prefixes = space.write(prefixes, "prefixes")
+    space.drop("undecided")
     rows = (
         prefixes.select("doc", "component", "n", "bitmap", "h", "held", F.expr("transform(prefix, x -> x.key)").alias("keys"), F.posexplode("prefix").alias("place", "at"))
         .select("doc", "component", "n", "bitmap", "keys", F.expr("held - place").alias("after"), F.col("at.key").alias("key"), F.expr(f"shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - {BLOCK_BITS}))").alias("blocks"), "h")
@@ -202,6 +204,9 @@ def near_duplicates(
         .where(F.size("values") >= matches),
         "survivors",
     )
+    base = space.write(signed.drop("signature"), "base")
+    space.drop("signed")
+    named = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rep"))
     lists = space.write(
         survivors.withColumn("rank", F.expr("-aggregate(values, 0L, (n, v) -> n + v.freq)"))
         .select("doc", "rank", F.explode(F.slice("values", F.lit(1), F.size("values") - (matches - 1))).alias("v"))
@@ -223,7 +228,9 @@ def near_duplicates(
         )
         both = met.join(sets.select("doc_id", "shingles").toDF("a", "sa"), "a").join(sets.select("doc_id", "shingles").toDF("b", "sb"), "b")
         common = both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("n"))
-        return space.write(common.select("a", "b", F.expr(f"100 * n >= {similar} * (na + nb - n)").alias("linked")), name)
+        out = space.write(common.select("a", "b", F.expr(f"100 * n >= {similar} * (na + nb - n)").alias("linked")), name)
+        space.release()
+        return out
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         one, two = labels.toDF("a", "ca"), labels.toDF("b", "cb")
@@ -242,8 +249,7 @@ def near_duplicates(
     space.drop("lists", "ranked", "sets")
 
     result = (
-        signed.select("doc_id", "n_shingles", "mark1", "mark2")
-        .join(named, ["mark1", "mark2"], "left")
+        base.join(named, ["mark1", "mark2"], "left")
         .withColumn("rep", F.expr("CASE WHEN n_shingles > 0 AND doc_id IS NOT NULL THEN rep ELSE doc_id END"))
         .join(labels.toDF("rep", "component"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
