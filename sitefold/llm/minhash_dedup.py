@@ -204,6 +204,7 @@ def near_duplicates(
         .where(F.size("values") >= matches),
         "survivors",
     )
+    space.release()
     base = space.write(signed.drop("signature"), "base")
     space.drop("signed")
     named = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rep"))

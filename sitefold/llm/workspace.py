@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +53,11 @@ class Workspace:
         self.release()
 
     def release(self) -> None:
-        """Shuffle files go once the driver has collected their handles; ask for that now, not when the heap is full."""
+        """Shuffle files go once the driver has collected their handles, Python's first; ask for that now, not when the heap
+        is full, and leave the cleaner a moment."""
+        gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def bound_arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
