@@ -13,62 +13,88 @@ from sitefold.llm.components import connected_components
 from sitefold.llm.workspace import Workspace, bound_arrow_batches
 
 COSINE = 0.93
-#: Neighbours on either side that a vector is compared with in each pass.
+#: Rows down to which the longest keys tried would cut a label whose vectors point everywhere.
 WINDOW = 64
 #: The chance at which a pair right at the threshold may be missed by all passes.
 MISS = 1e-5
 BITS = 32
-#: Rows of a block in which the links of a component are counted.
+#: Rows of a block in which a long run is compared, and the links of a component are counted.
 BLOCK = 1 << 11
-_SORT = ["pass", "label", "dims", "key", "tie"]
+#: Passes whose runs are counted to choose the bits of a label; comparisons that cost as much as dealing out one row.
+PROBES = 2
+DEALT = 2000
+_RUN = ["label", "dims", "pass", "key"]
+_SORT = [*_RUN, "low", "high"]
 
 
-def passes_needed(rows: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
+def passes_for(bits: int, cosine: float = COSINE, miss: float = MISS) -> int:
     """How many passes leave a pair at the threshold unseen with a chance of ``miss`` at most.
 
-    Two such vectors get the same bit with chance 1 - angle / pi. They are neighbours if the bits agree that cut ``rows``
-    vectors down to ``window``.
+    Two such vectors get the same bit with chance 1 - angle / pi, wherever the other vectors point. They meet in a pass if
+    ``bits`` bits agree, as runs of equal keys are compared whole; without bits, one pass compares all.
     """
-    bits = max(0.0, math.log2(max(rows, 1) / window)) + 1
     meet = (1 - math.acos(cosine) / math.pi) ** bits
-    return max(4, math.ceil(math.log(miss) / math.log1p(-min(meet, 0.999))))
+    return 1 if bits == 0 else math.ceil(math.log(miss) / math.log1p(-min(meet, 0.999)))
+
+
+def bits_for(rows: int, window: int = WINDOW) -> int:
+    """The bits that cut ``rows`` vectors that point everywhere down to ``window``."""
+    return min(BITS, math.ceil(math.log2(max(rows, 1) / window)) + 1) if rows > window else 0
+
+
+def passes_needed(rows: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
+    """The most passes that a label of ``rows`` vectors may get."""
+    return max(4, *(passes_for(b, cosine, miss) for b in range(bits_for(rows, window) + 1)))
 
 
 def _planes(dims: int, n: int) -> np.ndarray:
     return np.random.default_rng([dims, 7]).standard_normal((dims, n * BITS))
 
 
-def _keyed(passes: int):
+def _packed(batches):
+    """``(label, dims, vec_id, vector)`` of the rows that take part, the vector as bytes."""
+    for batch in batches:
+        column = batch.column(2)
+        at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<f8")
+        sizes = np.diff(at)
+        for d in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == d)
+            x = values[at[rows][:, None] + np.arange(d)]
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+            good = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
+            rows, x = rows[good], x[good]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary())],
+                    ["label", "dims", "vec_id", "vector"],
+                )
+
+
+def _keyed(most: int, whole: bool):
+    """Keys of the passes of each row, cut to the bits of its label: ``(label, dims, pass, key)``, and the vector if ``whole``."""
     weights = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            column = batch.column(2)
-            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<f8")
-            sizes = np.diff(at)
-            ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for d in np.unique(sizes[sizes > 0]).tolist():
-                rows = np.flatnonzero(sizes == d)
-                x = values[at[rows][:, None] + np.arange(d)]
-                with np.errstate(all="ignore"):
-                    norm = np.sqrt((x * x).sum(1))
-                good = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
-                rows, x = rows[good], x[good]
-                if not len(rows):
-                    continue
-                if d not in planes:
-                    planes[d] = _planes(d, passes)
-                keys = ((x @ planes[d] > 0).reshape(len(x), passes, BITS) @ weights).ravel()
-                data = [v.tobytes() for v in x]
-                n = len(rows) * passes
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.tile(np.arange(passes, dtype=np.int32), len(rows))), pa.array(np.repeat(labels[rows], passes)), pa.array(np.full(n, d, np.int32)), pa.array(keys),
-                        pa.array(np.repeat(ids[rows], passes)), pa.array([v for v in data for _ in range(passes)], pa.binary()),
-                    ],
-                    ["pass", "label", "dims", "key", "vec_id", "vector"],
-                )
+            labels, dims, ids, bits, passes = (batch.column(k).to_numpy() for k in (0, 1, 2, 4, 5))
+            for d, b in {*zip(dims.tolist(), bits.tolist(), strict=True)}:
+                at = np.flatnonzero((dims == d) & (bits == b))
+                n = int(passes[at[0]])
+                data = [v.as_py() for v in batch.column(3).take(pa.array(at))]
+                if b and d not in planes:
+                    planes[d] = _planes(d, most)
+                for k in range(0, len(at), step := max(1, (1 << 15) // n)):
+                    some, vectors = at[k : k + step], data[k : k + step]
+                    x = np.frombuffer(b"".join(vectors), "<f8").reshape(-1, d)
+                    keys = ((x @ planes[d][:, : n * BITS] > 0).reshape(len(x), n, BITS) @ weights >> (BITS - b)).ravel() if b else np.zeros(len(x) * n, np.int64)
+                    columns = {
+                        "label": np.repeat(labels[some], n), "dims": np.full(len(keys), d, np.int32), "pass": np.tile(np.arange(n, dtype=np.int32), len(x)), "key": keys,
+                    }
+                    if whole:
+                        columns |= {"vec_id": np.repeat(ids[some], n), "vector": pa.array([v for v in vectors for _ in range(n)], pa.binary())}
+                    yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -77,56 +103,50 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :])
 
 
-def _neighbours(cosine: float, window: int):
-    """Links of sorted rows within the window, as a forest: enough to join what belongs together."""
+def _met(cosine: float):
+    """Links of sorted rows with one run and pair of blocks, as a forest: enough to join what belongs together."""
+
+    def linked(head, parts):
+        ids, blocks, data = (np.concatenate([p[k] for p in parts]) if k < 2 else [v for p in parts for v in p[2]] for k in range(3))
+        x = np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
+        own = head[4] == head[5]
+        left, right = (np.arange(len(x)),) * 2 if own else (np.flatnonzero(blocks == head[4]), np.flatnonzero(blocks == head[5]))
+        return _forest(ids, left, right, lambda rows, after: cosines(x[rows], x[right[after:]]) >= cosine, own)
 
     def run(batches):
-        group, ids, rows = None, np.zeros(0, np.int64), None
+        head, parts = None, []
         for batch in batches:
-            heads = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
-            new_ids, data = batch.column(3).to_numpy(), batch.column(4)
+            heads = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in range(6)])
+            blocks, ids, data = batch.column(6).to_numpy(), batch.column(7).to_numpy(), batch.column(8)
             cuts = np.flatnonzero((heads[1:] != heads[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(heads)], strict=True):
                 if a == b:
                     continue
-                d = int(heads[a, 2])
-                x = np.frombuffer(b"".join(data.slice(a, b - a).to_pylist()), "<f8").reshape(-1, d)
-                mine = new_ids[a:b]
-                if group is not None and (heads[a] == group).all():
-                    x, mine = np.concatenate((rows, x)), np.concatenate((ids, mine))
-                    old = len(ids)
-                else:
-                    old = 0
-                pairs = []
-                for i in range(0, len(x), 512):
-                    j = min(i + 512 + window, len(x))
-                    close = cosines(x[i : i + 512], x[i:j]) >= cosine
-                    left, right = np.nonzero(close)
-                    some = (right > left) & (right - left <= window) & (right + i >= old)
-                    pairs.append(np.column_stack((mine[left[some] + i], mine[right[some] + i])))
-                forest = _forest(np.concatenate(pairs))
-                if len(forest):
-                    yield pa.RecordBatch.from_arrays([pa.array(forest[:, 0]), pa.array(forest[:, 1])], ["a", "b"])
-                group, ids, rows = heads[a], mine[-window:], x[-window:]
+                if head is not None and (heads[a] != head).any():
+                    yield from linked(head, parts)
+                    parts = []
+                head = heads[a]
+                parts.append((ids[a:b], blocks[a:b], data.slice(a, b - a).to_pylist()))
+        if parts:
+            yield from linked(head, parts)
 
     return run
 
 
-def _forest(pairs: np.ndarray) -> np.ndarray:
-    root: dict[int, int] = {}
-
-    def find(v):
-        while root.setdefault(v, v) != v:
-            root[v] = v = root[root[v]]
-        return v
-
-    kept = []
-    for a, b in pairs.tolist():
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((min(a, b), max(a, b)))
-    return np.array(kept, np.int64).reshape(-1, 2)
+def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, close, own: bool):
+    """Joins left rows with the right ones that are close: one link for each two trees that a row brings together."""
+    tree, kept = np.arange(len(ids)), []
+    for i in range(0, len(left), 512):
+        after = i if own else 0
+        near = close(left[i : i + 512], after)
+        for k in np.flatnonzero(near.sum(1) > (1 if own else 0)):
+            trees = np.unique(np.append(tree[right[after:][near[k]]], tree[left[i + k]]))
+            if len(trees) > 1:
+                kept.append(np.column_stack((np.full(len(trees) - 1, ids[trees[0]]), ids[trees[1:]])))
+                tree[np.isin(tree, trees)] = trees[0]
+    if kept:
+        pairs = np.concatenate(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
 
 def _counted(cosine: float):
@@ -151,16 +171,33 @@ def _counted(cosine: float):
     return run
 
 
+def _chosen(single: DataFrame, cosine: float, window: int, miss: float) -> DataFrame:
+    """``(label, dims, rows, bits, passes)``: for each label the bits whose passes cost least, by the runs of a few passes."""
+    rows = single.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("rows"))
+    most = bits_for(rows.agg(F.max("rows")).first()[0] or 0, window)
+    passes = F.expr("element_at(array(" + ",".join(str(passes_for(b, cosine, miss)) for b in range(most + 1)) + "), bits + 1)")
+    probed = single.withColumns({"bits": F.lit(BITS), "passes": F.lit(PROBES)}).mapInArrow(_keyed(PROBES, False), "label long, dims int, pass int, key long")
+    keys = probed.groupBy(*_RUN).agg(F.count(F.lit(1)).alias("n")).withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    runs = keys.groupBy("label", "dims", "bits", "pass", F.expr(f"shiftright(key, {BITS} - bits)").alias("key")).agg(F.sum("n").alias("n"))
+    costs = runs.groupBy("label", "dims", "bits").agg((F.sum("n") / PROBES).cast("long").alias("rows"), (F.sum(F.col("n").cast("double") * F.col("n")) / PROBES).alias("met"))
+    costs = costs.withColumn("passes", passes).withColumn("cost", F.expr(f"passes * ({DEALT}D * rows + met)"))
+    return costs.groupBy("label", "dims").agg(F.min(F.struct("cost", "bits", "passes", "rows")).alias("x")).where("x.rows > 1").select("label", "dims", "x.rows", "x.bits", "x.passes")
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, window: int = WINDOW, miss: float = MISS
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per input row.
 
-    Each pass sorts all vectors, within labels, by the signs of BITS random projections and compares every vector with its
-    ``window`` neighbours. Sorting is by range over all partitions, so equal keys and large labels are split like any other.
-    The verified pairs of all passes are joined into components. The number of passes follows from the largest label and
-    ``miss`` (see ``passes_needed``). Links are then counted exactly within components, block by block, so that a group of
-    copies larger than a window gets all its links while no pair of them is written.
+    Equal vectors of a label are joined first, and one of them stands for all. Each pass sorts the vectors, within labels, by
+    the signs of random projections and compares every vector with all of its run, that is, those with the same key. So the
+    chance that a pair at the threshold meets follows from the number of bits alone, however the vectors of a label are
+    spread, and the passes are as many as leave at most ``miss``. What the spread changes is the length of the runs: it is
+    measured, and each label gets the bits that cost least, none where comparing all of it in one pass is cheapest. Long
+    runs are split into blocks, and each pair of blocks is compared by some task.
+
+    The verified pairs of all passes are joined into components. Links are then counted exactly within components, block by
+    block, so that a group of copies gets all its links while no pair of them is written.
 
     Null, empty or zero vectors, such with null or non-finite components, and those with a null label link with nothing;
     neither do vectors of different lengths. Rows with a null id are returned alone, with a null component. Rows that repeat
@@ -171,18 +208,29 @@ def near_vectors(
     bound_arrow_batches(spark, rows=2000)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     usable = base.where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
-    most, rows = usable.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    passes = passes_needed(most, cosine, window, miss)
-    keyed = usable.mapInArrow(_keyed(passes), "pass int, label long, dims int, key long, vec_id long, vector binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), passes * rows // (1 << 15))
-    ordered = keyed.withColumn("tie", F.xxhash64("pass", "vec_id")).repartitionByRange(parts, *_SORT).sortWithinPartitions(*_SORT)
-    links = space.write(
-        ordered.select("pass", "label", "dims", "vec_id", "vector").mapInArrow(_neighbours(cosine, window), "a long, b long").distinct(), "links"
-    )
+    packed = space.write(usable.mapInArrow(_packed, "label long, dims int, vec_id long, vector binary"), "packed")
+    equal = packed.groupBy("label", "dims", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("deal")).agg(F.min("vec_id").alias("vec_id"), F.collect_set("vec_id").alias("ids"))
+    equal = space.write(equal, "equal")
+    single = space.write(equal.groupBy("label", "dims", "vector").agg(F.min("vec_id").alias("vec_id"), F.collect_set("vec_id").alias("ids")), "single")
+    copies = equal.unionByName(single, allowMissingColumns=True).select(F.col("vec_id").alias("a"), F.explode("ids").alias("b")).where("a < b")
+    single = single.select("label", "dims", "vec_id", "vector")
+    chosen = space.write(_chosen(single, cosine, window, miss), "chosen")
+    most = chosen.agg(F.max("passes")).first()[0] or 1
+    dealt = single.join(chosen, ["label", "dims"]).select("label", "dims", "vec_id", "vector", "bits", "passes")
+    kind = "label long, dims int, pass int, key long"
+    runs = dealt.mapInArrow(_keyed(most, False), kind).groupBy(*_RUN).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
+    runs = space.write(runs.select(*_RUN, F.expr(f"cast(ceil(size / {BLOCK}D) AS int)").alias("blocks")), "runs")
+    rows = dealt.mapInArrow(_keyed(most, True), kind + ", vec_id long, vector binary").join(runs, _RUN, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(vec_id, 1), blocks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select(*_RUN, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "vector")
+    total = chosen.agg(F.coalesce(F.sum(F.col("passes") * F.col("rows")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 15))
+    met = rows.repartition(parts, *_SORT).sortWithinPartitions(*_SORT).mapInArrow(_met(cosine), "a long, b long")
+    links = space.write(met.unionByName(copies).distinct(), "links")
     space.release()
     labels = space.write(connected_components(links, space), "members")
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    one = usable.mapInArrow(_keyed(1), "pass int, label long, dims int, key long, vec_id long, vector binary").select("vec_id", "vector")
+    one = packed.select("vec_id", "vector")
     members = space.write(one.join(labels.withColumnRenamed("node", "vec_id"), "vec_id").join(sizes, "component").dropDuplicates(["vec_id"]), "linked")
     bundles = max(1, labels.count() // BLOCK)
     members = members.withColumn("blocks", F.expr(f"shiftleft(1, greatest(0, cast(ceil(log2(size / {BLOCK}D)) AS int)))"))

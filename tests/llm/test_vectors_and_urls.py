@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitefold.llm import vector_dedup
 from sitefold.llm.url_filter import fit_weights, judge_urls, labelled_urls
 from sitefold.llm.vector_dedup import near_vectors, passes_needed
 from sitefold.llm.vector_search import best_of_block, top_inner_products
@@ -95,6 +96,36 @@ def test_near_vectors(spark, seed):
     assert passes_needed(1 << 30) > passes_needed(1 << 10) >= 4
 
 
+@pytest.mark.parametrize(("common", "dealt"), [(0.85, vector_dedup.DEALT), (0.5, 0)])
+def test_near_vectors_of_a_clustered_label(spark, monkeypatch, common, dealt):
+    """Isolated pairs at 0.94 in a label whose vectors all point one way; without a price of dealing, by passes with keys."""
+    plans, choose = [], vector_dedup._chosen
+    monkeypatch.setattr(vector_dedup, "DEALT", dealt)
+    monkeypatch.setattr(vector_dedup, "_chosen", lambda *a: (plans.append(choose(*a)), plans[-1])[1])
+    rng, d = np.random.default_rng(5), 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.sqrt(common) * unit(rng.standard_normal((1, d))) + np.sqrt(1 - common) * unit(rng.standard_normal((3000, d))))
+    off = rng.standard_normal((200, d))
+    off = unit(off - (off * x[:200]).sum(1, keepdims=True) * x[:200])
+    x = np.concatenate((x, 0.94 * x[:200] + np.sqrt(1 - 0.94**2) * off))
+    want = (unit(x) @ unit(x).T >= 0.93).sum(1) - 1
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in near_vectors(table, window=4).collect()}
+    assert (plans[0].first().bits > 0) == (dealt == 0)
+    assert want.sum() >= 400 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_long_runs_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", 32)
+    rows = vectors(3)
+    rows += [(7000 + i, rows[0][1], rows[0][2]) for i in range(40)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    label = {i: y for i, _, y in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and label[a] == label[b] and unit[a] @ unit[b] >= 0.93]
+    want = components(unit, links)
+    assert {r.vec_id: r.component_id for r in near_vectors(frame(spark, rows)).collect()} == want
+
+
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 URLS = {
     1: ("https://www.Example.COM/en/12?x#y", "www.example.com", "/en/12", "com/en/", "block"), 2: ("http://example.com/en/7", "example.com", "/en/7", "example.com/en/7", "allow"),
