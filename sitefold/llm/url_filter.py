@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Buckets for n-grams of the host and as many for those of the path; lengths of n-grams.
 BUCKETS = 1 << 10
 GRAMS = (3, 4)
-#: Characters of a path or host that give n-grams; longer ones are read at both ends.
-REACH = 96
+#: Positions of a path or host that are read from one piece: a place in a string is found by counting from its start.
+PIECE = 512
 ROUNDS = 40
 RATE = 4.0
 PENALTY = 1e-4
@@ -58,10 +58,12 @@ def _rest(url: Column) -> Column:
 
 def _grams(part: str, seed: int) -> Column:
     """Bucket numbers of the n-grams of a column, its ends marked."""
-    text = f"concat('^', {part}, '$')"
-    text = f"CASE WHEN length({part}) > {2 * REACH} THEN concat('^', left({part}, {REACH}), right({part}, {REACH}), '$') ELSE {text} END"
-    each = [f"transform(sequence(1, greatest(length(t) - {n - 1}, 1)), i -> cast(pmod(xxhash64(substring(t, i, {n}), {seed}), {BUCKETS}) AS int) + {seed * BUCKETS})" for n in GRAMS]
-    return F.expr(f"aggregate(array({text}), cast(array() AS array<int>), (got, t) -> array_distinct(concat({', '.join(each)})))")
+    each = [
+        f"flatten(transform(transform(sequence(1, greatest(length(t) - {n - 1}, 1), {PIECE}), s -> substring(t, s, {PIECE + n - 1})), p ->"
+        f" transform(sequence(1, greatest(length(p) - {n - 1}, 1)), i -> cast(pmod(xxhash64(substring(p, i, {n}), {seed}), {BUCKETS}) AS int) + {seed * BUCKETS})))"
+        for n in GRAMS
+    ]
+    return F.expr(f"aggregate(array(concat('^', {part}, '$')), cast(array() AS array<int>), (got, t) -> array_distinct(concat({', '.join(each)})))")
 
 
 def url_buckets(urls: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def judge_urls(
     ``rules`` are ``(host/path, block or allow)``: a rule fits its host and all subdomains if the path starts with its path;
     the longest wins. Where none fits, the verdict is block if the model's score is at least ``threshold``. Null urls and
     such without ``://`` have an empty host and path, and are scored like that. Null or repeated ids are passed through;
-    other columns are ignored; very long urls are read at both ends for the score, and whole for the rules.
+    other columns are ignored; urls of any length are read whole, for the score and for the rules.
     """
     spark = pages.sparkSession
     weights, bias = fit_weights(labelled if labelled is not None else labelled_urls(spark))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitefold.llm import vector_dedup
-from sitefold.llm.url_filter import fit_weights, judge_urls, labelled_urls
+from sitefold.llm.url_filter import fit_weights, judge_urls, labelled_urls, url_buckets
 from sitefold.llm.vector_dedup import near_vectors, passes_needed
 from sitefold.llm.vector_search import best_of_block, top_inner_products
 from tests.llm.helpers import components
@@ -160,3 +160,17 @@ def test_url_model(spark):
     scored = judge_urls(spark.createDataFrame([(k, x.url) for k, x in enumerate(held)], "page_id long, url string"), [], rest)
     right = [(r.verdict == "block") == bool(held[r.page_id].block) for r in scored.collect()]
     assert np.mean(right) > 0.9 and scored.where(F.col("score").isNull()).count() == 0
+
+
+def test_long_urls_are_read_whole(spark):
+    rng = random.Random(4)
+    paths = ["/" + "".join(rng.choice("abcdefgh-/é😀") for _ in range(n)) for n in (0, 1, 190, 193, 507, 508, 509, 510, 511, 512, 513, 1500, 5000)]
+    got = {r.path: set(r.buckets) for r in url_buckets(spark.createDataFrame([("https://" + "h." * 150 + "test" + p,) for p in paths], "url string")).select("path", F.filter("buckets", lambda b: b >= 1024).alias("buckets")).collect()}
+    for path in paths:
+        text = f"^{path}$"
+        grams = {(text[i : i + n],) for n in (3, 4) for i in range(max(1, len(text) - n + 1))}
+        want = {r[0] for r in spark.createDataFrame(sorted(grams), "g string").selectExpr("cast(pmod(xxhash64(g, 1), 1024) AS int) + 1024").collect()}
+        assert got[path] == want
+    middle = [(k, "https://garden.test/" + "garden/" * 40 + word * 20 + "/garden" * 40) for k, word in enumerate(("casino-win", "cookingpot"))]
+    scores = [r.score for r in judge_urls(spark.createDataFrame(middle, "page_id long, url string"), []).orderBy("page_id").collect()]
+    assert scores[0] != scores[1]
