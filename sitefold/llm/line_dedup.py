@@ -73,16 +73,13 @@ def repeated_lines(docs: DataFrame, space: Workspace, least: int = LEAST) -> Dat
     posts = hashed.select("h1", F.posexplode(F.array(*names)).alias("place", "key")).where("key IS NOT NULL")
     shared = posts.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
     near = space.write(posts.join(shared, "key").groupBy("h1").agg(F.collect_set(F.struct("place", "key")).alias("keys")), "near")
-    space.release()
     near = space.write(firsts.select("h1", "doc", "first", "o").join(near, "h1").withColumnRenamed("doc", "doc_id"), "firsts")
-    space.release()
     wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("first", "o", "keys")).alias("wanted"))
     found = docs.where("text IS NOT NULL").hint("merge").join(wanted, "doc_id").select("wanted", F.split("text", "\n", -1).alias("lines"))
     picked = found.select(F.explode(F.expr("transform(wanted, w -> named_struct('o', w.o, 'keys', w.keys, 'line', get(lines, w.first)))")).alias("x"))
     texts = space.write(
         picked.select("x.o", "x.keys", F.expr("lower(trim(BOTH ' \\t\\r' FROM x.line))").alias("norm")).where("norm IS NOT NULL").dropDuplicates(["o"]), "texts"
     )
-    space.release()
     rows = texts.select("o", "norm", F.length("norm").alias("n"), F.explode("keys").alias("k")).select("o", "norm", "n", "k.place", "k.key")
     variants = space.write(_variants(rows), "variants")
     of = lambda kind: F.when(F.col("kind") == kind, F.col("o"))

@@ -22,8 +22,8 @@ MATCHES = 20
 FAN_OUT = 64
 #: Long lists of undecided documents are joined in blocks of about 2 ** BLOCK_BITS.
 BLOCK_BITS = 10
-#: 64-bit words of a set's bitmap.
-BITMAP = 16
+#: 64-bit words of the smallest sketch of a set.
+SKETCH = 8
 
 _rng = np.random.default_rng(20240605)
 _FLIPS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -84,11 +84,12 @@ def _signed(coordinates: int, words: int):
     return run
 
 
-def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    """One bit for each shingle, by its low bits; a bit that two sets don't share stands for a shingle that they don't."""
-    bits = np.zeros(64 * BITMAP, np.uint8)
-    bits[(shingles % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each residue of the shingles: set if an odd number of them has it. The bits in which two sketches differ are
+    residues of an odd number of shingles that only one set has, so they never outnumber those shingles. There are about as
+    many bits as shingles, a power of two; the two halves of a sketch, XORed, are the sketch of half the size."""
+    words = max(SKETCH, 1 << max(0, len(shingles) - 1).bit_length() - 6 if len(shingles) > 64 else 1)
+    return np.packbits(np.bincount((shingles % np.uint64(64 * words)).astype(np.int64), minlength=64 * words).astype(np.uint8) & 1, bitorder="little").view("<u8")
 
 
 def _sets(words: int):
@@ -96,7 +97,7 @@ def _sets(words: int):
         for batch in batches:
             raw, offsets = tk.text_bytes(batch.column(1))
             sets = shingle_sets(raw, offsets, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _list_column(sets), _list_column([_bitmap(x) for x in sets])], ["doc_id", "shingles", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _list_column(sets), pa.array([odd_sketch(x).tobytes() for x in sets], pa.binary())], ["doc_id", "shingles", "sketch"])
 
     return run
 
@@ -119,46 +120,89 @@ def _leader_pairs(lists: DataFrame, longest: int) -> DataFrame:
 
 
 def _undecided(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc, component)`` of the members of posting lists that more than one component has."""
+    """``(key, doc, component, size)`` of the members of posting lists that more than one component has."""
     named = lists.join(labels, lists.doc == labels.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return named.join(mixed, "key").groupBy("doc").agg(F.min("component").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    return named.join(mixed.select("key", "size"), "key")
 
 
-def _crossing_pairs(undecided: DataFrame, sets: DataFrame, space: Workspace, similar: int) -> DataFrame:
-    """``(a, b)``: every pair of different components that may still be a link, by the prefixes of their shingle sets.
+def _close(x: list, y: list | None, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``x`` and ``y`` (or twice in ``x``) of documents of different components that the bounds leave as candidates.
 
-    Shingles are ranked by how many of these documents have them. Two sets with a link share one of their first
-    ``size - ceil(size * similar / 100) + 1``; a set of which too many shingles are its own has no link at all. A pair is made
-    under its first common shingle only, and if what both have from there on suffices and their bitmaps don't differ in more
-    than a link allows. Long lists are joined in blocks.
+    A side is ``(components, sizes, sketches)``, the sketches of one length.
     """
-    size, least = "size(shingles)", f"cast(ceil(size(shingles) * {similar} / 100D) AS int)"
-    held = space.write(sets.join(undecided, sets.doc_id == undecided.doc).select("doc", "component", "shingles", "bitmap", F.expr(size).alias("n"), F.expr(least).alias("least")), "undecided")
-    space.release()
-    each = held.select("doc", F.explode("shingles").alias("key"))
-    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    ranked = each.join(common, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("ranked"))
-    # the shingles that no other set has come first in the ranking; they are n - size(ranked) of the prefix
-    prefixes = (
-        held.select("doc", "component", "n", "least", "bitmap").join(ranked, "doc")
-        .withColumn("room", F.expr("n - least + 1 - (n - size(ranked))")).where("room > 0")
-        .select("doc", "component", "n", "bitmap", F.xxhash64("doc").alias("h"), F.expr("size(ranked)").alias("held"), F.expr("slice(ranked, 1, room)").alias("prefix"))
-    )
-    prefixes = space.write(prefixes, "prefixes")
-    space.drop("undecided")
-    rows = (
-        prefixes.select("doc", "component", "n", "bitmap", "h", "held", F.expr("transform(prefix, x -> x.key)").alias("keys"), F.posexplode("prefix").alias("place", "at"))
-        .select("doc", "component", "n", "bitmap", "keys", F.expr("held - place").alias("after"), F.col("at.key").alias("key"), F.expr(f"shiftleft(1, greatest(0, cast(ceil(log2(at.freq)) AS int) - {BLOCK_BITS}))").alias("blocks"), "h")
-        .withColumn("block", F.expr("cast(h & (blocks - 1) AS int)"))
-    )
-    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("after").alias("ra"), F.col("keys").alias("ka"), F.col("bitmap").alias("ma"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("after").alias("rb"), F.col("keys").alias("kb"), F.col("bitmap").alias("mb"))
-    enough = f"100 * least(na, nb) >= {similar} * greatest(na, nb) AND least(ra, rb) * (100 + {similar}) >= {similar} * (na + nb)"
-    apart = " + ".join(f"bit_count(ma[{k}] ^ mb[{k}])" for k in range(BITMAP))
-    enough += f" AND ({apart}) * (100 + {similar}) <= (100 - {similar}) * (na + nb)"
-    met = left.join(right, ["key", "i", "j"]).where(f"ca <> cb AND (i < j OR a < b) AND {enough} AND key = element_at(array_intersect(ka, kb), 1)")
-    return met.select("a", "b")
+    other, found = x if y is None else y, [np.zeros((2, 0), np.int64)]
+    for k in range(0, len(x[0]), step := max(1, (1 << 18) // max(1, len(other[0])))):
+        sizes = x[1][k : k + step, None]
+        fits = (x[0][k : k + step, None] != other[0]) & (100 * np.minimum(sizes, other[1]) >= similar * np.maximum(sizes, other[1]))
+        i, j = np.nonzero(fits if y is not None else np.triu(fits, k + 1))
+        i += k
+        for n in range(0, len(i), 1 << 15):
+            p, q = i[n : n + (1 << 15)], j[n : n + (1 << 15)]
+            apart = np.bitwise_count(x[2][p] ^ other[2][q]).sum(1, dtype=np.int64)
+            near = apart * (100 + similar) <= (100 - similar) * (x[1][p] + other[1][q])
+            found.append(np.stack((p[near], q[near])))
+    return tuple(np.concatenate(found, 1))
+
+
+def _candidates(similar: int):
+    """Pairs ``(a, b)`` of the members of one cell of a posting list; rows come sorted by cell."""
+
+    def compared(head, parts):
+        blocks, docs, components, sizes = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        data = [v for p in parts for v in p[4]]
+        lengths = np.array([len(v) for v in data])
+
+        def side(rows, length, twice):
+            """Rows whose sketches have this length or twice the length; those are folded."""
+            rows = rows[lengths[rows] == length * (1 + twice)]
+            x = np.frombuffer(b"".join([data[r] for r in rows.tolist()]), "<u8").reshape(len(rows), length * (1 + twice) // 8)
+            return rows, [components[rows], sizes[rows], x[:, : length // 8] ^ x[:, length // 8 :] if twice else x]
+
+        pairs = [np.zeros((2, 0), np.int64)]
+        low, high = np.flatnonzero(blocks == head[1]), np.flatnonzero(blocks == head[2])
+        for length in np.unique(lengths).tolist():
+            for twice_low, twice_high in ((0, 0), (0, 1), (1, 0))[: 2 if head[1] == head[2] else 3]:
+                left, x = side(low, length, twice_low)
+                right, y = side(high, length, twice_high)
+                if len(left) and len(right):
+                    i, j = _close(x, None if head[1] == head[2] and not twice_high else y, similar)
+                    pairs.append(np.stack((docs[left[i]], docs[right[j]])))
+        pairs = np.concatenate(pairs, 1)
+        if pairs.size:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+
+    def run(batches):
+        head, parts = None, []
+        for batch in batches:
+            heads = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            columns = [batch.column(k).to_numpy() for k in range(3, 7)]
+            cuts = np.flatnonzero((heads[1:] != heads[:-1]).any(1)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(heads)], strict=True):
+                if i == j:
+                    continue
+                if head is not None and (heads[i] != head).any():
+                    yield from compared(head, parts)
+                    parts = []
+                head = heads[i]
+                parts.append((*(c[i:j] for c in columns), batch.column(7).slice(i, j - i).to_pylist()))
+        if parts:
+            yield from compared(head, parts)
+
+    return run
+
+
+def _crossing_pairs(undecided: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """``(a, b)``: every pair of different components in a posting list that may still be a link by its sizes and sketches.
+
+    Long lists are dealt out as cells, each of two blocks of about 2 ** BLOCK_BITS members, so a task holds one cell at most.
+    """
+    rows = undecided.join(sets.select("doc_id", F.size("shingles").cast("long").alias("n"), "sketch"), undecided.doc == sets.doc_id)
+    rows = rows.withColumn("blocks", F.expr(f"cast(ceil(size / {1 << BLOCK_BITS}D) AS int)")).withColumn("block", F.expr("cast(pmod(xxhash64(doc, 1), blocks) AS int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n", "sketch")
+    cell = ["key", "low", "high"]
+    return cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_candidates(similar), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -177,8 +221,9 @@ def near_duplicates(
     left with fewer than ``matches`` values can link with nothing. Of the others just a prefix is walked, rarest values
     first: two nodes with ``matches`` collisions meet in it. Members of a list are paired with the head of their branch,
     at most about FAN_OUT to a head. Collisions are counted over all coordinates, and the links confirmed on full shingle
-    sets. Members of lists that still hold several components are then compared across components only, each pair once, by
-    an exact prefix bound on their shingle sets; so no link is lost and no group is expanded into all its pairs.
+    sets. Members of lists that still hold several components are then compared across components only, list by list: what
+    their sizes and the sketches of their sets leave is counted and confirmed likewise. So no link is lost, and pairs within
+    a component are never made.
 
     Null or empty texts and texts without words have an empty set and link with nothing. Rows with a null doc_id are
     returned as their own component (null). Rows that repeat a doc_id are one document, whose links are those of all its
@@ -204,7 +249,6 @@ def near_duplicates(
         .where(F.size("values") >= matches),
         "survivors",
     )
-    space.release()
     base = space.write(signed.drop("signature"), "base")
     space.drop("signed")
     named = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rep"))
@@ -216,10 +260,9 @@ def near_duplicates(
     )
     longest = lists.agg(F.max("freq")).first()[0] or 0
     sets = space.write(
-        texts.join(survivors.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>, bitmap array<long>"), "sets"
+        texts.join(survivors.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>, sketch binary"), "sets"
     )
     values = survivors.select("doc", F.col("values.key").alias("values"))
-    space.release()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """``(a, b, linked)`` of pairs that collide often enough."""
@@ -230,7 +273,6 @@ def near_duplicates(
         both = met.join(sets.select("doc_id", "shingles").toDF("a", "sa"), "a").join(sets.select("doc_id", "shingles").toDF("b", "sb"), "b")
         common = both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("n"))
         out = space.write(common.select("a", "b", F.expr(f"100 * n >= {similar} * (na + nb - n)").alias("linked")), name)
-        space.release()
         return out
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -244,7 +286,7 @@ def near_duplicates(
     tried = tried.unionByName(more)
     labels = connected_components(tried.where("linked").select("a", "b"), space, "labels2")
     seen = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = confirmed(_crossing_pairs(_undecided(lists, labels), sets, space, similar).join(seen, ["a", "b"], "left_anti"), "round3").where("linked")
+    rest = confirmed(_crossing_pairs(_undecided(lists, labels), sets, similar).join(seen, ["a", "b"], "left_anti"), "round3").where("linked")
     if rest.limit(1).count():
         labels = connected_components(tried.where("linked").select("a", "b").unionByName(rest.select("a", "b")), space, "labels3")
     space.drop("lists", "ranked", "sets")

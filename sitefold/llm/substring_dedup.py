@@ -144,9 +144,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     shared = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     marks = space.write(anchors.join(shared, "key").groupBy("doc_id").agg(F.collect_list("place").alias("places")), "marks")
-    space.release()
     near = space.write(texts.join(marks, "doc_id").select("doc_id", "text", "places"), "near")
-    space.release()
     windows = near.mapInArrow(_near_anchors(window), "key long, doc long, start int")
     first = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "lo")
     repeats = windows.join(first, "key").where("doc > lo").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("start").alias("starts"))

@@ -227,7 +227,6 @@ def near_vectors(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 15))
     met = rows.repartition(parts, *_SORT).sortWithinPartitions(*_SORT).mapInArrow(_met(cosine), "a long, b long")
     links = space.write(met.unionByName(copies).distinct(), "links")
-    space.release()
     labels = space.write(connected_components(links, space), "members")
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     one = packed.select("vec_id", "vector")

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,17 +45,9 @@ class Workspace:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Remove tables that no later step reads, and let Spark free the shuffle files behind them."""
+        """Remove tables that no later step reads."""
         for name in names:
             _remove(self.spark, f"{self.root}/{name}")
-        self.release()
-
-    def release(self) -> None:
-        """Shuffle files go once the driver has collected their handles, Python's first; ask for that now, not when the heap
-        is full, and leave the cleaner a moment."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.3)
 
 
 def bound_arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
