@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sitefold.llm.workspace import Workspace
 
-#: Lines with fewer characters are always kept.
+#: Lines with fewer characters are always kept: short lines (a brace, a heading, an answer) recur without being copied.
 LEAST = 16
-#: Parts of a line of which one holds the edit, and parts of a part longer than SHORT.
+#: Parts of a line of which one holds the edit; parts longer than SHORT are cut again.
 PARTS = 4
 SHORT = 128
 #: Every two lines one edit apart have lengths in a common bucket c, of lengths 2c - 1 to 2c + 1.
@@ -34,15 +34,17 @@ def _variants(lines: DataFrame) -> DataFrame:
     """``(key, o, kind)``: hashed deletion variants of the part of each line that may hold an edit.
 
     Kind 0 tells the place of the deletion too, so lines that meet differ by a substitution there; kind 1 is a deletion
-    without its place and kind 2 the undeleted part, so lines of kinds 1 and 2 that meet differ by an insertion. Long parts
-    are cut again, and what lies around a sub-part enters the key.
+    without its place and kind 2 the undeleted part, so lines of kinds 1 and 2 that meet differ by an insertion. Parts of more
+    than SHORT characters are cut again into as many sub-parts as these have characters, so the work on a line grows with
+    its length to the power of 1.5. All characters around the variant enter its key: lines that meet are one edit apart, and
+    the earliest of them is a partner of every other.
     """
     base = "(2 * bucket - 1)"
     head, tail = f"cast(part * {base} div {PARTS} AS int)", f"cast(({PARTS} - 1 - part) * {base} div {PARTS} AS int)"
     middles = (
         lines.withColumn("bucket", F.expr(f"CASE WHEN place < {PARTS} THEN {_BUCKETS[0]} ELSE {_BUCKETS[1]} END")).withColumn("part", F.expr(f"place % {PARTS}"))
-        .selectExpr("o", "key", f"substring(norm, {head} + 1, n - {head} - {tail}) AS middle", f"{base} - {head} - {tail} AS size")
-        .withColumn("subs", F.expr(f"CASE WHEN size <= {SHORT} THEN 1 ELSE least(64, cast(ceil(size / {SHORT // 2}D) AS int)) END"))
+        .selectExpr("o", f"xxhash64(key, left(norm, {head}), right(norm, {tail})) AS key", f"substring(norm, {head} + 1, n - {head} - {tail}) AS middle", f"{base} - {head} - {tail} AS size")
+        .withColumn("subs", F.expr(f"CASE WHEN size <= {SHORT} THEN 1 ELSE cast(ceil(sqrt(size)) AS int) END"))
         .withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
     )
     before, after = "cast(sub * size div subs AS int)", "cast(size - (sub + 1) * size div subs AS int)"
@@ -66,7 +68,7 @@ def repeated_lines(docs: DataFrame, space: Workspace, least: int = LEAST) -> Dat
     lines = _lines(docs, least)
     keys = [F.expr(_key(_BUCKETS[0], q)) for q in range(PARTS)] + [F.expr(f"CASE WHEN n % 2 = 1 THEN {_key(_BUCKETS[1], q)} END") for q in range(PARTS)]
     names = [f"k{i}" for i in range(2 * PARTS)]
-    hashed = space.write(lines.select("doc_id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), *[k.alias(c) for k, c in zip(keys, names, strict=True)]), "hashed")
+    hashed = space.write(lines.select("doc_id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), *[k.alias(c) for k, c in zip(keys, names, strict=True)]), "hashed")
     order = "cast(doc_id AS decimal(20,0)) * 4294967296BD + pos"
     firsts = hashed.select("h1", "h2", "doc_id", F.expr(order).alias("o")).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min("o").alias("o"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.withColumn("first", F.expr("cast(o - cast(doc AS decimal(20,0)) * 4294967296BD AS int)"))

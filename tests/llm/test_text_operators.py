@@ -145,6 +145,26 @@ def test_lines(spark):
     assert sum(r.n_removed for r in got) > 20
 
 
+def test_lines_of_letters_of_many_bytes(spark):
+    """An earlier line that has the same bytes at both ends, but differs between them, hides no partner."""
+    accents = "é" * 12
+    texts = {1: accents + "zyxwvutsrqp" + "mnopqrstu", 2: accents + "abcdefghijk" + "mnopqrstu", 3: accents + "abcdefghijk" + "mnop7rstu"}
+    rng = random.Random(8)
+    for k in range(60):
+        head, tail = ("".join(rng.choice("éЖ日🙂a") for _ in range(rng.randint(4, 30))) for _ in range(2))
+        for variant in range(5):
+            middle = [*"".join(rng.choice("日bЖ") for _ in range(12))] if variant % 2 == 0 else middle.copy()
+            if variant % 2:
+                middle[rng.randrange(12)] = rng.choice("xé🙂")
+            texts[10 + 5 * k + variant] = head + "".join(middle) + tail
+    texts[900] = "ß日" * 3000 + "x" + "é" * 3000
+    texts[901] = "ß日" * 3000 + "é" * 3000
+    want = deduped_lines(texts)
+    assert want[3][1] == 1 and want[901][1] == 1 and sum(n for _, n in want.values()) > 100
+    got = {r.doc_id: (r.kept_text, r.n_removed) for r in dedup_lines(frame(spark, texts.items())).collect()}
+    assert got == want
+
+
 ODD = ["a", " ", "  ", "\n", "é", "日本", "'s", "<|endoftext|>", "12", "!!", "\t", "\xa0", "x" * 40, "\u0301", "🙂", "Σ", "\x1c", "İ", "ß", ", ", "The ", ". ", "\r\n", "\u200b"]
 
 
