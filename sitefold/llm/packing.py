@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm import textkernel as tk
-from sitefold.llm.wordunits import UnitIds, split_marks
+from sitefold.llm.wordunits import UnitIds, distinct, split_marks
 from sitefold.llm.workspace import bound_arrow_batches
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,8 +24,7 @@ TIERS = (4096, 2048, 1024, 512)
 #: Tokens of the documents that are packed together, and of a step group; bytes of text that are cut into words at once.
 GROUP = 1 << 21
 STEP = 1 << 16
-#: Words whose ids a Python worker keeps, and bytes of a text that are split into words at once.
-KNOWN = 500_000
+#: Bytes of a text that are split into words at once.
 SEGMENT = 1 << 21
 
 
@@ -33,7 +32,7 @@ class WordIds:
     """Ids of texts whose tokenizer lowers case, drops white space and never joins across it."""
 
     def __init__(self, path: str):
-        self.units = UnitIds(path, lower=True, lead="", joint=" ", opens=None, closes=lambda token: token.endswith("</w>"))
+        self.units = UnitIds(path, lead="", joint=" ", opens=None, closes=lambda token: token.endswith("</w>"))
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -47,7 +46,7 @@ class WordIds:
     def _few(self, raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         starts, ends, first = tk.word_spans(raw, at)
         starts, ends, word = split_marks(raw, starts, ends)
-        slots = self.units.slots(raw, starts, ends)
+        slots = self.units.slots(*distinct(tk.lowered(raw), starts, ends))
         flat = self.units.gather(slots)
         cuts = np.concatenate(([0], np.cumsum(self.units.sizes(slots))))[word[first]].tolist()
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):

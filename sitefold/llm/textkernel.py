@@ -22,6 +22,11 @@ _POWERS: dict[str, np.ndarray] = {}
 SPAN = 1 << 20
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[raw]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

@@ -1,4 +1,4 @@
-"""Token counts of whole texts; huge ones in overlapping chunks, spliced where both encodings are certain."""
+"""Token counts of whole texts; long ones in overlapping chunks, spliced where both encodings are certain."""
 
 from __future__ import annotations
 
@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm import textkernel as tk
-from sitefold.llm.wordunits import UnitIds, split_marks, tokenizer
+from sitefold.llm.wordunits import UnitIds, distinct, split_marks, tokenizer
 from sitefold.llm.workspace import bound_arrow_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-#: Characters of a text that is encoded at once, of a chunk of longer ones, and of the first overlap tried.
-HUGE = 1 << 16
-CHUNK = 1 << 15
+#: Bytes of a chunk, of which longer texts have several, and of the first overlap tried.
+CHUNK = 1 << 13
 OVERLAP = 256
-#: Spaces at which any text may be cut: the pre-tokenizer never joins one to a letter or digit before it.
-_SPACES = frozenset(" \n\t\r")
+#: White space at which a text may be cut, and characters after which it may.
+_SPACE = np.zeros(256, bool)
+_SPACE[[*b" \n\t\r"]] = True
+_GRAPHIC = np.zeros(256, bool)
+_GRAPHIC[0x21:0x7F] = True
+_GRAPHIC[[*b">"]] = False
 #: Two first bytes of white space, joiners and marks of order in UTF-8: U+0085, U+00A0, U+1680, U+180E, U+2000 to U+206F,
 #: U+3000 to U+303F, U+FEFF. Fixed values.
 _ODD = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,)))
@@ -37,10 +40,34 @@ class PieceCounts:
     """
 
     def __init__(self, path: str):
-        self.spaced = UnitIds(path, lower=False, lead=" ", joint=" ", opens=lambda token: token.startswith("Ġ"), closes=None)
-        self.bare = UnitIds(path, lower=False, lead="", joint="", opens=None, closes=None)
+        self.spaced = UnitIds(path, lead=" ", joint=" ", opens=lambda token: token.startswith("Ġ"), closes=None)
+        self.bare = UnitIds(path, lead="", joint="", opens=None, closes=None)
         self.line = len(tokenizer(path).encode("\n", add_special_tokens=False).ids)
 
+    def pieces(self, raw: np.ndarray, lead: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Starts of the words of one text, each with what is before it, and their tokens; nothing if it can't be made so.
+        With ``lead`` the text starts with a space or line break, as it stands within a longer one."""
+        starts, ends, _ = tk.word_spans(raw, np.array([0, len(raw)]))
+        if not len(starts) or starts[0] != lead or ends[-1] != len(raw) or len(odd_spaces(raw)):
+            return None
+        before = raw[np.maximum(starts - 1, 0)]
+        if (starts[1:] - ends[:-1] != 1).any() or not ((before == 0x20) | (before == 0x0A))[1 - lead :].all():
+            return None
+        line, spaced = before == 0x0A, before == 0x20
+        line[: 1 - lead], spaced[: 1 - lead] = False, False
+        s, e, word = split_marks(raw, starts, ends)
+        codes, units = distinct(raw, s, e)
+        first = np.zeros(len(s), bool)
+        first[word[:-1]] = spaced
+        sizes = np.empty(len(s), np.int64)
+        for known, some in ((self.spaced, first), (self.bare, ~first)):
+            sizes[some] = known.sizes(known.slots(codes[some], units))
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        tokens = total[word[1:]] - total[word[:-1]] + self.line * line
+        starts = starts - 1
+        starts[0] = 0
+        return starts, tokens
+
     def count(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The count of each text, and whether it could be made so."""
         starts, ends, first = tk.word_spans(raw, at)
@@ -68,8 +95,9 @@ class PieceCounts:
         spaced_unit = np.zeros(len(s), bool)
         spaced_unit[word[:-1]] = spaced[use]
         unit_row = np.repeat(row[use], np.diff(word))
+        codes, distinct_units = distinct(raw, s, e)
         for units, some in ((self.spaced, spaced_unit), (self.bare, ~spaced_unit)):
-            slots = units.slots(raw, s[some], e[some])
+            slots = units.slots(codes[some], distinct_units)
             out = out + np.bincount(unit_row[some], weights=units.sizes(slots), minlength=n).astype(np.int64)
         return out, fine
 
@@ -87,80 +115,137 @@ def odd_spaces(raw: np.ndarray) -> np.ndarray:
     return first[odd]
 
 
-def certain(text: str, at: int) -> bool:
-    """Whether the tokens before and after this position don't depend on each other.
+def certain(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Those of these bytes before and after which the tokens don't depend on each other: white space right after a character
+    that is none. No piece of the pre-tokenizer holds white space behind another character, and special tokens hold none.
 
-    No piece of the pre-tokenizer holds a letter or digit followed by a space, and no special token holds a space; so a
-    space after a letter or digit always starts a piece, and what precedes it can't reach over it.
+    An end bracket doesn't count, as special tokens may take white space after them; nor do characters other than ASCII, letters
+    and digits, of which some might be taken for white space.
     """
-    return text[at] in _SPACES and text[at - 1].isalnum()
+    places = places[_SPACE[raw[places]] & (places > 0)]
+    before = raw[places - 1]
+    sure = _GRAPHIC[before]
+    for k in np.flatnonzero(before >= 0x80).tolist():
+        sure[k] = raw[_edge(raw, places[k] - 1) : places[k]].tobytes().decode().isalnum()
+    return places[sure]
 
 
-def _splice(text: str, left: list[tuple[int, int]], left_from: int, right: list[tuple[int, int]], right_from: int) -> tuple[int, int] | None:
-    """Indices into both encodings of the last common token start in the overlap that is certain."""
-    ours = {a + right_from: k for k, (a, _) in reversed(list(enumerate(right)))}
-    end = left_from + left[-1][1] if left else 0
-    for k in range(len(left) - 1, -1, -1):
-        at = left_from + left[k][0]
-        if at <= right_from:
-            return None
-        if at < end and at in ours and (k == 0 or left[k - 1][1] + left_from <= at) and certain(text, at):
-            return k, ours[at]
-    return None
+def _edge(raw: np.ndarray, at: int) -> int:
+    """The start of the character that this byte belongs to."""
+    while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+Encode = Callable[[int, int], tuple[np.ndarray, np.ndarray]]
 
 
-def encode_long(text: str, encode: Callable[[str], tuple[list[int], list[tuple[int, int]]]], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The ids of a text as if encoded whole. ``encode`` gives ids and character offsets.
+def encode_long(raw: np.ndarray, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+    """What ``encode`` gives for the pieces of a text, as if it were encoded whole.
 
-    Each chunk begins ``overlap`` characters before the last one's end. The two encodings are joined at a common token
-    start that is certain; where the overlap has none it is doubled, at most to the whole of what has been read since the
-    last joint, after which the chunk itself grows. Text without any certain position is encoded whole.
+    ``encode`` takes the bounds of a chunk in bytes, and gives the starts of pieces in it and a value of each. Each chunk begins
+    ``overlap`` bytes before the last one's end. Two encodings are joined at the last common start that is certain; where the
+    overlap has none it is doubled, at most to the whole of what has been read since the last joint, after which the chunk
+    itself grows. Text without any certain position is encoded whole.
     """
-    ids: list[int] = []
-    begin, end = 0, min(chunk, len(text))
-    left, spans = encode(text[begin:end])
-    while end < len(text):
-        width, size, joint = overlap, chunk, None
+    out = []
+    begin, end = 0, _edge(raw, min(chunk, len(raw)))
+    starts, values = encode(begin, end)
+    while end < len(raw):
+        width, joint = overlap, None
         while joint is None:
-            width = min(width, end - begin)
-            start, stop = end - width, min(end + size, len(text))
-            right, other = encode(text[start:stop])
-            joint = _splice(text, spans, begin, other, start)
-            if joint is None and width == end - begin:  # nothing certain since the last joint: take both as one chunk
-                left, spans, end = *encode(text[begin:stop]), stop
+            start, stop = _edge(raw, max(begin, end - width)), _edge(raw, min(end + chunk, len(raw)))
+            others, theirs = encode(start, stop)
+            common = certain(raw, np.intersect1d(starts[starts > start], others[others < end]))
+            joint = int(common[-1]) if len(common) else None
+            if joint is None and start == begin:  # nothing certain since the last joint: take both as one chunk
+                (starts, values), end = encode(begin, stop), stop
                 break
             width *= 2
         if joint is not None:
-            at = spans[joint[0]][0] + begin
-            ids += left[: joint[0]]
-            left, spans = right[joint[1] :], [(a + start - at, b + start - at) for a, b in other[joint[1] :]]
-            begin, end = at, stop
-    return ids + left
+            out.append(values[starts < joint])
+            keep = others >= joint
+            starts, values, begin, end = others[keep], theirs[keep], joint, stop
+    return np.concatenate([*out, values])
+
+
+def by_library(raw: np.ndarray, path: str) -> Encode:
+    """Every token a piece, its id the value. Offsets follow from the bytes of the tokens, as the library's leave spaces out."""
+    t, widths = tokenizer(path), token_widths(path)
+
+    def encode(a, b):
+        ids = np.array(t.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, np.int64)
+        ends = np.cumsum(widths[ids])
+        if len(ids) and ends[-1] != b - a:
+            raise ValueError("not a tokenizer of bytes")
+        return a + ends - widths[ids], ids
+
+    return encode
+
+
+def by_words(raw: np.ndarray, pieces: PieceCounts, path: str) -> Encode:
+    """Every word a piece, the number of its tokens the value; the library's tokens where white space is unusual.
+
+    What lies before the first or after the last certain place of a chunk is left to its neighbours.
+    """
+    library = by_library(raw, path)
+
+    def encode(a, b):
+        sure = certain(raw, np.flatnonzero(_SPACE[raw[a:b]]) + a) if a or b < len(raw) else np.zeros(0, np.int64)
+        found = None
+        if len(sure) or a == 0 and b == len(raw):
+            p, q = 0 if a == 0 else int(sure[0]), b if b == len(raw) else int(sure[-1])
+            found = pieces.pieces(raw[p:q], p > 0)
+        if found is not None:
+            return p + found[0], found[1]
+        starts, ids = library(a, b)
+        return starts, np.ones(len(ids), np.int64)
+
+    return encode
 
 
 _counters: dict[str, PieceCounts] = {}
+_widths: dict[str, np.ndarray] = {}
 
 
-def _counted(path: str, huge: int, chunk: int, overlap: int):
-    def run(batches):
-        t, pieces = tokenizer(path), _counters.setdefault(path, PieceCounts(path))
+def token_widths(path: str) -> np.ndarray:
+    """The bytes of each token; the vocabulary writes each byte as one character."""
+    if path not in _widths:
+        vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
+        _widths[path] = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            _widths[path][k] = len(token)
+    return _widths[path]
 
-        def encode(text):
-            x = t.encode(text, add_special_tokens=False)
-            return x.ids, x.offsets
 
+def counts(raw: np.ndarray, offsets: np.ndarray, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text, and the chunks in which it was encoded. Only its own length decides how a text is encoded."""
+    t, pieces = tokenizer(path), _counters.setdefault(path, PieceCounts(path))
+    n_tokens, n_chunks = np.zeros(len(offsets) - 1, np.int64), np.ones(len(offsets) - 1, np.int64)
+
+    long = np.diff(offsets) > chunk
+    for k in np.flatnonzero(long):
+        text = raw[offsets[k] : offsets[k + 1]]
+        encode, bounds = by_words(text, pieces, path), []
+        n_tokens[k] = encode_long(text, lambda a, b: (bounds.append(a), encode(a, b))[1], chunk, overlap).sum()  # noqa: B023
+        n_chunks[k] = len(bounds)
+    rest = np.flatnonzero(~long)
+    sizes = np.diff(offsets)[rest]
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    short = raw[np.repeat(~long, np.diff(offsets))] if long.any() else raw
+    for a, b in tk.row_slices(at):
+        part, edges = short[at[a] : at[b]], at[a : b + 1] - at[a]
+        n_tokens[rest[a:b]], made = pieces.count(part, edges)
+        for i in np.flatnonzero(~made).tolist():
+            n_tokens[rest[a + i]] = len(t.encode(part[edges[i] : edges[i + 1]].tobytes().decode(), add_special_tokens=False).ids)
+    return n_tokens, n_chunks
+
+
+def _counted(path: str, chunk: int, overlap: int):
+    def run(batches):
         for batch in batches:
-            raw, offsets = tk.text_bytes(batch.column(1))
-            counts = np.zeros(len(offsets) - 1, np.int64)
-            for a, b in tk.row_slices(offsets):
-                part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                made = np.zeros(1, bool)
-                if b > a + 1 or len(part) <= huge:
-                    counts[a:b], made = pieces.count(part, at)
-                for k in np.flatnonzero(~made):
-                    text = part[at[k] : at[k + 1]].tobytes().decode()
-                    counts[a + k] = len(encode_long(text, encode, chunk, overlap) if len(text) > huge else encode(text)[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
+            n_tokens, n_chunks = counts(*tk.text_bytes(batch.column(1)), path, chunk, overlap)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens), pa.array(n_chunks)], ["doc_id", "n_bytes", "n_tokens", "n_chunks"])
 
     return run
 
@@ -171,11 +256,14 @@ def count_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = LIMIT,
-    huge: int = HUGE,
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
 ) -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens, over_limit)``, one row per input row, in one pass without a shuffle.
+    """``(doc_id, n_bytes, n_tokens, n_chunks, over_limit)``, one row per input row, in one pass without a shuffle.
+
+    Every text of more than ``chunk`` bytes is encoded in overlapping chunks, which are spliced; ``n_chunks`` says in how many
+    (an overlap that had to be widened counts again), and shorter ones are one chunk. Within a chunk the library encodes each
+    distinct word once, and all of it where white space is unusual. The tokenizer must be a BPE of bytes.
 
     Counts are those of the tokenizer's library for the whole text, without added special tokens; strings of special
     tokens inside texts are handled as the library does by default. Null texts count as empty: 0 bytes and tokens. Null or
@@ -185,6 +273,6 @@ def count_tokens(
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(
-        _counted(path, huge, chunk, overlap), "doc_id long, n_bytes long, n_tokens long"
+        _counted(path, chunk, overlap), "doc_id long, n_bytes long, n_tokens long, n_chunks long"
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

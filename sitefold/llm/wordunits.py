@@ -1,7 +1,7 @@
 """Ids of whole texts from those of their units: words without a closing mark, and the marks.
 
 A tokenizer whose pre-tokenizer cuts between two units encodes each of them alike wherever it stands. So a unit that has
-been seen is looked up, by a 64-bit hash of its bytes, and the library sees only new ones.
+been seen is looked up, by its bytes, and the library sees only new ones.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
-from sitefold.llm import textkernel as tk
-
-#: Units that a Python worker remembers.
-KNOWN = 1_000_000
+#: Units that a Python worker remembers at most, and their bytes; it then starts anew.
+KNOWN = 500_000
+KNOWN_BYTES = 32 << 20
 SPECIAL = "<|endoftext|>"
 _MARK = np.zeros(256, bool)
 _MARK[[*b".,!?;:"]] = True
@@ -59,6 +58,17 @@ def split_marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return s, e, at
 
 
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each unit the index of its bytes in a list of distinct ones."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    edges = np.empty(2 * len(starts), np.int64)  # units and what lies between them, by turns
+    edges[::2], edges[1::2] = starts, ends
+    all_parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))])
+    coded = all_parts.dictionary_encode()
+    return coded.indices.to_numpy()[::2], coded.dictionary.to_pylist()
+
+
 def _letters(unit: str) -> bool:
     return unit.isalpha() and max(unit) < "ɐ" and "İ" not in unit
 
@@ -71,8 +81,8 @@ class UnitIds:
     library's input before anything else happens; those that may hold one go alone.
     """
 
-    def __init__(self, path: str, lower: bool, lead: str, joint: str, opens: Callable[[str], bool] | None, closes: Callable[[str], bool] | None):
-        self.tokenizer, self.lower, self.lead, self.joint = tokenizer(path), lower, lead, joint
+    def __init__(self, path: str, lead: str, joint: str, opens: Callable[[str], bool] | None, closes: Callable[[str], bool] | None):
+        self.tokenizer, self.lead, self.joint = tokenizer(path), lead, joint
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens = opens is not None
@@ -83,7 +93,8 @@ class UnitIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.at = np.zeros(KNOWN // 8, np.int64)
         self.flat = np.zeros(KNOWN // 4, np.uint32)
 
@@ -115,25 +126,20 @@ class UnitIds:
             ids = self._encode(self.lead + units[k])
             yield [k], ids, np.array([len(ids)])
 
-    def slots(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each unit the place of its ids: ``flat[at[slot] : at[slot + 1]]``."""
-        if not len(starts):
+    def slots(self, codes: np.ndarray, units: list[bytes]) -> np.ndarray:
+        """For each code, an index into ``units``, the place of its ids: ``flat[at[slot] : at[slot + 1]]``."""
+        if not len(codes):
             return np.zeros(0, np.int64)
-        codes, unique = pd.factorize(tk.word_hashes(raw, starts, ends, self.lower))
-        keys = unique.tolist()
-        found = list(map(self.known.get, keys))
-        new = [k for k, x in enumerate(found) if x is None]
-        if new and len(self.known) + len(new) > KNOWN:
+        wanted = np.zeros(len(units), bool)
+        wanted[codes] = True
+        places = np.flatnonzero(wanted).tolist()
+        found = [self.known.get(units[k]) for k in places]
+        new = [n for n, x in enumerate(found) if x is None]
+        if new and (len(self.known) + len(new) > KNOWN or self.held > KNOWN_BYTES):
             self.clear()
-            new = list(range(len(keys)))
+            new = list(range(len(places)))
         if new:
-            first = np.empty(len(keys), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            data = raw.tobytes()
-            units = [data[i:j].decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            if self.lower:
-                units = [x.lower() if x.isascii() else x for x in units]
-            for some, ids, lengths in self._new(units):
+            for some, ids, lengths in self._new([units[places[n]].decode() for n in new]):
                 base = len(self.known)
                 stop = self.at[base] + np.cumsum(lengths)
                 while base + len(some) + 1 > len(self.at):
@@ -143,8 +149,12 @@ class UnitIds:
                 self.flat[self.at[base] : stop[-1]] = ids
                 self.at[base + 1 : base + len(some) + 1] = stop
                 for slot, k in enumerate(some, base):
-                    self.known[keys[new[k]]] = found[new[k]] = slot
-        return np.array(found)[codes]
+                    unit = units[places[new[k]]]
+                    self.known[unit] = found[new[k]] = slot
+                    self.held += len(unit)
+        table = np.zeros(len(units), np.int64)
+        table[places] = found
+        return table[codes]
 
     def sizes(self, slots: np.ndarray) -> np.ndarray:
         return self.at[slots + 1] - self.at[slots]

@@ -1,12 +1,14 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,9 +22,10 @@ from sitefold.llm.packing import pack_documents
 from sitefold.llm.quality import score_quality
 from sitefold.llm.substring_dedup import COVER, PERIOD, remove_repeats
 from sitefold.llm.token_counts import count_tokens
-from sitefold.llm.wordunits import tokenizer
+from sitefold.llm.wordunits import distinct, tokenizer
 from tests.llm.helpers import LOWER, WORDS, deduped_lines, near_copies, repeats
 
+DATA = "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string, key long, component long, o string, h1 int"
 
 
@@ -175,27 +178,52 @@ def odd_texts(n=1500):
 
 def test_long_encoding_is_that_of_the_whole():
     t = tokenizer(public_tokenizers.path(token_counts.TOKENIZER))
-
-    def encode(x):
-        y = t.encode(x, add_special_tokens=False)
-        return y.ids, y.offsets
-
-    texts = odd_texts(150) + ["x" * 3000, " " * 500, "ab " * 800, "a" + " " * 300 + "b"]
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    pieces, calls = token_counts.PieceCounts(path), []
+    texts = odd_texts(150) + ["x" * 3000, " " * 500, "ab " * 800, "a" + " " * 300 + "b", "one two\nthree four, five" * 50, "Ж ж\nё " * 90 + "й"]
     for x in texts:
         for chunk, overlap in ((16, 4), (50, 3), (200, 20)):
-            assert token_counts.encode_long(x * 3, encode, chunk, overlap) == encode(x * 3)[0]
+            ids, raw = t.encode(x * 3, add_special_tokens=False).ids, np.frombuffer((x * 3).encode(), np.uint8)
+            assert token_counts.encode_long(raw, token_counts.by_library(raw, path), chunk, overlap).tolist() == ids
+            assert token_counts.encode_long(raw, token_counts.by_words(raw, pieces, path), chunk, overlap).sum() == len(ids)
+    raw = np.frombuffer(b"two  spaces, then words.\n" * 400, np.uint8)
+    encode = token_counts.by_library(raw, path)
+    assert token_counts.encode_long(raw, lambda a, b: (calls.append(b - a), encode(a, b))[1], 1000, 64).tolist() == t.encode(raw.tobytes().decode()).ids
+    assert 10 <= len(calls) <= 12 and max(calls) < 1100
 
 
 def test_token_counts(spark):
     t = tokenizer(public_tokenizers.path(token_counts.TOKENIZER))
     texts = [*odd_texts(), " ".join(["word"] * 40_000), "plain words, with marks. And lines\nof text!"]
     rows = [*enumerate(texts), (None, None), (0, texts[0])]
-    got = count_tokens(frame(spark, rows), huge=2000, chunk=700, overlap=16).collect()
+    got = count_tokens(frame(spark, rows), chunk=700, overlap=16).collect()
     assert len(got) == len(rows)
     for r in got:
         x = "" if r.doc_id is None else texts[r.doc_id]
         n = len(t.encode(x, add_special_tokens=False).ids)
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(x.encode()), n, n > 512)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(x.encode()), n, n > 512) and (r.n_chunks > 1) == (len(x.encode()) > 700)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the synthetic tables")
+def test_long_documents_are_spliced():
+    """Every text over one chunk is encoded in chunks, whatever stands beside it; all counts are the library's."""
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    texts = pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].to_pylist()
+    raw, at = textkernel.text_bytes(pa.array(texts, pa.string()))
+    n_tokens, n_chunks = token_counts.counts(raw, at, path)
+    sizes = np.diff(at)
+    assert (sizes > token_counts.CHUNK).sum() > 300 and (n_chunks > 1).tolist() == (sizes > token_counts.CHUNK).tolist() and (n_chunks >= sizes / token_counts.CHUNK).all()
+    want = tokenizer(path).encode_batch([x or "" for x in texts], add_special_tokens=False)
+    assert n_tokens.tolist() == [len(x.ids) for x in want]
+
+
+def test_equal_hashes_would_not_mix_units():
+    """Remembered units are compared by their bytes: as many distinct ones come back as there are."""
+    words = [b"a", b"b", b"a", b"", b"ab", b"\xc3\xa9", b"b"]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    codes, units = distinct(raw, ends - [len(w) for w in words], ends)
+    assert [units[k] for k in codes] == words
 
 
 def test_packing(spark):
