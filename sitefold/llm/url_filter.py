@@ -1,10 +1,11 @@
 """URL verdicts: explicit rules first, then logistic regression on hashed character n-grams of host and path.
 
-Only DataFrame functions are used, for the fit as well.
+All rows are judged by DataFrame functions. The fit collects a bounded number of labelled urls.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,31 +14,43 @@ BUCKETS = 1 << 10
 GRAMS = (3, 4)
 #: Positions of a path or host that are read from one piece: a place in a string is found by counting from its start.
 PIECE = 512
-ROUNDS = 40
+ROUNDS = 200
 RATE = 4.0
 PENALTY = 1e-4
-#: Rows of the labelled table that a fit reads at most.
+#: Distinct labelled urls that a fit uses at most (about; more are sampled by a hash of the url).
 LABELLED = 10_000
-#: Rules are tested one by one up to this number, beyond it by a join.
+#: Rules are tested one by one up to this number, beyond it by a join on host suffixes, with the same results.
 INLINE_RULES = 200
 
-#: (url, 1 to block or 0 to allow). Invented hosts that show what is meant.
-LABELLED_URLS = tuple(
-    (f"https://{prefix}{host}{path}", block)
-    for block, hosts in (
-        (1, (
-            "ads-track.test", "adserver.test", "click-ads.invalid", "banner-ads.test", "tracker-ads.invalid", "casino-win.test", "casino-spin.invalid", "win-casino.invalid",
-            "free-bets.test", "bets-online.invalid", "sport-bets.invalid", "cheap-pills.test", "pills-shop.invalid", "cheap-meds.invalid", "adult-x.test", "adult-cams.invalid", "xxx-adult.test", "x-cams.invalid", "spam-links.invalid", "link-farm.test",
-        )),
-        (0, (
-            "garden.test", "cooking.invalid", "library.test", "village.invalid", "school.test", "museum.invalid", "project.test", "weather.invalid", "thering.test", "station.invalid", "hiking.test", "atlas.invalid",
-            "thistle.test", "heather.test", "northern.invalid", "another.test", "gathering.invalid", "theatre.test", "thatch.invalid", "mother-earth.test", "wetlands.invalid", "tension.test", "thread.invalid", "author.test",
-        )),
-    )
-    for k, host in enumerate(hosts)
-    for prefix in (("", "m."), ("", "blog."), ("www.", "m."))[k % 3]
-    for path in ("/en/17", "/de/4021.html", "/fr/88/", "/es/9530", "/", "/about", "/guide/index.html")[k % 2 :: 2]
+#: Invented hosts and paths that show what is meant. Fixed values.
+_BLOCKED_HOSTS = (
+    "ads-track.test", "adserver.test", "click-ads.invalid", "banner-ads.test", "tracker-ads.invalid", "casino-win.test", "casino-spin.invalid", "win-casino.invalid", "free-bets.test", "bets-online.invalid",
+    "sport-bets.invalid", "cheap-pills.test", "pills-shop.invalid", "cheap-meds.invalid", "adult-x.test", "adult-cams.invalid", "xxx-adult.test", "x-cams.invalid", "spam-links.invalid", "link-farm.test",
 )
+_ALLOWED_HOSTS = (
+    "garden.test", "cooking.invalid", "library.test", "village.invalid", "school.test", "museum.invalid", "project.test", "weather.invalid", "thering.test", "station.invalid", "hiking.test", "atlas.invalid",
+    "thistle.test", "heather.test", "northern.invalid", "another.test", "gathering.invalid", "theatre.test", "thatch.invalid", "mother-earth.test", "wetlands.invalid", "tension.test", "thread.invalid", "author.test",
+)
+#: Hosts of both kinds of pages: only the path tells.
+_MIXED_HOSTS = ("portal.test", "daily.invalid", "mirror.test", "forum.invalid", "homepages.test", "review.invalid", "journal.test", "community.invalid", "webring.test", "bulletin.invalid")
+_BLOCKED_PATHS = ("/ads/click/17", "/track/pixel.gif", "/banner/728x90.html", "/casino/free-spins", "/bets/jackpot-odds", "/pills/buy-cheap", "/adult/live-cams", "/spam/link-exchange")
+_ALLOWED_PATHS = ("/about", "/guide/index.html", "/recipes/soup", "/docs/manual", "/news/2021/story", "/library/catalogue", "/events/concert", "/research/paper")
+_PLAIN_PATHS = ("/", "/en/17", "/de/4021.html", "/fr/88/", "/es/9530")
+
+
+def _labelled_urls() -> tuple[tuple[str, int], ...]:
+    out = []
+    for block, hosts, paths in ((1, _BLOCKED_HOSTS, _BLOCKED_PATHS), (0, _ALLOWED_HOSTS, _ALLOWED_PATHS)):
+        for k, host in enumerate(hosts):
+            for prefix in (("", "m."), ("", "blog."), ("www.", "m."))[k % 3]:
+                out += [(f"https://{prefix}{host}{path}", block) for path in (*paths[k % 4 :: 4], *_PLAIN_PATHS[k % 2 :: 2])]
+        for k, host in enumerate(_MIXED_HOSTS):
+            out += [(f"https://{host}{path}", block) for path in paths[k % 2 :: 2]]
+    return tuple(out)
+
+
+#: (url, 1 to block or 0 to allow).
+LABELLED_URLS = _labelled_urls()
 
 
 def host_of(url: Column) -> Column:
@@ -53,7 +66,7 @@ def path_of(url: Column) -> Column:
 
 def _rest(url: Column) -> Column:
     at = F.locate("://", url)
-    return F.coalesce(F.when(at > 0, F.expr("substring({0}, locate('://', {0}) + 3)".format("url"))), F.lit(""))
+    return F.coalesce(F.when(at > 0, url.substr(at + 3, F.length(url))), F.lit(""))
 
 
 def _grams(part: str, seed: int) -> Column:
@@ -79,24 +92,31 @@ def _margin(weights: list[float], bias: float) -> Column:
     return (total / F.sqrt(F.greatest(F.size("buckets"), F.lit(1))) + F.lit(float(bias))).alias("margin")
 
 
-def fit_weights(labelled: DataFrame, rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY) -> tuple[list[float], float]:
+def fit_weights(labelled: DataFrame, rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY, most: int = LABELLED) -> tuple[list[float], float]:
     """Weights of a penalised logistic regression by gradient descent; ``labelled`` has ``url`` and ``block`` (0 or 1).
 
-    Each round is one small aggregation; the driver keeps the 2 * BUCKETS weights. Rows with a null url or label are left
-    out. Without rows all weights are 0. At most LABELLED rows are read.
+    Rows with a null url or label are left out; such without a host count like any other; repeated rows weigh as many times.
+    Of more than ``most`` distinct urls about so many are taken, by a hash of the url. Their buckets come to the driver in one
+    job, as they are few whatever the size of the tables that are judged. Without rows all weights are 0.
     """
-    rows = url_buckets(labelled.where("url IS NOT NULL AND block IN (0, 1)").select("url", "block").limit(LABELLED)).select("block", "buckets").coalesce(1).cache()
-    n = rows.count()
-    weights, bias = [0.0] * (2 * BUCKETS), 0.0
-    for _ in range(rounds if n else 0):
-        error = (1 / (1 + F.exp(-_margin(weights, bias))) - F.col("block")).alias("error")
-        slopes = rows.select(error, "buckets").select("error", (F.col("error") / F.sqrt(F.size("buckets"))).alias("share"), F.explode("buckets").alias("bucket"), F.size("buckets").alias("n"))
-        got = slopes.groupBy("bucket").agg(F.sum("share").alias("slope"), F.sum(F.col("error") / F.col("n")).alias("bias")).collect()
-        bias -= rate * sum(x["bias"] for x in got) / n
-        step = {x["bucket"]: x["slope"] / n for x in got}
-        weights = [w - rate * (step.get(k, 0.0) + penalty * w) for k, w in enumerate(weights)]
-    rows.unpersist()
-    return weights, bias
+    known = labelled.where("url IS NOT NULL AND block IN (0, 1)").groupBy("url", "block").agg(F.count(F.lit(1)).alias("n"))
+    n = known.count()
+    if n > most:
+        known = known.where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * most / n))
+    rows = url_buckets(known).select("block", "n", "buckets").collect()
+    weights, bias = np.zeros(2 * BUCKETS), 0.0
+    if not rows:
+        return weights.tolist(), bias
+    block, times = np.array([r["block"] for r in rows], float), np.array([r["n"] for r in rows], float)
+    sizes = np.array([len(r["buckets"]) for r in rows])
+    row, bucket = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.array(r["buckets"], int) for r in rows])
+    scale = 1 / np.sqrt(sizes)
+    for _ in range(rounds):
+        margin = np.bincount(row, weights[bucket], len(rows)) * scale + bias
+        error = times * (1 / (1 + np.exp(-margin)) - block) / times.sum()
+        weights -= rate * (np.bincount(bucket, (error * scale)[row], 2 * BUCKETS) + penalty * weights)
+        bias -= rate * error.sum()
+    return weights.tolist(), float(bias)
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
@@ -122,16 +142,17 @@ def _ruled(parts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         return parts.withColumn("rule", rule).withColumn("rule_verdict", verdict)
     spark = parts.sparkSession
     table = spark.createDataFrame([(k, *_rule_parts(t), t, v) for k, (t, v) in enumerate(ranked)], "place int, rule_host string, rule_path string, rule string, rule_verdict string")
-    keyed = parts.withColumn("row", F.monotonically_increasing_id()).withColumn("labels", F.split("host", r"\."))
-    ends = keyed.select("row", "path", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")).alias("rule_host"))
-    best = ends.join(table, "rule_host").where("startswith(path, rule_path)").groupBy("row").agg(F.min(F.struct("place", "rule", "rule_verdict")).alias("best"))
-    return keyed.join(best, "row", "left").select(*parts.columns, "best.rule", "best.rule_verdict")
+    pairs = parts.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
+    ends = pairs.select("host", "path", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")).alias("rule_host"))
+    best = ends.join(table, "rule_host").where("startswith(path, rule_path)").groupBy("host", "path").agg(F.min(F.struct("place", "rule", "rule_verdict")).alias("best"))
+    return parts.join(best, ["host", "path"], "left").select(*parts.columns, "best.rule", "best.rule_verdict")
 
 
 def judge_urls(
-    pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5
+    pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5,
+    most: int = LABELLED,
 ) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, score)``, one row per input row, without a shuffle.
+    """``(page_id, host, path, rule, verdict, score)``, one row per input row, without a shuffle of its rows.
 
     ``rules`` are ``(host/path, block or allow)``: a rule fits its host and all subdomains if the path starts with its path;
     the longest wins. Where none fits, the verdict is block if the model's score is at least ``threshold``. Null urls and
@@ -139,7 +160,7 @@ def judge_urls(
     other columns are ignored; urls of any length are read whole, for the score and for the rules.
     """
     spark = pages.sparkSession
-    weights, bias = fit_weights(labelled if labelled is not None else labelled_urls(spark))
+    weights, bias = fit_weights(labelled if labelled is not None else labelled_urls(spark), most=most)
     parts = url_buckets(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")))
     scored = _ruled(parts.withColumn("score", 1 / (1 + F.exp(-_margin(weights, bias)))), rules)
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
