@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm import textkernel as tk
-from sitefold.llm.workspace import Workspace, bound_arrow_batches
+from sitefold.llm.workspace import Workspace, bound_arrow_batches, spread_join
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members. So for any two positions i and j
@@ -124,7 +124,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are judged on the input. Runs of ``window - PERIOD + 1`` words are hashed at cover positions only: equal windows share
     an anchor at the same place, whatever their positions. Anchors of one document only are dropped; the rest are
     extended to the whole windows around them, and the smallest doc_id of each window's hash (64 bits) decides. Both
-    steps are partial minima, so passages that very many documents share cost one row a task and key. A document with the
+    steps are partial minima, so passages that very many documents share cost one row a task and key, and where rows are joined
+    with these minima a common key is dealt out over many tasks. A document with the
     words of an earlier one loses all of them and takes no further part.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, case kept. Null texts have no words. Rows with a null doc_id
@@ -142,14 +143,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         base.where("doc_id IS NOT NULL AND size(anchors) > 0").select("doc_id", "anchors").join(copies, "doc_id", "left_anti")
         .select("doc_id", F.posexplode("anchors").alias("place", "key"))
     )
-    shared = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    marks = space.write(anchors.join(shared, "key").groupBy("doc_id").agg(F.collect_list("place").alias("places")), "marks")
+    shared = space.write(anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n"), "shared")
+    marks = space.write(spread_join(anchors, shared, F.xxhash64("doc_id", "place")).groupBy("doc_id").agg(F.collect_list("place").alias("places")), "marks")
     near = space.write(texts.join(marks, "doc_id").select("doc_id", "text", "places"), "near")
     windows = near.mapInArrow(_near_anchors(window), "key long, doc long, start int")
-    first = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "lo")
-    repeats = windows.join(first, "key").where("doc > lo").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("start").alias("starts"))
+    first = space.write(windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "lo", "n"), "first")
+    repeats = spread_join(windows, first, F.xxhash64("doc", "start")).where("doc > lo").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("start").alias("starts"))
     repeats = space.write(repeats, "repeats")
-    space.drop("marks")
+    space.drop("marks", "shared", "first")
     changed = (
         near.select("doc_id", "text").join(repeats, "doc_id").select("doc_id", "text", "starts")
         .mapInArrow(_without(window), "doc_id long, n_removed long, changed_sha256 string, kept_text string")

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,3 +55,16 @@ def bound_arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 8 <<
     """Keep Arrow batches small enough for long texts: at most so many rows and about so many bytes each."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def spread_join(left: DataFrame, counted: DataFrame, by: Column, parts: int = 4096) -> DataFrame:
+    """``left`` joined with ``counted (key, n, ...)``, which has one row for each key and says how many rows of ``left`` have it.
+
+    A key with more than one of ``parts`` shares of these rows is dealt out over as many tasks as it has shares, by the hash
+    ``by``. There can be no more than ``parts`` such keys, so they are broadcast.
+    """
+    share = max(1, (counted.agg(F.sum("n")).first()[0] or 0) // parts)
+    hot = F.broadcast(counted.where(F.col("n") > share).select("key", F.expr(f"cast(ceil(n / {share}D) AS int)").alias("tasks")))
+    dealt = left.join(hot, "key", "left").withColumn("task", F.pmod(by, F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
+    copies = counted.withColumn("task", F.explode(F.expr(f"sequence(0, CASE WHEN n > {share} THEN cast(ceil(n / {share}D) AS int) ELSE 1 END - 1)"))).drop("n")
+    return dealt.join(copies, ["key", "task"]).drop("task")
