@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm.components import connected_components
-from sitefold.llm.workspace import Workspace, bound_arrow_batches
+from sitefold.llm.workspace import Workspace, bound_arrow_batches, spread_join
 
 COSINE = 0.93
 #: Rows down to which the longest keys tried would cut a label whose vectors point everywhere.
@@ -150,21 +150,21 @@ def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, close, own: bo
 
 
 def _counted(cosine: float):
-    """Links between two blocks of a bundle of components."""
+    """Links between two blocks of a bundle of components; a vector counts as often as it has copies, itself included."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def sides(t):
             order = np.argsort(t["component"].to_numpy(), kind="stable")
-            return t["component"].to_numpy()[order], t["vec_id"].to_numpy()[order], [t["vector"].combine_chunks()[int(k)].as_py() for k in order]
+            return (*(t[c].to_numpy()[order] for c in ("component", "vec_id", "weight")), t["vector"].combine_chunks().take(pa.array(order)).to_pylist())
 
-        (c1, i1, v1), (c2, i2, v2) = sides(left), sides(right)
+        (c1, i1, _, v1), (c2, i2, w2, v2) = sides(left), sides(right)
         ids, counts = [], []
         for c in np.intersect1d(c1, c2):
             (a, b), (e, f) = np.searchsorted(c1, [c, c + 1]), np.searchsorted(c2, [c, c + 1])
             x, y = (np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1) for v in (v1[a:b], v2[e:f]))
-            linked = (cosines(x, y) >= cosine) & (i1[a:b, None] != i2[None, e:f])
+            linked = (cosines(x, y) >= cosine) | (i1[a:b, None] == i2[None, e:f])
             ids.append(i1[a:b])
-            counts.append(linked.sum(1))
+            counts.append(linked.astype(np.int64) @ w2[e:f])
         empty = np.zeros(0, np.int64)
         return pa.table({"vec_id": np.concatenate(ids or [empty]), "n": np.concatenate(counts or [empty]).astype(np.int64)})
 
@@ -189,7 +189,7 @@ def near_vectors(
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per input row.
 
-    Equal vectors of a label are joined first, and one of them stands for all. Each pass sorts the vectors, within labels, by
+    Of equal vectors of a label the one with the smallest id stands for all. Each pass sorts the vectors, within labels, by
     the signs of random projections and compares every vector with all of its run, that is, those with the same key. So the
     chance that a pair at the threshold meets follows from the number of bits alone, however the vectors of a label are
     spread, and the passes are as many as leave at most ``miss``. What the spread changes is the length of the runs: it is
@@ -197,11 +197,12 @@ def near_vectors(
     runs are split into blocks, and each pair of blocks is compared by some task.
 
     The verified pairs of all passes are joined into components. Links are then counted exactly within components, block by
-    block, so that a group of copies gets all its links while no pair of them is written.
+    block, each vector with the number of its copies as weight, so that a group of copies gets all its links while no pair of
+    them is made. Copies are rows of one 128-bit hash; they take their result from the first of them.
 
     Null, empty or zero vectors, such with null or non-finite components, and those with a null label link with nothing;
     neither do vectors of different lengths. Rows with a null id are returned alone, with a null component. Rows that repeat
-    an id are one vector. Other columns are ignored.
+    an id are one vector, the smallest by (label, length, bytes) if they differ. Other columns are ignored.
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "vectors")
@@ -209,12 +210,13 @@ def near_vectors(
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     usable = base.where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
     packed = space.write(usable.mapInArrow(_packed, "label long, dims int, vec_id long, vector binary"), "packed")
-    equal = packed.groupBy("label", "dims", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("deal")).agg(F.min("vec_id").alias("vec_id"), F.collect_set("vec_id").alias("ids"))
-    equal = space.write(equal, "equal")
-    single = space.write(equal.groupBy("label", "dims", "vector").agg(F.min("vec_id").alias("vec_id"), F.collect_set("vec_id").alias("ids")), "single")
-    copies = equal.unionByName(single, allowMissingColumns=True).select(F.col("vec_id").alias("a"), F.explode("ids").alias("b")).where("a < b")
-    single = single.select("label", "dims", "vec_id", "vector")
-    chosen = space.write(_chosen(single, cosine, window, miss), "chosen")
+    again = packed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
+    least = packed.join(again, "vec_id").groupBy("vec_id").agg(F.min(F.struct("label", "dims", "vector")).alias("x"))
+    packed = packed.join(again, "vec_id", "left_anti").select("label", "dims", "vec_id", "vector").unionByName(least.select("x.*", "vec_id"))
+    marked = space.write(packed.select("vec_id", F.struct("label", "dims", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")).alias("key")), "marked")
+    reps = space.write(marked.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+    single = space.write(packed.join(reps.select(F.col("rep").alias("vec_id"), F.col("n").alias("weight")), "vec_id").select("label", "dims", "vec_id", "vector", "weight"), "single")
+    chosen = space.write(_chosen(single.drop("weight"), cosine, window, miss), "chosen")
     most = chosen.agg(F.max("passes")).first()[0] or 1
     dealt = single.join(chosen, ["label", "dims"]).select("label", "dims", "vec_id", "vector", "bits", "passes")
     kind = "label long, dims int, pass int, key long"
@@ -226,23 +228,25 @@ def near_vectors(
     total = chosen.agg(F.coalesce(F.sum(F.col("passes") * F.col("rows")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 15))
     met = rows.repartition(parts, *_SORT).sortWithinPartitions(*_SORT).mapInArrow(_met(cosine), "a long, b long")
-    links = space.write(met.unionByName(copies).distinct(), "links")
+    links = space.write(met.distinct(), "links")
     labels = space.write(connected_components(links, space), "members")
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    one = packed.select("vec_id", "vector")
-    members = space.write(one.join(labels.withColumnRenamed("node", "vec_id"), "vec_id").join(sizes, "component").dropDuplicates(["vec_id"]), "linked")
-    bundles = max(1, labels.count() // BLOCK)
+    members = space.write(single.select("vec_id", "vector", "weight").join(labels.withColumnRenamed("node", "vec_id"), "vec_id").join(sizes, "component"), "linked")
+    bundles = max(1, members.count() // BLOCK)
     members = members.withColumn("blocks", F.expr(f"shiftleft(1, greatest(0, cast(ceil(log2(size / {BLOCK}D)) AS int)))"))
     members = members.select(
         F.when(F.col("blocks") > 1, -1 - F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bundles))).alias("bundle"),
-        "blocks", F.expr("cast(xxhash64(vec_id) & (blocks - 1) AS int)").alias("block"), "component", "vec_id", "vector",
+        "blocks", F.expr("cast(xxhash64(vec_id) & (blocks - 1) AS int)").alias("block"), "component", "vec_id", "weight", "vector",
     )
-    left = members.select("bundle", F.col("block").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), "component", "vec_id", "vector")
-    right = members.select("bundle", F.col("block").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), "component", "vec_id", "vector")
+    left = members.select("bundle", F.col("block").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), "component", "vec_id", "weight", "vector")
+    right = members.select("bundle", F.col("block").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), "component", "vec_id", "weight", "vector")
     keys = ["bundle", "i", "j"]
     counts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_counted(cosine), "vec_id long, n long")
-    counts = space.write(counts.groupBy("vec_id").agg(F.sum("n").alias("n")), "counts")
-    out = base.select("vec_id").join(counts, "vec_id", "left").join(labels.toDF("vec_id", "component"), "vec_id", "left")
+    counts = space.write(counts.groupBy("vec_id").agg((F.sum("n") - 1).alias("n")), "counts")
+    found = reps.join(counts.toDF("rep", "links"), "rep", "left").join(labels.toDF("rep", "component"), "rep", "left")
+    found = found.select("key", "n", F.coalesce("links", F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    result = spread_join(marked, space.write(found, "found"), F.xxhash64("vec_id")).select("vec_id", F.col("links").alias("n"), "component")
+    out = base.select("vec_id").join(result, "vec_id", "left")
     return out.select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"),

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sitefold.llm import packing, textkernel, token_counts
+from sitefold.llm import packing, quality, textkernel, token_counts
 from sitefold.llm.line_dedup import dedup_lines
 from sitefold.llm.minhash_dedup import near_duplicates
 from sitefold.llm.mixing import mix_to_targets
@@ -23,6 +23,7 @@ from sitefold.llm.quality import score_quality
 from sitefold.llm.substring_dedup import COVER, PERIOD, remove_repeats
 from sitefold.llm.token_counts import count_tokens
 from sitefold.llm.wordunits import distinct, tokenizer
+from sitefold.llm.workspace import spread_join
 from tests.llm.helpers import LOWER, WORDS, deduped_lines, near_copies, repeats
 
 DATA = "/root/testdata/sf0.1"
@@ -300,6 +301,95 @@ def test_mixing(spark):
     assert {r.rate for r in mix_to_targets(frame(spark, texts[:5]), labelled.limit(0)).collect()} == {1.0}
 
 
+def test_scores_are_those_of_plain_discriminants(spark):
+    """Two Gaussians by determinants and solved systems, from the same statistics; a row that repeats counts twice."""
+    rng = random.Random(14)
+    words = vocabulary(rng)
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(1, 40))) + "." * (i % 3) if i % 4 else junk(rng, words) for i in range(300)}
+    labels = {i: int(i % 4 > 0) for i in texts if i % 7}
+    rows = [*texts.items(), (8, texts[8])]
+    got = {r.doc_id: r.score for r in score_quality(frame(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    x = quality.statistics(*textkernel.text_bytes(pa.array([t for _, t in rows], pa.string())))
+    use = [k for k, (i, _) in enumerate(rows) if i in labels and zlib.crc32(str(i).encode()) % 5]
+    y, z, d = np.array([labels[rows[k][0]] for k in use]), x[use], x.shape[1]
+    parts = [z[y == c] for c in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in parts]
+    pooled = np.diag(sum(len(p) * c for p, c in zip(parts, cov, strict=True)) / len(z))
+
+    def density(c, v):
+        own = quality.SHRINKAGE + (1 - quality.SHRINKAGE) * d / (d + len(parts[c]))
+        s = (1 - own) * cov[c] + own * np.diag(pooled) + quality.FLOOR * np.eye(d)
+        gap = v - parts[c].mean(0)
+        return np.log(len(parts[c]) / len(z)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * gap @ np.linalg.solve(s, gap)
+
+    for (i, _), v in zip(rows, x, strict=True):
+        assert abs(got[i] - 1 / (1 + np.exp(np.clip((density(0, v) - density(1, v)) / quality.TEMPERATURE, -700, 700)))) < 1e-6
+
+
+def test_rates_are_those_of_brute_force(spark):
+    """Naive Bayes memberships and projected gradients in plain Python and NumPy; a repeated row adds its words."""
+    rng, d = random.Random(15), 3
+    tongues = [vocabulary(random.Random(k), 25) for k in range(d)]
+    texts = [(i, " ".join(rng.choices(tongues[i * i % d] + tongues[0][:3], k=rng.randint(0, 50)))) for i in range(120)] + [(7, "a b")]
+    labelled = {i: "xyz"[i * i % d] for i in range(0, 120, 2)}
+    targets = {"x": 0.3, "y": 0.7, "z": 0.0, "nowhere": 0.2}
+    with pytest.warns(UserWarning, match="nowhere"):
+        got = {r.doc_id: r for r in mix_to_targets(frame(spark, texts), spark.createDataFrame(list(labelled.items()), "doc_id long, domain string"), targets).collect()}
+    bags = {}
+    for i, t in texts:
+        bags[i] = bags.get(i, []) + t.split()
+    distinct_words = sorted({w for b in bags.values() for w in b})
+    code = {r.w: r.b for r in spark.createDataFrame([(w,) for w in distinct_words], "w string").selectExpr("w", "pmod(xxhash64(w), 4096) AS b").collect()}
+    names = sorted(set(labelled.values()))
+    counts = np.zeros((len(names), 4096))
+    for i, k in labelled.items():
+        for w in bags[i]:
+            counts[names.index(k), code[w]] += 1
+    weights = np.log((counts + 1) / (counts.sum(1, keepdims=True) + 4096))
+    prior = np.log([sum(v == k for v in labelled.values()) / len(labelled) for k in names])
+    ids, n = sorted(bags), np.array([len(bags[i]) for i in sorted(bags)], float)
+    scores = np.array([sum((weights[:, code[w]] for w in bags[i]), np.zeros(len(names))) * min(24, len(bags[i])) / max(1, len(bags[i])) + prior for i in ids])
+    p = np.exp(scores - scores.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    want = np.array([targets[k] for k in names])
+    want /= want.sum()
+    have, total, rate = (n[:, None] * p).sum(0), n.sum(), np.ones(len(ids))
+    root = np.sqrt(total / have)
+    step = 1 / np.linalg.eigvalsh(root[:, None] * ((n[:, None] * p).T @ p) / total * root)[-1]
+    for _ in range(200):
+        gap = ((rate * n)[:, None] * p).sum(0) / total - want
+        if np.abs(gap).max() < 1e-5:
+            break
+        rate = np.maximum(0, rate - p @ (step * root**2 * gap))
+    assert [got[i].n_tokens for i in ids] == n.tolist() and np.allclose([got[i].rate for i in ids], rate, atol=1e-6)
+    assert np.allclose([got[i].membership for i in ids], p.max(1), atol=1e-9)
+
+
+def test_samples_of_labelled_documents_keep_rare_domains(spark):
+    texts = [(i, "rare words here " * 9 if i == 7 else f"common word{i % 5} " * 9) for i in range(400)]
+    labelled = spark.createDataFrame([(i, "rare" if i == 7 else "common") for i in range(400)], "doc_id long, domain string")
+    got = {r.doc_id: r.domain for r in mix_to_targets(frame(spark, texts), labelled, {"rare": 0.5, "common": 0.5}, most=20).collect()}
+    assert got[7] == "rare" and got[8] == "common"
+    many = spark.range(1200).selectExpr("id AS doc_id", "cast(id AS string) AS domain")
+    with pytest.raises(ValueError, match="domains"):
+        mix_to_targets(frame(spark, texts), many)
+
+
+def test_repeats_of_a_very_common_passage(spark):
+    """A third of all documents share one passage; keys with more than one of a few shares are dealt out."""
+    rng = random.Random(16)
+    words = vocabulary(rng)
+    shared = rng.choices(words, k=60)
+    texts = {i: " ".join([*rng.choices(words, k=rng.randint(0, 20)), *(shared if i % 3 == 0 else []), *rng.choices(words, k=5)]) for i in range(90)}
+    want = repeats(texts)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(frame(spark, texts.items())).collect()}
+    assert got == {i: v[:2] for i, v in want.items()} and sum(v[1] for v in want.values()) > 1500
+    left = spark.range(1000).selectExpr("CASE WHEN id < 900 THEN 1 ELSE id END AS key", "id")
+    counted = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"))
+    spread = spread_join(left, counted, F.xxhash64("id"), parts=10)
+    assert sorted(map(tuple, spread.select("key", "id", "lo").collect())) == sorted((1 if i < 900 else i, i, 0 if i < 900 else i) for i in range(1000))
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).where("doc_id = 2")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")

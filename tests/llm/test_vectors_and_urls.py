@@ -145,6 +145,15 @@ def test_long_runs_are_compared_whole(spark, monkeypatch):
     assert {r.vec_id: r.component_id for r in near_vectors(frame(spark, rows)).collect()} == want
 
 
+def test_ids_with_different_vectors(spark):
+    """The smallest vector of an id counts, wherever it stands."""
+    rows = [(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [0.0, 1.0], 2), (4, [0.0, 1.0], 1)]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(frame(spark, order)).collect())
+        smallest_is_first = np.array([0.0, 1.0]).tobytes() < np.array([1.0, 0.0]).tobytes()
+        assert smallest_is_first and got == [(1, 0, 1), (2, 2, 2), (2, 2, 2), (3, 2, 2), (4, 2, 2), (4, 2, 2)]
+
+
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 URLS = {
     1: ("https://www.Example.COM/en/12?x#y", "www.example.com", "/en/12", "com/en/", "block"), 2: ("http://example.com/en/7", "example.com", "/en/7", "example.com/en/7", "allow"),
