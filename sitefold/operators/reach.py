@@ -15,7 +15,7 @@ def edges(state: DataFrame) -> DataFrame:
     return rows.select("src", F.regexp_replace("dst", r"(?s)#.*$", "").alias("dst")).distinct()
 
 
-def reachable_keys(state: DataFrame, entry_key: str, rounds: int = 10_000) -> DataFrame:
+def reachable_keys(state: DataFrame, entry_key: str) -> DataFrame:
     """``(url_key, depth)`` of all rows that can be reached; empty if the entry is no row.
 
     A breadth-first walk: each round joins the frontier with the edges and drops what was seen. It passes through rows of any
@@ -24,7 +24,7 @@ def reachable_keys(state: DataFrame, entry_key: str, rounds: int = 10_000) -> Da
     links = cut(edges(state).join(state.select(F.col("url_key").alias("dst")), "dst", "left_semi"))
     frontier = cut(state.where(F.col("url_key") == entry_key).select("url_key").withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
-    while depth < rounds:
+    while True:
         depth += 1
         step = links.join(frontier.select(F.col("url_key").alias("src")), "src").select(F.col("dst").alias("url_key")).distinct()
         frontier = cut(step.join(seen.select("url_key"), "url_key", "left_anti").withColumn("depth", F.lit(depth)))

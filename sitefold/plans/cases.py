@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-DIRECTIVES = ("noindex, nofollow", "index, follow", "none", "all", "NOINDEX", "index, noindex, max-snippet:-1, max-snippet:20", "max-snippet:100", "max-image-preview:large", "max-image-preview:none, nosnippet", "googlebot: noindex", "noarchive,unavailable_after: 25 Jun 2030", "max-video-preview:x, max-video-preview:5", "")
+DIRECTIVES = ("noindex, nofollow", "index, follow", "none", "all", "NOINDEX", "follow,nofollow ,max-snippet:7, max-snippet:-1", "max-snippet:100", "max-image-preview:large", "max-image-preview:none, nosnippet", "googlebot: noindex", "noarchive,unavailable_after: 25 Jun 2030", "max-video-preview:x, max-video-preview:5", "")
 ROBOTS_RULES = (("/p/", True), ("/p/1", False), ("/p/12", True), ("/p/*5$", False), ("/s/*", False), ("/s/3", True))
 AGENTS = ("*", "bot", "goodbot", "badbot", "good")
 USER_AGENTS = ("GoodBot/1.0", "badbot", "Mozilla/5.0", "a bot", "Good citizen")
 CRAWL_ORIGIN, PUBLIC_ORIGIN = "https://tionsh.example.net", "https://www.public.test"
-ROUTES = (("index.html", "https://example.test/"), ("a/index.htm", "https://example.test/a/"), ("about.html", "https://example.test/about"), ("question?#.html", "https://example.test/question%3F%23"), ("a b/c d.html", "https://example.test/a%20b/c%20d"), ("x/y.HTML", "https://example.test/x/y.HTML"))
+ROUTES = (("index.html", "https://example.test/"), ("a/index.htm", "https://example.test/a/"), ("about.html", "https://example.test/about"), ("faq/why?.htm", "https://example.test/faq/why%3F"), ("c#/notes.html", "https://example.test/c%23/notes"), ("a b/c d.html", "https://example.test/a%20b/c%20d"), ("x/y.HTML", "https://example.test/x/y.HTML"))
 RESOLVED = (
     ("https://a.test/x/y", "z", "https://a.test/x/z"), ("https://a.test/x/y", "../z?q=1#f", "https://a.test/z?q=1"), ("https://a.test", "//B.test:443/p", "https://b.test/p"), ("https://a.test/x?y=1", "", "https://a.test/x?y=1"),
     ("https://a.test/x", "HTTP://C.test/./a/../b c", "http://c.test/b%20c"), ("https://a.test/d/", "?n", "https://a.test/d/?n"), ("https://a.test/d/e", "#only", "https://a.test/d/e"), ("https://a.test/", "http://[", None),
@@ -20,3 +20,19 @@ SITEMAPS = (
     ("c.xml", "<sitemapindex><sitemap><loc>https://a.test/a.xml</loc></sitemap></sitemapindex>"),
     ("d.xml", "<urlset/>"),
 )
+_A = "https://a.test/"
+#: (url, status, location), the urls that are asked for, and the rows that they give.
+RESPONSES = (
+    (_A + "1", 301, "/2"), (_A + "2", 302, "https://other.test/z"), (_A + "5", 307, "6"), (_A + "6", 308, "5"), (_A + "7", 300, "/8"), (_A + "8", 204, None), (_A + "9", 399, "/8#part"), (_A + "10", 304, None),
+    *((f"{_A}h{k}", 301, f"/h{k + 1}") for k in range(13)),
+)
+REQUESTS = (_A + "1", _A + "5", _A + "7", _A + "9", _A + "10", _A + "h0")
+REDIRECT_ROWS = (
+    (_A + "1", "moved", 301, f"{_A}1 {_A}2 https://other.test/z", "https://other.test/z"), (_A + "2", "fetched", 302, "true", _A + "2"), (_A + "5", "moved", 307, f"{_A}5 {_A}6 {_A}5", _A + "5"), (_A + "6", "fetched", 308, "true", _A + "6"),
+    (_A + "7", "moved", 300, f"{_A}7 {_A}8", _A + "8"), (_A + "8", "fetched", 204, "true", _A + "8"), (_A + "9", "moved", 399, f"{_A}9 {_A}8#part", _A + "8#part"), (_A + "8", "fetched", 204, "true", _A + "8#part"),
+    (_A + "10", "fetched", 304, "false", _A + "10"), (_A + "h0", "moved", 301, " ".join(f"{_A}h{k}" for k in range(11)), _A + "h10"), (_A + "h10", "fetched", 301, "true", _A + "h10"),
+)
+LINK_HEADERS = (
+    ("</a>; rel='canonical'", "/a"), ('</a>; rel="canonical", </b>; rel="canonical"', "/a"), ("</a>; rel=canonical|</b>; rel=next|</c>; type=x; REL = \"next Canonical\"", "/c"), ("</a>; rel=canonical|</b>; rel=alternate", "/a"),
+    ("no brackets; rel=canonical, </d>;rel=canonical", "/d"), ("</e>; rel=canonicals", None), ("</f>" + "; x=y" * 120 + "; rel=canonical", "/f"), ("", None),
+)

@@ -165,7 +165,8 @@ ORACLE_SQL["pages_link_degree"] = f"SELECT page_id, count(*) AS n_links, count(D
 ORACLE_SQL["redirect_chain_replay"] = _with(
     """, hop AS (SELECT url AS request_url, url AS here, [url] AS chain, 0 AS n FROM state WHERE redirect_target IS NOT NULL AND http_status IS NOT NULL
      UNION ALL SELECT h.request_url, s.redirect_target, list_append(h.chain, s.redirect_target), n + 1 FROM hop h JOIN state s ON s.url = h.here AND s.http_status = 301 AND s.redirect_target IS NOT NULL WHERE n < 10 AND len(list_distinct(h.chain)) = len(h.chain))
-    SELECT request_url, 301 AS initial_status, coalesce(s.http_status, 0) AS status, array_to_string(chain, ' ') AS chain, here AS final_url FROM (SELECT *, row_number() OVER (PARTITION BY request_url ORDER BY n DESC) AS r FROM hop) h LEFT JOIN state s ON s.url = h.here WHERE r = 1""")
+    SELECT request_url, 301 AS initial_status, coalesce(s.http_status, 0) AS status, array_to_string(chain, ' ') AS chain, h.last AS final_url
+    FROM (SELECT *, CASE WHEN len(list_distinct(chain)) < len(chain) THEN chain[len(chain) - 1] ELSE here END AS last, row_number() OVER (PARTITION BY request_url ORDER BY n DESC) AS r FROM hop) h LEFT JOIN state s ON s.url = h.last WHERE r = 1""")
 _KEYS = f"SELECT DISTINCT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_NOT_ORPHAN}) f"
 ORACLE_SQL["findings_new_only"] = _with(
     f""", bst AS (SELECT * FROM state WHERE k % 67 <> 1),
@@ -176,3 +177,5 @@ ORACLE_SQL["findings_new_only"] = _with(
     old AS (WITH state AS (SELECT * FROM bst), links AS (SELECT * FROM blink), lang AS (SELECT * FROM blang) {_KEYS}),
     now AS (WITH state AS (SELECT * FROM cst), links AS (SELECT * FROM clink), lang AS (SELECT * FROM clang) SELECT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_NOT_ORPHAN}) f)
     SELECT rule_id, is_new, count(*) AS n FROM (SELECT rule_id, NOT EXISTS (SELECT 1 FROM old o WHERE o.rule_id = now.rule_id AND o.url = now.url AND o.severity = now.severity AND o.subject IS NOT DISTINCT FROM now.subject) AS is_new FROM now) x GROUP BY ALL""")
+ORACLE_SQL["redirect_rows"] = "SELECT * FROM " + _values(cases.REDIRECT_ROWS, "url_key, kind, http_status, chain, redirect_target")
+ORACLE_SQL["header_canonical"] = "SELECT * FROM " + _values(cases.LINK_HEADERS, "value, target")

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.globs import glob_regex
 from sitefold.functions.robots import directive_sql, merge, pattern_regex, specificity
-from sitefold.functions.urls import origin, path_and_query, remap_origin, resolve_url, route_of_file, url_key
+from sitefold.functions.urls import origin, path_and_query, remap_origin, resolve_url, route_url, url_key
 from sitefold.operators import diff, findings, rules
 from sitefold.operators.reach import reachable_keys
 from sitefold.operators.state import fold_sources, statistics
 from sitefold.plans import cases, synthetic
 from sitefold.schemas import EVIDENCE, ROBOTS
 from sitefold.sources import robots_txt, sitemap
-from sitefold.sources.crawl import follow, replay
+from sitefold.sources.crawl import follow, http_canonical, pages_state, replay
 from sitefold.sources.html import page_signals
 from sitefold.sources.policy import LIMITS
 
@@ -244,8 +244,7 @@ def url_origin_remap(spark, sf_dir):
 
 @query
 def route_from_path(spark, sf_dir):
-    route = F.udf(lambda r: route_of_file("https://example.test", r), "string")
-    return _rows(spark, tuple((p,) for p, _ in cases.ROUTES), "path").select("path", route("path").alias("url"))
+    return _rows(spark, tuple((p,) for p, _ in cases.ROUTES), "path").select("path", route_url("https://example.test")("path").alias("url"))
 
 
 @query
@@ -306,3 +305,23 @@ def redirect_chain_replay(spark, sf_dir):
     recorded = state.select(F.col("url").alias("request_url"), F.col("http_status").alias("status"), location.alias("headers"), F.lit(None).cast("string").alias("body"))
     done = follow(state.where("redirect_target IS NOT NULL").select("url"), replay(recorded), "https://site.test", "https://site.test")
     return done.select("request_url", "initial_status", F.coalesce("status", F.lit(0)).alias("status"), F.array_join("chain", " ").alias("chain"), "final_url")
+
+
+@query
+def redirect_rows(spark, sf_dir):
+    """What becomes of the rows of redirects that leave the origin, come back, have an unusual status or a fragment, or are too many."""
+    empty = "cast(array() AS array<struct<name:string,value:string>>)"
+    headers = F.expr(f"CASE WHEN location IS NULL THEN {empty} ELSE array(named_struct('name', 'Location', 'value', location)) END")
+    recorded = _rows(spark, cases.RESPONSES, "request_url, status, location").select("request_url", F.col("status").cast("int"), headers.alias("headers"), F.lit(None).cast("string").alias("body"))
+    done = follow(_rows(spark, tuple((u,) for u in cases.REQUESTS), "url"), replay(recorded), "https://a.test", "https://a.test")
+    moved, own = pages_state(done, "https://a.test", "https://a.test")
+    first = moved.select("url_key", F.lit("moved").alias("kind"), "http_status", F.array_join("redirect_chain", " ").alias("chain"), "redirect_target")
+    return first.unionByName(own.select("url_key", F.lit("fetched").alias("kind"), "http_status", F.expr("CAST(redirected AS string)").alias("chain"), F.col("url").alias("redirect_target")))
+
+
+@query
+def header_canonical(spark, sf_dir):
+    """The canonical of Link headers; a bar in a case separates headers."""
+    rows = _rows(spark, tuple((v,) for v, _ in cases.LINK_HEADERS), "value")
+    listed = rows.withColumn("headers", F.expr("transform(split(value, '[|]'), v -> named_struct('name', 'Link', 'value', v))"))
+    return listed.select("value", F.expr(f"nullif({http_canonical()}, '')").alias("target"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import http.client
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.functions.robots import directive_sql, merge_all
-from sitefold.functions.urls import path_and_query, remap_origin, resolve, resolve_url, url_key
+from sitefold.functions.urls import join_url, origin, path_and_query, remap_origin, resolve, resolve_url, url_key
 from sitefold.operators.checkpoints import cut
 from sitefold.operators.reach import with_reachability
 from sitefold.operators.state import Site, derive, fold_sources, utc_now, with_defaults
@@ -83,7 +85,7 @@ def over_http(options: Options, timeout: float = 30.0) -> Fetcher:
                         rows.append((url, r.status, [{"name": k, "value": v} for k, v in r.headers.items()], body))
                 except urllib.error.HTTPError as e:
                     rows.append((url, e.code, [{"name": k, "value": v} for k, v in e.headers.items()], None))
-                except OSError:
+                except (OSError, http.client.HTTPException):
                     rows.append((url, None, None, None))
             yield pd.DataFrame(rows, columns=FETCHES.names)
 
@@ -102,17 +104,20 @@ def is_html(content_type: str) -> str:
 def follow(urls: DataFrame, fetch: Fetcher, crawl_origin: str, base_origin: str) -> DataFrame:
     """``(request_url, initial_status, status, headers, body, chain, final_url)``: up to HOPS redirects, a join a hop.
 
-    A hop off the origin is kept in the chain and ends it, and so does a hop that repeats a URL. Bodies stay only for HTML
-    of status 200.
+    Any status from 300 to 399 with a location is followed. A hop off the origin is kept in the chain and ends it, and so does a
+    hop that repeats a URL; neither is fetched. ``final_url`` is the last URL that was, and ``status``, ``headers`` and ``body``
+    are its response. Bodies stay only for HTML of status 200.
     """
     state = urls.select(F.col("url").alias("request_url"), F.col("url").alias("at"), F.array("url").alias("chain"), F.lit(None).cast("int").alias("initial_status"))
     done = None
     for hop in range(HOPS + 1):
-        got = cut(fetch(state.select(F.col("at").alias("url")).distinct()).withColumnRenamed("request_url", "at"))
-        met = state.join(got, "at", "left").withColumn("initial_status", F.coalesce("initial_status", "status"))
-        met = met.withColumn("next", F.when(F.col("status").isin(301, 302, 303, 307, 308), resolve_url("at", F.expr(f"try_element_at({header('location')}, 1)"))))
+        state = state.withColumn("bare", F.regexp_replace("at", r"(?s)#.*$", ""))
+        got = cut(fetch(state.select(F.col("bare").alias("url")).distinct()).withColumnRenamed("request_url", "bare"))
+        met = state.join(got, "bare", "left").withColumn("initial_status", F.coalesce("initial_status", "status"))
+        location = F.when(F.col("status").between(300, 399) & F.lit(hop < HOPS), F.expr(f"try_element_at({header('location')}, 1)"))
+        met = met.withColumn("next", join_url("at", location))
         met = met.withColumn("next", remap_origin(F.col("next"), base_origin, crawl_origin) if base_origin != crawl_origin else F.col("next"))
-        ends = F.col("next").isNull() | F.array_contains("chain", F.col("next")) | ~F.startswith(F.concat("next", F.lit("/")), F.lit(crawl_origin + "/")) | F.lit(hop == HOPS)
+        ends = F.col("next").isNull() | F.array_contains("chain", F.col("next")) | (origin(F.col("next")) != crawl_origin)
         chain = F.when(F.col("next").isNotNull(), F.concat("chain", F.array("next"))).otherwise(F.col("chain"))
         met = cut(met.withColumn("ends", ends).withColumn("chain", chain))
         part = met.where("ends")
@@ -120,29 +125,32 @@ def follow(urls: DataFrame, fetch: Fetcher, crawl_origin: str, base_origin: str)
         state = met.where("NOT ends").select("request_url", F.col("next").alias("at"), "chain", "initial_status")
         if hop == HOPS or state.isEmpty():
             break
-    body = F.expr(f"CASE WHEN status = 200 AND {is_html(f'try_element_at({header("content-type")}, 1)')} THEN body END")
-    return done.select("request_url", "initial_status", "status", "headers", body.alias("body"), "chain", F.element_at("chain", -1).alias("final_url"))
+    body = F.expr(f"CASE WHEN next IS NULL AND status = 200 AND {is_html(f'try_element_at({header("content-type")}, 1)')} THEN body END")
+    return done.select("request_url", "initial_status", "status", "headers", body.alias("body"), "chain", F.col("at").alias("final_url"))
 
 
 def http_canonical() -> str:
-    """SQL: the target of the last ``Link`` header part with rel canonical, resolved later; headers are cut at commas."""
-    parts = f"flatten(transform({header('link')}, v -> split(v, ',')))"
-    rel = "exists(slice(split(p, ';'), 2, 99), x -> lower(trim(split_part(x, '=', 1))) = 'rel' AND array_contains(split(lower(trim(BOTH '\"' FROM trim(substring(x, instr(x, '=') + 1)))), '\\\\s+'), 'canonical'))"
-    return f"regexp_extract(try_element_at(filter({parts}, p -> {rel} AND p RLIKE '<[^>]*>'), -1), '<([^>]*)>', 1)"
+    """SQL: the target of the first part with rel canonical of a ``Link`` header, of the last header that has one; it is
+    resolved later. Headers are cut at commas, and either quotes may be around a rel."""
+    value = "trim(BOTH '\\'\"' FROM trim(substring(x, instr(x, '=') + 1)))"
+    rel = f"exists(slice(split(p, ';'), 2, size(split(p, ';'))), x -> lower(trim(split_part(x, '=', 1))) = 'rel' AND array_contains(split(lower({value}), '\\\\s+'), 'canonical'))"
+    first = f"try_element_at(filter(split(v, ','), p -> {rel} AND p RLIKE '<[^>]*>'), 1)"
+    return f"regexp_extract(try_element_at(filter(transform({header('link')}, v -> {first}), p -> p IS NOT NULL), -1), '<([^>]*)>', 1)"
 
 
 def pages_state(fetched: DataFrame, crawl_origin: str, base_origin: str) -> tuple[DataFrame, DataFrame]:
-    """Facts and own columns of fetched pages: the requested row gets the first status and the chain, the final row the
-    last status, headers and signals."""
+    """Own columns of fetched pages: the requested row gets the first status and the chain, the row of the URL that was
+    fetched last gets its status, headers and signals. Of several requests that end at a URL the last in order counts."""
     public = lambda c: remap_origin(c, crawl_origin, base_origin)
     named = fetched.withColumn("request", public(F.col("request_url"))).withColumn("final", public(F.col("final_url"))).withColumn("chain", F.transform("chain", public))
     moved = named.where("size(chain) > 1").select(url_key(F.col("request")).alias("url_key"), F.col("initial_status").alias("http_status"), F.col("chain").alias("redirect_chain"), F.element_at("chain", -1).alias("redirect_target"))
-    ended = named.where("size(chain) = 1 OR status IS NOT NULL AND initial_status <> status").dropDuplicates(["final"])
+    ended = named.groupBy("final").agg(F.max_by(F.struct("status", "headers", "body", "request"), "request").alias("x"), F.min(F.struct((F.size("chain") > 1).alias("redirected"), "request")).alias("first")).select("final", "x.*", "first.redirected")
     extract = page_signals if crawl_origin == base_origin else signals_with_alias(crawl_origin)
     read = ended.withColumn("s", extract("body", "final"))
     link = resolve_url("final", F.expr(f"nullif({http_canonical()}, '')"))
+    link = public(link) if crawl_origin != base_origin else link
     own = read.select(
-        url_key(F.col("final")).alias("url_key"), F.col("final").alias("url"), F.col("status").alias("http_status"), F.col("s.canonical").alias("html_canonical"), link.alias("http_canonical"),
+        url_key(F.col("final")).alias("url_key"), F.col("final").alias("url"), "request", "redirected", F.col("status").alias("http_status"), F.col("s.canonical").alias("html_canonical"), link.alias("http_canonical"),
         F.expr(f"transform({header('x-robots-tag')}, v -> {directive_sql('v')})").alias("tags"), F.col("s.meta_robots").alias("meta"), F.col("s.hreflang").alias("hreflang"),
         F.col("s.internal_links").alias("internal_links_out"), F.col("s.word_count").alias("word_count"), F.col("s.heading_count").alias("heading_count"),
     )
@@ -166,14 +174,15 @@ def crawl(options: Options, fetch: Fetcher, spark) -> Site:
     options.crawl_delay = robots_txt.crawl_delay(options.crawl_delay, robots)
     listed = _sitemaps(spark, one, home, robots)
     entry = resolve(base + "/", options.entry.removeprefix(home) or "/")
-    seeds = [(entry, "DirectScan", 0)] + [(resolve(u, "").replace(home, base, 1) if u.startswith(home) else u, "Sitemap", 1) for u in sorted(listed)]
+    seeds = [(resolve(u, "").replace(home, base, 1) if u.startswith(home) else u, "Sitemap", 0) for u in sorted(listed)] + [(entry, "DirectScan", 1)]
     seed = spark.createDataFrame([(u.partition("#")[0], u, s, p) for u, s, p in seeds], "url_key string, url string, source string, wave int")
-    facts = seed.select("url_key", "url", "source", F.struct("wave", F.col("url").alias("page"), F.lit(0).alias("n")).alias("prio"))
+    facts = [seed.select("url_key", "url", "source", F.struct("wave", F.when(F.col("wave") == 0, F.col("url")).otherwise("").alias("page"), F.lit(0).alias("n")).alias("prio"))]
     status = robots_txt.status_column(path_and_query(F.col("url")), robots)
     own_parts, moved_parts, fetched_total, wave = [], [], 0, 1
     seen = cut(seed.where(F.startswith(F.concat("url_key", F.lit("/")), F.lit(base + "/"))).groupBy("url_key").agg(F.min_by("url", "wave").alias("url")))
     queue = seen
     while True:
+        queued = queue.select("url_key", "url", F.lit("DirectScan").alias("source"), F.struct(F.lit(wave).alias("wave"), F.lit("").alias("page"), F.lit(0).alias("n")).alias("prio"))
         open_ = cut(queue.where(status != "Blocked"))
         n = open_.count()
         if wave == 1 and open_.where(F.col("url_key") == entry).isEmpty():
@@ -191,25 +200,38 @@ def crawl(options: Options, fetch: Fetcher, spark) -> Site:
             if first["status"] != 200 or first["body"] is None:
                 raise RuntimeError(f"entry URL {entry} did not resolve to an HTML page with HTTP 200")
         moved, own = pages_state(done, home, base)
-        own, moved = cut(own), cut(moved)
+        own, moved = cut(own.withColumn("wave", F.lit(wave))), cut(moved.withColumn("wave", F.lit(wave)))
         own_parts.append(own)
         moved_parts.append(moved)
-        at = lambda urls, source, k, page="url": own.select(F.explode(urls).alias("target"), F.col(page).alias("page")).select(url_key(F.col("target")).alias("url_key"), F.col("target").alias("url"), F.lit(source).alias("source"), F.struct(F.lit(wave).alias("wave"), "page", F.lit(k).alias("n")).alias("prio"))  # noqa: E731, B023
+        at = lambda urls, source, k: own.select(F.explode(urls).alias("target"), F.col("request").alias("page")).select(url_key(F.col("target")).alias("url_key"), F.col("target").alias("url"), F.lit(source).alias("source"), F.struct(F.lit(wave).alias("wave"), "page", F.lit(k).alias("n")).alias("prio"))  # noqa: E731, B023
         found = at(F.array_compact(F.array(F.coalesce("html_canonical", "http_canonical"))), "Canonical", 1).unionByName(at("internal_links_out", "InternalLink", 2)).unionByName(at(F.col("hreflang.url"), "Hreflang", 3))
-        turned = moved.select(url_key(F.col("redirect_target")).alias("url_key"), F.col("redirect_target").alias("url"), F.lit("Redirect").alias("source"), F.struct(F.lit(wave).alias("wave"), F.col("url_key").alias("page"), F.lit(0).alias("n")).alias("prio"))
-        found = cut(found.unionByName(turned).where(F.startswith(F.concat("url_key", F.lit("/")), F.lit(base + "/")) | (F.col("source") != "InternalLink")))
-        facts = facts.unionByName(found)
+        ended = own.select("url_key", "url", F.expr("CASE WHEN redirected THEN 'Redirect' ELSE 'DirectScan' END").alias("source"), F.struct(F.lit(wave).alias("wave"), F.col("request").alias("page"), F.lit(0).alias("n")).alias("prio"))
+        found = cut(found.unionByName(ended).unionByName(queued).where(F.startswith(F.concat("url_key", F.lit("/")), F.lit(base + "/")) | (F.col("source") != "InternalLink")))
+        facts.append(found)
+        facts, own_parts, moved_parts = _joined(facts), _joined(own_parts), _joined(moved_parts)
         reached = own.select("url_key", "url")
-        fresh = found.where(F.startswith(F.concat("url_key", F.lit("/")), F.lit(base + "/"))).groupBy("url_key").agg(F.min_by("url", "prio").alias("url"))
+        fresh = found.where("source <> 'DirectScan'").where(F.startswith(F.concat("url_key", F.lit("/")), F.lit(base + "/"))).groupBy("url_key").agg(F.min_by("url", "prio").alias("url"))
         queue = cut(fresh.join(seen.select("url_key"), "url_key", "left_anti").join(reached.select("url_key"), "url_key", "left_anti"))
         seen = cut(seen.unionByName(reached).unionByName(queue).dropDuplicates(["url_key"]))
         wave += 1
     return _folded(facts, own_parts, moved_parts, robots, base, entry, options)
 
 
+def _joined(parts: list[DataFrame], most: int = 16) -> list[DataFrame]:
+    """The parts, written as one where there are many: plans stay short however many waves a site has."""
+    return parts if len(parts) < most else [cut(reduce(DataFrame.unionByName, parts))]
+
+
+def _last(parts: list[DataFrame], *order: str) -> DataFrame:
+    """One row for each url_key: what the last wave says, and of its rows the last by ``order``."""
+    rows = reduce(DataFrame.unionByName, parts)
+    columns = [c for c in rows.columns if c not in ("url_key", "wave")]
+    return rows.groupBy("url_key").agg(F.max_by(F.struct(*columns), F.struct("wave", *order)).alias("x")).select("url_key", "x.*")
+
+
 def _folded(facts, own_parts, moved_parts, robots, base, entry, options) -> Site:
-    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    own, moved = union(own_parts).drop("url").dropDuplicates(["url_key"]), union(moved_parts).dropDuplicates(["url_key"])
+    facts = reduce(DataFrame.unionByName, facts)
+    own, moved = _last(own_parts, "request").drop("url", "request", "redirected"), _last(moved_parts, "redirect_target")
     in_map = facts.where("source = 'Sitemap'").select("url_key", F.lit(True).alias("found_in_sitemap")).distinct()
     rows = fold_sources(facts).join(own, "url_key", "left").join(moved.withColumnRenamed("http_status", "moved_status"), "url_key", "left").join(in_map, "url_key", "left")
     rows = rows.withColumn("http_status", F.coalesce("moved_status", "http_status"))

@@ -27,14 +27,14 @@ def _origin(url: str) -> str:
 
 class _Page(HTMLParser):
     """Collects the elements in document order. Text counts from the first element or text that belongs to a body, as a
-    tree builder would open one; nesting of skipped elements is tracked by their own tags."""
+    tree builder would open one; text in skipped elements counts once, and is taken off once for each of them around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.links: list[dict[str, str]] = []
         self.metas: list[tuple[str, str]] = []
         self.anchors: list[str] = []
-        self.words = self.headings = 0
+        self.words = self.excluded = self.headings = 0
         self.in_body = False
         self.skipping: list[str] = []
 
@@ -53,7 +53,7 @@ class _Page(HTMLParser):
             self.anchors.append(a["href"])
         elif tag in _HEADINGS:
             self.headings += 1
-        if tag in SKIPPED or tag == "title":
+        if tag in SKIPPED or tag == "title" and not self.in_body:
             self.skipping.append(tag)
 
     def handle_startendtag(self, tag, attrs):
@@ -68,10 +68,11 @@ class _Page(HTMLParser):
 
     def handle_data(self, data):
         words = len(data.split())
-        if not words or self.skipping:
+        if not words or self.skipping and not self.in_body:
             return
         self.in_body = True
         self.words += words
+        self.excluded += words * len(self.skipping)
 
 
 def signals(html: str, url: str, alias: str | None = None) -> tuple:
@@ -101,7 +102,7 @@ def signals(html: str, url: str, alias: str | None = None) -> tuple:
             if target and _origin(target) == home:
                 links.add(target)
     robots = [content for name, content in page.metas if name.lower() == "robots"]
-    return canonical, robots, hreflang, sorted(links), page.words, page.headings
+    return canonical, robots, hreflang, sorted(links), max(0, page.words - page.excluded), page.headings
 
 
 @F.pandas_udf(SIGNALS)

@@ -14,6 +14,7 @@ from sitefold.functions.urls import resolve
 
 #: Longest crawl delay that is accepted, in seconds.
 LONGEST_DELAY = 60.0
+MOST_RULES = 100_000
 
 
 @dataclass
@@ -90,8 +91,11 @@ def status_column(path: Column, robots: RobotsTxt | None) -> Column:
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``(url, status)`` for tables of ``(url, path)`` and of ``(pattern, regex, specificity, allowed)``.
 
-    The set-based form of ``status_column``: rules are a small table, the best one is a maximum.
+    The set-based form of ``status_column``: rules are a small table, the best one is a maximum. Rules are broadcast, as crawlers
+    read only so much of a file that it holds fewer than MOST_RULES; more are an error.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     met = urls.join(F.broadcast(rules), F.expr("path RLIKE regex"), "left").groupBy("url").agg(F.max(F.struct("specificity", "allowed")).alias("best"))
     return met.select("url", F.expr("CASE WHEN best.specificity IS NULL THEN 'NoRule' WHEN best.allowed THEN 'Allowed' ELSE 'Blocked' END").alias("status"))
 

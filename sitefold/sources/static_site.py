@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefold.functions.urls import path_and_query, resolve, route_of_file, url_key
+from sitefold.functions.urls import path_and_query, resolve, route_url, url_key
+from sitefold.operators.checkpoints import cut
 from sitefold.operators.reach import with_reachability
 from sitefold.operators.state import Site, derive, fold_sources, static_not_found, utc_now, with_defaults
 from sitefold.sources import robots_txt, sitemap
@@ -21,15 +24,52 @@ def file_kind(name: Column, relative: Column) -> Column:
     return F.when(relative == "robots.txt", "robots").when(is_sitemap, "sitemap").when(name.rlike(r"\.html?$"), "html")
 
 
+def _listed(directory: str) -> list[tuple[str, str]]:
+    """``(path, relative)`` of all regular files below a directory, whatever their names; links are not followed."""
+    if "://" in directory and not directory.startswith("file://"):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(directory.rstrip("/"))
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+        return [(f"{directory.rstrip('/')}/{(r := x.path[len(root) :].lstrip('/'))}", r) for x in found if x.is_file]
+    root, out = os.path.abspath(directory.removeprefix("file://").removeprefix("file:")), []
+    for folder, _, names in os.walk(root):
+        for path in (os.path.join(folder, n) for n in names):
+            if os.path.isfile(path) and not os.path.islink(path):
+                out.append((path, os.path.relpath(path, root).replace(os.sep, "/")))
+    return sorted(out)
+
+
+def _read(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for path, relative, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if "://" in path:
+                from pyarrow import fs
+
+                system, name = fs.FileSystem.from_uri(path)
+                with system.open_input_file(name) as f:
+                    data = f.read()
+            else:
+                with open(path, "rb") as f:
+                    data = f.read()
+            try:
+                body = data.decode("utf-8")
+            except UnicodeDecodeError:
+                raise ValueError(f"not UTF-8: {path}") from None
+            yield pa.RecordBatch.from_pydict({"relative": [relative], "kind": [kind], "body": [body]})
+
+
 def read_files(spark: SparkSession, directory: str) -> DataFrame:
-    """``(relative, kind, body)`` of the files that matter, decoded as UTF-8; other bytes are an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    root = F.lit(directory.rstrip("/").removeprefix("file:") + "/")
-    relative = F.expr("substring_index(path, {0}, -1)".format("'" + directory.rstrip("/").removeprefix("file://").replace("'", "\\'") + "/'"))
-    named = files.withColumn("relative", F.replace(relative, root, F.lit(""))).withColumn("name", F.element_at(F.split("relative", "/"), -1))
-    kinds = named.withColumn("kind", file_kind(F.col("name"), F.col("relative"))).where("kind IS NOT NULL")
-    body = F.expr("CASE WHEN is_valid_utf8(content) THEN cast(content AS string) ELSE raise_error(concat('not UTF-8: ', path)) END")
-    return kinds.select("relative", "kind", body.alias("body"))
+    """``(relative, kind, body)`` of the files that matter, decoded as UTF-8; other bytes are an error.
+
+    Spark's own readers skip names that start with an underscore or a dot, so the driver lists the names, as they do, and
+    executors read the files by their paths.
+    """
+    names = spark.createDataFrame(_listed(directory), "path string, relative string").withColumn("name", F.element_at(F.split("relative", "/"), -1))
+    kinds = names.withColumn("kind", file_kind(F.col("name"), F.col("relative"))).where("kind IS NOT NULL").select("path", "relative", "kind")
+    return kinds.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_read, "relative string, kind string, body string")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
@@ -56,11 +96,10 @@ def build_state(pages: DataFrame, listed: DataFrame, robots: robots_txt.RobotsTx
 def scan_directory(spark: SparkSession, directory: str, base_url: str = BASE_URL, user_agent: str = USER_AGENT) -> Site:
     """The site of a directory. Reachability starts at the base URL, so without an index page nothing is reachable."""
     base = resolve(base_url, "/")
-    files = read_files(spark, directory).cache()
+    files = cut(read_files(spark, directory))
     found = files.where("kind = 'robots'").select("body").head()
     robots = robots_txt.parse(found[0], base, user_agent) if found else None
-    route = F.udf(lambda r: resolve(route_of_file(base, r), ""), "string")
-    pages = files.where("kind = 'html'").select(route("relative").alias("url"), F.col("body").alias("html"))
+    pages = files.where("kind = 'html'").select(route_url(base)("relative").alias("url"), F.col("body").alias("html"))
     listed = sitemap.page_urls(files.where("kind = 'sitemap'").select(F.col("relative").alias("path"), "body"))
-    state = build_state(pages, listed, robots, base).cache()
+    state = cut(build_state(pages, listed, robots, base))
     return Site(with_reachability(state, base), base, base_url, utc_now())

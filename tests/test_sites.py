@@ -1,6 +1,8 @@
 """Rules, sources and reports on hand-made sites."""
 
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from sitefold.schemas import FETCHES
 from sitefold.sinks import reports
 from sitefold.sources import crawl, sitemap, snapshot
 from sitefold.sources.policy import LIMITS
-from sitefold.sources.static_site import scan_directory
+from sitefold.sources.html import signals
+from sitefold.sources.static_site import read_files, scan_directory
 
 PAGE = '<html><head><link rel="canonical" href="https://example.test{0}">{2}</head><body><h1>Title</h1><p>some words here</p>{1}</body></html>'
 ROBOTS = "User-agent: *\nDisallow: /private\n"
@@ -190,6 +193,79 @@ def test_crawl(spark):
     assert table["https://www.test/b"].http_status == 404 and table["https://www.test/s"].found_in_sitemap and table["https://www.test/"].http_x_robots_tag.nofollow
 
 
+def test_redirect_rows_of_a_crawl(spark):
+    """A hop off the origin belongs to the page that sent it; so does one that comes back."""
+    site = {
+        "https://a.test/robots.txt": (404, {}, None), "https://a.test/sitemap.xml": (404, {}, None), "https://a.test/": (200, HTML, '<a href="/1">1</a><a href="/5">5</a>'),
+        "https://a.test/1": (301, {"Location": "/2"}, None), "https://a.test/2": (302, {"Location": "https://other.test/z"}, None), "https://a.test/5": (301, {"Location": "/6"}, None), "https://a.test/6": (303, {"Location": "/5"}, None),
+    }
+    got = crawl.crawl(crawl.Options("https://a.test/"), responses(spark, site), spark)
+    table = {r.url_key.removeprefix("https://a.test"): (r.http_status, r.redirect_target, r.sources) for r in got.state.collect()}
+    assert table == {
+        "/": (200, None, ["DirectScan"]), "/1": (301, "https://other.test/z", ["InternalLink", "DirectScan"]), "/2": (302, None, ["Redirect"]),
+        "/5": (301, "https://a.test/5", ["InternalLink", "DirectScan"]), "/6": (303, None, ["Redirect"]),
+    }
+
+
+def test_over_http(spark):
+    """A server on this machine: statuses, headers, bodies, redirects not followed, a broken answer, a refused connection."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/broken":
+                self.wfile.write(b"no status line\r\n\r\n")
+                return
+            status = {"/": 200, "/old": 302}.get(self.path, 404)
+            self.send_response(status)
+            self.send_header("Content-Type", "text/html")
+            if status == 302:
+                self.send_header("Location", "/")
+            self.send_header("X-Seen", f"{self.headers['User-Agent']} {self.headers.get('X-Key')}")
+            self.end_headers()
+            self.wfile.write(b"<body>caf\xc3\xa9</body>")
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    home = f"http://127.0.0.1:{server.server_port}"
+    try:
+        fetch = crawl.over_http(crawl.Options(home + "/", user_agent="me/1", headers={"X-Key": "k"}), timeout=5)
+        urls = [home + "/", home + "/old", home + "/none", home + "/broken", "http://127.0.0.1:1/"]
+        got = {r.request_url: r for r in fetch(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+        assert [got[u].status for u in urls] == [200, 302, 404, None, None] and got[urls[0]].body == "<body>café</body>" and got[urls[1]].body is None
+        assert {h.name: h.value for h in got[urls[1]].headers}["Location"] == "/" and {h.name: h.value for h in got[urls[0]].headers}["X-Seen"] == "me/1 k"
+        site = crawl.crawl(crawl.Options(home + "/"), crawl.over_http(crawl.Options(home + "/"), 5), spark)
+        assert site.state.head().word_count == 1
+    finally:
+        server.shutdown()
+
+
+def test_all_files_of_a_directory(spark, tmp_path):
+    """Names that start with an underscore or a dot count, links don't; the directory's own name may occur again below it."""
+    top = tmp_path / "site"
+    for name in ("index.html", "_posts/a.html", "_c.html", ".well/b.html", "site/d.htm", "e.txt"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("<body>x</body>")
+    (top / "link.html").symlink_to(top / "_c.html")
+    (tmp_path / "far").mkdir()
+    (tmp_path / "far" / "t.html").write_text("x")
+    (top / "sub").symlink_to(tmp_path / "far")
+    got = sorted(r.relative for r in read_files(spark, str(top) + "/").collect())
+    assert got == sorted(["index.html", "_posts/a.html", "_c.html", ".well/b.html", "site/d.htm"]) == sorted(r.relative for r in read_files(spark, f"file://{top}").collect())
+    (top / "bad.html").write_bytes(b"\xff")
+    with pytest.raises(Exception, match="not UTF-8"):
+        read_files(spark, str(top)).collect()
+
+
+def test_words_of_a_body():
+    words = lambda html: signals(html, "https://a.test/")[4]
+    assert words("<head><title>no no</title></head><body><svg><title>a b</title></svg><p>c</p></body>") == 3
+    assert words("<title>no</title><p>one<script>x y</script> two <noscript>z</noscript></p>") == 2
+    assert words("<body>one two three<noscript><style>a b</style></noscript></body>") == 1
+
+
 def test_crawl_failures(spark):
     base = {"https://a.test/robots.txt": (404, {}, None), "https://a.test/sitemap.xml": (404, {}, None)}
     for page in ((503, HTML, None), (200, {"Content-Type": "text/plain"}, "x")):
@@ -208,7 +284,7 @@ def test_chains(spark):
 
 
 def test_directives(spark):
-    values = ["index, noindex, max-snippet:-1, max-snippet:20", "none", "googlebot: noindex"]
+    values = ["all,noindex , max-snippet:9,max-snippet:-1", "none", "googlebot: noindex"]
     got = spark.createDataFrame([(v,) for v in values], "v string").select(parse_directive("v").alias("d")).select("d.*").collect()
-    assert got[0].noindex is True and got[0].max_snippet == 20 and got[1].nofollow is True and got[2].noindex is None
+    assert got[0].noindex is True and got[0].max_snippet == 9 and got[1].nofollow is True and got[2].noindex is None
     assert spark.range(1).select(F.lit(1)).count() == 1
