@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitefold.llm.components import connected_components
 from sitefold.llm.workspace import Workspace, bound_arrow_batches, spread_join
@@ -51,24 +52,33 @@ def _planes(dims: int, n: int) -> np.ndarray:
     return np.random.default_rng([dims, 7]).standard_normal((dims, n * BITS))
 
 
-def _packed(batches):
-    """``(label, dims, vec_id, vector)`` of the rows that take part, the vector as bytes."""
-    for batch in batches:
-        column = batch.column(2)
-        at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<f8")
-        sizes = np.diff(at)
-        for d in np.unique(sizes[sizes > 0]).tolist():
-            rows = np.flatnonzero(sizes == d)
-            x = values[at[rows][:, None] + np.arange(d)]
-            with np.errstate(all="ignore"):
-                norm = np.sqrt((x * x).sum(1))
-            good = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
-            rows, x = rows[good], x[good]
-            if len(rows):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary())],
-                    ["label", "dims", "vec_id", "vector"],
-                )
+def _packed(kind: str):
+    def run(batches):
+        """``(label, dims, vec_id, vector)`` of the rows that take part, the vector as bytes."""
+        for batch in batches:
+            column = batch.column(2)
+            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<f8")
+            sizes = np.diff(at)
+            for d in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == d)
+                x = values[at[rows][:, None] + np.arange(d)]
+                with np.errstate(all="ignore"):
+                    norm = np.sqrt((x * x).sum(1))
+                good = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
+                rows, x = rows[good], x[good].astype(kind)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary())],
+                        ["label", "dims", "vec_id", "vector"],
+                    )
+
+    return run
+
+
+def _unpacked(vectors: list[bytes], dims: int) -> np.ndarray:
+    """Vectors in double precision, from bytes of either precision."""
+    data = b"".join(vectors)
+    return np.frombuffer(data, "<f8" if len(data) == 8 * dims * len(vectors) else "<f4").reshape(len(vectors), dims).astype(float)
 
 
 def _keyed(most: int, whole: bool):
@@ -87,7 +97,7 @@ def _keyed(most: int, whole: bool):
                     planes[d] = _planes(d, most)
                 for k in range(0, len(at), step := max(1, (1 << 15) // n)):
                     some, vectors = at[k : k + step], data[k : k + step]
-                    x = np.frombuffer(b"".join(vectors), "<f8").reshape(-1, d)
+                    x = _unpacked(vectors, d)
                     keys = ((x @ planes[d][:, : n * BITS] > 0).reshape(len(x), n, BITS) @ weights >> (BITS - b)).ravel() if b else np.zeros(len(x) * n, np.int64)
                     columns = {
                         "label": np.repeat(labels[some], n), "dims": np.full(len(keys), d, np.int32), "pass": np.tile(np.arange(n, dtype=np.int32), len(x)), "key": keys,
@@ -108,7 +118,7 @@ def _met(cosine: float):
 
     def linked(head, parts):
         ids, blocks, data = (np.concatenate([p[k] for p in parts]) if k < 2 else [v for p in parts for v in p[2]] for k in range(3))
-        x = np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
+        x = _unpacked(data, int(head[1]))
         own = head[4] == head[5]
         left, right = (np.arange(len(x)),) * 2 if own else (np.flatnonzero(blocks == head[4]), np.flatnonzero(blocks == head[5]))
         return _forest(ids, left, right, lambda rows, after: cosines(x[rows], x[right[after:]]) >= cosine, own)
@@ -155,13 +165,13 @@ def _counted(cosine: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def sides(t):
             order = np.argsort(t["component"].to_numpy(), kind="stable")
-            return (*(t[c].to_numpy()[order] for c in ("component", "vec_id", "weight")), t["vector"].combine_chunks().take(pa.array(order)).to_pylist())
+            return (*(t[c].to_numpy()[order] for c in ("component", "vec_id", "weight", "dims")), t["vector"].combine_chunks().take(pa.array(order)).to_pylist())
 
-        (c1, i1, _, v1), (c2, i2, w2, v2) = sides(left), sides(right)
+        (c1, i1, _, d1, v1), (c2, i2, w2, d2, v2) = sides(left), sides(right)
         ids, counts = [], []
         for c in np.intersect1d(c1, c2):
             (a, b), (e, f) = np.searchsorted(c1, [c, c + 1]), np.searchsorted(c2, [c, c + 1])
-            x, y = (np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1) for v in (v1[a:b], v2[e:f]))
+            x, y = _unpacked(v1[a:b], int(d1[a])), _unpacked(v2[e:f], int(d2[e]))
             linked = (cosines(x, y) >= cosine) | (i1[a:b, None] == i2[None, e:f])
             ids.append(i1[a:b])
             counts.append(linked.astype(np.int64) @ w2[e:f])
@@ -209,7 +219,9 @@ def near_vectors(
     bound_arrow_batches(spark, rows=2000)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     usable = base.where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
-    packed = space.write(usable.mapInArrow(_packed, "label long, dims int, vec_id long, vector binary"), "packed")
+    # floats keep their four bytes wherever rows are dealt out; all arithmetic is in double precision
+    kind = "<f4" if isinstance(vectors.select(vector_col).schema[0].dataType.elementType, T.FloatType) else "<f8"
+    packed = space.write(usable.mapInArrow(_packed(kind), "label long, dims int, vec_id long, vector binary"), "packed")
     again = packed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
     least = packed.join(again, "vec_id").groupBy("vec_id").agg(F.min(F.struct("label", "dims", "vector")).alias("x"))
     packed = packed.join(again, "vec_id", "left_anti").select("label", "dims", "vec_id", "vector").unionByName(least.select("x.*", "vec_id"))
@@ -219,10 +231,10 @@ def near_vectors(
     chosen = space.write(_chosen(single.drop("weight"), cosine, window, miss), "chosen")
     most = chosen.agg(F.max("passes")).first()[0] or 1
     dealt = single.join(chosen, ["label", "dims"]).select("label", "dims", "vec_id", "vector", "bits", "passes")
-    kind = "label long, dims int, pass int, key long"
-    runs = dealt.mapInArrow(_keyed(most, False), kind).groupBy(*_RUN).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
+    run = "label long, dims int, pass int, key long"
+    runs = dealt.mapInArrow(_keyed(most, False), run).groupBy(*_RUN).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
     runs = space.write(runs.select(*_RUN, F.expr(f"cast(ceil(size / {BLOCK}D) AS int)").alias("blocks")), "runs")
-    rows = dealt.mapInArrow(_keyed(most, True), kind + ", vec_id long, vector binary").join(runs, _RUN, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = dealt.mapInArrow(_keyed(most, True), run + ", vec_id long, vector binary").join(runs, _RUN, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(vec_id, 1), blocks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select(*_RUN, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "vector")
     total = chosen.agg(F.coalesce(F.sum(F.col("passes") * F.col("rows")), F.lit(0))).first()[0]
@@ -231,15 +243,15 @@ def near_vectors(
     links = space.write(met.distinct(), "links")
     labels = space.write(connected_components(links, space), "members")
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = space.write(single.select("vec_id", "vector", "weight").join(labels.withColumnRenamed("node", "vec_id"), "vec_id").join(sizes, "component"), "linked")
+    members = space.write(single.select("dims", "vec_id", "vector", "weight").join(labels.withColumnRenamed("node", "vec_id"), "vec_id").join(sizes, "component"), "linked")
     bundles = max(1, members.count() // BLOCK)
     members = members.withColumn("blocks", F.expr(f"shiftleft(1, greatest(0, cast(ceil(log2(size / {BLOCK}D)) AS int)))"))
     members = members.select(
         F.when(F.col("blocks") > 1, -1 - F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bundles))).alias("bundle"),
-        "blocks", F.expr("cast(xxhash64(vec_id) & (blocks - 1) AS int)").alias("block"), "component", "vec_id", "weight", "vector",
+        "blocks", F.expr("cast(xxhash64(vec_id) & (blocks - 1) AS int)").alias("block"), "component", "dims", "vec_id", "weight", "vector",
     )
-    left = members.select("bundle", F.col("block").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), "component", "vec_id", "weight", "vector")
-    right = members.select("bundle", F.col("block").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), "component", "vec_id", "weight", "vector")
+    left = members.select("bundle", F.col("block").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), "component", "dims", "vec_id", "weight", "vector")
+    right = members.select("bundle", F.col("block").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), "component", "dims", "vec_id", "weight", "vector")
     keys = ["bundle", "i", "j"]
     counts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_counted(cosine), "vec_id long, n long")
     counts = space.write(counts.groupBy("vec_id").agg((F.sum("n") - 1).alias("n")), "counts")
