@@ -1,7 +1,9 @@
 """Documents to packed training windows, in five written stages.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last return the
-columns of ``documents``. Rows that repeat a doc_id are one document throughout.
+columns that they are given. Rows that repeat a doc_id are one document throughout: they stay or go together. Rows with a null
+doc_id are never duplicates. Null and empty texts are scored as texts without words, and those that stay are packed as their
+end token alone. Empty tables give empty tables; columns of any other name pass through.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document or line has go; so do documents of which no line is left."""
-    gone = repeated_lines(docs.where("doc_id IS NOT NULL"), Workspace(spark, "pipeline-lines"))
-    kept = kept_lines(docs, gone).where("n_removed = 0 OR trim(BOTH ' \\t\\r\\n' FROM kept_text) <> ''")
-    text = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return kept.select(*[text[c].alias(c) if c in text else c for c in docs.columns])
+    gone = repeated_lines(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), Workspace(spark, "pipeline-lines"))
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    kept = kept_lines(rows, gone).where("n_removed = 0 OR trim(BOTH ' \\t\\r\\n' FROM kept_text) <> ''")
+    text = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return kept.select(*[text[c].alias(c) if c in text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +46,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
     mixed = mix_to_targets(docs, docs.select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id"))
     copies = mixed.where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
-    repeated = docs.join(copies, docs.doc_id.eqNullSafe(copies.mixed_id)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    repeated = rows.join(copies, F.col("row.doc_id").eqNullSafe(F.col("mixed_id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
