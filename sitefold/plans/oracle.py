@@ -179,3 +179,9 @@ ORACLE_SQL["findings_new_only"] = _with(
     SELECT rule_id, is_new, count(*) AS n FROM (SELECT rule_id, NOT EXISTS (SELECT 1 FROM old o WHERE o.rule_id = now.rule_id AND o.url = now.url AND o.severity = now.severity AND o.subject IS NOT DISTINCT FROM now.subject) AS is_new FROM now) x GROUP BY ALL""")
 ORACLE_SQL["redirect_rows"] = "SELECT * FROM " + _values(cases.REDIRECT_ROWS, "url_key, kind, http_status, chain, redirect_target")
 ORACLE_SQL["header_canonical"] = "SELECT * FROM " + _values(cases.LINK_HEADERS, "value, target")
+_BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '<!--.*?-->|<[^>]*>', ' ', 'gs')"
+ORACLE_SQL["pages_signals"] = (
+    "SELECT p.page_id, CAST(NULL AS varchar) AS canonical, CAST(coalesce(n_links, 0) AS integer) AS n_links, "
+    f"CAST(len(regexp_extract_all({_BODY}, '[^ \\t\\r\\n]+')) AS bigint) AS word_count, CAST(length(regexp_extract_all(lower(html), '<h[1-6][\\s>/]')) AS bigint) AS heading_count "
+    f"FROM pages p LEFT JOIN (SELECT page_id, count(DISTINCT href) AS n_links FROM ({_HREFS}) x GROUP BY 1) l USING (page_id)"
+)

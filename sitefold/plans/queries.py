@@ -222,11 +222,9 @@ def robots_txt_status(spark, sf_dir):
 
 @query
 def robots_group_select(spark, sf_dir):
-    agents = _rows(spark, tuple((a,) for a in cases.AGENTS), "agent").where("agent <> '*'")
-    asked = _rows(spark, tuple((u,) for u in cases.USER_AGENTS), "user_agent")
-    met = asked.join(F.broadcast(agents), F.expr("contains(lower(user_agent), agent)"), "left")
-    best = met.groupBy("user_agent").agg(F.min(F.struct((-F.octet_length("agent")).alias("size"), "agent")).alias("best"))
-    return best.select("user_agent", F.coalesce("best.agent", F.lit("*")).alias("agent"))
+    """The group of a file that holds for each user agent; groups are one line each."""
+    body = "\n".join(f"User-agent: {a}\nDisallow: /{a}\n" for a in cases.AGENTS)
+    return _rows(spark, tuple((u, robots_txt.parse(body, "https://a.test/", u).agent) for u in cases.USER_AGENTS), "user_agent, agent")
 
 
 @query

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitefold.catalog import SCHEMA_VERSION, TOOL
 from sitefold.operators.state import Site, statistics
 from sitefold.schemas import SNAPSHOT, STATISTICS, URL_STATE
 
+#: URLs that one JSON document takes at most.
+MOST = 200_000
+
 
 def to_json(site: Site) -> DataFrame:
     """One row with the snapshot as JSON text. For large sites ``write_table`` is the native form."""
+    if site.state.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} URLs for one JSON document: use write_table")
     fields = [f.name for f in URL_STATE]
     urls = site.state.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("url_key", F.struct(*fields))))).alias("urls"))
     counts = statistics(site.state).select(F.struct(*STATISTICS).alias("statistics"))
@@ -24,11 +30,14 @@ def to_json(site: Site) -> DataFrame:
 def from_frame(rows: DataFrame) -> Site:
     """The site of a frame with SNAPSHOT's columns and one row. Version, tool and stored statistics must be right."""
     head = rows.select("version", "tool", "base_url", "public_origin", "scanned_at", "statistics").head()
+    return _checked(head, rows.select(F.explode("urls").alias("url_key", "s")).select("url_key", "s.*"))
+
+
+def _checked(head: Row | None, state: DataFrame) -> Site:
     if head is None or head["version"] != SCHEMA_VERSION:
         raise ValueError(f"unsupported snapshot schema version: {head and head['version']}")
     if head["tool"] != TOOL:
         raise ValueError(f"snapshot was produced by an unsupported tool: {head['tool']}")
-    state = rows.select(F.explode("urls").alias("url_key", "s")).select("url_key", "s.*")
     computed = statistics(state).head().asDict()
     if head["statistics"] is None or {c: head["statistics"][c] for c in STATISTICS} != {c: computed[c] for c in STATISTICS}:
         raise ValueError("snapshot statistics do not match its URL states")
@@ -40,9 +49,13 @@ def read_json(spark: SparkSession, path: str) -> Site:
 
 
 def write_table(site: Site, path: str) -> None:
-    """The states as Parquet, for sites that one JSON document can't hold."""
-    site.state.write.mode("overwrite").parquet(path)
+    """The states as Parquet, with one row that has the header and statistics, for sites that one JSON document can't hold."""
+    site.state.write.mode("overwrite").parquet(f"{path}/states")
+    head = [F.lit(SCHEMA_VERSION).alias("version"), F.lit(TOOL).alias("tool"), F.lit(site.base_url).alias("base_url"), F.lit(site.public_origin).cast("string").alias("public_origin"), F.lit(site.scanned_at).cast("string").alias("scanned_at")]
+    statistics(site.state).select(*head, F.struct(*STATISTICS).alias("statistics")).write.mode("overwrite").json(f"{path}/header", ignoreNullFields=False)
 
 
-def read_table(spark: SparkSession, path: str, base_url: str) -> Site:
-    return Site(spark.read.parquet(path), base_url)
+def read_table(spark: SparkSession, path: str) -> Site:
+    """What ``write_table`` wrote; its header and statistics must be right, as those of the JSON form."""
+    kinds = [f for f in SNAPSHOT if f.name != "urls"]
+    return _checked(spark.read.schema(T.StructType(kinds)).option("mode", "FAILFAST").json(f"{path}/header").head(), spark.read.parquet(f"{path}/states"))

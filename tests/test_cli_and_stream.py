@@ -20,7 +20,7 @@ def test_scan_and_diff(spark, tmp_path, capsys):
     lost = write(tmp_path / "lost", {k: v for k, v in GOOD.items() if "blog" not in k} | {"sitemap.xml": urlset("/")})
     a, b, c = (str(tmp_path / f"{x}.json") for x in "abc")
     assert cli.main(["scan", good, "--snapshot", a], spark) == 0
-    assert "No issues found" in capsys.readouterr().out
+    assert "Nothing to report" in capsys.readouterr().out
     assert cli.main(["scan", gap, "--snapshot", b], spark) == 0
     assert cli.main(["scan", gap, "--baseline", b, "--format", "json", "--fail-on", "warning", "--fail-on-new"], spark) == 0
     out = capsys.readouterr().out
@@ -29,7 +29,7 @@ def test_scan_and_diff(spark, tmp_path, capsys):
     assert cli.main(["scan", gap, "--fail-on", "warning"], spark) == 1
     assert cli.main(["scan", lost, "--snapshot", c], spark) == 1
     assert cli.main(["diff", a, c, "--format", "markdown", "--output", str(tmp_path / "r.md")], spark) == 1
-    assert "Baseline Comparison" in (tmp_path / "r.md").read_text()
+    assert "Against the baseline" in (tmp_path / "r.md").read_text()
     assert cli.main(["diff", a, a, "--format", "sarif"], spark) == 0
 
 

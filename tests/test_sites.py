@@ -139,6 +139,12 @@ def test_snapshot_round_trip(spark, tmp_path):
     (tmp_path / "s.json").write_text(text)
     back = snapshot.read_json(spark, str(tmp_path / "s.json"))
     assert back.state.count() == 3 and ids(back) == []
+    snapshot.write_table(site, str(tmp_path / "table"))
+    table = snapshot.read_table(spark, str(tmp_path / "table"))
+    assert table.state.count() == 3 and (table.base_url, table.scanned_at) == (site.base_url, site.scanned_at) and ids(table) == []
+    site.state.limit(2).write.mode("overwrite").parquet(str(tmp_path / "table" / "states"))
+    with pytest.raises(ValueError):
+        snapshot.read_table(spark, str(tmp_path / "table"))
     data = json.loads(text)
     data["statistics"]["total_urls"] = 9
     (tmp_path / "t.json").write_text(json.dumps(data))
@@ -150,7 +156,7 @@ def test_snapshot_round_trip(spark, tmp_path):
         snapshot.read_json(spark, str(tmp_path / "v.json"))
 
 
-def test_reports(spark, tmp_path):
+def test_reports(spark, tmp_path, monkeypatch):
     old = scan(spark, tmp_path / "old", GOOD)
     new = scan(spark, tmp_path / "new", {k: v for k, v in GOOD.items() if not k.startswith("blog")} | {"x.html": PAGE.format("/x", "", "")})
     marked = findings.mark_new(findings.run_rules(new), findings.run_rules(old))
@@ -159,8 +165,13 @@ def test_reports(spark, tmp_path):
     assert data["summary"]["new"] == len(items) > 0 and data["diff"]["gained_urls"] == ["https://example.test/x"]
     sarif = json.loads(reports.to_sarif(items))["runs"][0]
     assert len(sarif["results"]) == len(items) and {r["id"] for r in sarif["tool"]["driver"]["rules"]} == {f["rule_id"] for f in items}
-    assert "## Findings Summary" in reports.to_markdown(items, new, d) and "new." in reports.to_text(items, new, d)
-    assert "No issues found" in reports.to_markdown([], old) and reports.finding_text(items[0])
+    assert "## Findings by rule" in reports.to_markdown(items, new, d) and "are new against" in reports.to_text(items, new, d)
+    assert "Nothing to report" in reports.to_markdown([], old) and reports.finding_text(items[0])
+    reports.write_findings(marked, str(tmp_path / "findings"))
+    assert [r.rule_id for r in spark.read.json(str(tmp_path / "findings")).collect()] and spark.read.json(str(tmp_path / "findings")).count() == len(items)
+    monkeypatch.setattr(reports, "MOST", len(items) - 1)
+    with pytest.raises(ValueError, match="write_findings"):
+        reports.rows_of(marked)
 
 
 def test_sitemap_errors(spark):
