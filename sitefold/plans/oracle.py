@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from sitefold.plans import cases
 from sitefold.plans.synthetic import HOME, HREFLANG, LINKS, PAGES
 
@@ -17,6 +19,14 @@ edge AS (SELECT l.src, l.link_url AS dst FROM links l WHERE link_url IN (SELECT
 reach AS (SELECT url FROM state WHERE url = '{HOME}' UNION SELECT e.dst FROM edge e JOIN reach r ON e.src = r.url)"""
 
 
+def _reach_of(prefix: str, state: str, links: str) -> str:
+    """The same walk over other tables, under other names."""
+    text = _REACH
+    for name, new in (("edge", f"{prefix}_edge"), ("reach", f"{prefix}_reach"), ("state", state), ("links", links)):
+        text = re.sub(rf"\b{name}\b", new, text)
+    return text
+
+
 def _with(body: str, reach: bool = False) -> str:
     return f"WITH RECURSIVE {_SITE}{',' + _REACH if reach else ''} {body}"
 
@@ -65,7 +75,7 @@ _BRANCHES = [
 ]
 _SHOWN = "rule_id, severity, url, declared, observed, canonical, detail"
 _ALL = " UNION ALL ".join(_BRANCHES)
-_NOT_ORPHAN = " UNION ALL ".join(b for b in _BRANCHES if "CC-ORPHAN" not in b)
+_ALL = " UNION ALL ".join(_BRANCHES)
 
 ORACLE_SQL: dict[str, str] = {}
 for _id in sorted({b.split("'")[1] for b in _BRANCHES}):
@@ -167,15 +177,16 @@ ORACLE_SQL["redirect_chain_replay"] = _with(
      UNION ALL SELECT h.request_url, s.redirect_target, list_append(h.chain, s.redirect_target), n + 1 FROM hop h JOIN state s ON s.url = h.here AND s.http_status = 301 AND s.redirect_target IS NOT NULL WHERE n < 10 AND len(list_distinct(h.chain)) = len(h.chain))
     SELECT request_url, 301 AS initial_status, coalesce(s.http_status, 0) AS status, array_to_string(chain, ' ') AS chain, h.last AS final_url
     FROM (SELECT *, CASE WHEN len(list_distinct(chain)) < len(chain) THEN chain[len(chain) - 1] ELSE here END AS last, row_number() OVER (PARTITION BY request_url ORDER BY n DESC) AS r FROM hop) h LEFT JOIN state s ON s.url = h.last WHERE r = 1""")
-_KEYS = f"SELECT DISTINCT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_NOT_ORPHAN}) f"
+_KEYS = f"SELECT DISTINCT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_ALL}) f"
 ORACLE_SQL["findings_new_only"] = _with(
     f""", bst AS (SELECT * FROM state WHERE k % 67 <> 1),
     c0 AS (SELECT * REPLACE (CASE WHEN k % 83 <> 1 THEN html_canonical END AS html_canonical, CASE WHEN k % 83 <> 1 THEN http_canonical END AS http_canonical, CASE WHEN k % 83 <> 1 THEN canonical END AS canonical) FROM state WHERE k % 71 <> 1),
     cst AS (SELECT * REPLACE ((NOT noindex AND NOT blocked AND coalesce(http_status = 200, false) AND coalesce(canonical = url, true)) AS indexable) FROM c0),
     blink AS (SELECT l.* FROM links l JOIN bst ON bst.url = l.src), clink AS (SELECT l.* FROM links l JOIN cst ON cst.url = l.src WHERE NOT (k % 10 = 3 AND url LIKE '%/s/%') OR pos < (SELECT count(*) FROM links m WHERE m.src = l.src) // 2),
     blang AS (SELECT h.* FROM lang h JOIN bst ON bst.url = h.src), clang AS (SELECT h.* FROM lang h JOIN cst ON cst.url = h.src),
-    old AS (WITH state AS (SELECT * FROM bst), links AS (SELECT * FROM blink), lang AS (SELECT * FROM blang) {_KEYS}),
-    now AS (WITH state AS (SELECT * FROM cst), links AS (SELECT * FROM clink), lang AS (SELECT * FROM clang) SELECT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_NOT_ORPHAN}) f)
+    {_reach_of("b", "bst", "blink")}, {_reach_of("c", "cst", "clink")},
+    old AS (WITH state AS (SELECT * FROM bst), links AS (SELECT * FROM blink), lang AS (SELECT * FROM blang), reach AS (SELECT * FROM b_reach) {_KEYS}),
+    now AS (WITH state AS (SELECT * FROM cst), links AS (SELECT * FROM clink), lang AS (SELECT * FROM clang), reach AS (SELECT * FROM c_reach) SELECT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_ALL}) f)
     SELECT rule_id, is_new, count(*) AS n FROM (SELECT rule_id, NOT EXISTS (SELECT 1 FROM old o WHERE o.rule_id = now.rule_id AND o.url = now.url AND o.severity = now.severity AND o.subject IS NOT DISTINCT FROM now.subject) AS is_new FROM now) x GROUP BY ALL""")
 ORACLE_SQL["redirect_rows"] = "SELECT * FROM " + _values(cases.REDIRECT_ROWS, "url_key, kind, http_status, chain, redirect_target")
 ORACLE_SQL["header_canonical"] = "SELECT * FROM " + _values(cases.LINK_HEADERS, "value, target")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from sitefold.functions.globs import glob_regex
 from sitefold.functions.robots import directive_sql, merge, pattern_regex, specificity
 from sitefold.functions.urls import origin, path_and_query, remap_origin, resolve_url, route_url, url_key
 from sitefold.operators import diff, findings, rules
-from sitefold.operators.reach import reachable_keys
+from sitefold.operators.reach import reachable_keys, with_reachability
 from sitefold.operators.state import fold_sources, statistics
 from sitefold.plans import cases, synthetic
 from sitefold.schemas import EVIDENCE, ROBOTS
@@ -183,10 +184,9 @@ def findings_catalog_join(spark, sf_dir):
 
 @query
 def findings_new_only(spark, sf_dir):
-    """Findings of the candidate that the baseline lacks, without the families that need reachability."""
-    families = tuple(f for f in rules.FAMILIES if f is not rules.orphan)
-    old, now = (s.cached() for s in _sites(spark, sf_dir))
-    marked = findings.mark_new(findings.run_rules(now, families), findings.run_rules(old, families))
+    """Findings of the candidate, of all families, and whether the baseline lacks them."""
+    old, now = (replace(s, state=with_reachability(s.state.persist(), synthetic.HOME)).cached() for s in _sites(spark, sf_dir))
+    marked = findings.mark_new(findings.run_rules(now), findings.run_rules(old))
     return marked.groupBy("rule_id", "is_new").agg(F.count(F.lit(1)).alias("n"))
 
 
