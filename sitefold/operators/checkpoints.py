@@ -1,21 +1,32 @@
-"""Reliable checkpoints in the folder that the session names."""
+"""Reliable checkpoints, and further tables, in the folder that the session names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame, computed and kept where all executors can read it. A folder is made only for local sessions without one."""
-    spark = frame.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application. One is made only for local sessions that name none."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
             if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="sitefold-")
-        context.setCheckpointDir(folder)
+            base = "file://" + tempfile.mkdtemp(prefix="sitefold-")
+        context.setCheckpointDir(base)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in that folder that nothing uses yet."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, computed and kept where all executors can read it."""
+    folder(frame.sparkSession)
     return frame.checkpoint()

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sitefold.operators.checkpoints import cut
 
+#: Parts in which the links of one page are dealt out.
+PARTS = 8
+
 
 def edges(state: DataFrame) -> DataFrame:
     """``(src, dst)``: links and redirect targets by key, without repeats."""
@@ -19,20 +22,26 @@ def reachable_keys(state: DataFrame, entry_key: str) -> DataFrame:
     """``(url_key, depth)`` of all rows that can be reached; empty if the entry is no row.
 
     A breadth-first walk: each round joins the frontier with the edges and drops what was seen. It passes through rows of any
-    status; keys without a row are dead ends. Frontiers are checkpointed, so a lost executor costs no earlier round.
+    status; keys without a row are dead ends. Edges are dealt out once, by source and a part of it (a page may hold a third of
+    all links), and stay where they are: a round moves only its frontier, once for each part. Frontiers are checkpointed, so a
+    lost executor costs no earlier round.
     """
-    links = cut(edges(state).join(state.select(F.col("url_key").alias("dst")), "dst", "left_semi"))
+    split = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cut(edges(state).join(state.select(F.col("url_key").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    links = known.withColumn("part", F.expr(f"cast(pmod(xxhash64(dst), {PARTS}) AS int)")).repartition(split, "src", "part").persist()
     frontier = cut(state.where(F.col("url_key") == entry_key).select("url_key").withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while True:
         depth += 1
-        step = links.join(frontier.select(F.col("url_key").alias("src")), "src").select(F.col("dst").alias("url_key")).distinct()
+        dealt = frontier.select(F.col("url_key").alias("src"), F.explode(F.array(*[F.lit(k) for k in range(PARTS)])).alias("part"))
+        step = links.join(dealt, ["src", "part"]).select(F.col("dst").alias("url_key")).distinct()
         frontier = cut(step.join(seen.select("url_key"), "url_key", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
             seen = cut(seen)
+    links.unpersist()
     return seen
 
 

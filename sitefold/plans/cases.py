@@ -36,3 +36,24 @@ LINK_HEADERS = (
     ("</a>; rel='canonical'", "/a"), ('</a>; rel="canonical", </b>; rel="canonical"', "/a"), ("</a>; rel=canonical|</b>; rel=next|</c>; type=x; REL = \"next Canonical\"", "/c"), ("</a>; rel=canonical|</b>; rel=alternate", "/a"),
     ("no brackets; rel=canonical, </d>;rel=canonical", "/d"), ("</e>; rel=canonicals", None), ("</f>" + "; x=y" * 120 + "; rel=canonical", "/f"), ("", None),
 )
+#: A path of a static file by part key, in SQL that both engines read alike.
+FILE_NAMES = """concat(CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_deep/' ELSE '.well/x/' END, CASE p_partkey % 9 WHEN 0 THEN 'robots.txt' WHEN 1 THEN 'sitemap.xml' WHEN 2 THEN 'sitemap-7.html'
+ WHEN 3 THEN 'news-sitemap.xml' WHEN 4 THEN 'page.html' WHEN 5 THEN 'page.htm' WHEN 6 THEN 'page.xhtml' WHEN 7 THEN 'mysitemap.xml' ELSE concat('p', p_partkey, '.html') END)"""
+#: (name, html) of https://a.test/d/p, then canonical, robots, hreflang, links, words, headings.
+PAGES = (
+    ("canonical", '<head><link rel="canonical" href="../c#x"><link rel="canonical" href="/second"></head><body>one two', _A + "c", "", "", "", 2, 0),
+    ("robots", '<head><meta name="Robots" content="noindex"><meta name="author" content="x"><meta name="robots" content="max-snippet:5"></head><body><p>one', None, "noindex|max-snippet:5", "", "", 1, 0),
+    ("hreflang", '<head><link rel="alternate" hreflang="de" href="/de/"><link rel="Alternate" hreflang="x-default" href="p?a"><link rel="alternate" href="/feed"></head><body>', None, "", f"de={_A}de/ x-default={_A}d/p?a", "", 0, 0),
+    ("links", '<body><a href="#f">a</a> <a href="mailto:x@y">m</a> <a href="javascript:0">j</a> <a href="q?x=1#y">q</a> <a href="q?x=1">q</a> <a href="https://b.test/">b</a> <a>none</a>', None, "", "", _A + "d/q?x=1", 7, 0),
+    ("words", "<body><h1>a b</h1><script>x y</script><style>z</style><h7>c</h7><h6>d&nbsp;e</h6>", None, "", "", "", 5, 2),
+    ("empty", "", None, "", "", "", 0, 0),
+)
+#: (name, user agent, body), then agent, rules, delay, sitemaps.
+ROBOTS_FILES = (
+    ("groups", "GoodBot/2", "User-agent: good\nUser-agent: other\nDisallow: /a\nAllow: /a/b\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /", "good", "-/a +/a/b", 2.0, ""),
+    ("groups", "unknown", "User-agent: good\nUser-agent: other\nDisallow: /a\nAllow: /a/b\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /", "*", "-/", None, ""),
+    ("joined", "bot", "user-agent: bot\ndisallow: /x # why\nsitemap: /s.xml\nuser-agent: *\nallow: /\nUSER-AGENT: Bot\nDisallow:\nDisallow: /y", "bot", "-/x -/y", None, _A + "s.xml"),
+    ("unruled", "bot", "User-agent: bot\nCrawl-delay: x\nUser-agent: *\nDisallow: /", "bot", "", None, ""),
+    ("none", "bot", "Disallow: /before\nnonsense\nSitemap: https://b.test/m.xml", "*", "", None, "https://b.test/m.xml"),
+)
+CRAWL_ROBOTS = "User-agent: *\nDisallow: /p/7"

@@ -75,7 +75,6 @@ _BRANCHES = [
 ]
 _SHOWN = "rule_id, severity, url, declared, observed, canonical, detail"
 _ALL = " UNION ALL ".join(_BRANCHES)
-_ALL = " UNION ALL ".join(_BRANCHES)
 
 ORACLE_SQL: dict[str, str] = {}
 for _id in sorted({b.split("'")[1] for b in _BRANCHES}):
@@ -196,3 +195,65 @@ ORACLE_SQL["pages_signals"] = (
     f"CAST(len(regexp_extract_all({_BODY}, '[^ \\t\\r\\n]+')) AS bigint) AS word_count, CAST(length(regexp_extract_all(lower(html), '<h[1-6][\\s>/]')) AS bigint) AS heading_count "
     f"FROM pages p LEFT JOIN (SELECT page_id, count(DISTINCT href) AS n_links FROM ({_HREFS}) x GROUP BY 1) l USING (page_id)"
 )
+
+# Sources, sinks, gates; messages, which the evidence of a finding fixes.
+_ENTRY_TEXT = "'This page declares ' || replace(declared, 'hreflang: ', 'hreflang ') || ', but ' || {} || '"
+_TARGET = "split_part(declared, ' → ', 2)"
+_SITEMAP = "'The sitemap declares this URL"
+_MESSAGES = {
+    (0, 0): f"{_SITEMAP} for indexing, but the effective indexing directive excludes it.'", (0, 1): f"{_SITEMAP} for indexing, but robots.txt disallows crawling it.'",
+    (0, 2): f"{_SITEMAP}, but it canonicalizes to a different URL. The sitemap should contain the canonical URL.'", (0, 3): f"{_SITEMAP}, but it did not resolve to a successful page response.'",
+    (1, 0): "'This URL is indexable and returns HTTP 200, but no sitemap declares it. Search engines can still find it, but the sitemap no longer describes the site.'",
+    (2, 0): "'The HTML canonical and HTTP Link header canonical disagree. Use a single, consistent canonical method.'", (2, 1): "'The canonical target returned ' || observed || '. Canonical targets must resolve successfully.'",
+    (2, 2): "'The canonical target was discovered but not fetched, so it could not be verified.'", (2, 3): "'The canonical target resolves successfully but is not indexable.'",
+    (2, 4): "'The canonical target was not found in the scanned site. It may be unreachable or external.'",
+    (3, 0): "'This page is indexable but declares no canonical URL, so duplicate variants of the same content can compete with it.'",
+    (4, 0): "'Canonical chain exceeds depth 1: ' || canonical", (4, 1): "'Canonical cycle detected: ' || canonical",
+    (5, 0): "'Meta robots and X-Robots-Tag disagree on noindex. Meta robots: ' || split_part(declared, '=', 2) || ', X-Robots-Tag: ' || split_part(observed, '=', 2) || '. Resolve the conflict to ensure predictable indexing behavior.'",
+    (6, 0): "'This page declares hreflang entries for other pages but does not include a self-referencing hreflang entry.'",
+    (6, 1): _ENTRY_TEXT.format(_TARGET) + " does not link back with a reciprocal hreflang entry.'", (6, 2): _ENTRY_TEXT.format(_TARGET) + " was not found in the scan and cannot be verified for reciprocity.'",
+    (7, 0): _ENTRY_TEXT.format(_TARGET) + " canonicalizes to ' || canonical || '. Hreflang URLs should point to the canonical version.'",
+    (8, 0): _ENTRY_TEXT.format("'that URL cannot be indexed because '") + "' || observed || '. Hreflang annotations are ignored when the alternate is not indexable.'",
+    (9, 0): "'Internal link target ' || replace(detail, 'link target: ', '') || ' returned ' || observed || ' without a usable redirect target.'",
+    (9, 1): "'Internal link target ' || declared || ' was not fetched, so its resolution could not be verified.'",
+    (9, 2): "'Internal link targets ' || declared || ' which redirects to ' || replace(observed, 'redirect → ', '') || '. Link directly to the canonical URL.'",
+    (9, 3): "'Internal link targets ' || declared || ', but that page canonicalizes to ' || canonical || '.'",
+    (10, 0): "'Redirect cycle detected: ' || observed", (11, 0): "'This URL is indexable, but it is not reachable via internal links from the scan entry point.'",
+}
+_TEXTS = " ".join(f"WHEN rule_ord = {o} AND seq = {s} THEN {text}" for (o, s), text in _MESSAGES.items())
+ORACLE_SQL["findings_messages"] = _with(f"SELECT rule_id, url, CASE {_TEXTS} END AS message FROM ({_ALL}) f", True)
+ORACLE_SQL["findings_written"] = _with(f"SELECT {_SHOWN} FROM ({_ALL}) f", True)
+_FEW = f"(SELECT * FROM ({_ALL}) g WHERE rule_ord IN (0, 3, 4)) f"
+ORACLE_SQL["report_json"] = _with(f"SELECT {_SHOWN} FROM {_FEW}", True)
+ORACLE_SQL["report_sarif"] = _with(f"SELECT rule_id, severity AS level, url, coalesce(declared, canonical, detail) AS subject FROM {_FEW}", True)
+ORACLE_SQL["findings_gate"] = _with(
+    f"""SELECT family, fail_on, EXISTS (SELECT 1 FROM ({_ALL}) g WHERE g.rule_ord = x.o AND g.severity = fail_on) AS fails, false AS fails_if_new
+    FROM (SELECT * FROM (VALUES ('canonical_presence', 3), ('canonical_resolution', 4)) a(family, o), (VALUES ('error'), ('warning'), ('info')) b(fail_on)) x""", True)
+ORACLE_SQL["findings_own_family"] = _with(
+    f"""SELECT {_SHOWN} FROM ({_ALL}) f WHERE rule_ord = 3 UNION ALL SELECT 'OWN-1', 'info', url, NULL, CAST(word_count AS varchar), NULL, NULL FROM state WHERE word_count < 50""", True)
+ORACLE_SQL["snapshot_table"] = ORACLE_SQL["snapshot_json"] = _with("SELECT url AS url_key, url, http_status, canonical AS effective_canonical, indexable AS is_indexable, word_count, heading_count FROM state")
+ORACLE_SQL["snapshot_statistics"] = ORACLE_SQL["state_statistics"]
+ORACLE_SQL["file_kinds"] = (
+    "SELECT relative, CASE WHEN relative = 'robots.txt' THEN 'robots' WHEN n LIKE 'sitemap-%' OR n LIKE '%-sitemap.xml' OR n = 'sitemap.xml' THEN 'sitemap' WHEN n LIKE '%.html' OR n LIKE '%.htm' THEN 'html' END AS kind "
+    f"FROM (SELECT relative, split_part(relative, '/', -1) AS n FROM (SELECT {cases.FILE_NAMES} AS relative FROM part) x) y"
+)
+ORACLE_SQL["html_signals"] = "SELECT name, CAST(canonical AS varchar) AS canonical, robots, lang, links, CAST(word_count AS bigint) AS word_count, CAST(heading_count AS bigint) AS heading_count FROM " + _values(
+    [(n, *rest) for n, _, *rest in cases.PAGES], "name, canonical, robots, lang, links, word_count, heading_count"
+)
+ORACLE_SQL["robots_txt_parse"] = "SELECT name, user_agent, agent, rules, CAST(delay AS double) AS delay, sitemaps FROM " + _values([(n, a, *rest) for n, a, _, *rest in cases.ROBOTS_FILES], "name, user_agent, agent, rules, delay, sitemaps")
+ORACLE_SQL["robots_tags_merge"] = ORACLE_SQL["robots_directive_merge"]
+ORACLE_SQL["sitemap_page_urls"] = "SELECT DISTINCT loc AS url FROM (" + ORACLE_SQL["sitemap_locs"] + ") x WHERE root = 'urlset'"
+ORACLE_SQL["redirect_last_hop"] = _with("SELECT url AS url_key, CASE WHEN k % 74 = 0 THEN url ELSE redirect_target END AS last, CASE WHEN k % 74 = 0 THEN 3 ELSE 2 END AS n FROM state WHERE redirect_target IS NOT NULL")
+_ORIGIN = "regexp_extract(url, '^https?://[^/?#]*')"
+ORACLE_SQL["static_states"] = f"""WITH own AS (SELECT url, split_part(url, '#', 1) AS key, page_id % 3 = 0 AS mapped, (SELECT count(DISTINCT href) FROM ({_HREFS}) h WHERE h.page_id = pages.page_id) AS n_links FROM pages),
+ linked AS (SELECT DISTINCT {_ORIGIN} AS o, {_ORIGIN} || href AS key FROM pages JOIN ({_HREFS}) h USING (page_id))
+ SELECT http_status, found_in_sitemap, is_indexable, sources, count(*) AS n, CAST(sum(n_links) AS bigint) AS n_links FROM (
+  SELECT 200 AS http_status, bool_or(mapped) AS found_in_sitemap, true AS is_indexable, CASE WHEN bool_or(key IN (SELECT key FROM linked)) THEN 'DirectScan,InternalLink' ELSE 'DirectScan' END || CASE WHEN bool_or(mapped) THEN ',Sitemap' ELSE '' END AS sources, arg_max(n_links, url) AS n_links FROM own GROUP BY key
+  UNION ALL SELECT CASE WHEN o = '{cases.CRAWL_ORIGIN}' THEN 404 END, false, false, 'InternalLink', 0 FROM linked WHERE key NOT IN (SELECT key FROM own)) x GROUP BY ALL"""
+ORACLE_SQL["crawl_replay"] = _with(
+    f""", pg AS (SELECT url, coalesce(http_status, 503) AS status, redirect_target, CASE WHEN http_status = 200 THEN html_canonical END AS canon FROM state
+      UNION ALL SELECT DISTINCT 'https://site.test/p/' || p, 404, NULL, NULL FROM (SELECT unnest([p_partkey + 1, p_partkey + 2]) AS p FROM part) x WHERE 'https://site.test/p/' || p NOT IN (SELECT url FROM state)),
+    go AS (SELECT l.src, l.link_url AS dst, false AS moved FROM links l JOIN pg ON pg.url = l.src AND pg.status = 200 UNION SELECT url, canon, false FROM pg WHERE canon IS NOT NULL UNION SELECT url, redirect_target, true FROM pg WHERE redirect_target IS NOT NULL),
+    visit AS (SELECT '{HOME}' AS url, true AS fetched UNION SELECT go.dst, go.moved OR NOT starts_with(go.dst, 'https://site.test/p/7') FROM visit v JOIN go ON go.src = v.url AND v.fetched)
+    SELECT v.url AS url_key, CASE WHEN v.fetched THEN pg.status END AS http_status, CASE WHEN starts_with(v.url, 'https://site.test/p/7') THEN 'Blocked' ELSE 'NoRule' END AS robots_txt_status,
+     CASE WHEN v.fetched AND pg.status = 200 THEN (SELECT count(*) FROM links l WHERE l.src = v.url) ELSE 0 END AS n_links FROM (SELECT url, bool_or(fetched) AS fetched FROM visit GROUP BY 1) v JOIN pg USING (url)""")

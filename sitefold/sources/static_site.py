@@ -81,11 +81,17 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def build_state(pages: DataFrame, listed: DataFrame, robots: robots_txt.RobotsTxt | None, base_url: str) -> DataFrame:
-    """URL states of ``pages (url, html)`` and ``listed (url)`` from sitemaps."""
-    read = pages.withColumn("s", page_signals("html", "url"))
+    """URL states of ``pages (url, html)`` and ``listed (url)`` from sitemaps.
+
+    Where several pages have one URL (``a.htm`` and ``a.html``), the last by ``relative`` (by url, if pages have no such column)
+    gives the state its columns; what the others link to counts as discovered all the same.
+    """
+    order = F.struct("relative" if "relative" in pages.columns else "url", "html")
+    read = pages.withColumn("order", order).withColumn("s", page_signals("html", "url"))
     in_map = listed.select(url_key(F.col("url")).alias("url_key"), "url", F.lit("Sitemap").alias("source"), F.struct(F.lit(0), F.col("url").alias("page"), F.lit(0)).alias("prio"))
     rows = fold_sources(in_map.unionByName(page_facts(read)))
-    own = with_meta_robots(read.select(url_key(F.col("url")).alias("url_key"), "s.*"), "meta_robots", "html_meta_robots")
+    last = read.groupBy(url_key(F.col("url")).alias("url_key")).agg(F.max_by("s", "order").alias("s")).select("url_key", "s.*")
+    own = with_meta_robots(last, "meta_robots", "html_meta_robots")
     own = own.select("url_key", F.lit(200).alias("http_status"), F.col("canonical").alias("html_canonical"), "html_meta_robots", "hreflang", F.col("internal_links").alias("internal_links_out"), "word_count", "heading_count")
     mapped = in_map.select("url_key", F.lit(True).alias("found_in_sitemap")).distinct()
     state = with_defaults(rows.join(own, "url_key", "left").join(mapped, "url_key", "left"))
@@ -99,7 +105,7 @@ def scan_directory(spark: SparkSession, directory: str, base_url: str = BASE_URL
     files = cut(read_files(spark, directory))
     found = files.where("kind = 'robots'").select("body").head()
     robots = robots_txt.parse(found[0], base, user_agent) if found else None
-    pages = files.where("kind = 'html'").select(route_url(base)("relative").alias("url"), F.col("body").alias("html"))
+    pages = files.where("kind = 'html'").select("relative", route_url(base)("relative").alias("url"), F.col("body").alias("html"))
     listed = sitemap.page_urls(files.where("kind = 'sitemap'").select(F.col("relative").alias("path"), "body"))
     state = cut(build_state(pages, listed, robots, base))
     return Site(with_reachability(state, base), base, base_url, utc_now())

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from sitefold.plans.oracle import ORACLE_SQL
-from sitefold.plans.queries import QUERIES
+from sitefold.plans.site_queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the synthetic tables")

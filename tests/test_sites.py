@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitefold.functions.redirects import has_cycle, last_hop
 from sitefold.functions.robots import parse_directive
 from sitefold.operators import diff, findings
+from sitefold.operators.reach import reachable_keys
 from sitefold.operators.rules import FAMILIES, diff_loss
 from sitefold.operators.state import Site, derive, statistics, with_defaults
 from sitefold.schemas import FETCHES
@@ -270,6 +271,24 @@ def test_all_files_of_a_directory(spark, tmp_path):
         read_files(spark, str(top)).collect()
 
 
+def test_two_files_of_one_url(spark, tmp_path):
+    """The last file by name gives the columns; what the other links to is discovered all the same."""
+    site = scan(spark, tmp_path, {"index.html": link("/a"), "a.htm": "<h1>one</h1>" + link("/old"), "a.html": "<p>one two three</p>"})
+    rows = {r["url_key"]: r for r in site.state.collect()}
+    assert site.state.count() == len(rows) == 3
+    assert rows["https://example.test/a"]["word_count"] == 3 and rows["https://example.test/a"]["heading_count"] == 0
+    assert rows["https://example.test/old"]["http_status"] == 404
+
+
+def test_walk_through_a_page_of_many_links(spark):
+    """A hub of 500 links, a cycle and a dead end; edges are dealt out by parts of a page."""
+    rows = [("h", [f"p{k}" for k in range(500)]), *((f"p{k}", ["h", "gone"] if k else ["q"]) for k in range(500)), ("q", ["r"]), ("r", []), ("alone", ["h"])]
+    state = with_defaults(spark.createDataFrame(rows, "url_key string, internal_links_out array<string>"))
+    found = {r["url_key"]: r["depth"] for r in reachable_keys(state, "h").collect()}
+    assert found == {"h": 0, "q": 2, "r": 3} | {f"p{k}": 1 for k in range(500)}
+    assert reachable_keys(state, "nowhere").count() == 0
+
+
 def test_words_of_a_body():
     words = lambda html: signals(html, "https://a.test/")[4]
     assert words("<head><title>no no</title></head><body><svg><title>a b</title></svg><p>c</p></body>") == 3
