@@ -57,3 +57,22 @@ ROBOTS_FILES = (
     ("none", "bot", "Disallow: /before\nnonsense\nSitemap: https://b.test/m.xml", "*", "", None, "https://b.test/m.xml"),
 )
 CRAWL_ROBOTS = "User-agent: *\nDisallow: /p/7"
+#: Files of a directory (links by name), and the states of https://a.test that they give.
+FILES = (
+    ("index.html", '<h1>Home page</h1><a href="/_posts/one">1</a><a href="/lost">2</a>'), ("_posts/one.html", '<p>a b c</p><a href="/.well/known">k</a>'), (".well/known.html", "<p>x"), ("index/index.html", "<p>apart from links"),
+    ("robots.txt", "User-agent: *\nDisallow: /index/"), ("deep/robots.txt", "User-agent: *\nDisallow: /"), ("maps/sitemap-1.xml", "<urlset><url><loc>https://a.test/_posts/one</loc></url><url><loc>https://a.test/absent</loc></url></urlset>"),
+    ("notes.txt", "not read"),
+)
+FILE_STATES = (
+    (_A, 200, "NoRule", False, True, "DirectScan", 4), (_A + "_posts/one", 200, "NoRule", True, True, "DirectScan,InternalLink,Sitemap", 4), (_A + ".well/known", 200, "NoRule", False, True, "DirectScan,InternalLink", 1),
+    (_A + "index/", 200, "Blocked", False, False, "DirectScan", 3), (_A + "lost", 404, "NoRule", False, True, "InternalLink", None), (_A + "absent", 404, "NoRule", True, False, "Sitemap", None),
+)
+ORIGINS = (
+    ("https://www.a.test", "https://www.a.test"), ("HTTP://A.Test:80/", "http://a.test"), ("https://a.test:8443", "https://a.test:8443"), ("https://a.test/x", None), ("ftp://a.test", None), ("a.test", None), ("https://u@a.test", None), ("https://a.test?q", None),
+)
+#: (name, text), then severities that fail and the limits; all null for what is refused.
+POLICIES = (
+    ("empty", "", "error", 5.0, 10.0, 50.0, 15.0), ("some", '[general]\nfail_on = ["Warning", "error"]\n[diff]\nmax_link_loss_percent = 0\nmax_word_loss_percent = 99.5', "warning error", 5.0, 0.0, 99.5, 15.0),
+    ("key", "[diff]\nmax_loss = 1", None, None, None, None, None), ("range", "[diff]\nmax_link_loss_percent = 101", None, None, None, None, None), ("severity", '[general]\nfail_on = ["fatal"]', None, None, None, None, None),
+    ("reason", '[[exclusions]]\nrule_id = "CC-ORPHAN-001"\nurl_pattern = "/x"\nreason = " "', None, None, None, None, None),
+)

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from sitefold.functions.redirects import last_hop
 from sitefold.functions.robots import directive_sql, merge_all
+from sitefold.functions.urls import public_origin
 from sitefold.operators import findings, rules
 from sitefold.operators.checkpoints import cut, fresh
+from sitefold.operators.reach import reachable_keys
 from sitefold.operators.state import statistics
 from sitefold.plans import cases, synthetic
 from sitefold.plans.queries import _SHOWN, QUERIES, _all, _rows, query
 from sitefold.schemas import STATISTICS
 from sitefold.sinks import reports
-from sitefold.sources import robots_txt, sitemap, snapshot
+from sitefold.sources import policy, robots_txt, sitemap, snapshot
 from sitefold.sources.crawl import Options, crawl, replay
 from sitefold.sources.html import page_signals
-from sitefold.sources.static_site import build_state, file_kind
+from sitefold.sources.static_site import build_state, file_kind, scan_directory
+from sitefold.streaming import fetches
 
 #: ``QUERIES`` holds the queries of both modules.
 __all__ = ["QUERIES"]
@@ -35,6 +39,31 @@ def file_kinds(spark, sf_dir):
     return parts.select("relative", file_kind(F.element_at(F.split("relative", "/"), -1), F.col("relative")).alias("kind"))
 
 
+@query
+def static_files(spark, sf_dir):
+    """A scan of a directory with names that start with a dot or an underscore, a name that repeats, and links to no file."""
+    path = fresh(spark, "static")
+    for name, body in cases.FILES:
+        _write(f"{path}/{name}", body)
+    state = scan_directory(spark, path, "https://a.test").state
+    return state.select("url_key", "http_status", "robots_txt_status", "found_in_sitemap", "is_reachable", F.array_join(F.array_sort("sources"), ",").alias("sources"), "word_count")
+
+
+def _write(path: str, body: str) -> None:
+    if "://" in path and not path.startswith("file://"):
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(path)
+        system.create_dir(os.path.dirname(name), recursive=True)
+        with system.open_output_stream(name) as f:
+            f.write(body.encode())
+    else:
+        path = path.removeprefix("file://").removeprefix("file:")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(body)
+
+
 @query
 def html_signals(spark, sf_dir):
     """Signals of small pages, lists as text."""
@@ -152,7 +181,55 @@ def report_sarif(spark, sf_dir):
     return spark.createDataFrame(rows, "rule_id string, level string, url string, subject string")
 
 
-# Gates and further families.
+# Gates, settings, streams and further families.
+
+
+@query
+def public_origins(spark, sf_dir):
+    """Texts as public origins; what is none is null."""
+
+    def read(text):
+        try:
+            return public_origin(text)
+        except ValueError:
+            return None
+
+    return spark.createDataFrame([(text, read(text)) for text, _ in cases.ORIGINS], "text string, origin string")
+
+
+@query
+def policy_limits(spark, sf_dir):
+    """The limits of small policies: those that a file names, and the others as they are; null where it is refused."""
+    rows = []
+    for name, text, *_ in cases.POLICIES:
+        try:
+            p = policy.parse(text)
+            rows.append((name, " ".join(p.fail_on), *(p.limits[k] for k in ("indexable", "links", "words", "headings"))))
+        except ValueError:
+            rows.append((name, None, None, None, None, None))
+    return spark.createDataFrame(rows, "name string, fail_on string, indexable double, links double, words double, headings double")
+
+
+@query
+def reach_depths(spark, sf_dir):
+    """How many hops away the pages are that can be reached: numbers by depth."""
+    found = reachable_keys(synthetic.site(spark, sf_dir).state, synthetic.HOME)
+    return found.groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_findings(spark, sf_dir):
+    """Findings of a stream of states: two files of states and a repeat of one of them."""
+    rows, path = synthetic.site(spark, sf_dir).state.withColumn("seen_at", F.lit("2024-01-01").cast("timestamp")), fresh(spark, "stream")
+    halves = [rows.where("word_count IS NULL"), rows.where("word_count IS NOT NULL"), rows.where("word_count IS NULL")]
+    for half in halves:
+        half.write.mode("append").parquet(f"{path}/in")
+    out = f"{path}/out"
+    states = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    running = fetches.evaluate_batches(states, lambda found, epoch: found.select(*_SHOWN).write.mode("append").parquet(out), f"{path}/state")
+    running.processAllAvailable()
+    running.stop()
+    return spark.read.schema(findings.run_rules(synthetic.site(spark, sf_dir), (rules.canonical_presence,)).select(*_SHOWN).schema).parquet(out)
 
 
 @query
