@@ -9,6 +9,8 @@ from sitefold.operators.checkpoints import cut
 
 #: Parts in which the links of one page are dealt out.
 PARTS = 8
+#: Edges for which a partition is made; a session's number of shuffle partitions is the most.
+EDGES = 50_000
 
 
 def edges(state: DataFrame) -> DataFrame:
@@ -26,8 +28,8 @@ def reachable_keys(state: DataFrame, entry_key: str) -> DataFrame:
     all links), and stay where they are: a round moves only its frontier, once for each part. Frontiers are checkpointed, so a
     lost executor costs no earlier round.
     """
-    split = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = cut(edges(state).join(state.select(F.col("url_key").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    split = min(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, known.count() // EDGES))
     links = known.withColumn("part", F.expr(f"cast(pmod(xxhash64(dst), {PARTS}) AS int)")).repartition(split, "src", "part").persist()
     frontier = cut(state.where(F.col("url_key") == entry_key).select("url_key").withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
