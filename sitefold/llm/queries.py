@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefold.llm.fill_in_middle import fill_in_middle, restored
 from sitefold.llm.line_dedup import dedup_lines
+from sitefold.llm.lloyd import cluster_vectors, with_inertia
 from sitefold.llm.minhash_dedup import near_duplicates
 from sitefold.llm.mixing import mix_to_targets
 from sitefold.llm.packing import pack_documents
@@ -16,6 +18,7 @@ from sitefold.llm.token_counts import count_tokens
 from sitefold.llm.url_filter import judge_urls
 from sitefold.llm.vector_dedup import near_vectors
 from sitefold.llm.vector_search import EVERY, top_inner_products
+from sitefold.llm.winnowing import benchmark_hits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +75,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(docs, labelled)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that occur in benchmark items, and a digest of those items."""
+    hits = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = [F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")]
+    return hits.select("doc_id", "n_words", "n_hit", *items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each output and of the text that is restored from it."""
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*cluster_vectors(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -83,4 +104,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
+    "op11_decontamination": op11_decontamination,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }

@@ -7,6 +7,35 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 _VECTORS = "SELECT vec_id, label, CAST(embedding AS double[]) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+_CLUSTERS, _ROUNDS = 8, 10
+
+
+def _lloyd() -> str:
+    """Lloyd rounds one after the other, each as two queries."""
+    steps = [
+        """k AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: CAST(floor(1024 * x) AS bigint)) AS v
+FROM (SELECT vec_id, CAST(embedding AS double[]) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) x)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS integer) AS cluster, v AS c FROM (SELECT v, sha256('3:' || vec_id) AS h FROM k ORDER BY h LIMIT {_CLUSTERS}) x)",
+    ]
+    for r in range(_ROUNDS + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, v, m.cluster AS cluster, m.distance AS distance
+FROM (SELECT vec_id, v, min(struct_pack(distance := list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))), cluster := cluster)) AS m FROM k, c{r} GROUP BY ALL) x)"""
+        )
+        if r < _ROUNDS:
+            steps.append(
+                f"""s{r + 1} AS (SELECT cluster, i, CAST(sum(x) AS bigint) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) x GROUP BY ALL),
+m{r + 1} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r + 1} GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r + 1} m USING (cluster))"""
+            )
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, cluster, CAST(distance AS bigint) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS bigint) AS cluster_inertia, CAST(sum(distance) OVER () AS bigint) AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{_ROUNDS} JOIN c{_ROUNDS} USING (cluster)"""
+
+
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_UPPER, _LOWER)
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": f"""
 WITH v AS (SELECT vec_id, list_transform(v, lambda x: floor(256 * x)) AS v FROM ({_VECTORS}) e),
@@ -52,4 +81,23 @@ near AS (SELECT DISTINCT x FROM ends WHERE least(a + b, n) >= most - 1),
 gone AS (SELECT doc_id, list(DISTINCT i) AS ps FROM long JOIN f USING (m) WHERE struct_pack(a := doc_id, b := i) <> f.f OR m IN (SELECT x FROM near) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS bigint) AS n_lines, CAST(coalesce(len(ps), 0) AS bigint) AS n_removed,
  sha256(array_to_string(CASE WHEN ps IS NULL THEN ls ELSE list_filter(ls, lambda x, i: NOT list_contains(ps, i)) END, chr(10))) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)""",
+    "op11_decontamination": f"""
+WITH w AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS t FROM i),
+d AS (SELECT doc_id, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS k FROM w, (SELECT DISTINCT m FROM iw) x),
+hit AS MATERIALIZED (SELECT doc_id, k, m, item_id FROM (SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS t FROM d) x JOIN iw USING (m, t)),
+p AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM hit) x GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS item FROM hit) x GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS bigint) AS n_words, CAST(coalesce(p.n, 0) AS bigint) AS n_hit, CAST(coalesce(s.n, 0) AS bigint) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, p.n IS NOT NULL AS contaminated FROM w LEFT JOIN p USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op12_fill_in_middle": """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS varchar), '')) AS h FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substring(h, CAST(8 * i + 1 AS bigint), 8) AS bigint)) AS h FROM u),
+c AS (SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS bigint) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS bigint) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS bigint) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_centroid_clustering": _lloyd(),
 }
