@@ -94,10 +94,12 @@ def _scan(args, spark: SparkSession) -> int:
     if args.snapshot:
         with open(args.snapshot, "w", encoding="utf-8") as f:
             f.write(snapshot.to_json(site).head()[0])
-    found = findings.run_rules(site, exclusions=rules.exclusions, extra=diff_loss(old, site, rules.limits) if old else None)
     compared = None
-    if old is not None:
-        found = findings.mark_new(found, findings.run_rules(old, exclusions=rules.exclusions))
+    if old is None:
+        found = findings.run_rules(site, exclusions=rules.exclusions)
+    else:
+        old = old.cached()
+        found = findings.against_baseline(site, old, exclusions=rules.exclusions, extra=diff_loss(old, site, rules.limits))
         compared = reports.diff_of(old, site)
     found = found.cache()
     _report(args, _text(args, "scan", reports.rows_of(found), site, compared))

@@ -1,18 +1,31 @@
-"""Rule families as DataFrame transformations of a site. Each gives findings with columns that fix the report order."""
+"""Rule families: branches over rows and over references that were joined with their targets, evaluated in one pass each."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.catalog import SITE_WIDE, SOURCE_NAMES
-from sitefold.functions.redirects import has_cycle
-from sitefold.operators.state import Site, statistics
+from sitefold.operators.spread import dealt_join
+from sitefold.operators.state import REFERENCES, Site, statistics
 from sitefold.schemas import EVIDENCE, ORDER
 
-Family = Callable[[Site], DataFrame]
+
+@dataclass(frozen=True)
+class Family:
+    """Rules as data: branches that look at one row (``alone``), and by kind of reference such that look at a reference of a row
+    and the row that it names (``met``). ``counts`` says that it asks whether any row is in a sitemap. Called with a site, it
+    gives its own findings."""
+
+    __name__: str
+    alone: tuple[str, ...] = ()
+    met: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    counts: bool = False
+
+    def __call__(self, site: Site) -> DataFrame:
+        return evaluate(site, (self,))
 
 
 def _branch(when: str, ord_: int, seq: int, rule: str, severity: str, message: str, pos: str = "0", url: str = "url", key: str = "url_key", **evidence: str) -> str:
@@ -31,139 +44,185 @@ def _finding(rows: DataFrame, *args, **parts) -> DataFrame:
     return _emit(rows, _branch("true", *args, **parts))
 
 
+def targets(site: Site) -> DataFrame:
+    """What rules look at in the row that a reference names."""
+    return site.state.selectExpr("url_key AS target_key", "true AS t_found", *[f"{v} AS {k}" for k, v in TARGET.items()])
+
+
+#: Columns of a target, by what they are made of.
+TARGET = {
+    "t_url": "url", "t_status": "http_status", "t_robots": "robots_txt_status", "t_canonical": "effective_canonical", "t_noindex": "coalesce(effective_robots.noindex, false)",
+    "t_redirect": "redirect_target", "t_indexable": "is_indexable", "t_hreflang": "hreflang",
+}
+
+
+def evaluate(site: Site, families: tuple[Family, ...], only: DataFrame | None = None) -> DataFrame:
+    """Findings of all ``families``: one pass over rows, and one join of all references that they ask for with their targets.
+
+    ``only (url_key)`` limits the rows, and the rows whose references are looked at; targets are never limited. Where the site's
+    states are cached, references are counted first, and pages that very many refer to are dealt out over several tasks.
+    """
+    mine = lambda rows, key: rows if only is None else rows.join(only.select(F.col("url_key").alias(key)), key, "left_semi")
+    parts = []
+    alone = [b for f in families for b in f.alone]
+    if alone:
+        rows = mine(site.state, "url_key")
+        if any(f.counts for f in families):
+            rows = rows.join(F.broadcast(site.state.agg(F.coalesce(F.max("found_in_sitemap"), F.lit(False)).alias("some_in_sitemap"))))
+        parts.append(_emit(rows, *alone))
+    met = {kind: [b for f in families for k, bs in f.met if k == kind for b in bs] for kind in REFERENCES}
+    kinds = tuple(kind for kind, branches in met.items() if branches)
+    if kinds:
+        counts, share = site.reference_counts()
+        named = dealt_join(mine(site.references(kinds), "src_key"), targets(site), "target_key", counts, share, F.xxhash64("src_key", "pos"), "left")
+        branches = " ".join(f"WHEN '{kind}' THEN array_compact(array({', '.join(met[kind])}))" for kind in kinds)
+        parts.append(named.selectExpr(f"inline(CASE kind {branches} END)"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # Evidence texts are parts of the finding key and message texts are what reports show: fixed values.
 
+_RULE, _MARK = "CC-SITEMAP-INDEXABILITY-00", {"declared": "'sitemap.xml'"}
+sitemap_indexability = Family(
+    "sitemap_indexability",
+    (
+        _branch("found_in_sitemap AND coalesce(effective_robots.noindex, false)", 0, 0, _RULE + "1", "error", "'The sitemap declares this URL for indexing, but the effective indexing directive excludes it.'", observed="'noindex'", canonical="effective_canonical", **_MARK),
+        _branch("found_in_sitemap AND robots_txt_status = 'Blocked'", 0, 1, _RULE + "2", "error", "'The sitemap declares this URL for indexing, but robots.txt disallows crawling it.'", observed="'robots.txt: disallow'", **_MARK),
+        _branch("found_in_sitemap AND effective_canonical <> url", 0, 2, _RULE + "3", "warning", "'The sitemap declares this URL, but it canonicalizes to a different URL. The sitemap should contain the canonical URL.'", canonical="effective_canonical", **_MARK),
+        _branch("found_in_sitemap AND robots_txt_status <> 'Blocked' AND NOT coalesce(http_status = 200, false)", 0, 3, _RULE + "4", "error", "'The sitemap declares this URL, but it did not resolve to a successful page response.'", observed="coalesce(concat('HTTP ', http_status), 'not fetched or absent from static output')", canonical="effective_canonical", **_MARK),
+    ),
+)
+
+_NAMES = "map(" + ",".join(f"'{k}','{v}'" for k, v in SOURCE_NAMES.items()) + ")"
+#: Nothing if no row at all is in a sitemap.
+sitemap_coverage = Family(
+    "sitemap_coverage",
+    (
+        _branch(
+            "some_in_sitemap AND NOT found_in_sitemap AND is_indexable AND word_count IS NOT NULL", 1, 0, "CC-SITEMAP-COVERAGE-001", "warning", "'This URL is indexable and returns HTTP 200, but no sitemap declares it. Search engines can still find it, but the sitemap no longer describes the site.'",
+            declared="'no sitemap entry'", observed="'indexable HTML page'", canonical="effective_canonical", detail=f"concat('discovered via: ', array_join(transform(sources, s -> {_NAMES}[s]), ', '))",
+        ),
+    ),
+    counts=True,
+)
+
+_RULE, _AT = "CC-CANONICAL-CONSISTENCY-00", {"url": "src_url", "key": "src_key", "canonical": "target_url"}
+canonical_consistency = Family(
+    "canonical_consistency",
+    (_branch("html_canonical <> http_canonical", 2, 0, _RULE + "1", "error", "'The HTML canonical and HTTP Link header canonical disagree. Use a single, consistent canonical method.'", declared="concat('HTTP Link: ', http_canonical)", observed="concat('HTML canonical: ', html_canonical)"),),
+    (
+        (
+            "canonical",
+            (
+                _branch("target_url <> src_url AND t_status <> 200", 2, 1, _RULE + "3", "error", "concat('The canonical target returned HTTP ', t_status, '. Canonical targets must resolve successfully.')", observed="concat('HTTP ', t_status)", **_AT),
+                _branch("target_url <> src_url AND t_found AND t_status IS NULL", 2, 2, _RULE + "3", "error", "'The canonical target was discovered but not fetched, so it could not be verified.'", observed="'no response recorded'", **_AT),
+                _branch("target_url <> src_url AND t_status = 200 AND NOT t_indexable", 2, 3, _RULE + "4", "error", "'The canonical target resolves successfully but is not indexable.'", observed="'canonical target is non-indexable'", **_AT),
+                _branch("target_url <> src_url AND t_found IS NULL", 2, 4, _RULE + "3", "warning", "'The canonical target was not found in the scanned site. It may be unreachable or external.'", observed="'not found in scan'", **_AT),
+            ),
+        ),
+    ),
+)
 
-def sitemap_indexability(site: Site) -> DataFrame:
-    rows, mark = site.state.where("found_in_sitemap"), {"declared": "'sitemap.xml'"}
-    rule = "CC-SITEMAP-INDEXABILITY-00"
-    return _emit(
-        rows,
-        _branch("coalesce(effective_robots.noindex, false)", 0, 0, rule + "1", "error", "'The sitemap declares this URL for indexing, but the effective indexing directive excludes it.'", observed="'noindex'", canonical="effective_canonical", **mark),
-        _branch("robots_txt_status = 'Blocked'", 0, 1, rule + "2", "error", "'The sitemap declares this URL for indexing, but robots.txt disallows crawling it.'", observed="'robots.txt: disallow'", **mark),
-        _branch("effective_canonical <> url", 0, 2, rule + "3", "warning", "'The sitemap declares this URL, but it canonicalizes to a different URL. The sitemap should contain the canonical URL.'", canonical="effective_canonical", **mark),
-        _branch("robots_txt_status <> 'Blocked' AND NOT coalesce(http_status = 200, false)", 0, 3, rule + "4", "error", "'The sitemap declares this URL, but it did not resolve to a successful page response.'", observed="coalesce(concat('HTTP ', http_status), 'not fetched or absent from static output')", canonical="effective_canonical", **mark),
-    )
-
-
-def sitemap_coverage(site: Site) -> DataFrame:
-    """Nothing if no row at all is in a sitemap."""
-    any_ = site.state.where("found_in_sitemap").limit(1).select(F.lit(True).alias("some"))
-    rows = site.state.where("NOT found_in_sitemap AND is_indexable AND word_count IS NOT NULL").join(F.broadcast(any_))
-    names = "map(" + ",".join(f"'{k}','{v}'" for k, v in SOURCE_NAMES.items()) + ")"
-    return _finding(
-        rows, 1, 0, "CC-SITEMAP-COVERAGE-001", "warning", "'This URL is indexable and returns HTTP 200, but no sitemap declares it. Search engines can still find it, but the sitemap no longer describes the site.'",
-        declared="'no sitemap entry'", observed="'indexable HTML page'", canonical="effective_canonical", detail=f"concat('discovered via: ', array_join(transform(sources, s -> {names}[s]), ', '))",
-    )
-
-
-def canonical_consistency(site: Site) -> DataFrame:
-    rule = "CC-CANONICAL-CONSISTENCY-00"
-    target = site.state.selectExpr("url_key AS t_key", "http_status AS t_status", "is_indexable AS t_indexable", "true AS t_found")
-    rows = site.state.where("effective_canonical <> url OR html_canonical <> http_canonical")
-    rows = rows.withColumn("t_key", F.expr("CASE WHEN effective_canonical <> url THEN regexp_replace(effective_canonical, '(?s)#.*$', '') END")).join(target, "t_key", "left")
-    return _emit(
-        rows,
-        _branch("html_canonical <> http_canonical", 2, 0, rule + "1", "error", "'The HTML canonical and HTTP Link header canonical disagree. Use a single, consistent canonical method.'", declared="concat('HTTP Link: ', http_canonical)", observed="concat('HTML canonical: ', html_canonical)"),
-        _branch("t_status <> 200", 2, 1, rule + "3", "error", "concat('The canonical target returned HTTP ', t_status, '. Canonical targets must resolve successfully.')", observed="concat('HTTP ', t_status)", canonical="effective_canonical"),
-        _branch("t_found AND t_status IS NULL", 2, 2, rule + "3", "error", "'The canonical target was discovered but not fetched, so it could not be verified.'", observed="'no response recorded'", canonical="effective_canonical"),
-        _branch("t_status = 200 AND NOT t_indexable", 2, 3, rule + "4", "error", "'The canonical target resolves successfully but is not indexable.'", observed="'canonical target is non-indexable'", canonical="effective_canonical"),
-        _branch("t_key IS NOT NULL AND t_found IS NULL", 2, 4, rule + "3", "warning", "'The canonical target was not found in the scanned site. It may be unreachable or external.'", observed="'not found in scan'", canonical="effective_canonical"),
-    )
-
-
-def canonical_presence(site: Site) -> DataFrame:
-    rows = site.state.where("is_indexable AND html_canonical IS NULL AND http_canonical IS NULL AND word_count IS NOT NULL")
-    return _finding(
-        rows, 3, 0, "CC-CANONICAL-PRESENCE-001", "warning", "'This page is indexable but declares no canonical URL, so duplicate variants of the same content can compete with it.'",
-        declared="'no canonical'", observed="'no rel=\"canonical\" link and no Link canonical header'", detail="'indexable page without a canonical'",
-    )
-
-
-def canonical_resolution(site: Site) -> DataFrame:
-    """Two hops decide: back to the start is a cycle, on to a third key a chain. Longer cycles are chains for each member."""
-    hop = site.state.where("effective_canonical IS NOT NULL").select("url_key", F.regexp_replace("effective_canonical", r"(?s)#.*$", "").alias("c1"))
-    walk = hop.where("c1 <> url_key").join(hop.select(F.col("url_key").alias("c1"), F.col("c1").alias("c2")), "c1").where("c2 <> c1")
-    walk = walk.withColumn("chain", F.concat_ws(" → ", "url_key", "c1", "c2"))
-    return _emit(
-        walk,
-        _branch("c2 <> url_key", 4, 0, "CC-CANONICAL-RESOLUTION-001", "error", "concat('Canonical chain exceeds depth 1: ', chain)", url="url_key", canonical="chain", detail="'Chain length: 2'"),
-        _branch("c2 = url_key", 4, 1, "CC-CANONICAL-RESOLUTION-002", "error", "concat('Canonical cycle detected: ', chain)", url="url_key", canonical="chain"),
-    )
-
-
-def robots_effective(site: Site) -> DataFrame:
-    def conflict(k: int, name: str) -> str:
-        meta, http = f"html_meta_robots.{name}", f"http_x_robots_tag.{name}"
-        text = f"concat('Meta robots and X-Robots-Tag disagree on {name}. Meta robots: ', {meta}, ', X-Robots-Tag: ', {http}, '. Resolve the conflict to ensure predictable indexing behavior.')"
-        return _branch(f"{meta} <> {http}", 5, k, "CC-ROBOTS-EFFECTIVE-001", "warning", text, declared=f"concat('meta robots: {name}=', {meta})", observed=f"concat('X-Robots-Tag: {name}=', {http})")
-
-    rows = site.state.where("html_meta_robots IS NOT NULL AND http_x_robots_tag IS NOT NULL")
-    return _emit(rows, conflict(0, "noindex"), conflict(1, "nofollow"))
+canonical_presence = Family(
+    "canonical_presence",
+    (
+        _branch(
+            "is_indexable AND html_canonical IS NULL AND http_canonical IS NULL AND word_count IS NOT NULL", 3, 0, "CC-CANONICAL-PRESENCE-001", "warning", "'This page is indexable but declares no canonical URL, so duplicate variants of the same content can compete with it.'",
+            declared="'no canonical'", observed="'no rel=\"canonical\" link and no Link canonical header'", detail="'indexable page without a canonical'",
+        ),
+    ),
+)
 
+#: Two hops decide: back to the start is a cycle, on to a third key a chain. Longer cycles are chains for each member.
+_HOP = "regexp_replace(t_canonical, '(?s)#.*$', '')"
+_CHAIN = f"concat_ws(' → ', src_key, target_key, {_HOP})"
+_TWO = f"target_key <> src_key AND {_HOP} <> target_key AND {_HOP}"
+canonical_resolution = Family(
+    "canonical_resolution",
+    met=(
+        (
+            "canonical",
+            (
+                _branch(f"{_TWO} <> src_key", 4, 0, "CC-CANONICAL-RESOLUTION-001", "error", f"concat('Canonical chain exceeds depth 1: ', {_CHAIN})", url="src_key", key="src_key", canonical=_CHAIN, detail="'Chain length: 2'"),
+                _branch(f"{_TWO} = src_key", 4, 1, "CC-CANONICAL-RESOLUTION-002", "error", f"concat('Canonical cycle detected: ', {_CHAIN})", url="src_key", key="src_key", canonical=_CHAIN),
+            ),
+        ),
+    ),
+)
+
+
+def _conflict(k: int, name: str) -> str:
+    meta, http = f"html_meta_robots.{name}", f"http_x_robots_tag.{name}"
+    text = f"concat('Meta robots and X-Robots-Tag disagree on {name}. Meta robots: ', {meta}, ', X-Robots-Tag: ', {http}, '. Resolve the conflict to ensure predictable indexing behavior.')"
+    return _branch(f"{meta} <> {http}", 5, k, "CC-ROBOTS-EFFECTIVE-001", "warning", text, declared=f"concat('meta robots: {name}=', {meta})", observed=f"concat('X-Robots-Tag: {name}=', {http})")
+
+
+robots_effective = Family("robots_effective", (_conflict(0, "noindex"), _conflict(1, "nofollow")))
 
 _ENTRIES = "array_join(transform({0}, e -> concat(e.lang, ' → ', e.url)), ', ')"
 _ENTRY = "concat('hreflang: ', lang, ' → ', target_url)"
+_SAYS = "concat('This page declares hreflang ', lang, ' → ', target_url, ', but ', target_url, {})"
+_AT = {"pos": "pos", "url": "src_url", "key": "src_key", "declared": _ENTRY}
+#: Whether the target is found by its url, not only by its key.
+_SAME = "coalesce(t_url = target_url, false)"
+_AWAY = "target_url <> src_url AND "
+hreflang_reciprocal = Family(
+    "hreflang_reciprocal",
+    (_branch("size(hreflang) > 0 AND NOT exists(hreflang, e -> e.url = url)", 6, 0, "CC-HREFLANG-RECIPROCAL-002", "error", "'This page declares hreflang entries for other pages but does not include a self-referencing hreflang entry.'", observed=f"concat('hreflang entries: ', {_ENTRIES.format('hreflang')})"),),
+    (
+        (
+            "hreflang",
+            (
+                _branch(f"{_AWAY} {_SAME} AND NOT exists(t_hreflang, e -> e.url = src_url)", 6, 1, "CC-HREFLANG-RECIPROCAL-001", "error", _SAYS.format("' does not link back with a reciprocal hreflang entry.'"), observed=f"concat('target hreflang: [', {_ENTRIES.format('t_hreflang')}, ']')", **_AT),
+                _branch(f"{_AWAY} NOT {_SAME}", 6, 2, "CC-HREFLANG-RECIPROCAL-001", "error", _SAYS.format("' was not found in the scan and cannot be verified for reciprocity.'"), observed="'target not found in scan'", **_AT),
+            ),
+        ),
+    ),
+)
 
+hreflang_canonical = Family(
+    "hreflang_canonical",
+    met=(("hreflang", (_branch("t_canonical <> target_url", 7, 0, "CC-HREFLANG-CANONICAL-001", "error", _SAYS.format("' canonicalizes to ', t_canonical, '. Hreflang URLs should point to the canonical version.'"), observed="concat('target canonical: ', t_canonical)", canonical="t_canonical", **_AT),)),),
+)
 
-def hreflang_reciprocal(site: Site) -> DataFrame:
-    """Targets are found by their ``url``, not their key. A missing link back is an anti-join on the reversed pair."""
-    alone = site.state.where("size(hreflang) > 0 AND NOT exists(hreflang, e -> e.url = url)")
-    entries = site.hreflang()
-    away = entries.where("target_url <> src_url")
-    back = entries.select(F.col("target_url").alias("src_url"), F.col("src_url").alias("target_url")).distinct()
-    known = site.state.groupBy(F.col("url").alias("target_url")).agg(F.max_by("hreflang", "url_key").alias("t_hreflang"))
-    open_ = away.join(back, ["src_url", "target_url"], "left_anti").join(known, "target_url", "left")
-    says = "concat('This page declares hreflang ', lang, ' → ', target_url, ', but ', target_url, {})"
-    at = {"pos": "pos", "url": "src_url", "key": "src_key", "declared": _ENTRY}
-    no_self = _emit(alone, _branch("true", 6, 0, "CC-HREFLANG-RECIPROCAL-002", "error", "'This page declares hreflang entries for other pages but does not include a self-referencing hreflang entry.'", observed=f"concat('hreflang entries: ', {_ENTRIES.format('hreflang')})"))
-    one_way = _emit(
-        open_,
-        _branch("t_hreflang IS NOT NULL", 6, 1, "CC-HREFLANG-RECIPROCAL-001", "error", says.format("' does not link back with a reciprocal hreflang entry.'"), observed=f"concat('target hreflang: [', {_ENTRIES.format('t_hreflang')}, ']')", **at),
-        _branch("t_hreflang IS NULL", 6, 2, "CC-HREFLANG-RECIPROCAL-001", "error", says.format("' was not found in the scan and cannot be verified for reciprocity.'"), observed="'target not found in scan'", **at),
-    )
-    return no_self.unionByName(one_way)
-
-
-def _targets(site: Site, key: str) -> DataFrame:
-    return site.state.selectExpr(f"url_key AS {key}", "http_status AS t_status", "robots_txt_status AS t_robots", "effective_canonical AS t_canonical", "coalesce(effective_robots.noindex, false) AS t_noindex", "redirect_target AS t_redirect")
-
-
-def hreflang_canonical(site: Site) -> DataFrame:
-    met = site.hreflang().join(_targets(site, "target_key"), "target_key").where("t_canonical <> target_url")
-    text = "concat('This page declares hreflang ', lang, ' → ', target_url, ', but ', target_url, ' canonicalizes to ', t_canonical, '. Hreflang URLs should point to the canonical version.')"
-    return _finding(met, 7, 0, "CC-HREFLANG-CANONICAL-001", "error", text, pos="pos", url="src_url", key="src_key", declared=_ENTRY, observed="concat('target canonical: ', t_canonical)", canonical="t_canonical")
-
-
-def hreflang_indexability(site: Site) -> DataFrame:
-    reason = "CASE WHEN t_robots = 'Blocked' THEN 'robots.txt disallows crawling it' WHEN t_status <> 200 THEN concat('it returns HTTP ', t_status) WHEN t_status = 200 AND t_noindex THEN 'it is marked noindex' END"
-    met = site.hreflang().join(_targets(site, "target_key"), "target_key").withColumn("reason", F.expr(reason)).where("reason IS NOT NULL")
-    text = "concat('This page declares hreflang ', lang, ' → ', target_url, ', but that URL cannot be indexed because ', reason, '. Hreflang annotations are ignored when the alternate is not indexable.')"
-    return _finding(met, 8, 0, "CC-HREFLANG-INDEXABILITY-001", "error", text, pos="pos", url="src_url", key="src_key", declared=_ENTRY, observed="reason", canonical="t_canonical", detail="concat('hreflang target returned HTTP ', t_status)")
-
-
-def link_target(site: Site) -> DataFrame:
-    met, at, rule = site.links().join(_targets(site, "link_key"), "link_key"), {"pos": "pos", "url": "src_url", "key": "src_key"}, "CC-LINK-TARGET-00"
-    return _emit(
-        met,
-        _branch("t_status <> 200 AND t_redirect IS NULL", 9, 0, rule + "1", "error", "concat('Internal link target ', link_url, ' returned HTTP ', t_status, ' without a usable redirect target.')", observed="concat('HTTP ', t_status)", detail="concat('link target: ', link_url)", **at),
-        _branch("t_status IS NULL", 9, 1, rule + "3", "error", "concat('Internal link target ', link_url, ' was not fetched, so its resolution could not be verified.')", declared="link_url", observed="'no response recorded'", **at),
-        _branch("t_redirect IS NOT NULL", 9, 2, rule + "2", "warning", "concat('Internal link targets ', link_url, ' which redirects to ', t_redirect, '. Link directly to the canonical URL.')", declared="link_url", observed="concat('redirect → ', t_redirect)", canonical="t_canonical", **at),
-        _branch("t_canonical <> link_url", 9, 3, rule + "4", "warning", "concat('Internal link targets ', link_url, ', but that page canonicalizes to ', t_canonical, '.')", declared="link_url", observed="'link target canonicalizes elsewhere'", canonical="t_canonical", **at),
-    )
-
-
-def redirect_resolution(site: Site) -> DataFrame:
-    rows = site.state.where(has_cycle(F.col("redirect_chain"))).withColumn("chain", F.array_join("redirect_chain", " → "))
-    return _finding(rows, 10, 0, "CC-REDIRECT-RESOLUTION-001", "error", "concat('Redirect cycle detected: ', chain)", observed="chain")
-
-
-def orphan(site: Site) -> DataFrame:
-    rows = site.state.where("is_indexable AND http_status = 200 AND NOT is_reachable")
-    return _finding(
-        rows, 11, 0, "CC-ORPHAN-001", "warning", "'This URL is indexable, but it is not reachable via internal links from the scan entry point.'",
-        declared="CASE WHEN found_in_sitemap THEN 'sitemap.xml' ELSE 'scanned page' END", observed="'not reachable via internal links'", canonical="effective_canonical",
-    )
+_REASON = "CASE WHEN t_robots = 'Blocked' THEN 'robots.txt disallows crawling it' WHEN t_status <> 200 THEN concat('it returns HTTP ', t_status) WHEN t_status = 200 AND t_noindex THEN 'it is marked noindex' END"
+_TEXT = f"concat('This page declares hreflang ', lang, ' → ', target_url, ', but that URL cannot be indexed because ', {_REASON}, '. Hreflang annotations are ignored when the alternate is not indexable.')"
+hreflang_indexability = Family(
+    "hreflang_indexability",
+    met=(("hreflang", (_branch(f"{_REASON} IS NOT NULL", 8, 0, "CC-HREFLANG-INDEXABILITY-001", "error", _TEXT, observed=_REASON, canonical="t_canonical", detail="concat('hreflang target returned HTTP ', t_status)", **_AT),)),),
+)
+
+_RULE, _AT = "CC-LINK-TARGET-00", {"pos": "pos", "url": "src_url", "key": "src_key"}
+link_target = Family(
+    "link_target",
+    met=(
+        (
+            "link",
+            (
+                _branch("t_status <> 200 AND t_redirect IS NULL", 9, 0, _RULE + "1", "error", "concat('Internal link target ', target_url, ' returned HTTP ', t_status, ' without a usable redirect target.')", observed="concat('HTTP ', t_status)", detail="concat('link target: ', target_url)", **_AT),
+                _branch("t_found AND t_status IS NULL", 9, 1, _RULE + "3", "error", "concat('Internal link target ', target_url, ' was not fetched, so its resolution could not be verified.')", declared="target_url", observed="'no response recorded'", **_AT),
+                _branch("t_redirect IS NOT NULL", 9, 2, _RULE + "2", "warning", "concat('Internal link targets ', target_url, ' which redirects to ', t_redirect, '. Link directly to the canonical URL.')", declared="target_url", observed="concat('redirect → ', t_redirect)", canonical="t_canonical", **_AT),
+                _branch("t_canonical <> target_url", 9, 3, _RULE + "4", "warning", "concat('Internal link targets ', target_url, ', but that page canonicalizes to ', t_canonical, '.')", declared="target_url", observed="'link target canonicalizes elsewhere'", canonical="t_canonical", **_AT),
+            ),
+        ),
+    ),
+)
+
+_CHAIN = "array_join(redirect_chain, ' → ')"
+redirect_resolution = Family("redirect_resolution", (_branch("size(redirect_chain) <> size(array_distinct(redirect_chain))", 10, 0, "CC-REDIRECT-RESOLUTION-001", "error", f"concat('Redirect cycle detected: ', {_CHAIN})", observed=_CHAIN),))
+
+orphan = Family(
+    "orphan",
+    (
+        _branch(
+            "is_indexable AND http_status = 200 AND NOT is_reachable", 11, 0, "CC-ORPHAN-001", "warning", "'This URL is indexable, but it is not reachable via internal links from the scan entry point.'",
+            declared="CASE WHEN found_in_sitemap THEN 'sitemap.xml' ELSE 'scanned page' END", observed="'not reachable via internal links'", canonical="effective_canonical",
+        ),
+    ),
+)
 
 
 #: Families in the order in which a run evaluates them.

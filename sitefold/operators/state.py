@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.functions.robots import merge
+from sitefold.operators.spread import share_of
 from sitefold.schemas import ROBOTS, URL_STATE
 
+#: Kinds of references, and SQL of the entries that a row has of each; what an entry lacks is null.
+_ENTRY = "named_struct('kind', '{0}', 'pos', {1}, 'lang', {2}, 'target_url', {3})"
+REFERENCES = {
+    "canonical": f"CASE WHEN effective_canonical IS NOT NULL THEN array({_ENTRY.format('canonical', '0', 'cast(NULL AS string)', 'effective_canonical')}) ELSE array() END",
+    "hreflang": f"transform(hreflang, (e, i) -> {_ENTRY.format('hreflang', 'i', 'e.lang', 'e.url')})",
+    "link": f"transform(internal_links_out, (u, i) -> {_ENTRY.format('link', 'i', 'cast(NULL AS string)', 'u')})",
+}
+
 
 def utc_now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
@@ -24,20 +33,33 @@ class Site:
     base_url: str = ""
     public_origin: str | None = None
     scanned_at: str | None = None
+    _counts: tuple[DataFrame | None, int] | None = field(default=None, init=False, repr=False, compare=False)
 
     def cached(self) -> Site:
         """The same site with its states kept, for plans that read them many times."""
         return replace(self, state=self.state.persist())
 
+    def references(self, kinds: tuple[str, ...] = tuple(REFERENCES)) -> DataFrame:
+        """One row for each reference of a row to another one: ``(src_key, src_url, kind, pos, lang, target_url, target_key)``."""
+        rows = self.state.selectExpr("url_key AS src_key", "url AS src_url", f"inline(concat({', '.join(REFERENCES[k] for k in kinds)}))")
+        return rows.withColumn("target_key", F.regexp_replace("target_url", r"(?s)#.*$", ""))
+
+    def reference_counts(self) -> tuple[DataFrame | None, int]:
+        """``(target_key, n)`` of all references, and how many of one key a task takes. No counts where no key can have more, or
+        where states are not cached, so that counting would compute them anew."""
+        if not self.state.is_cached:
+            return None, share_of(0)
+        if self._counts is None:
+            total = self.state.agg(F.sum(F.expr("size(hreflang) + size(internal_links_out) + 1L"))).head()[0] or 0
+            share = share_of(total)
+            self._counts = (self.references().groupBy("target_key").agg(F.count(F.lit(1)).alias("n")) if total > share else None), share
+        return self._counts
+
     def links(self) -> DataFrame:
-        """One row per outgoing link."""
-        rows = self.state.select(F.col("url_key").alias("src_key"), F.col("url").alias("src_url"), F.posexplode("internal_links_out").alias("pos", "link_url"))
-        return rows.withColumn("link_key", F.regexp_replace("link_url", r"(?s)#.*$", ""))
+        return self.references(("link",)).select("src_key", "src_url", "pos", F.col("target_url").alias("link_url"), F.col("target_key").alias("link_key"))
 
     def hreflang(self) -> DataFrame:
-        """One row per hreflang entry."""
-        rows = self.state.select(F.col("url_key").alias("src_key"), F.col("url").alias("src_url"), F.posexplode("hreflang").alias("pos", "e"))
-        return rows.select("src_key", "src_url", "pos", F.col("e.lang").alias("lang"), F.col("e.url").alias("target_url"), F.regexp_replace("e.url", r"(?s)#.*$", "").alias("target_key"))
+        return self.references(("hreflang",)).select("src_key", "src_url", "pos", "lang", "target_url", "target_key")
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:

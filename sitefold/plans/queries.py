@@ -61,7 +61,7 @@ def rule_query_name(rule: str) -> str:
 
 def _rule_query(family: str, rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(rules, family)(synthetic.site(spark, sf_dir, reach=family == "orphan")).where(F.col("rule_id") == rule).select(*_SHOWN)
+        return getattr(rules, family)(synthetic.site(spark, sf_dir, reach=family == "orphan").cached()).where(F.col("rule_id") == rule).select(*_SHOWN)
 
     return run
 
@@ -186,7 +186,7 @@ def findings_catalog_join(spark, sf_dir):
 def findings_new_only(spark, sf_dir):
     """Findings of the candidate, of all families, and whether the baseline lacks them."""
     old, now = (replace(s, state=with_reachability(s.state.persist(), synthetic.HOME)).cached() for s in _sites(spark, sf_dir))
-    marked = findings.mark_new(findings.run_rules(now), findings.run_rules(old))
+    marked = findings.against_baseline(now, old)
     return marked.groupBy("rule_id", "is_new").agg(F.count(F.lit(1)).alias("n"))
 
 
