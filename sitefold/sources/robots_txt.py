@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.robots import pattern_regex, specificity
 from sitefold.functions.urls import resolve
+from sitefold.operators.checkpoints import cut
+from sitefold.operators.spread import dealt_join, share_of
 
 #: Longest crawl delay that is accepted, in seconds.
 LONGEST_DELAY = 60.0
-MOST_RULES = 100_000
+#: Lengths to which the literal starts of rules are cut where rules and paths meet.
+PREFIXES = (*range(32), *range(32, 128, 8), 128, 256)
 
 
 @dataclass
@@ -88,15 +91,35 @@ def status_column(path: Column, robots: RobotsTxt | None) -> Column:
     return out
 
 
+def posted(rules: DataFrame) -> DataFrame:
+    """Rules with ``plain``, the whole pattern where it has no wildcard and no end mark (else null), and ``prefix``, under which
+    they are found: the characters before the first wildcard, cut to the longest length of PREFIXES that they have."""
+    literal = F.substring_index(F.regexp_replace("pattern", r"\$\z", ""), "*", 1)
+    cuts = F.coalesce(*[F.when(F.length("literal") >= n, F.substring("literal", 1, n)) for n in reversed(PREFIXES)])
+    return rules.withColumn("literal", literal).withColumns({"prefix": cuts, "plain": F.when(F.col("literal") == F.col("pattern"), F.col("literal"))}).drop("literal")
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``(url, status)`` for tables of ``(url, path)`` and of ``(pattern, regex, specificity, allowed)``.
 
-    The set-based form of ``status_column``: rules are a small table, the best one is a maximum. Rules are broadcast, as crawlers
-    read only so much of a file that it holds fewer than MOST_RULES; more are an error.
+    The set-based form of ``status_column``, for rules of any number. A rule is posted under the characters before its first
+    wildcard, cut to a length of a grid; a path asks for its own first characters of those lengths that rules use. They meet
+    by equal prefixes, and only such pairs are compared: by the literal where the rule has no wildcard, else by the regular
+    expression. A url's best rule is a maximum of partial maxima. Pairs are counted by prefix before they are made, and prefixes
+    with very many are dealt out by url. Rules that start with a wildcard are met by every path.
     """
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    met = urls.join(F.broadcast(rules), F.expr("path RLIKE regex"), "left").groupBy("url").agg(F.max(F.struct("specificity", "allowed")).alias("best"))
+    kept = cut(posted(rules))
+    used = sorted(r[0] for r in kept.select(F.length("prefix")).distinct().collect())  # at most the lengths of the grid
+    asked = urls.select("url", "path", F.explode(F.array(*[F.lit(n) for n in used]).cast("array<int>")).alias("n")).where("length(path) >= n")
+    asked = asked.select("url", "path", F.expr("substring(path, 1, n)").alias("prefix"))
+    pairs = asked.groupBy("prefix").agg(F.count(F.lit(1)).alias("paths")).join(kept.groupBy("prefix").agg(F.count(F.lit(1)).alias("rules")), "prefix")
+    counts = cut(pairs.select("prefix", (F.col("paths") * F.col("rules")).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    share = share_of(total)
+    near = dealt_join(asked, kept, "prefix", counts if total > share else None, share, F.xxhash64("url"))
+    fits = near.where("CASE WHEN plain IS NOT NULL THEN startswith(path, plain) ELSE path RLIKE regex END").select("url", F.struct("specificity", "allowed").alias("best"))
+    all_urls = urls.select("url", F.lit(None).cast(fits.schema["best"].dataType).alias("best"))
+    met = all_urls.unionByName(fits).groupBy("url").agg(F.max("best").alias("best"))
     return met.select("url", F.expr("CASE WHEN best.specificity IS NULL THEN 'NoRule' WHEN best.allowed THEN 'Allowed' ELSE 'Blocked' END").alias("status"))
 
 
