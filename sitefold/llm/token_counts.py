@@ -28,6 +28,14 @@ _GRAPHIC[[*b">"]] = False
 #: Two first bytes of white space, joiners and marks of order in UTF-8: U+0085, U+00A0, U+1680, U+180E, U+2000 to U+206F,
 #: U+3000 to U+303F, U+FEFF. Fixed values.
 _ODD = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,)))
+#: Full-width marks (U+3001, U+3002, U+FF01, U+FF0C, U+FF1A, U+FF1B, U+FF1F) in UTF-8. Fixed values.
+_WIDE_MARKS = (0xE38081, 0xE38082, 0xEFBC81, 0xEFBC8C, 0xEFBC9A, 0xEFBC9B, 0xEFBC9F)
+#: Classes of ASCII: 1 letters, 2 digits, 3 marks other than the apostrophe.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[0x27] = 0
 _ODD_FIRST = np.zeros(256, bool)
 _ODD_FIRST[[*range(0x1C, 0x20), *(x for x, _ in _ODD)]] = True
 
@@ -140,32 +148,67 @@ def _edge(raw: np.ndarray, at: int) -> int:
 Encode = Callable[[int, int], tuple[np.ndarray, np.ndarray]]
 
 
-def encode_long(raw: np.ndarray, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+def class_edges(raw: np.ndarray, places: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Those of these bytes at which letters, digits and marks meet such that every pre-tokenizer of bytes cuts there: a letter
+    and a digit, or a letter or digit and the mark after it (an apostrophe may belong to what follows). ASCII, and Chinese
+    ideographs before full-width marks. ``free`` says which bytes no special token holds, so that none lies across the edge.
+    """
+    places = places[(places > 0) & (places < len(raw))]
+    before, after = raw[places - 1], raw[places]
+    b, a = _CLASS[before], _CLASS[after]
+    sure = (((b == 1) & (a == 2)) | ((b == 1) | (b == 2)) & (a == 3)) & free[after] | (b == 2) & (a == 1) & free[before]
+    wide = np.flatnonzero(((after == 0xE3) | (after == 0xEF)) & (before >= 0x80) & (places >= 3) & (places + 2 < len(raw)))
+    if len(wide):
+        at = places[wide]
+        mark = (raw[at].astype(np.int64) << 16) | (raw[at + 1].astype(np.int64) << 8) | raw[at + 2]
+        lead, second = raw[at - 3], raw[at - 2]
+        ideograph = ((lead >= 0xE5) & (lead <= 0xE8)) | ((lead == 0xE4) & (second >= 0xB8)) | ((lead == 0xE9) & (second < 0xBE))
+        sure[wide] |= ideograph & np.isin(mark, _WIDE_MARKS)
+    return places[sure]
+
+
+_free: dict[str, np.ndarray] = {}
+
+
+def free_bytes(path: str) -> np.ndarray:
+    """Which bytes occur in none of the tokenizer's special tokens."""
+    if path not in _free:
+        _free[path] = np.ones(256, bool)
+        for token in tokenizer(path).get_added_tokens_decoder().values():
+            _free[path][[*token.content.encode()]] = False
+    return _free[path]
+
+
+def encode_long(raw: np.ndarray, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP, free: np.ndarray | None = None) -> np.ndarray:
     """What ``encode`` gives for the pieces of a text, as if it were encoded whole.
 
     ``encode`` takes the bounds of a chunk in bytes, and gives the starts of pieces in it and a value of each. Each chunk begins
-    ``overlap`` bytes before the last one's end. Two encodings are joined at the last common start that is certain; where the
-    overlap has none it is doubled, at most to the whole of what has been read since the last joint, after which the chunk
-    itself grows. Text without any certain position is encoded whole.
+    ``overlap`` bytes before the last one's end. Two encodings are joined at the last common start that is certain, by white
+    space, or with ``free`` also by the classes of the characters there. Where the overlap has none it is widened, to a quarter of
+    what has been read since the last joint; then all of this is read again with as much again behind it, so that however
+    long a stretch without a certain place is, no more than a few times its bytes are encoded.
     """
     out = []
     begin, end = 0, _edge(raw, min(chunk, len(raw)))
     starts, values = encode(begin, end)
     while end < len(raw):
         width, joint = overlap, None
-        while joint is None:
+        while joint is None and (width == overlap or width <= (end - begin) // 4):
             start, stop = _edge(raw, max(begin, end - width)), _edge(raw, min(end + chunk, len(raw)))
             others, theirs = encode(start, stop)
-            common = certain(raw, np.intersect1d(starts[starts > start], others[others < end]))
+            both = np.intersect1d(starts[np.searchsorted(starts, start, "right") :], others[others < end])
+            common = certain(raw, both)
+            if free is not None:
+                common = np.union1d(common, class_edges(raw, both, free))
             joint = int(common[-1]) if len(common) else None
-            if joint is None and start == begin:  # nothing certain since the last joint: take both as one chunk
-                (starts, values), end = encode(begin, stop), stop
-                break
-            width *= 2
-        if joint is not None:
-            out.append(values[starts < joint])
-            keep = others >= joint
-            starts, values, begin, end = others[keep], theirs[keep], joint, stop
+            width *= 4
+        if joint is None:
+            stop = _edge(raw, min(end + max(chunk, end - begin), len(raw)))
+            (starts, values), end = encode(begin, stop), stop
+            continue
+        out.append(values[starts < joint])
+        keep = others >= joint
+        starts, values, begin, end = others[keep], theirs[keep], joint, stop
     return np.concatenate([*out, values])
 
 
@@ -227,7 +270,7 @@ def counts(raw: np.ndarray, offsets: np.ndarray, path: str, chunk: int = CHUNK,
     for k in np.flatnonzero(long):
         text = raw[offsets[k] : offsets[k + 1]]
         encode, bounds = by_words(text, pieces, path), []
-        n_tokens[k] = encode_long(text, lambda a, b: (bounds.append(a), encode(a, b))[1], chunk, overlap).sum()  # noqa: B023
+        n_tokens[k] = encode_long(text, lambda a, b: (bounds.append(a), encode(a, b))[1], chunk, overlap, free_bytes(path)).sum()  # noqa: B023
         n_chunks[k] = len(bounds)
     rest = np.flatnonzero(~long)
     sizes = np.diff(offsets)[rest]

@@ -218,6 +218,56 @@ def test_long_documents_are_spliced():
     assert n_tokens.tolist() == [len(x.ids) for x in want]
 
 
+def _long_lines():
+    """Texts without white space: base64, minified code, a data address, Chinese with and without marks, one letter."""
+    rng = random.Random(8)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    han = [chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(500)]
+    return {
+        "base64": "".join(rng.choices(signs, k=300_000)), "code": "".join(rng.choices(["function(a,b){", "return", "x1", ";", "}", "'s", "<|endoftext|>", "<|", "don't", "=>"], k=40_000)),
+        "address": "data:image/png;base64," + "".join(rng.choices(signs, k=50_000)), "chinese": "".join(rng.choices([*han, *"，。！" * 15], k=60_000)), "marks": "".join(rng.choices("'-_.<>|", k=30_000)),
+        "letters": "".join(rng.choices(han, k=20_000)), "one": "a" * 20_000,
+    }
+
+
+@pytest.mark.parametrize("name", sorted(_long_lines()))
+def test_long_texts_without_white_space(name):
+    """Counts are the library's, and no more than four times the bytes of the text are encoded."""
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    text = _long_lines()[name]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    encode, seen = token_counts.by_words(raw, token_counts.PieceCounts(path), path), []
+    got = token_counts.encode_long(raw, lambda a, b: (seen.append(b - a), encode(a, b))[1], free=token_counts.free_bytes(path)).sum()
+    assert got == len(tokenizer(path).encode(text, add_special_tokens=False).ids)
+    assert sum(seen) < 4 * len(raw) and (name in ("marks", "letters", "one") or max(seen) < 3 * token_counts.CHUNK)
+
+
+def test_four_megabytes_without_white_space():
+    """Linear time, also with nothing certain but the classes of characters."""
+    import base64
+    import time
+
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    text = base64.b64encode(np.random.default_rng(1).bytes(3 << 20)).decode()
+    raw, at = textkernel.text_bytes(pa.array([text]))
+    began = time.perf_counter()
+    n_tokens, _ = token_counts.counts(raw, at, path)
+    assert time.perf_counter() - began < 30 and n_tokens[0] == len(tokenizer(path).encode(text, add_special_tokens=False).ids)
+
+
+def test_class_edges_are_cuts_of_the_library():
+    """Encoding both sides of an edge apart changes nothing, whatever stands around it."""
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    t, free, rng = tokenizer(path), token_counts.free_bytes(path), random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "Zq", "7", "42", "'", "'s", "'ll", ".", "-", "<", "|", ">", "<|endoftext|>", " ", "\n", "é", "中", "，", "。", "_", "\u3000"], k=12))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids = t.encode(text, add_special_tokens=False).ids
+        for k in token_counts.class_edges(raw, np.arange(len(raw)), free).tolist():
+            left, right = raw[:k].tobytes().decode(), raw[k:].tobytes().decode()
+            assert t.encode(left, add_special_tokens=False).ids + t.encode(right, add_special_tokens=False).ids == ids
+
+
 def test_equal_hashes_would_not_mix_units():
     """Remembered units are compared by their bytes: as many distinct ones come back as there are."""
     words = [b"a", b"b", b"a", b"", b"ab", b"\xc3\xa9", b"b"]
