@@ -182,7 +182,9 @@ def _counted(cosine: float):
 
 
 def _chosen(single: DataFrame, cosine: float, window: int, miss: float) -> DataFrame:
-    """``(label, dims, rows, bits, passes)``: for each label the bits whose passes cost least, by the runs of a few passes."""
+    """``(label, dims, rows, bits, passes)``: for each label the bits whose passes cost least, by the runs of a few passes.
+
+    A label of more rows than a window is always sorted by projections, with one bit at least; a smaller one is one window."""
     rows = single.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("rows"))
     most = bits_for(rows.agg(F.max("rows")).first()[0] or 0, window)
     passes = F.expr("element_at(array(" + ",".join(str(passes_for(b, cosine, miss)) for b in range(most + 1)) + "), bits + 1)")
@@ -190,7 +192,7 @@ def _chosen(single: DataFrame, cosine: float, window: int, miss: float) -> DataF
     keys = probed.groupBy(*_RUN).agg(F.count(F.lit(1)).alias("n")).withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(most))))
     runs = keys.groupBy("label", "dims", "bits", "pass", F.expr(f"shiftright(key, {BITS} - bits)").alias("key")).agg(F.sum("n").alias("n"))
     costs = runs.groupBy("label", "dims", "bits").agg((F.sum("n") / PROBES).cast("long").alias("rows"), (F.sum(F.col("n").cast("double") * F.col("n")) / PROBES).alias("met"))
-    costs = costs.withColumn("passes", passes).withColumn("cost", F.expr(f"passes * ({DEALT}D * rows + met)"))
+    costs = costs.where(f"bits > 0 OR rows <= {window}").withColumn("passes", passes).withColumn("cost", F.expr(f"passes * ({DEALT}D * rows + met)"))
     return costs.groupBy("label", "dims").agg(F.min(F.struct("cost", "bits", "passes", "rows")).alias("x")).where("x.rows > 1").select("label", "dims", "x.rows", "x.bits", "x.passes")
 
 
@@ -203,8 +205,9 @@ def near_vectors(
     the signs of random projections and compares every vector with all of its run, that is, those with the same key. So the
     chance that a pair at the threshold meets follows from the number of bits alone, however the vectors of a label are
     spread, and the passes are as many as leave at most ``miss``. What the spread changes is the length of the runs: it is
-    measured, and each label gets the bits that cost least, none where comparing all of it in one pass is cheapest. Long
-    runs are split into blocks, and each pair of blocks is compared by some task.
+    measured, and each label of more rows than a window gets the bits that cost least. A run is compared in windows of at most
+    BLOCK rows; a longer one is split into such blocks, and each pair of blocks is compared by some task, so that no bound
+    loses a pair.
 
     The verified pairs of all passes are joined into components. Links are then counted exactly within components, block by
     block, each vector with the number of its copies as weight, so that a group of copies gets all its links while no pair of

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,25 +116,48 @@ def test_near_vectors(spark, seed):
     assert passes_needed(1 << 30) > passes_needed(1 << 10) >= 4
 
 
-@pytest.mark.parametrize(("common", "dealt"), [(0.85, vector_dedup.DEALT), (0.5, 0)])
-def test_near_vectors_of_a_clustered_label(spark, monkeypatch, common, dealt):
-    """Isolated pairs at 0.94 in a label whose vectors all point one way; without a price of dealing, by passes with keys."""
+def watched(monkeypatch):
+    """The choices of bits and passes that calls make."""
     plans, choose = [], vector_dedup._chosen
-    monkeypatch.setattr(vector_dedup, "DEALT", dealt)
     monkeypatch.setattr(vector_dedup, "_chosen", lambda *a: (plans.append(choose(*a)), plans[-1])[1])
+    return plans
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.85])
+def test_recall_of_the_passes(spark, monkeypatch, common):
+    """Isolated pairs at 0.94, and some right at the threshold, in a label whose vectors have a background cosine: production settings."""
+    plans = watched(monkeypatch)
     rng, d = np.random.default_rng(5), 64
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     x = unit(np.sqrt(common) * unit(rng.standard_normal((1, d))) + np.sqrt(1 - common) * unit(rng.standard_normal((3000, d))))
     off = rng.standard_normal((200, d))
     off = unit(off - (off * x[:200]).sum(1, keepdims=True) * x[:200])
-    x = np.concatenate((x, 0.94 * x[:200] + np.sqrt(1 - 0.94**2) * off))
+    near = np.where(np.arange(200) % 2 == 0, 0.94, 0.9301)[:, None]
+    x = np.concatenate((x, near * x[:200] + np.sqrt(1 - near**2) * off))
     want = (unit(x) @ unit(x).T >= 0.93).sum(1) - 1
     table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
-    got = {r.vec_id: r.n_links for r in near_vectors(table, window=4).collect()}
-    assert (plans[0].first().bits > 0) == (dealt == 0)
+    got = {r.vec_id: r.n_links for r in near_vectors(table).collect()}
+    assert plans[0].first().bits > 0 and plans[0].first().passes > 3
     assert want.sum() >= 400 and [got[i] for i in range(len(x))] == want.tolist()
 
 
+def test_passes_run_on_the_given_vectors(spark, monkeypatch):
+    """All given vectors, which have no near copies of their own, with one of every fifth planted: each label has its passes."""
+    plans = watched(monkeypatch)
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    labels, x = np.array(table["label"]), np.array(table["embedding"], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = np.random.default_rng(2).standard_normal((len(x[::5]), x.shape[1]))
+    off -= (off * x[::5]).sum(1, keepdims=True) * x[::5]
+    x, labels = np.concatenate((x, 0.94 * x[::5] + np.sqrt(1 - 0.94**2) * off / np.linalg.norm(off, axis=1, keepdims=True))), np.concatenate((labels, labels[::5]))
+    rows = [(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), labels, strict=True))]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    chosen = plans[0].collect()
+    assert len(chosen) == 10 and all(r.rows > vector_dedup.WINDOW and r.bits > 0 and r.passes > 3 for r in chosen)
+    want = ((x @ x.T >= 0.93) & (labels[:, None] == labels[None])).sum(1) - 1
+    assert [got[i] for i in range(len(x))] == want.tolist() and want.sum() >= 800
+
+
 def test_long_runs_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 32)
     rows = vectors(3)
