@@ -85,10 +85,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     only one number per domain. A domain that no document belongs to can't be filled, and the share of a target whose domain no
     labelled document has goes to the others in proportion; both are warned of, with the largest gap that is left.
     """
-    d = len(domains)
+    d, spark = len(domains), members.sparkSession
     size = [F.sum(F.col("n_tokens") * F.col("p")[k]) for k in range(d)]
-    cross = [F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(d) for j in range(d)]
-    first = members.agg(F.sum("n_tokens"), *size, *cross).first() if d else None
+    first = members.agg(F.sum("n_tokens"), *size).first() if d else None
     if not d or not first[0]:
         return members.withColumn("rate", F.lit(1.0))
     total, have = float(first[0]), np.array(first[1 : d + 1], float)
@@ -99,21 +98,29 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     want = np.array([named.get(k, rest) for k in domains])
     want = want / want.sum() if want.sum() > 0 else np.full(d, 1 / d)
     root = np.sqrt(total / np.maximum(have, 1e-9 * total))
-    curve = root[:, None] * np.array(first[d + 1 :], float).reshape(d, d) / total * root[None, :]
+    # one row for each domain of a document, so that a domain's row of the matrix is one group of d sums
+    each = members.select("n_tokens", "p", F.posexplode("p").alias("i", "x")).where("x > 0")
+    cross = {r["i"]: r[1:] for r in each.groupBy("i").agg(*[F.sum(F.col("n_tokens") * F.col("x") * F.col("p")[j]) for j in range(d)]).collect()}
+    curve = root[:, None] * np.array([cross.get(i, [0.0] * d) for i in range(d)], float) / total * root[None, :]
     step = 1 / np.linalg.eigvalsh(curve)[-1]
     rated, history = members.withColumn("rate", F.lit(1.0)), []
 
     def with_history(frame: DataFrame) -> DataFrame:
+        """The steps as one row of a table, not as literals: so every round has the same plan, compiled once."""
         if not history:
             return frame
-        steps = "array(" + ",".join("array(" + ",".join(f"{x!r}D" for x in g) + ")" for g in history) + ")"
-        move = f"aggregate({steps}, rate, (r, g) -> greatest(0D, r - aggregate(zip_with(p, g, (a, b) -> a * b), 0D, (a, b) -> a + b)))"
-        return frame.withColumn("rate", F.expr(move))
+        steps = spark.createDataFrame([(history,)], "steps array<array<double>>")
+        move = "aggregate(steps, rate, (r, g) -> greatest(0D, r - aggregate(zip_with(p, g, (a, b) -> a * b), 0D, (a, b) -> a + b)))"
+        return frame.join(F.broadcast(steps)).withColumn("rate", F.expr(move)).drop("steps")
+
+    def totals(frame: DataFrame) -> np.ndarray:
+        sums = frame.select((F.col("rate") * F.col("n_tokens")).alias("n"), F.posexplode("p").alias("i", "x")).groupBy("i").agg(F.sum(F.col("n") * F.col("x")).alias("s"))
+        found = {r["i"]: r["s"] for r in sums.collect()}
+        return np.array([found.get(i, 0.0) for i in range(d)], float)
 
     for k in range(rounds + 1):
         now = with_history(rated)
-        got = np.array(now.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col("p")[i]) for i in range(d)]).first(), float)
-        gap = got / total - want
+        gap = totals(now) / total - want
         if np.abs(gap).max() < tolerance or k == rounds:
             break
         history.append([float(x) for x in step * root**2 * gap])
