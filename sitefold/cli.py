@@ -6,14 +6,15 @@ import argparse
 import os
 import re
 import sys
+from contextlib import nullcontext
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from sitefold.functions.urls import public_origin
 from sitefold.operators import diff, findings
 from sitefold.operators.rules import diff_loss
 from sitefold.operators.state import Site
-from sitefold.sinks import reports
+from sitefold.sinks import documents, reports
 from sitefold.sources import crawl, policy, snapshot
 from sitefold.sources.static_site import BASE_URL, scan_directory
 
@@ -58,12 +59,20 @@ def _severities(args, rules: policy.Policy) -> list[str]:
     return [s.strip() for s in args.fail_on.split(",")] if args.fail_on else rules.fail_on
 
 
-def _report(args, text: str) -> None:
-    if args.output:
-        with open(args.output, "w", encoding="utf-8") as f:
-            f.write(text + "\n")
+def _report(args, command: str, found: DataFrame, site: Site, old: Site | None) -> None:
+    """Machine-readable reports are streamed from what tasks wrote; those for readers are made of bounded lists."""
+    if args.format == "json":
+        made = documents.findings_json(command, found, site, old)
+    elif args.format == "sarif":
+        made = documents.findings_sarif(found)
     else:
-        print(text)
+        compared = reports.diff_of(old, site) if old is not None else None
+        text = (reports.to_markdown if args.format == "markdown" else reports.to_text)(reports.rows_of(found), site, compared)
+    with open(args.output, "w", encoding="utf-8") if args.output else nullcontext(sys.stdout) as out:
+        if args.format in ("json", "sarif"):
+            made.copy_to(out)
+        else:
+            out.write(text + "\n")
 
 
 def _check_output(args) -> None:
@@ -93,16 +102,14 @@ def _scan(args, spark: SparkSession) -> int:
         diff.check_same_base(old, site)
     if args.snapshot:
         with open(args.snapshot, "w", encoding="utf-8") as f:
-            f.write(snapshot.to_json(site).head()[0])
-    compared = None
+            documents.snapshot_json(site).copy_to(f)
     if old is None:
         found = findings.run_rules(site, exclusions=rules.exclusions)
     else:
         old = old.cached()
         found = findings.against_baseline(site, old, exclusions=rules.exclusions, extra=diff_loss(old, site, rules.limits))
-        compared = reports.diff_of(old, site)
     found = found.cache()
-    _report(args, _text(args, "scan", reports.rows_of(found), site, compared))
+    _report(args, "scan", found, site, old)
     return int(findings.gate(found, _severities(args, rules), args.fail_on_new))
 
 
@@ -112,17 +119,9 @@ def _diff(args, spark: SparkSession) -> int:
     diff.check_same_base(old, new)
     _check_output(args)
     found = findings.exclude(diff_loss(old, new, rules.limits), rules.exclusions).cache()
-    _report(args, _text(args, "diff", reports.rows_of(found), new, reports.diff_of(old, new)))
+    _report(args, "diff", found, new, old)
     return int(findings.gate(found, _severities(args, rules)))
 
 
-def _text(args, command: str, items: list[dict], site: Site, compared: dict | None) -> str:
-    if args.format == "json":
-        return reports.to_json(command, items, site, compared)
-    if args.format == "markdown":
-        return reports.to_markdown(items, site, compared)
-    return reports.to_sarif(items) if args.format == "sarif" else reports.to_text(items, site, compared)
-
-
 if __name__ == "__main__":
     sys.exit(main())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from sitefold.operators.state import statistics
 from sitefold.plans import cases, synthetic
 from sitefold.plans.queries import _SHOWN, QUERIES, _all, _rows, query
 from sitefold.schemas import STATISTICS
-from sitefold.sinks import reports
+from sitefold.sinks import documents, reports
 from sitefold.sources import policy, robots_txt, sitemap, snapshot
 from sitefold.sources.crawl import Options, crawl, replay
 from sitefold.sources.html import page_signals
@@ -139,8 +138,9 @@ def snapshot_table(spark, sf_dir):
 
 @query
 def snapshot_json(spark, sf_dir):
+    """A snapshot as one JSON document, written and read by tasks."""
     path = fresh(spark, "snapshot")
-    snapshot.to_json(synthetic.site(spark, sf_dir)).write.text(path)
+    documents.snapshot_json(synthetic.site(spark, sf_dir).cached(), "2024-01-01T00:00:00Z").write(path)
     return snapshot.read_json(spark, path).state.select(*_STATE)
 
 
@@ -165,20 +165,31 @@ def _few(spark, sf_dir):
     return findings.run_rules(site, (rules.sitemap_indexability, rules.canonical_presence, rules.canonical_resolution))
 
 
+def _elements(spark, path: str, kind: str):
+    """The elements of a written document's array, parsed by tasks."""
+    lines = spark.read.text(path).where("value LIKE ' {%' OR value LIKE ',{%'")
+    return lines.select(F.from_json(F.substring("value", 2, 2147483647), kind, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+
+
 @query
 def report_json(spark, sf_dir):
-    """Findings of three families, read from the JSON report."""
-    items = json.loads(reports.findings_to_json(reports.rows_of(_few(spark, sf_dir))))["findings"]
-    rows = [(f["rule_id"], f["severity"], f["url"], *(f["evidence"][e] for e in ("declared", "observed", "canonical", "detail"))) for f in items]
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in _SHOWN))
+    """Findings of three families, read from the JSON report that tasks wrote."""
+    path = fresh(spark, "report")
+    documents.findings_json("scan", _few(spark, sf_dir)).write(path)
+    texts = ", ".join(f"{e}: string" for e in ("declared", "observed", "canonical", "detail"))
+    items = _elements(spark, path, f"rule_id string, severity string, url string, message string, evidence struct<{texts}>")
+    return items.select("rule_id", "severity", "url", "evidence.*")
 
 
 @query
 def report_sarif(spark, sf_dir):
-    """The same, read from the SARIF report."""
-    results = json.loads(reports.to_sarif(reports.rows_of(_few(spark, sf_dir))))["runs"][0]["results"]
-    rows = [(r["ruleId"], r["level"], r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], json.loads(next(iter(r["partialFingerprints"].values())))[3]) for r in results]
-    return spark.createDataFrame(rows, "rule_id string, level string, url string, subject string")
+    """The same, read from the SARIF report that tasks wrote."""
+    path = fresh(spark, "report")
+    documents.findings_sarif(_few(spark, sf_dir)).write(path)
+    kind = "ruleId string, level string, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>>>>, partialFingerprints map<string, string>"
+    results = _elements(spark, path, kind)
+    key = F.from_json(F.map_values("partialFingerprints")[0], "array<string>")
+    return results.select(F.col("ruleId").alias("rule_id"), "level", F.col("locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("url"), key[3].alias("subject"))
 
 
 # Gates, settings, streams and further families.
