@@ -76,3 +76,51 @@ POLICIES = (
     ("key", "[diff]\nmax_loss = 1", None, None, None, None, None), ("range", "[diff]\nmax_link_loss_percent = 101", None, None, None, None, None), ("severity", '[general]\nfail_on = ["fatal"]', None, None, None, None, None),
     ("reason", '[[exclusions]]\nrule_id = "CC-ORPHAN-001"\nurl_pattern = "/x"\nreason = " "', None, None, None, None, None),
 )
+
+# Inputs that are made of table columns, in SQL that both engines read alike; what they give is SQL too.
+
+
+def _pick(k: str, values) -> str:
+    """One of ``values`` by ``k``."""
+    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return f"CASE {k} % {len(values)} " + " ".join(f"WHEN {n} THEN {quote(v)}" for n, v in enumerate(values)) + " END"
+
+
+def directive(k: str) -> str:
+    """A robots directive of a part."""
+    more = "CASE p_size % 4 WHEN 1 THEN concat(', max-snippet:', p_size) WHEN 2 THEN concat(',Max-Image-Preview: ', CASE p_size % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'standard' ELSE 'large' END) WHEN 3 THEN concat(', max-video-preview:', p_size - 25) ELSE '' END"
+    return f"concat({_pick(k, DIRECTIVES)}, {more})"
+
+
+PAIRED = f"SELECT p_partkey, {directive('p_partkey')} AS value_a, {directive('(p_partkey * 5 + p_size)')} AS value_b FROM part"
+#: Elements of sitemaps: 40 files of part pages, every fourth an index, every fourth with a prefix.
+SITEMAP_ITEMS = """SELECT p_partkey % 40 AS n, p_partkey AS k, concat('https://a.test/p/', p_partkey, '?x=1&y=', p_size) AS loc, CASE WHEN p_partkey % 3 = 0 THEN '2024-01-01' END AS lastmod,
+ CASE WHEN p_partkey % 7 < 3 THEN CAST(p_partkey % 7 AS double) / 2 END AS priority FROM part"""
+LINK_VALUES = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('</p/', p_partkey, '>; rel="canonical"') WHEN 1 THEN concat('</a>; rel=next, </p/', p_partkey, '>; REL=Canonical') WHEN 2 THEN concat('</x', p_partkey, '>; rel=alternate')
+ WHEN 3 THEN concat('</p/', p_partkey, '>; rel=canonical|</q/', p_partkey, '>; rel="next canonical"') WHEN 4 THEN '' ELSE concat('no brackets; rel=canonical, </d/', p_partkey, '>;rel=canonical') END AS value FROM part"""
+LINK_TARGETS = "CASE p_partkey % 6 WHEN 0 THEN concat('/p/', p_partkey) WHEN 1 THEN concat('/p/', p_partkey) WHEN 3 THEN concat('/q/', p_partkey) WHEN 5 THEN concat('/d/', p_partkey) END"
+#: Pages of parts at https://a.test/d/p, and their signals.
+PAGE_HTML = """SELECT p_partkey, CASE p_partkey % 6
+ WHEN 0 THEN concat('<head><link rel="canonical" href="../c', p_partkey, '#x"><link rel="canonical" href="/second"></head><body>one two')
+ WHEN 1 THEN concat('<head><meta name="Robots" content="noindex"><meta name="author" content="x"><meta name="robots" content="max-snippet:', p_size, '"></head><body><p>one')
+ WHEN 2 THEN concat('<head><link rel="alternate" hreflang="de" href="/de/', p_partkey, '"><link rel="Alternate" hreflang="x-default" href="p?a=', p_size, '"><link rel="alternate" href="/feed"></head><body>')
+ WHEN 3 THEN concat('<body><a href="#f">a</a> <a href="mailto:x@y">m</a> <a href="javascript:0">j</a> <a href="q?x=', p_partkey, '#y">q</a> <a href="q?x=', p_partkey, '">q</a> <a href="https://b.test/">b</a> <a href="/', p_size, '">none</a>')
+ WHEN 4 THEN concat('<body><h1>a b</h1><script>x y</script><style>z</style><h7>c</h7><h6>d&nbsp;e</h6>', repeat('<p>w &amp; w</p>', p_size)) ELSE '' END AS html FROM part"""
+PAGE_SIGNALS = """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN concat('https://a.test/c', p_partkey) END AS canonical, CASE WHEN p_partkey % 6 = 1 THEN concat('noindex|max-snippet:', p_size) ELSE '' END AS robots,
+ CASE WHEN p_partkey % 6 = 2 THEN concat('de=https://a.test/de/', p_partkey, ' x-default=https://a.test/d/p?a=', p_size) ELSE '' END AS lang, CASE WHEN p_partkey % 6 = 3 THEN concat('https://a.test/', p_size, ' https://a.test/d/q?x=', p_partkey) ELSE '' END AS links,
+ CAST(CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 7 WHEN 4 THEN 5 + 3 * p_size ELSE 0 END AS bigint) AS word_count, CAST(CASE WHEN p_partkey % 6 = 4 THEN 2 ELSE 0 END AS bigint) AS heading_count FROM part"""
+FILE_ROUTES = """SELECT p_partkey, concat(CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a b/' ELSE 'c#/d/' END, CASE p_partkey % 5 WHEN 0 THEN 'index.html' WHEN 1 THEN 'index.htm' WHEN 2 THEN concat('p', p_partkey, '.html') WHEN 3 THEN concat('why', p_partkey, '?.htm') ELSE 'x.HTML' END) AS path,
+ concat('https://example.test/', CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a%20b/' ELSE 'c%23/d/' END, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN concat('p', p_partkey) WHEN 3 THEN concat('why', p_partkey, '%3F') ELSE 'x.HTML' END) AS url FROM part"""
+#: References by page; ``{0}`` is the page's scheme and host, ``{1}`` its folder, ``{2}`` its query with the mark, ``{3}`` its path, ``{4}`` the folder above.
+REFERENCE = """CASE page_id % 10 WHEN 0 THEN concat('rel', page_id) WHEN 1 THEN concat('/abs//', page_id, '?q=1#f') WHEN 2 THEN '?n=' WHEN 3 THEN '#only' WHEN 4 THEN '//B.test:443/p' WHEN 5 THEN 'HTTP://C.test/./a/../b c' WHEN 6 THEN '../up'
+ WHEN 7 THEN '' WHEN 8 THEN './x/../../y/' ELSE 'http://[' END"""
+RESOLVED_SQL = """CASE page_id % 10 WHEN 0 THEN concat({0}, {1}, 'rel', page_id) WHEN 1 THEN concat({0}, '/abs//', page_id, '?q=1') WHEN 2 THEN concat({0}, {3}, '?n=') WHEN 3 THEN concat({0}, {3}, {2})
+ WHEN 4 THEN CASE WHEN {0} LIKE 'https:%' THEN 'https://b.test/p' ELSE 'http://b.test:443/p' END WHEN 5 THEN 'http://c.test/b%20c' WHEN 6 THEN concat({0}, {4}, 'up') WHEN 7 THEN concat({0}, {3}, {2}) WHEN 8 THEN concat({0}, {4}, 'y/') END"""
+ORIGIN_TEXT = "concat({0}, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/x' WHEN 3 THEN '?q' ELSE '#f' END)"
+#: robots.txt files of suppliers, and the agent that asks.
+SUPPLIER_ROBOTS = """SELECT s_suppkey, concat('Bot', s_suppkey % 4, '/2.0') AS user_agent, concat('User-agent: bot', s_suppkey % 3, chr(10), 'Disallow: /a', s_suppkey, ' # why', chr(10), 'Allow: /a', s_suppkey, '/b', chr(10), 'Crawl-delay: ', s_suppkey % 5,
+ chr(10), chr(10), 'USER-AGENT: *', chr(10), 'Disallow: /x', s_suppkey % 7, chr(10), 'Disallow:', chr(10), 'Sitemap: /m', s_suppkey, '.xml') AS body FROM supplier"""
+SUPPLIER_RULES = """SELECT s_suppkey, concat('Bot', s_suppkey % 4, '/2.0') AS user_agent, CASE WHEN s_suppkey % 3 = s_suppkey % 4 THEN concat('bot', s_suppkey % 3) ELSE '*' END AS agent,
+ CASE WHEN s_suppkey % 3 = s_suppkey % 4 THEN concat('-/a', s_suppkey, ' +/a', s_suppkey, '/b') ELSE concat('-/x', s_suppkey % 7) END AS rules,
+ CASE WHEN s_suppkey % 3 = s_suppkey % 4 THEN CAST(s_suppkey % 5 AS double) END AS delay, concat('https://a.test/m', s_suppkey, '.xml') AS sitemaps FROM supplier"""
+AGENT_ROWS = f"SELECT p_partkey, concat({_pick('p_partkey', USER_AGENTS)}, ' x', p_size) AS user_agent FROM part"

@@ -140,33 +140,42 @@ _HAS = lambda *names: "(" + " OR ".join(f"list_contains(tok, '{n}')" for n in na
 _NUM = lambda p: f"list_filter(list_transform(list_filter(tok, lambda t: starts_with(t, '{p}:')), lambda t: TRY_CAST(trim(t[{len(p) + 2}:]) AS bigint)), lambda n: n IS NOT NULL)"
 _LIMIT = lambda p: f"coalesce(list_min(list_filter({_NUM(p)}, lambda n: n >= 0)), list_min({_NUM(p)}))"
 _LAST = lambda p: f"list_last(list_transform(list_filter(tok, lambda t: starts_with(t, '{p}:')), lambda t: trim(t[{len(p) + 2}:])))"
-_PARSED = f"""SELECT value, CASE WHEN {_HAS('noindex', 'none')} THEN true WHEN {_HAS('index', 'all')} THEN false END AS noindex, CASE WHEN {_HAS('nofollow', 'none')} THEN true WHEN {_HAS('follow', 'all')} THEN false END AS nofollow,
+_PARSED_OF = f"""SELECT p_partkey, value, CASE WHEN {_HAS('noindex', 'none')} THEN true WHEN {_HAS('index', 'all')} THEN false END AS noindex, CASE WHEN {_HAS('nofollow', 'none')} THEN true WHEN {_HAS('follow', 'all')} THEN false END AS nofollow,
  CASE WHEN {_HAS('noarchive')} THEN true END AS noarchive, CASE WHEN {_HAS('nosnippet')} THEN true END AS nosnippet, {_LIMIT('max-snippet')} AS max_snippet, {_LAST('max-image-preview')} AS max_image_preview,
- {_LIMIT('max-video-preview')} AS max_video_preview, {_LAST('unavailable_after')} AS unavailable_after FROM (SELECT value, {_TOKENS} AS tok FROM {_values([(v,) for v in cases.DIRECTIVES], 'value')}) x"""
+ {_LIMIT('max-video-preview')} AS max_video_preview, {_LAST('unavailable_after')} AS unavailable_after FROM (SELECT p_partkey, value, {_TOKENS} AS tok FROM ({{0}}) y) x"""
+_PARSED = _PARSED_OF.replace("{0}", f"SELECT p_partkey, {cases.directive('p_partkey')} AS value FROM part")
+_SIDE = lambda c: _PARSED_OF.replace("{0}", f"SELECT p_partkey, {c} AS value FROM ({cases.PAIRED}) z")
 _TEXT = lambda *names: ", ".join(f"CAST({n} AS varchar) AS {n}" for n in names)
-ORACLE_SQL["robots_directive_parse"] = f"SELECT value, {_TEXT('noindex', 'nofollow', 'noarchive', 'nosnippet', 'max_snippet', 'max_image_preview', 'max_video_preview', 'unavailable_after')} FROM ({_PARSED}) q"
+ORACLE_SQL["robots_directive_parse"] = f"SELECT p_partkey, value, {_TEXT('noindex', 'nofollow', 'noarchive', 'nosnippet', 'max_snippet', 'max_image_preview', 'max_video_preview', 'unavailable_after')} FROM ({_PARSED}) q"
 _RANK = lambda x: f"CASE {x} WHEN 'none' THEN 0 WHEN 'standard' THEN 1 WHEN 'large' THEN 2 ELSE 3 END"
-ORACLE_SQL["robots_directive_merge"] = f"""WITH p AS ({_PARSED}) SELECT value_a, value_b, {_TEXT('noindex', 'nofollow', 'max_snippet', 'max_image_preview')} FROM (SELECT a.value AS value_a, b.value AS value_b, coalesce(a.noindex OR b.noindex, a.noindex, b.noindex) AS noindex, coalesce(a.nofollow OR b.nofollow, a.nofollow, b.nofollow) AS nofollow,
+ORACLE_SQL["robots_directive_merge"] = f"""WITH p AS ({_SIDE('value_a')}), r AS ({_SIDE('value_b')}) SELECT p_partkey, value_a, value_b, {_TEXT('noindex', 'nofollow', 'max_snippet', 'max_image_preview')} FROM (SELECT a.p_partkey, a.value AS value_a, b.value AS value_b, coalesce(a.noindex OR b.noindex, a.noindex, b.noindex) AS noindex, coalesce(a.nofollow OR b.nofollow, a.nofollow, b.nofollow) AS nofollow,
  CASE WHEN a.max_snippet >= 0 AND b.max_snippet >= 0 THEN least(a.max_snippet, b.max_snippet) WHEN a.max_snippet >= 0 THEN a.max_snippet WHEN b.max_snippet >= 0 THEN b.max_snippet ELSE least(a.max_snippet, b.max_snippet) END AS max_snippet,
  CASE WHEN a.max_image_preview IS NULL THEN b.max_image_preview WHEN b.max_image_preview IS NULL OR {_RANK('a.max_image_preview')} <= {_RANK('b.max_image_preview')} THEN a.max_image_preview ELSE b.max_image_preview END AS max_image_preview
- FROM p a CROSS JOIN p b) q"""
+ FROM p a JOIN r b USING (p_partkey)) q"""
 _ROBOTS = _with(
     """SELECT url, CASE WHEN p LIKE '/p/12%' THEN CASE WHEN length('/p/12') >= 4 THEN 'Allowed' END WHEN p LIKE '/p/1%' THEN 'Blocked' WHEN p LIKE '/p/%5' THEN 'Blocked' WHEN p LIKE '/p/%' THEN 'Allowed'
     WHEN p LIKE '/s/3%' THEN 'Allowed' WHEN p LIKE '/s/%' THEN 'Blocked' ELSE 'NoRule' END AS status FROM (SELECT url, url[18:] AS p FROM state) x""")
 ORACLE_SQL["robots_txt_match"] = ORACLE_SQL["robots_txt_status"] = _ROBOTS
 ORACLE_SQL["robots_group_select"] = (
-    f"SELECT u AS user_agent, coalesce((SELECT agent FROM {_values([(a,) for a in cases.AGENTS if a != '*'], 'agent')} WHERE contains(lower(u), agent) ORDER BY length(agent) DESC, agent LIMIT 1), '*') AS agent FROM (SELECT user_agent AS u FROM {_values([(u,) for u in cases.USER_AGENTS], 'user_agent')}) x"
+    f"SELECT p_partkey, u AS user_agent, coalesce((SELECT agent FROM {_values([(a,) for a in cases.AGENTS if a != '*'], 'agent')} WHERE contains(lower(u), agent) ORDER BY length(agent) DESC, agent LIMIT 1), '*') AS agent FROM (SELECT p_partkey, user_agent AS u FROM ({cases.AGENT_ROWS}) y) x"
 )
 _REST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)"
 _PATH = f"CASE WHEN starts_with({_REST}, '/') THEN {_REST} ELSE '/' || {_REST} END"
 ORACLE_SQL["page_url_keys"] = f"SELECT page_id, split_part(url, '#', 1) AS url_key, regexp_extract(url, '^https?://[^/?#]*') AS origin, {_PATH} AS path_query FROM pages"
 ORACLE_SQL["url_origin_remap"] = f"SELECT page_id, CASE WHEN regexp_extract(url, '^https?://[^/?#]*') = '{cases.CRAWL_ORIGIN}' THEN '{cases.PUBLIC_ORIGIN}' || url[{len(cases.CRAWL_ORIGIN) + 1}:] ELSE url END AS url FROM pages"
-ORACLE_SQL["route_from_path"] = f"SELECT * FROM {_values(cases.ROUTES, 'path, url')}"
-ORACLE_SQL["url_resolve"] = f"SELECT * FROM {_values(cases.RESOLVED, 'base, reference, url')}"
+ORACLE_SQL["route_from_path"] = cases.FILE_ROUTES
+_START, _WAY, _QUERY = "regexp_extract(base, '^https?://[^/?#]*')", "regexp_extract(base, '^https?://[^/?#]*([^?#]*)', 1)", "regexp_extract(base, '^[^?#]*([?][^#]*)', 1)"
+_FOLDER = f"regexp_replace({_WAY}, '[^/]*$', '')"
+_UP = cases.RESOLVED_SQL.format(_START, _FOLDER, _QUERY, _WAY, f"regexp_replace({_FOLDER}, '[^/]+/$', '')")
+ORACLE_SQL["url_resolve"] = f"SELECT page_id, base, reference, {_UP} AS url FROM (SELECT page_id, url AS base, {cases.REFERENCE} AS reference FROM pages) x"
+ORACLE_SQL["url_resolve_cases"] = (
+    "SELECT page_id, CAST(pos - 1 AS integer) AS pos, href, regexp_extract(url, '^https?://[^/?#]*') || array_to_string(list_transform(string_split(split_part(href, '#', 1), ''), lambda c: CASE WHEN c > '~' THEN url_encode(c) ELSE c END), '') AS target "
+    "FROM (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages) y) x"
+)
 _GLOBS = ("^/en/[^/]*$", "^/de/.*$", "^/.*1[^/]*$", "^/.r/[^/]*$", "^/en/[^/]*\\.html$")
 ORACLE_SQL["glob_match"] = f"SELECT page_id, {', '.join(f'''regexp_matches(p, '{g}') AS g{k}''' for k, g in enumerate(_GLOBS))} FROM (SELECT page_id, {_PATH} AS p FROM pages) x"
-ORACLE_SQL["sitemap_locs"] = "SELECT * FROM " + _values([("a.xml", "urlset", "https://a.test/1?x=1&y=2"), ("a.xml", "urlset", "https://a.test/2"), ("b.xml", "urlset", "https://a.test/3"), ("c.xml", "sitemapindex", "https://a.test/a.xml")], "path, root, loc")
-ORACLE_SQL["sitemap_entries"] = "SELECT path, loc, CAST(lastmod AS varchar) AS lastmod, CAST(changefreq AS varchar) AS changefreq, CAST(priority AS double) AS priority FROM " + _values([("a.xml", "https://a.test/1?x=1&y=2", None, None, 0.5), ("a.xml", "https://a.test/2", "2024-01-01", None, None)], "path, loc, lastmod, changefreq, priority")
+ORACLE_SQL["sitemap_locs"] = f"SELECT 'm' || n || '.xml' AS path, CASE WHEN n % 4 = 3 THEN 'sitemapindex' ELSE 'urlset' END AS root, loc FROM ({cases.SITEMAP_ITEMS}) x"
+ORACLE_SQL["sitemap_entries"] = f"SELECT 'm' || n || '.xml' AS path, loc, lastmod, CAST(NULL AS varchar) AS changefreq, priority FROM ({cases.SITEMAP_ITEMS}) x WHERE n % 4 <> 3"
 ORACLE_SQL["pages_heading_count"] = "SELECT page_id, CAST(length(regexp_extract_all(lower(html), '<h[1-6][\\s>/]')) AS bigint) AS heading_count FROM pages"
 _HREFS = "SELECT page_id, unnest(h) AS href, CAST(generate_subscripts(h, 1) - 1 AS integer) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages) x"
 ORACLE_SQL["pages_links"] = _HREFS
@@ -188,7 +197,7 @@ ORACLE_SQL["findings_new_only"] = _with(
     now AS (WITH state AS (SELECT * FROM cst), links AS (SELECT * FROM clink), lang AS (SELECT * FROM clang), reach AS (SELECT * FROM c_reach) SELECT rule_id, url, severity, coalesce(declared, canonical, detail) AS subject FROM ({_ALL}) f)
     SELECT rule_id, is_new, count(*) AS n FROM (SELECT rule_id, NOT EXISTS (SELECT 1 FROM old o WHERE o.rule_id = now.rule_id AND o.url = now.url AND o.severity = now.severity AND o.subject IS NOT DISTINCT FROM now.subject) AS is_new FROM now) x GROUP BY ALL""")
 ORACLE_SQL["redirect_rows"] = "SELECT * FROM " + _values(cases.REDIRECT_ROWS, "url_key, kind, http_status, chain, redirect_target")
-ORACLE_SQL["header_canonical"] = "SELECT * FROM " + _values(cases.LINK_HEADERS, "value, target")
+ORACLE_SQL["header_canonical"] = f"SELECT p_partkey, value, {cases.LINK_TARGETS} AS target FROM ({cases.LINK_VALUES}) x"
 _BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '<!--.*?-->|<[^>]*>', ' ', 'gs')"
 ORACLE_SQL["pages_signals"] = (
     "SELECT p.page_id, CAST(NULL AS varchar) AS canonical, CAST(coalesce(n_links, 0) AS integer) AS n_links, "
@@ -237,10 +246,8 @@ ORACLE_SQL["file_kinds"] = (
     "SELECT relative, CASE WHEN relative = 'robots.txt' THEN 'robots' WHEN n LIKE 'sitemap-%' OR n LIKE '%-sitemap.xml' OR n = 'sitemap.xml' THEN 'sitemap' WHEN n LIKE '%.html' OR n LIKE '%.htm' THEN 'html' END AS kind "
     f"FROM (SELECT relative, split_part(relative, '/', -1) AS n FROM (SELECT {cases.FILE_NAMES} AS relative FROM part) x) y"
 )
-ORACLE_SQL["html_signals"] = "SELECT name, CAST(canonical AS varchar) AS canonical, robots, lang, links, CAST(word_count AS bigint) AS word_count, CAST(heading_count AS bigint) AS heading_count FROM " + _values(
-    [(n, *rest) for n, _, *rest in cases.PAGES], "name, canonical, robots, lang, links, word_count, heading_count"
-)
-ORACLE_SQL["robots_txt_parse"] = "SELECT name, user_agent, agent, rules, CAST(delay AS double) AS delay, sitemaps FROM " + _values([(n, a, *rest) for n, a, _, *rest in cases.ROBOTS_FILES], "name, user_agent, agent, rules, delay, sitemaps")
+ORACLE_SQL["html_signals"] = cases.PAGE_SIGNALS
+ORACLE_SQL["robots_txt_parse"] = cases.SUPPLIER_RULES
 ORACLE_SQL["robots_tags_merge"] = ORACLE_SQL["robots_directive_merge"]
 ORACLE_SQL["sitemap_page_urls"] = "SELECT DISTINCT loc AS url FROM (" + ORACLE_SQL["sitemap_locs"] + ") x WHERE root = 'urlset'"
 ORACLE_SQL["redirect_last_hop"] = _with("SELECT url AS url_key, CASE WHEN k % 74 = 0 THEN url ELSE redirect_target END AS last, CASE WHEN k % 74 = 0 THEN 3 ELSE 2 END AS n FROM state WHERE redirect_target IS NOT NULL")
@@ -258,7 +265,7 @@ ORACLE_SQL["crawl_replay"] = _with(
     SELECT v.url AS url_key, CASE WHEN v.fetched THEN pg.status END AS http_status, CASE WHEN starts_with(v.url, 'https://site.test/p/7') THEN 'Blocked' ELSE 'NoRule' END AS robots_txt_status,
      CASE WHEN v.fetched AND pg.status = 200 THEN (SELECT count(*) FROM links l WHERE l.src = v.url) ELSE 0 END AS n_links FROM (SELECT url, bool_or(fetched) AS fetched FROM visit GROUP BY 1) v JOIN pg USING (url)""")
 ORACLE_SQL["static_files"] = "SELECT url_key, http_status, robots_txt_status, found_in_sitemap, is_reachable, sources, CAST(word_count AS bigint) AS word_count FROM " + _values(cases.FILE_STATES, "url_key, http_status, robots_txt_status, found_in_sitemap, is_reachable, sources, word_count")
-ORACLE_SQL["public_origins"] = "SELECT * FROM " + _values(cases.ORIGINS, "text, origin")
+ORACLE_SQL["public_origins"] = f"SELECT page_id, {cases.ORIGIN_TEXT.format(_ORIGIN)} AS text, CASE WHEN page_id % 5 < 2 THEN {_ORIGIN} END AS origin FROM pages"
 ORACLE_SQL["policy_limits"] = f"SELECT name, fail_on, {', '.join(f'CAST({c} AS double) AS {c}' for c in ('indexable', 'links', 'words', 'headings'))} FROM " + _values(
     [(n, *rest) for n, _, *rest in cases.POLICIES], "name, fail_on, indexable, links, words, headings"
 )

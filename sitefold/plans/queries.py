@@ -193,16 +193,22 @@ def findings_new_only(spark, sf_dir):
 # Robots, URLs, globs, sitemaps.
 
 
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over the tables of a folder."""
+    return synthetic.named(spark, sf_dir, text)
+
+
 @query
 def robots_directive_parse(spark, sf_dir):
-    return _rows(spark, tuple((v,) for v in cases.DIRECTIVES), "value").selectExpr("value", f"{directive_sql('value')} AS d").selectExpr("value", *[f"cast(d.{c} AS string) AS {c}" for c in ROBOTS.names])
+    """Directives of parts."""
+    rows = _sql(spark, sf_dir, f"SELECT p_partkey, {cases.directive('p_partkey')} AS value FROM part")
+    return rows.selectExpr("p_partkey", "value", f"{directive_sql('value')} AS d").selectExpr("p_partkey", "value", *[f"cast(d.{c} AS string) AS {c}" for c in ROBOTS.names])
 
 
 @query
 def robots_directive_merge(spark, sf_dir):
-    pairs = tuple((a, b) for a in cases.DIRECTIVES for b in cases.DIRECTIVES)
-    parsed = _rows(spark, pairs, "a, b").selectExpr("a AS value_a", "b AS value_b", f"{directive_sql('a')} AS a", f"{directive_sql('b')} AS b")
-    return parsed.selectExpr("value_a", "value_b", f"{merge('a', 'b')} AS m").selectExpr("value_a", "value_b", *[f"cast(m.{c} AS string) AS {c}" for c in ("noindex", "nofollow", "max_snippet", "max_image_preview")])
+    parsed = _sql(spark, sf_dir, cases.PAIRED).selectExpr("p_partkey", "value_a", "value_b", f"{directive_sql('value_a')} AS a", f"{directive_sql('value_b')} AS b")
+    return parsed.selectExpr("p_partkey", "value_a", "value_b", f"{merge('a', 'b')} AS m").selectExpr("p_partkey", "value_a", "value_b", *[f"cast(m.{c} AS string) AS {c}" for c in ("noindex", "nofollow", "max_snippet", "max_image_preview")])
 
 
 @query
@@ -222,9 +228,9 @@ def robots_txt_status(spark, sf_dir):
 
 @query
 def robots_group_select(spark, sf_dir):
-    """The group of a file that holds for each user agent; groups are one line each."""
+    """The group of a file that holds for each of many user agents."""
     body = "\n".join(f"User-agent: {a}\nDisallow: /{a}\n" for a in cases.AGENTS)
-    return _rows(spark, tuple((u, robots_txt.parse(body, "https://a.test/", u).agent) for u in cases.USER_AGENTS), "user_agent, agent")
+    return _sql(spark, sf_dir, cases.AGENT_ROWS).select("p_partkey", "user_agent", robots_txt.parsed(F.lit(body), F.lit("https://a.test/"), "user_agent")["agent"].alias("agent"))
 
 
 @query
@@ -242,12 +248,23 @@ def url_origin_remap(spark, sf_dir):
 
 @query
 def route_from_path(spark, sf_dir):
-    return _rows(spark, tuple((p,) for p, _ in cases.ROUTES), "path").select("path", route_url("https://example.test")("path").alias("url"))
+    """URLs of files whose paths are made of parts."""
+    return _sql(spark, sf_dir, cases.FILE_ROUTES).select("p_partkey", "path", route_url("https://example.test")("path").alias("url"))
 
 
 @query
 def url_resolve(spark, sf_dir):
-    return _rows(spark, tuple((b, r) for b, r, _ in cases.RESOLVED), "base, reference").select("base", "reference", resolve_url("base", "reference").alias("url"))
+    """References of all kinds against the URLs of pages."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", "url AS base", f"{cases.REFERENCE} AS reference")
+    return rows.select("page_id", "base", "reference", resolve_url("base", "reference").alias("url"))
+
+
+@query
+def url_resolve_cases(spark, sf_dir):
+    """The same for hrefs of pages as they stand, against their page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    hrefs = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("pos", "href"))
+    return hrefs.select("page_id", "pos", "href", resolve_url("url", "href").alias("target"))
 
 
 @query
@@ -256,15 +273,28 @@ def glob_match(spark, sf_dir):
     return pages.select("page_id", *[F.col("path").rlike(glob_regex(g)).alias(f"g{k}") for k, g in enumerate(cases.GLOBS)])
 
 
+def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, body)`` of sitemaps of part pages: urlsets, some with a prefix, and indexes."""
+    items = _sql(spark, sf_dir, cases.SITEMAP_ITEMS)
+    tag = lambda name: f"concat('<', p, '{name}>', {{}}, '</', p, '{name}>')"
+    optional = lambda name, value: f"CASE WHEN {name} IS NOT NULL THEN {tag(name).format(value)} ELSE '' END"
+    inner = f"concat({tag('loc').format(chr(39) + ' ' + chr(39) + ' || replace(loc, ' + chr(39) + '&' + chr(39) + ', ' + chr(39) + '&amp;' + chr(39) + ')')}, CASE WHEN n % 4 = 3 THEN '' ELSE concat({optional('lastmod', 'lastmod')}, {optional('priority', 'cast(priority AS string)')}) END)"
+    marked = items.selectExpr("n", "k", "CASE WHEN n % 4 = 2 THEN 's:' ELSE '' END AS p", "loc", "lastmod", "priority").selectExpr("n", "p", "k", f"{inner} AS x")
+    item = "CASE WHEN n % 4 = 3 THEN 'sitemap' ELSE 'url' END"
+    listed = marked.selectExpr("n", "p", "k", f"concat('<', p, {item}, '>', x, '</', p, {item}, '>') AS x").groupBy("n", "p").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(k, x))), e -> e.x)"), "").alias("x"))
+    space = "' xmlns', CASE WHEN p = 's:' THEN ':s' ELSE '' END, '=\"http://www.sitemaps.org/schemas/sitemap/0.9\"'"
+    root = "CASE WHEN n % 4 = 3 THEN 'sitemapindex' ELSE 'urlset' END"
+    return listed.selectExpr("concat('m', n, '.xml') AS path", f"concat('<', p, {root}, {space}, '>', x, '</', p, {root}, '>') AS body", f"{root} AS kind")
+
+
 @query
 def sitemap_locs(spark, sf_dir):
-    files = _rows(spark, cases.SITEMAPS, "path, body")
-    return sitemap.locations(files).select("path", "root", "loc")
+    return sitemap.locations(_sitemaps(spark, sf_dir)).select("path", "root", "loc")
 
 
 @query
 def sitemap_entries(spark, sf_dir):
-    return sitemap.entries(_rows(spark, cases.SITEMAPS, "path, body").where("path = 'a.xml'"))
+    return sitemap.entries(_sitemaps(spark, sf_dir).where("kind = 'urlset'"))
 
 
 # HTML of the pages table.
@@ -319,7 +349,6 @@ def redirect_rows(spark, sf_dir):
 
 @query
 def header_canonical(spark, sf_dir):
-    """The canonical of Link headers; a bar in a case separates headers."""
-    rows = _rows(spark, tuple((v,) for v, _ in cases.LINK_HEADERS), "value")
-    listed = rows.withColumn("headers", F.expr("transform(split(value, '[|]'), v -> named_struct('name', 'Link', 'value', v))"))
-    return listed.select("value", F.expr(f"nullif({http_canonical()}, '')").alias("target"))
+    """The canonical of Link headers made of parts; a bar in a value separates headers."""
+    listed = _sql(spark, sf_dir, cases.LINK_VALUES).withColumn("headers", F.expr("transform(split(value, '[|]'), v -> named_struct('name', 'Link', 'value', v))"))
+    return listed.select("p_partkey", "value", F.expr(f"nullif({http_canonical()}, '')").alias("target"))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.redirects import last_hop
 from sitefold.functions.robots import directive_sql, merge_all
-from sitefold.functions.urls import public_origin
+from sitefold.functions.urls import origin_or_null
 from sitefold.operators import findings, rules
 from sitefold.operators.checkpoints import cut, fresh
 from sitefold.operators.reach import reachable_keys
 from sitefold.operators.state import statistics
 from sitefold.plans import cases, synthetic
-from sitefold.plans.queries import _SHOWN, QUERIES, _all, _rows, query
+from sitefold.plans.queries import _SHOWN, QUERIES, _all, _rows, _sitemaps, _sql, query
 from sitefold.schemas import STATISTICS
 from sitefold.sinks import documents, reports
 from sitefold.sources import policy, robots_txt, sitemap, snapshot
@@ -65,34 +65,30 @@ def _write(path: str, body: str) -> None:
 
 @query
 def html_signals(spark, sf_dir):
-    """Signals of small pages, lists as text."""
-    read = _rows(spark, tuple((n, h) for n, h, *_ in cases.PAGES), "name, html").select("name", page_signals("html", F.lit("https://a.test/d/p")).alias("s"))
+    """Signals of pages made of parts, lists as text."""
+    read = _sql(spark, sf_dir, cases.PAGE_HTML).select("p_partkey", page_signals("html", F.lit("https://a.test/d/p")).alias("s"))
     lang = F.array_join(F.expr("transform(s.hreflang, e -> concat(e.lang, '=', e.url))"), " ")
-    return read.select("name", "s.canonical", F.array_join("s.meta_robots", "|").alias("robots"), lang.alias("lang"), F.array_join("s.internal_links", " ").alias("links"), "s.word_count", "s.heading_count")
+    return read.select("p_partkey", "s.canonical", F.array_join("s.meta_robots", "|").alias("robots"), lang.alias("lang"), F.array_join("s.internal_links", " ").alias("links"), "s.word_count", "s.heading_count")
 
 
 @query
 def robots_txt_parse(spark, sf_dir):
-    """The group of small robots.txt files that holds for an agent: its rules in order, its delay and the file's sitemaps."""
-    rows = []
-    for name, agent, body, *_ in cases.ROBOTS_FILES:
-        r = robots_txt.parse(body, "https://a.test/", agent)
-        shown = " ".join(("+" if allowed else "-") + path for path, allowed in r.rules)
-        rows.append((name, agent, r.agent, shown, r.crawl_delay, " ".join(r.sitemaps)))
-    return spark.createDataFrame(rows, "name string, user_agent string, agent string, rules string, delay double, sitemaps string")
+    """robots.txt files of suppliers: the group that holds for an agent, its rules in order, its delay and the file's sitemaps."""
+    read = _sql(spark, sf_dir, cases.SUPPLIER_ROBOTS).withColumn("r", robots_txt.parsed("body", F.lit("https://a.test/"), "user_agent"))
+    rules = F.array_join(F.expr("transform(r.rules, x -> concat(CASE WHEN x.allowed THEN '+' ELSE '-' END, x.pattern))"), " ")
+    return read.select("s_suppkey", "user_agent", "r.agent", rules.alias("rules"), "r.delay", F.array_join("r.sitemaps", " ").alias("sitemaps"))
 
 
 @query
 def robots_tags_merge(spark, sf_dir):
     """Directives of a list of headers, merged in order."""
-    pairs = tuple((a, b) for a in cases.DIRECTIVES for b in cases.DIRECTIVES)
-    merged = _rows(spark, pairs, "value_a, value_b").select("value_a", "value_b", merge_all(f"array({directive_sql('value_a')}, {directive_sql('value_b')})").alias("m"))
-    return merged.select("value_a", "value_b", *[F.col(f"m.{c}").cast("string").alias(c) for c in ("noindex", "nofollow", "max_snippet", "max_image_preview")])
+    merged = _sql(spark, sf_dir, cases.PAIRED).select("p_partkey", "value_a", "value_b", merge_all(f"array({directive_sql('value_a')}, {directive_sql('value_b')})").alias("m"))
+    return merged.select("p_partkey", "value_a", "value_b", *[F.col(f"m.{c}").cast("string").alias(c) for c in ("noindex", "nofollow", "max_snippet", "max_image_preview")])
 
 
 @query
 def sitemap_page_urls(spark, sf_dir):
-    return sitemap.page_urls(_rows(spark, cases.SITEMAPS, "path, body"))
+    return sitemap.page_urls(_sitemaps(spark, sf_dir))
 
 
 @query
@@ -197,15 +193,10 @@ def report_sarif(spark, sf_dir):
 
 @query
 def public_origins(spark, sf_dir):
-    """Texts as public origins; what is none is null."""
-
-    def read(text):
-        try:
-            return public_origin(text)
-        except ValueError:
-            return None
-
-    return spark.createDataFrame([(text, read(text)) for text, _ in cases.ORIGINS], "text string, origin string")
+    """Texts made of page URLs as public origins; what is none is null."""
+    start = "regexp_extract(url, '^https?://[^/?#]*', 0)"
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", f"{cases.ORIGIN_TEXT.format(start)} AS text")
+    return rows.select("page_id", "text", origin_or_null("text").alias("origin"))
 
 
 @query

@@ -43,7 +43,7 @@ UNION ALL SELECT {_P.format('p_partkey')}, 0, 'fr', {_P.format('p_partkey + 1')}
 """
 
 
-def _named(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def named(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     names = [n for n in ("part", "supplier", "lineitem") if n in text]
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
     for n in names:
@@ -60,10 +60,10 @@ def _robots(noindex: str) -> str:
 
 def base_state(spark: SparkSession, sf_dir: str, drop: int | None = None) -> DataFrame:
     """URL states before derivation; ``drop`` leaves out pages whose k % drop is 1."""
-    pages = _named(spark, sf_dir, PAGES)
+    pages = named(spark, sf_dir, PAGES)
     pages = pages.where(f"k % {drop} <> 1") if drop else pages
-    links = _named(spark, sf_dir, LINKS).groupBy("src").agg(F.array_sort(F.collect_list("link_url")).alias("internal_links_out"))
-    lang = _named(spark, sf_dir, HREFLANG).groupBy("src").agg(F.expr("transform(array_sort(collect_list(struct(pos, lang, target))), x -> named_struct('lang', x.lang, 'url', x.target))").alias("hreflang"))
+    links = named(spark, sf_dir, LINKS).groupBy("src").agg(F.array_sort(F.collect_list("link_url")).alias("internal_links_out"))
+    lang = named(spark, sf_dir, HREFLANG).groupBy("src").agg(F.expr("transform(array_sort(collect_list(struct(pos, lang, target))), x -> named_struct('lang', x.lang, 'url', x.target))").alias("hreflang"))
     rows = pages.join(links.withColumnRenamed("src", "url"), "url", "left").join(lang.withColumnRenamed("src", "url"), "url", "left")
     chain = "CASE WHEN redirect_target IS NOT NULL THEN CASE WHEN k % 74 = 0 THEN array(url, redirect_target, url) ELSE array(url, redirect_target) END END"
     sources = "CASE WHEN in_sitemap THEN array('Sitemap', 'DirectScan') ELSE array('InternalLink') END"

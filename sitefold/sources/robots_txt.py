@@ -6,8 +6,10 @@ import math
 from dataclasses import dataclass, field
 from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitefold.functions.robots import pattern_regex, specificity
 from sitefold.functions.urls import resolve
@@ -78,6 +80,18 @@ def select_agent(agents: list[str], user_agent: str) -> str:
     return min((a for a in agents if a != "*" and a in low), key=lambda a: (-len(a.encode()), a), default="*")
 
 
+_RULE = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("allowed", T.BooleanType())])
+_FILE = T.StructType([T.StructField("agent", T.StringType()), T.StructField("rules", T.ArrayType(_RULE)), T.StructField("delay", T.DoubleType()), T.StructField("sitemaps", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_FILE)
+def parsed(body: pd.Series, base_url: pd.Series, user_agent: pd.Series) -> pd.DataFrame:
+    """``parse`` over a table of files, for many hosts: the group that holds for each row's agent. A null body has no rules."""
+    read = [parse(b or "", u, a or "") for b, u, a in zip(body, base_url, user_agent, strict=True)]
+    rules = [[{"pattern": p, "allowed": x} for p, x in r.rules] for r in read]
+    return pd.DataFrame({"agent": [r.agent for r in read], "rules": rules, "delay": pd.Series([r.crawl_delay for r in read], dtype="float64"), "sitemaps": [r.sitemaps for r in read]})
+
+
 def status_column(path: Column, robots: RobotsTxt | None) -> Column:
     """``Allowed``, ``Blocked`` or ``NoRule`` of a path and query: the most specific rule that fits, Allow among equals.
 
