@@ -109,7 +109,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         """The steps as one row of a table, not as literals: so every round has the same plan, compiled once."""
         if not history:
             return frame
-        steps = spark.createDataFrame([(history,)], "steps array<array<double>>")
+        written = ",".join("array(" + ",".join(f"{x!r}D" for x in g) + ")" for g in history)
+        steps = spark.sql(f"SELECT * FROM VALUES (array({written})) AS t(steps)")
         move = "aggregate(steps, rate, (r, g) -> greatest(0D, r - aggregate(zip_with(p, g, (a, b) -> a * b), 0D, (a, b) -> a + b)))"
         return frame.join(F.broadcast(steps)).withColumn("rate", F.expr(move)).drop("steps")
 
