@@ -17,6 +17,8 @@ WINDOW = 50
 #: some shift below PERIOD takes both to residues in COVER. Fixed values.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
+#: What words' hashes are changed by before they are hashed again.
+AGAIN = np.uint64(0xA0761D6478BD642F)
 
 
 def _anchor_length(window: int) -> int:
@@ -56,7 +58,8 @@ def _anchored(window: int):
 
 
 def _near_anchors(window: int):
-    """``(key, doc, start)`` of the windows that hold a shared anchor within their first PERIOD words."""
+    """``(key1, key2, doc, start)`` of the windows that hold a shared anchor within their first PERIOD words: two hashes of 64 bits,
+    over words that are hashed twice."""
     cover = np.array(COVER)
 
     def run(batches):
@@ -68,8 +71,9 @@ def _near_anchors(window: int):
             for a, b in tk.row_slices(offsets):
                 part = raw[offsets[a] : offsets[b]]
                 starts, ends, first = tk.word_spans(part, offsets[a : b + 1] - offsets[a])
-                runs = tk.window_hashes(tk.word_hashes(part, starts, ends, lower=False), window, window)
-                keys, docs, begins = [], [], []
+                words = tk.word_hashes(part, starts, ends, lower=False)
+                runs = [tk.window_hashes(w, window, window) for w in (words, tk.mix(words ^ AGAIN))]
+                keys, again, docs, begins = [], [], [], []
                 for k in range(a, b):
                     i, n = first[k - a], first[k - a + 1] - first[k - a] - window + 1
                     if n <= 0:
@@ -80,14 +84,13 @@ def _near_anchors(window: int):
                     np.add.at(edges, np.clip(place - PERIOD + 1, 0, n), 1)
                     np.add.at(edges, np.clip(place + 1, 0, n), -1)
                     near = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                    keys.append(runs[i + near])
+                    keys.append(runs[0][i + near])
+                    again.append(runs[1][i + near])
                     begins.append(near)
                     docs.append(np.full(len(near), ids[k]))
                 if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(begins).astype(np.int32))],
-                        ["key", "doc", "start"],
-                    )
+                    both = [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, again)]
+                    yield pa.RecordBatch.from_arrays([*both, pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(begins).astype(np.int32))], ["key1", "key2", "doc", "start"])
 
     return run
 
@@ -123,7 +126,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id; windows
     are judged on the input. Runs of ``window - PERIOD + 1`` words are hashed at cover positions only: equal windows share
     an anchor at the same place, whatever their positions. Anchors of one document only are dropped; the rest are
-    extended to the whole windows around them, and the smallest doc_id of each window's hash (64 bits) decides. Both
+    extended to the whole windows around them, and the smallest doc_id of each window's hash (128 bits) decides. Both
     steps are partial minima, so passages that very many documents share cost one row a task and key, and where rows are joined
     with these minima a common key is dealt out over many tasks. A document with the
     words of an earlier one loses all of them and takes no further part.
@@ -146,7 +149,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = space.write(anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n"), "shared")
     marks = space.write(spread_join(anchors, shared, F.xxhash64("doc_id", "place")).groupBy("doc_id").agg(F.collect_list("place").alias("places")), "marks")
     near = space.write(texts.join(marks, "doc_id").select("doc_id", "text", "places"), "near")
-    windows = near.mapInArrow(_near_anchors(window), "key long, doc long, start int")
+    windows = near.mapInArrow(_near_anchors(window), "key1 long, key2 long, doc long, start int").select(F.struct("key1", "key2").alias("key"), "doc", "start")
     first = space.write(windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "lo", "n"), "first")
     repeats = spread_join(windows, first, F.xxhash64("doc", "start")).where("doc > lo").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("start").alias("starts"))
     repeats = space.write(repeats, "repeats")
