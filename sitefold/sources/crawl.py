@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.robots import directive_sql, merge_all
 from sitefold.functions.urls import join_url, origin, path_and_query, remap_origin, resolve, resolve_url, url_key
-from sitefold.operators.checkpoints import cut
+from sitefold.operators.checkpoints import Tables, cut
 from sitefold.operators.reach import with_reachability
+from sitefold.operators.spread import dealt_join, share_of
 from sitefold.operators.state import Site, derive, fold_sources, utc_now, with_defaults
 from sitefold.schemas import FETCHES, ROBOTS
 from sitefold.sources import robots_txt, sitemap
@@ -53,13 +54,59 @@ def parse_headers(texts: list[str]) -> dict[str, str]:
     return out
 
 
-def replay(fetches: DataFrame) -> Fetcher:
-    """Responses recorded in a table of FETCHES. A URL that it lacks is a failed fetch."""
+class Replay:
+    """Responses recorded in a table of FETCHES, one for each URL. A URL that it lacks is a failed fetch."""
+
+    def __init__(self, fetches: DataFrame):
+        self.fetches = fetches
+        self._ways: dict[tuple[str, str], DataFrame] = {}
+
+    def __call__(self, urls: DataFrame) -> DataFrame:
+        return urls.withColumnRenamed("url", "request_url").join(self.fetches, "request_url", "left")
+
+    def ways(self, crawl_origin: str, base_origin: str) -> DataFrame:
+        """``(bare, first_status, hops)``: the next HOPS redirects, or fewer, of each recorded one. Made once for all waves.
+
+        Pointer doubling: a round appends to each way the way of the page where it ends, so that four rounds make up to
+        sixteen hops. A way ends where the next page is off the origin or no redirect; one in a circle goes round.
+        """
+        if (crawl_origin, base_origin) not in self._ways:
+            tables = Tables(self.fetches.sparkSession, "redirects")
+            moved = self.fetches.where("status BETWEEN 300 AND 399").select(F.col("request_url").alias("bare"), F.col("status").alias("first_status"), F.expr(f"try_element_at({header('location')}, 1)").alias("location"))
+            to = join_url("bare", F.col("location"))
+            to = remap_origin(to, base_origin, crawl_origin) if base_origin != crawl_origin else to
+            steps = moved.where("location IS NOT NULL").withColumn("to", to).where("to IS NOT NULL")
+            ends = F.when(origin(F.col("to")) == crawl_origin, F.regexp_replace("to", r"(?s)#.*$", ""))
+            way = tables.write(steps.select("bare", "first_status", F.array("to").alias("hops"), ends.alias("end")), "ways-0")
+            for k in range(1, (HOPS - 1).bit_length() + 1):
+                total = way.where("end IS NOT NULL").count()
+                share = share_of(total)
+                counts = way.where("end IS NOT NULL").groupBy("end").agg(F.count(F.lit(1)).alias("n")) if total > share else None
+                after = way.select(F.col("bare").alias("end"), F.col("hops").alias("more"), F.col("end").alias("then"))
+                longer = dealt_join(way, after, "end", counts, share, F.xxhash64("bare"), "left")
+                hops = F.slice(F.concat("hops", F.coalesce("more", F.array().cast("array<string>"))), 1, HOPS)
+                way = tables.write(longer.select("bare", "first_status", hops.alias("hops"), F.when(F.size(hops) < HOPS, F.col("then")).alias("end")), f"ways-{k}")
+            self._ways[crawl_origin, base_origin] = way.drop("end")
+        return self._ways[crawl_origin, base_origin]
+
+    def followed(self, urls: DataFrame, crawl_origin: str, base_origin: str) -> DataFrame:
+        """What ``follow`` gives: the way of each URL up to where it repeats itself, and the response at its end."""
+        asked = urls.select(F.col("url").alias("request_url"), F.regexp_replace("url", r"(?s)#.*$", "").alias("bare"))
+        met = asked.join(self.ways(crawl_origin, base_origin), "bare", "left").withColumn("all", F.concat(F.array("request_url"), F.coalesce("hops", F.array().cast("array<string>"))))
+        again = "array_position(transform(all, (x, i) -> array_contains(slice(all, 1, i), x)), true)"
+        chain = met.withColumn("again", F.expr(again)).withColumn("chain", F.expr("CASE WHEN again > 0 THEN slice(all, 1, cast(again AS int)) ELSE all END"))
+        out = (F.col("again") > 0) | ((F.size("chain") > 1) & (origin(F.element_at("chain", -1)) != crawl_origin))
+        final = F.when(out, F.try_element_at("chain", F.lit(-2))).otherwise(F.element_at("chain", -1))
+        ended = cut(chain.select("request_url", "first_status", "chain", final.alias("final_url")).withColumn("end", F.regexp_replace("final_url", r"(?s)#.*$", "")))
+        total = ended.count()
+        share = share_of(total)
+        counts = ended.groupBy("end").agg(F.count(F.lit(1)).alias("n")) if total > share else None
+        got = dealt_join(ended, self.fetches.withColumnRenamed("request_url", "end"), "end", counts, share, F.xxhash64("request_url"), "left")
+        return got.select("request_url", F.coalesce("first_status", "status").alias("initial_status"), "status", "headers", _html_body("true").alias("body"), "chain", "final_url")
 
-    def fetch(urls: DataFrame) -> DataFrame:
-        return urls.withColumnRenamed("url", "request_url").join(fetches, "request_url", "left")
 
-    return fetch
+def replay(fetches: DataFrame) -> Fetcher:
+    return Replay(fetches)
 
 
 def over_http(options: Options, timeout: float = 30.0) -> Fetcher:
@@ -101,13 +148,20 @@ def is_html(content_type: str) -> str:
     return f"lower(trim(split_part({content_type}, ';', 1))) IN ('text/html', 'application/xhtml+xml')"
 
 
+def _html_body(when: str):
+    return F.expr(f"CASE WHEN {when} AND status = 200 AND {is_html(f'try_element_at({header("content-type")}, 1)')} THEN body END")
+
+
 def follow(urls: DataFrame, fetch: Fetcher, crawl_origin: str, base_origin: str) -> DataFrame:
-    """``(request_url, initial_status, status, headers, body, chain, final_url)``: up to HOPS redirects, a join a hop.
+    """``(request_url, initial_status, status, headers, body, chain, final_url)``: up to HOPS redirects, a round of fetches a hop;
+    of recorded responses the ways of all redirects are doubled instead (``Replay.ways``).
 
     Any status from 300 to 399 with a location is followed. A hop off the origin is kept in the chain and ends it, and so does a
     hop that repeats a URL; neither is fetched. ``final_url`` is the last URL that was, and ``status``, ``headers`` and ``body``
     are its response. Bodies stay only for HTML of status 200.
     """
+    if isinstance(fetch, Replay):
+        return fetch.followed(urls, crawl_origin, base_origin)
     state = urls.select(F.col("url").alias("request_url"), F.col("url").alias("at"), F.array("url").alias("chain"), F.lit(None).cast("int").alias("initial_status"))
     done = None
     for hop in range(HOPS + 1):
@@ -125,7 +179,7 @@ def follow(urls: DataFrame, fetch: Fetcher, crawl_origin: str, base_origin: str)
         state = met.where("NOT ends").select("request_url", F.col("next").alias("at"), "chain", "initial_status")
         if hop == HOPS or state.isEmpty():
             break
-    body = F.expr(f"CASE WHEN next IS NULL AND status = 200 AND {is_html(f'try_element_at({header("content-type")}, 1)')} THEN body END")
+    body = _html_body("next IS NULL")
     return done.select("request_url", "initial_status", "status", "headers", body.alias("body"), "chain", F.col("at").alias("final_url"))
 
 
