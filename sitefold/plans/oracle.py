@@ -250,6 +250,7 @@ ORACLE_SQL["html_signals"] = cases.PAGE_SIGNALS
 ORACLE_SQL["robots_txt_parse"] = cases.SUPPLIER_RULES
 ORACLE_SQL["robots_tags_merge"] = ORACLE_SQL["robots_directive_merge"]
 ORACLE_SQL["sitemap_page_urls"] = "SELECT DISTINCT loc AS url FROM (" + ORACLE_SQL["sitemap_locs"] + ") x WHERE root = 'urlset'"
+ORACLE_SQL["live_sitemap_urls"] = ORACLE_SQL["sitemap_page_urls"]
 ORACLE_SQL["redirect_last_hop"] = _with("SELECT url AS url_key, CASE WHEN k % 74 = 0 THEN url ELSE redirect_target END AS last, CASE WHEN k % 74 = 0 THEN 3 ELSE 2 END AS n FROM state WHERE redirect_target IS NOT NULL")
 _ORIGIN = "regexp_extract(url, '^https?://[^/?#]*')"
 ORACLE_SQL["static_states"] = f"""WITH own AS (SELECT url, split_part(url, '#', 1) AS key, page_id % 3 = 0 AS mapped, (SELECT count(DISTINCT href) FROM ({_HREFS}) h WHERE h.page_id = pages.page_id) AS n_links FROM pages),

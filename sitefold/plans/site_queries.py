@@ -18,7 +18,7 @@ from sitefold.plans.queries import _SHOWN, QUERIES, _all, _rows, _sitemaps, _sql
 from sitefold.schemas import STATISTICS
 from sitefold.sinks import documents, reports
 from sitefold.sources import policy, robots_txt, sitemap, snapshot
-from sitefold.sources.crawl import Options, crawl, replay
+from sitefold.sources.crawl import Options, crawl, replay, sitemap_urls
 from sitefold.sources.html import page_signals
 from sitefold.sources.static_site import build_state, file_kind, scan_directory
 from sitefold.streaming import fetches
@@ -122,6 +122,18 @@ def crawl_replay(spark, sf_dir):
     return done.state.select("url_key", "http_status", "robots_txt_status", F.size("internal_links_out").cast("long").alias("n_links"))
 
 
+@query
+def live_sitemap_urls(spark, sf_dir):
+    """Page URLs of sitemaps as a crawl finds them: robots.txt names an index, its files are fetched as one wave. An index within
+    the index is not followed."""
+    files = _sitemaps(spark, sf_dir)
+    listed = files.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>https://a.test/"), "path", F.lit("</loc></sitemap>")))), "").alias("x"))
+    index = listed.select(F.lit("https://a.test/index.xml").alias("request_url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("body"))
+    bodies = files.select(F.concat(F.lit("https://a.test/"), "path").alias("request_url"), "body").unionByName(index)
+    recorded = bodies.selectExpr("request_url", "200 AS status", "cast(array() AS array<struct<name:string,value:string>>) AS headers", "body")
+    return sitemap_urls(spark, replay(cut(recorded)), "https://a.test", robots_txt.RobotsTxt(sitemaps=["https://a.test/index.xml"]))
+
+
 # Sinks: what is written and read again.
 
 

@@ -226,10 +226,11 @@ def crawl(options: Options, fetch: Fetcher, spark) -> Site:
         raise RuntimeError("robots.txt could not be fetched")
     robots = robots_txt.parse(got["body"] or "", home + "/", options.user_agent) if got["status"] == 200 else None
     options.crawl_delay = robots_txt.crawl_delay(options.crawl_delay, robots)
-    listed = _sitemaps(spark, one, home, robots)
+    listed = sitemap_urls(spark, fetch, home, robots)
     entry = resolve(base + "/", options.entry.removeprefix(home) or "/")
-    seeds = [(resolve(u, "").replace(home, base, 1) if u.startswith(home) else u, "Sitemap", 0) for u in sorted(listed)] + [(entry, "DirectScan", 1)]
-    seed = spark.createDataFrame([(u.partition("#")[0], u, s, p) for u, s, p in seeds], "url_key string, url string, source string, wave int")
+    public = F.when(F.startswith("url", F.lit(home)), F.concat(F.lit(base), F.substring("url", len(home) + 1, 2147483647))).otherwise(F.col("url"))
+    seeds = listed.select(public.alias("url"), F.lit("Sitemap").alias("source"), F.lit(0).alias("wave"))
+    seed = seeds.unionByName(spark.createDataFrame([(entry, "DirectScan", 1)], "url string, source string, wave int")).withColumn("url_key", url_key(F.col("url")))
     facts = [seed.select("url_key", "url", "source", F.struct("wave", F.when(F.col("wave") == 0, F.col("url")).otherwise("").alias("page"), F.lit(0).alias("n")).alias("prio"))]
     status = robots_txt.status_column(path_and_query(F.col("url")), robots)
     own_parts, moved_parts, fetched_total, wave = [], [], 0, 1
@@ -295,22 +296,20 @@ def _folded(facts, own_parts, moved_parts, robots, base, entry, options) -> Site
     return Site(with_reachability(state, entry), base + "/", options.public_origin, utc_now())
 
 
-def _sitemaps(spark, one, home: str, robots) -> set[str]:
-    """Page URLs of the sitemaps that robots.txt declares, else of /sitemap.xml; an index is followed one level down."""
+def sitemap_urls(spark, fetch: Fetcher, home: str, robots: robots_txt.RobotsTxt | None) -> DataFrame:
+    """``(url)`` of the pages in the sitemaps that robots.txt declares, else in /sitemap.xml. An index is followed one level down,
+    its files as one wave of fetches; URLs stay a table. A file that is declared or listed but can't be fetched is an error."""
     declared = list(robots.sitemaps) if robots else []
-    out: set[str] = set()
-    for url in declared or [home + "/sitemap.xml"]:
-        got = one(url)
-        if got is None or got["status"] != 200:
-            if declared:
-                raise RuntimeError(f"declared sitemap {url} could not be fetched")
-            continue
-        bodies = [(url, got["body"])]
-        children = [r["loc"] for r in sitemap.locations(spark.createDataFrame(bodies, "path string, body string")).where("root = 'sitemapindex'").collect()]
-        for child in children:
-            sub = one(child)
-            if sub is None or sub["status"] != 200:
-                raise RuntimeError(f"sitemap {child} of an index could not be fetched")
-            bodies.append((child, sub["body"]))
-        out |= {r[0] for r in sitemap.page_urls(spark.createDataFrame(bodies, "path string, body string")).collect()}
-    return out
+
+    def bodies(urls: DataFrame, what: str) -> DataFrame | None:
+        got = cut(fetch(urls))
+        bad = got.where("status IS NULL OR status <> 200").select("request_url").head()
+        if bad and what:
+            raise RuntimeError(f"{what} {bad[0]} could not be fetched")
+        return None if bad else got.select(F.col("request_url").alias("path"), "body")
+
+    first = bodies(spark.createDataFrame([(u,) for u in dict.fromkeys(declared or [home + "/sitemap.xml"])], "url string"), "declared sitemap" if declared else "")
+    if first is None:
+        return spark.createDataFrame([], "url string")
+    children = sitemap.locations(first).where("root = 'sitemapindex'").select(F.col("loc").alias("url")).distinct()
+    return cut(sitemap.page_urls(first.unionByName(bodies(children, "sitemap of an index"))))
