@@ -152,7 +152,8 @@ def judge_urls(
     pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5,
     most: int = LABELLED,
 ) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, score)``, one row per input row, without a shuffle of its rows.
+    """``(page_id, host, path, rule, verdict, score)``, one row per input row. With up to INLINE_RULES rules its rows
+    are not shuffled; more rules are joined with them by host and path.
 
     ``rules`` are ``(host/path, block or allow)``: a rule fits its host and all subdomains if the path starts with its path;
     the longest wins. Where none fits, the verdict is block if the model's score is at least ``threshold``. Null urls and
