@@ -61,7 +61,9 @@ def rule_query_name(rule: str) -> str:
 
 def _rule_query(family: str, rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(rules, family)(synthetic.site(spark, sf_dir, reach=family == "orphan").cached()).where(F.col("rule_id") == rule).select(*_SHOWN)
+        site = synthetic.site(spark, sf_dir, reach=family == "orphan")
+        # links are counted before they are joined, so that hub pages can be dealt out
+        return getattr(rules, family)(site.cached() if family == "link_target" else site).where(F.col("rule_id") == rule).select(*_SHOWN)
 
     return run
 
