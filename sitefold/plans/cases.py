@@ -109,6 +109,14 @@ PAGE_HTML = """SELECT p_partkey, CASE p_partkey % 6
 PAGE_SIGNALS = """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN concat('https://a.test/c', p_partkey) END AS canonical, CASE WHEN p_partkey % 6 = 1 THEN concat('noindex|max-snippet:', p_size) ELSE '' END AS robots,
  CASE WHEN p_partkey % 6 = 2 THEN concat('de=https://a.test/de/', p_partkey, ' x-default=https://a.test/d/p?a=', p_size) ELSE '' END AS lang, CASE WHEN p_partkey % 6 = 3 THEN concat('https://a.test/', p_size, ' https://a.test/d/q?x=', p_partkey) ELSE '' END AS links,
  CAST(CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 7 WHEN 4 THEN 5 + 3 * p_size ELSE 0 END AS bigint) AS word_count, CAST(CASE WHEN p_partkey % 6 = 4 THEN 2 ELSE 0 END AS bigint) AS heading_count FROM part"""
+#: Broken markup of parts as browsers read it, and its signals.
+BROKEN_HTML = """SELECT p_partkey, CASE p_partkey % 8
+ WHEN 0 THEN concat('<table>', repeat('w ', p_size), '<tr><td>a b</table>') WHEN 1 THEN concat('<p>x', repeat('</i>y', p_size)) WHEN 2 THEN concat('<p>x', repeat('<b></b>y', p_size))
+ WHEN 3 THEN concat('<title>t u</title><ul>', repeat('<li>a<li>b', p_size)) WHEN 4 THEN concat('<noscript><a href=/n>a</a></noscript><a href=/p', p_partkey, '>x y') WHEN 5 THEN concat('<h1>a<h2>b</h3>', repeat('<h4>c', p_size))
+ WHEN 6 THEN concat('<b>', repeat('<p>a</b>b', p_size)) ELSE concat('<textarea><a href=/n>', repeat(' z', p_size), '</textarea>k<script>"</p>') END AS html FROM part"""
+BROKEN_SIGNALS = """SELECT p_partkey, CASE WHEN p_partkey % 8 = 4 THEN concat('https://a.test/p', p_partkey) ELSE '' END AS links,
+ CAST(CASE p_partkey % 8 WHEN 0 THEN p_size + 2 WHEN 1 THEN 1 WHEN 2 THEN p_size + 1 WHEN 3 THEN 2 * p_size WHEN 4 THEN 2 WHEN 5 THEN p_size + 2 WHEN 6 THEN p_size + 1 ELSE p_size + 3 END AS bigint) AS word_count,
+ CAST(CASE WHEN p_partkey % 8 = 5 THEN p_size + 2 ELSE 0 END AS bigint) AS heading_count FROM part"""
 FILE_ROUTES = """SELECT p_partkey, concat(CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a b/' ELSE 'c#/d/' END, CASE p_partkey % 5 WHEN 0 THEN 'index.html' WHEN 1 THEN 'index.htm' WHEN 2 THEN concat('p', p_partkey, '.html') WHEN 3 THEN concat('why', p_partkey, '?.htm') ELSE 'x.HTML' END) AS path,
  concat('https://example.test/', CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a%20b/' ELSE 'c%23/d/' END, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN concat('p', p_partkey) WHEN 3 THEN concat('why', p_partkey, '%3F') ELSE 'x.HTML' END) AS url FROM part"""
 #: References by page; ``{0}`` is the page's scheme and host, ``{1}`` its folder, ``{2}`` its query with the mark, ``{3}`` its path, ``{4}`` the folder above.

@@ -247,6 +247,7 @@ ORACLE_SQL["file_kinds"] = (
     f"FROM (SELECT relative, split_part(relative, '/', -1) AS n FROM (SELECT {cases.FILE_NAMES} AS relative FROM part) x) y"
 )
 ORACLE_SQL["html_signals"] = cases.PAGE_SIGNALS
+ORACLE_SQL["html_broken"] = cases.BROKEN_SIGNALS
 ORACLE_SQL["robots_txt_parse"] = cases.SUPPLIER_RULES
 ORACLE_SQL["robots_tags_merge"] = ORACLE_SQL["robots_directive_merge"]
 ORACLE_SQL["sitemap_page_urls"] = "SELECT DISTINCT loc AS url FROM (" + ORACLE_SQL["sitemap_locs"] + ") x WHERE root = 'urlset'"

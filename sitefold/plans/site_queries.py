@@ -71,6 +71,13 @@ def html_signals(spark, sf_dir):
     return read.select("p_partkey", "s.canonical", F.array_join("s.meta_robots", "|").alias("robots"), lang.alias("lang"), F.array_join("s.internal_links", " ").alias("links"), "s.word_count", "s.heading_count")
 
 
+@query
+def html_broken(spark, sf_dir):
+    """Signals of parts' pages in broken markup: open elements, misnested formatting, text in tables, raw text."""
+    read = _sql(spark, sf_dir, cases.BROKEN_HTML).select("p_partkey", page_signals("html", F.lit("https://a.test/d/p")).alias("s"))
+    return read.select("p_partkey", F.array_join("s.internal_links", " ").alias("links"), "s.word_count", "s.heading_count")
+
+
 @query
 def robots_txt_parse(spark, sf_dir):
     """robots.txt files of suppliers: the group that holds for an agent, its rules in order, its delay and the file's sitemaps."""

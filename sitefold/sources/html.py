@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +9,9 @@ from pyspark.sql import functions as F
 from sitefold.functions.robots import directive_sql, merge_all
 from sitefold.functions.urls import drop_fragment, resolve
 from sitefold.schemas import SIGNALS
+from sitefold.sources.html_tree import HEADINGS, Reader
 
-#: Elements whose text is not content. Fixed values.
-SKIPPED = frozenset(("script", "style", "template", "noscript"))
 _RAW_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
-_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-_HEAD_ONLY = frozenset(("base", "link", "meta", "title", "script", "style", "template", "noscript", "html", "head"))
 
 
 def _origin(url: str) -> str:
@@ -25,68 +19,17 @@ def _origin(url: str) -> str:
     return f"{scheme}://{rest.split('/', 1)[0].split('?', 1)[0].split('#', 1)[0]}"
 
 
-class _Page(HTMLParser):
-    """Collects the elements in document order. Text counts from the first element or text that belongs to a body, as a
-    tree builder would open one; text in skipped elements counts once, and is taken off once for each of them around it."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.links: list[dict[str, str]] = []
-        self.metas: list[tuple[str, str]] = []
-        self.anchors: list[str] = []
-        self.words = self.excluded = self.headings = 0
-        self.in_body = False
-        self.skipping: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        a: dict[str, str] = {}
-        for name, value in attrs:
-            a.setdefault(name, value or "")
-        present = {name for name, _ in attrs}
-        if tag == "body" or (not self.in_body and tag not in _HEAD_ONLY and not self.skipping):
-            self.in_body = True
-        if tag == "link" and {"rel", "href"} <= present:
-            self.links.append(a)
-        elif tag == "meta" and {"name", "content"} <= present:
-            self.metas.append((a["name"], a["content"]))
-        elif tag == "a" and "href" in present:
-            self.anchors.append(a["href"])
-        elif tag in _HEADINGS:
-            self.headings += 1
-        if tag in SKIPPED or tag == "title" and not self.in_body:
-            self.skipping.append(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag in self.skipping and tag in _VOID:
-            self.skipping.pop()
-
-    def handle_endtag(self, tag):
-        if tag in self.skipping:
-            while self.skipping.pop() != tag:
-                pass
-
-    def handle_data(self, data):
-        words = len(data.split())
-        if not words or self.skipping and not self.in_body:
-            return
-        self.in_body = True
-        self.words += words
-        self.excluded += words * len(self.skipping)
-
-
 def signals(html: str, url: str, alias: str | None = None) -> tuple:
     """The fields of SIGNALS for one page. ``alias`` is a crawl origin whose links and canonicals count as the page's own."""
-    page = _Page()
-    page.feed(html)
-    page.close()
+    page = Reader(html)
+    having = lambda tag, *names: [a for name, a in page.elements if name == tag and all(n in a for n in names)]
     home = _origin(url)
 
     def own(target: str | None) -> str | None:
         return home + target[len(alias) :] if target and alias and _origin(target) == alias else target
 
     canonical, hreflang = None, []
-    for a in page.links:
+    for a in having("link", "rel", "href"):
         rel = a["rel"].lower().split()
         target = own(drop_fragment(resolve(url, a["href"])))
         if target is None:
@@ -96,13 +39,14 @@ def signals(html: str, url: str, alias: str | None = None) -> tuple:
         if "alternate" in rel and "hreflang" in a:
             hreflang.append({"lang": a["hreflang"], "url": target})
     links = set()
-    for href in page.anchors:
+    for a in having("a", "href"):
+        href = a["href"]
         if not href.startswith(_RAW_PREFIXES):
             target = own(drop_fragment(resolve(url, href)))
             if target and _origin(target) == home:
                 links.add(target)
-    robots = [content for name, content in page.metas if name.lower() == "robots"]
-    return canonical, robots, hreflang, sorted(links), max(0, page.words - page.excluded), page.headings
+    robots = [a["content"] for a in having("meta", "name", "content") if a["name"].lower() == "robots"]
+    return canonical, robots, hreflang, sorted(links), page.words, sum(name in HEADINGS for name, _ in page.elements)
 
 
 @F.pandas_udf(SIGNALS)

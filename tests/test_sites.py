@@ -293,7 +293,8 @@ def test_words_of_a_body():
     words = lambda html: signals(html, "https://a.test/")[4]
     assert words("<head><title>no no</title></head><body><svg><title>a b</title></svg><p>c</p></body>") == 3
     assert words("<title>no</title><p>one<script>x y</script> two <noscript>z</noscript></p>") == 2
-    assert words("<body>one two three<noscript><style>a b</style></noscript></body>") == 1
+    assert words("<body>one two three<noscript><style>a b</style></noscript></body>") == 3  # raw text, counted and taken off once
+    assert words("<body>one two three<template><style>a b</style></template></body>") == 1
 
 
 def test_crawl_failures(spark):
