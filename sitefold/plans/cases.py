@@ -57,16 +57,6 @@ ROBOTS_FILES = (
     ("none", "bot", "Disallow: /before\nnonsense\nSitemap: https://b.test/m.xml", "*", "", None, "https://b.test/m.xml"),
 )
 CRAWL_ROBOTS = "User-agent: *\nDisallow: /p/7"
-#: Files of a directory (links by name), and the states of https://a.test that they give.
-FILES = (
-    ("index.html", '<h1>Home page</h1><a href="/_posts/one">1</a><a href="/lost">2</a>'), ("_posts/one.html", '<p>a b c</p><a href="/.well/known">k</a>'), (".well/known.html", "<p>x"), ("index/index.html", "<p>apart from links"),
-    ("robots.txt", "User-agent: *\nDisallow: /index/"), ("deep/robots.txt", "User-agent: *\nDisallow: /"), ("maps/sitemap-1.xml", "<urlset><url><loc>https://a.test/_posts/one</loc></url><url><loc>https://a.test/absent</loc></url></urlset>"),
-    ("notes.txt", "not read"),
-)
-FILE_STATES = (
-    (_A, 200, "NoRule", False, True, "DirectScan", 4), (_A + "_posts/one", 200, "NoRule", True, True, "DirectScan,InternalLink,Sitemap", 4), (_A + ".well/known", 200, "NoRule", False, True, "DirectScan,InternalLink", 1),
-    (_A + "index/", 200, "Blocked", False, False, "DirectScan", 3), (_A + "lost", 404, "NoRule", False, True, "InternalLink", None), (_A + "absent", 404, "NoRule", True, False, "Sitemap", None),
-)
 ORIGINS = (
     ("https://www.a.test", "https://www.a.test"), ("HTTP://A.Test:80/", "http://a.test"), ("https://a.test:8443", "https://a.test:8443"), ("https://a.test/x", None), ("ftp://a.test", None), ("a.test", None), ("https://u@a.test", None), ("https://a.test?q", None),
 )
@@ -132,3 +122,15 @@ SUPPLIER_RULES = """SELECT s_suppkey, concat('Bot', s_suppkey % 4, '/2.0') AS us
  CASE WHEN s_suppkey % 3 = s_suppkey % 4 THEN concat('-/a', s_suppkey, ' +/a', s_suppkey, '/b') ELSE concat('-/x', s_suppkey % 7) END AS rules,
  CASE WHEN s_suppkey % 3 = s_suppkey % 4 THEN CAST(s_suppkey % 5 AS double) END AS delay, concat('https://a.test/m', s_suppkey, '.xml') AS sitemaps FROM supplier"""
 AGENT_ROWS = f"SELECT p_partkey, concat({_pick('p_partkey', USER_AGENTS)}, ' x', p_size) AS user_agent FROM part"
+#: Files of suppliers (pages, sitemaps, a robots.txt, notes), and the states of https://a.test that they give.
+SUPPLIER_FILES = """SELECT concat(CASE WHEN s_suppkey = 1 THEN 'index' WHEN s_suppkey % 4 = 0 THEN concat('_posts/p', s_suppkey) WHEN s_suppkey % 4 = 1 THEN concat('.well/p', s_suppkey) WHEN s_suppkey % 4 = 2 THEN concat('d/', s_suppkey, '/index')
+ ELSE concat('p', s_suppkey) END, CASE s_suppkey % 3 WHEN 0 THEN '.htm' ELSE '.html' END) AS path,
+ concat(repeat('<p>w', CAST(s_suppkey % 7 + 1 AS int)), CASE WHEN s_suppkey = 1 THEN '<a href="/p3">x</a>' WHEN s_suppkey % 5 = 0 THEN concat('<a href="/lost', s_suppkey, '">x</a>') ELSE '' END) AS body FROM supplier
+UNION ALL SELECT concat('maps/sitemap-', s_suppkey, '.xml'), concat('<urlset><url><loc>https://a.test/p', s_suppkey, '</loc></url><url><loc>https://a.test/absent', s_suppkey, '</loc></url></urlset>') FROM supplier WHERE s_suppkey % 20 = 3
+UNION ALL SELECT 'robots.txt', concat('User-agent: *', chr(10), 'Disallow: /d/') FROM supplier WHERE s_suppkey = 1
+UNION ALL SELECT concat('deep/', s_suppkey, '/notes.txt'), 'not read' FROM supplier WHERE s_suppkey % 50 = 7"""
+SUPPLIER_STATES = """SELECT concat('https://a.test/', CASE WHEN s_suppkey = 1 THEN '' WHEN s_suppkey % 4 = 0 THEN concat('_posts/p', s_suppkey) WHEN s_suppkey % 4 = 1 THEN concat('.well/p', s_suppkey) WHEN s_suppkey % 4 = 2 THEN concat('d/', s_suppkey, '/')
+ ELSE concat('p', s_suppkey) END) AS url_key, 200 AS http_status, CASE WHEN s_suppkey % 4 = 2 THEN 'Blocked' ELSE 'NoRule' END AS robots_txt_status, s_suppkey % 20 = 3 AS found_in_sitemap, s_suppkey IN (1, 3) AS is_reachable,
+ concat('DirectScan', CASE WHEN s_suppkey = 3 THEN ',InternalLink' ELSE '' END, CASE WHEN s_suppkey % 20 = 3 THEN ',Sitemap' ELSE '' END) AS sources, CAST(s_suppkey % 7 + CASE WHEN s_suppkey = 1 OR s_suppkey % 5 = 0 THEN 2 ELSE 1 END AS bigint) AS word_count FROM supplier
+UNION ALL SELECT concat('https://a.test/lost', s_suppkey), 404, 'NoRule', false, false, 'InternalLink', NULL FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT concat('https://a.test/absent', s_suppkey), 404, 'NoRule', true, false, 'Sitemap', NULL FROM supplier WHERE s_suppkey % 20 = 3"""

@@ -266,7 +266,7 @@ ORACLE_SQL["crawl_replay"] = _with(
     visit AS (SELECT '{HOME}' AS url, true AS fetched UNION SELECT go.dst, go.moved OR NOT starts_with(go.dst, 'https://site.test/p/7') FROM visit v JOIN go ON go.src = v.url AND v.fetched)
     SELECT v.url AS url_key, CASE WHEN v.fetched THEN pg.status END AS http_status, CASE WHEN starts_with(v.url, 'https://site.test/p/7') THEN 'Blocked' ELSE 'NoRule' END AS robots_txt_status,
      CASE WHEN v.fetched AND pg.status = 200 THEN (SELECT count(*) FROM links l WHERE l.src = v.url) ELSE 0 END AS n_links FROM (SELECT url, bool_or(fetched) AS fetched FROM visit GROUP BY 1) v JOIN pg USING (url)""")
-ORACLE_SQL["static_files"] = "SELECT url_key, http_status, robots_txt_status, found_in_sitemap, is_reachable, sources, CAST(word_count AS bigint) AS word_count FROM " + _values(cases.FILE_STATES, "url_key, http_status, robots_txt_status, found_in_sitemap, is_reachable, sources, word_count")
+ORACLE_SQL["static_files"] = cases.SUPPLIER_STATES
 ORACLE_SQL["public_origins"] = f"SELECT page_id, {cases.ORIGIN_TEXT.format(_ORIGIN)} AS text, CASE WHEN page_id % 5 < 2 THEN {_ORIGIN} END AS origin FROM pages"
 ORACLE_SQL["policy_limits"] = f"SELECT name, fail_on, {', '.join(f'CAST({c} AS double) AS {c}' for c in ('indexable', 'links', 'words', 'headings'))} FROM " + _values(
     [(n, *rest) for n, _, *rest in cases.POLICIES], "name, fail_on, indexable, links, words, headings"

@@ -40,10 +40,14 @@ def file_kinds(spark, sf_dir):
 
 @query
 def static_files(spark, sf_dir):
-    """A scan of a directory with names that start with a dot or an underscore, a name that repeats, and links to no file."""
+    """A scan of suppliers' files, which tasks write: names that start with a dot or an underscore, folders for each page, links to no file."""
     path = fresh(spark, "static")
-    for name, body in cases.FILES:
-        _write(f"{path}/{name}", body)
+
+    def save(rows):
+        for row in rows:
+            _write(f"{path}/{row.path}", row.body)
+
+    _sql(spark, sf_dir, cases.SUPPLIER_FILES).foreachPartition(save)
     state = scan_directory(spark, path, "https://a.test").state
     return state.select("url_key", "http_status", "robots_txt_status", "found_in_sitemap", "is_reachable", F.array_join(F.array_sort("sources"), ",").alias("sources"), "word_count")
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.functions.urls import path_and_query, resolve, route_url, url_key
-from sitefold.operators.checkpoints import cut
+from sitefold.operators.checkpoints import Tables, cut
 from sitefold.operators.reach import with_reachability
 from sitefold.operators.state import Site, derive, fold_sources, static_not_found, utc_now, with_defaults
 from sitefold.sources import robots_txt, sitemap
@@ -16,6 +18,8 @@ from sitefold.sources.html import page_signals, with_meta_robots
 
 BASE_URL = "https://example.test"
 USER_AGENT = "sitefold/0.1"
+#: Entries of a folder that are handed on at once.
+_ENTRIES = 10_000
 
 
 def file_kind(name: Column, relative: Column) -> Column:
@@ -24,20 +28,60 @@ def file_kind(name: Column, relative: Column) -> Column:
     return F.when(relative == "robots.txt", "robots").when(is_sitemap, "sitemap").when(name.rlike(r"\.html?$"), "html")
 
 
-def _listed(directory: str) -> list[tuple[str, str]]:
-    """``(path, relative)`` of all regular files below a directory, whatever their names; links are not followed."""
-    if "://" in directory and not directory.startswith("file://"):
-        from pyarrow import fs
+def _entries(batches):
+    """What each folder holds: ``(path, relative, folder)``. Links are not followed; others than files and folders are left out."""
+    import pyarrow as pa
+
+    def found(path: str, relative: str):
+        if "://" in path:
+            from pyarrow import fs
+
+            system, name = fs.FileSystem.from_uri(path)
+            for x in system.get_file_info(fs.FileSelector(name)):
+                if x.type in (fs.FileType.File, fs.FileType.Directory):
+                    yield f"{path}/{x.base_name}", f"{relative}{x.base_name}", not x.is_file
+        else:
+            with os.scandir(path) as entries:
+                for x in entries:
+                    folder = x.is_dir(follow_symlinks=False)
+                    if folder or x.is_file(follow_symlinks=False):
+                        yield x.path, f"{relative}{x.name}", folder
+
+    for batch in batches:
+        for path, relative in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            entries = found(path, f"{relative}/" if relative else "")
+            while rows := list(islice(entries, _ENTRIES)):
+                yield pa.RecordBatch.from_pydict(dict(zip(("path", "relative", "folder"), map(list, zip(*rows, strict=True)), strict=True)))
 
-        system, root = fs.FileSystem.from_uri(directory.rstrip("/"))
-        found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        return [(f"{directory.rstrip('/')}/{(r := x.path[len(root) :].lstrip('/'))}", r) for x in found if x.is_file]
-    root, out = os.path.abspath(directory.removeprefix("file://").removeprefix("file:")), []
-    for folder, _, names in os.walk(root):
-        for path in (os.path.join(folder, n) for n in names):
-            if os.path.isfile(path) and not os.path.islink(path):
-                out.append((path, os.path.relpath(path, root).replace(os.sep, "/")))
-    return sorted(out)
+
+def list_files(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, relative)`` of all regular files below a directory, whatever their names.
+
+    Folders of a level are listed by executors, each once, and what they hold is written as a table; the folders among it are the next
+    level. The driver counts them and never holds a name. A missing directory has no files.
+    """
+    root = directory.rstrip("/") or "/"
+    if "://" not in root or root.startswith("file:"):
+        root = os.path.abspath(root.removeprefix("file://").removeprefix("file:"))
+    tables, levels, slots = Tables(spark, "listing"), [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame([(root, "")], "path string, relative string") if _is_folder(root) else spark.createDataFrame([], "path string, relative string")
+    n = 1
+    while n:
+        # of one level few tasks when its folders are few
+        level = tables.write(folders.repartition(min(n, slots)).mapInArrow(_entries, "path string, relative string, folder boolean"), f"level-{len(levels)}")
+        levels.append(level.where("NOT folder").select("path", "relative"))
+        folders = level.where("folder").select("path", "relative")
+        n = folders.count()
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _is_folder(root: str) -> bool:
+    if "://" not in root:
+        return os.path.isdir(root)
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(root)
+    return system.get_file_info(name).type == fs.FileType.Directory
 
 
 def _read(batches):
@@ -64,10 +108,10 @@ def _read(batches):
 def read_files(spark: SparkSession, directory: str) -> DataFrame:
     """``(relative, kind, body)`` of the files that matter, decoded as UTF-8; other bytes are an error.
 
-    Spark's own readers skip names that start with an underscore or a dot, so the driver lists the names, as they do, and
-    executors read the files by their paths.
+    Spark's own readers skip names that start with an underscore or a dot, so executors list the folders and read the files by
+    their paths.
     """
-    names = spark.createDataFrame(_listed(directory), "path string, relative string").withColumn("name", F.element_at(F.split("relative", "/"), -1))
+    names = list_files(spark, directory).withColumn("name", F.element_at(F.split("relative", "/"), -1))
     kinds = names.withColumn("kind", file_kind(F.col("name"), F.col("relative"))).where("kind IS NOT NULL").select("path", "relative", "kind")
     return kinds.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_read, "relative string, kind string, body string")
 

@@ -1,6 +1,7 @@
 """Rules, sources and reports on hand-made sites."""
 
 import json
+import os
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -18,12 +19,25 @@ from sitefold.sinks import reports
 from sitefold.sources import crawl, sitemap, snapshot
 from sitefold.sources.policy import LIMITS
 from sitefold.sources.html import signals
-from sitefold.sources.static_site import read_files, scan_directory
+from sitefold.sources.static_site import list_files, read_files, scan_directory
 
 PAGE = '<html><head><link rel="canonical" href="https://example.test{0}">{2}</head><body><h1>Title</h1><p>some words here</p>{1}</body></html>'
 ROBOTS = "User-agent: *\nDisallow: /private\n"
 
 
+A_TEST = "https://a.test/"
+#: Files of a directory (links by name), and the states of https://a.test that they give.
+FILES = (
+    ("index.html", '<h1>Home page</h1><a href="/_posts/one">1</a><a href="/lost">2</a>'), ("_posts/one.html", '<p>a b c</p><a href="/.well/known">k</a>'), (".well/known.html", "<p>x"), ("index/index.html", "<p>apart from links"),
+    ("robots.txt", "User-agent: *\nDisallow: /index/"), ("deep/robots.txt", "User-agent: *\nDisallow: /"), ("maps/sitemap-1.xml", "<urlset><url><loc>https://a.test/_posts/one</loc></url><url><loc>https://a.test/absent</loc></url></urlset>"),
+    ("notes.txt", "not read"),
+)
+FILE_STATES = (
+    (A_TEST, 200, "NoRule", False, True, "DirectScan", 4), (A_TEST + "_posts/one", 200, "NoRule", True, True, "DirectScan,InternalLink,Sitemap", 4), (A_TEST + ".well/known", 200, "NoRule", False, True, "DirectScan,InternalLink", 1),
+    (A_TEST + "index/", 200, "Blocked", False, False, "DirectScan", 3), (A_TEST + "lost", 404, "NoRule", False, True, "InternalLink", None), (A_TEST + "absent", 404, "NoRule", True, False, "Sitemap", None),
+)
+
+
 def link(*paths):
     return "".join(f'<a href="{p}">x</a>' for p in paths)
 
@@ -271,6 +285,32 @@ def test_all_files_of_a_directory(spark, tmp_path):
         read_files(spark, str(top)).collect()
 
 
+def test_states_of_a_directory(spark, tmp_path):
+    for name, text in FILES:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    state = scan_directory(spark, str(tmp_path), "https://a.test").state
+    got = [(r.url_key, r.http_status, r.robots_txt_status, r.found_in_sitemap, r.is_reachable, ",".join(sorted(r.sources)), r.word_count) for r in state.collect()]
+    assert sorted(got) == sorted(FILE_STATES)
+
+
+def test_listing_by_levels(spark, tmp_path, monkeypatch):
+    """340 folders of five levels, an empty one among them: the rows of a plain walk, without one on the driver."""
+    made = [tmp_path]
+    for width in (4, 4, 4, 4):
+        made += [f / f"{'_' * (k % 2)}n {k}#é" for f in made if len(f.parts) == max(len(x.parts) for x in made) for k in range(width)]
+    for n, f in enumerate(made):
+        f.mkdir(exist_ok=True)
+        for k in range(n % 4):
+            (f / f".f{k}?.html").write_text("x")
+    want = sorted(os.path.relpath(os.path.join(at, name), tmp_path) for at, _, names in os.walk(tmp_path) for name in names)
+    monkeypatch.setattr(os, "scandir", None)
+    monkeypatch.setattr(os, "walk", None)
+    assert sorted(r.relative for r in list_files(spark, str(tmp_path)).collect()) == want and len(made) == 341
+    (tmp_path / "none").mkdir()
+    assert list_files(spark, str(tmp_path / "none")).count() == list_files(spark, str(tmp_path / "missing")).count() == 0
+
+
 def test_two_files_of_one_url(spark, tmp_path):
     """The last file by name gives the columns; what the other links to is discovered all the same."""
     site = scan(spark, tmp_path, {"index.html": link("/a"), "a.htm": "<h1>one</h1>" + link("/old"), "a.html": "<p>one two three</p>"})
