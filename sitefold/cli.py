@@ -14,7 +14,7 @@ from sitefold.functions.urls import public_origin
 from sitefold.operators import diff, findings
 from sitefold.operators.rules import diff_loss
 from sitefold.operators.state import Site
-from sitefold.sinks import documents, reports
+from sitefold.sinks import documents
 from sitefold.sources import crawl, policy, snapshot
 from sitefold.sources.static_site import BASE_URL, scan_directory
 
@@ -60,19 +60,15 @@ def _severities(args, rules: policy.Policy) -> list[str]:
 
 
 def _report(args, command: str, found: DataFrame, site: Site, old: Site | None) -> None:
-    """Machine-readable reports are streamed from what tasks wrote; those for readers are made of bounded lists."""
+    """Reports are streamed from what tasks wrote."""
     if args.format == "json":
         made = documents.findings_json(command, found, site, old)
     elif args.format == "sarif":
         made = documents.findings_sarif(found)
     else:
-        compared = reports.diff_of(old, site) if old is not None else None
-        text = (reports.to_markdown if args.format == "markdown" else reports.to_text)(reports.rows_of(found), site, compared)
+        made = (documents.findings_markdown if args.format == "markdown" else documents.findings_text)(found, site, old)
     with open(args.output, "w", encoding="utf-8") if args.output else nullcontext(sys.stdout) as out:
-        if args.format in ("json", "sarif"):
-            made.copy_to(out)
-        else:
-            out.write(text + "\n")
+        made.copy_to(out)
 
 
 def _check_output(args) -> None:

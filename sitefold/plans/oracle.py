@@ -235,6 +235,16 @@ ORACLE_SQL["findings_written"] = _with(f"SELECT {_SHOWN} FROM ({_ALL}) f", True)
 _FEW = f"(SELECT * FROM ({_ALL}) g WHERE rule_ord IN (0, 3, 4)) f"
 ORACLE_SQL["report_json"] = _with(f"SELECT {_SHOWN} FROM {_FEW}", True)
 ORACLE_SQL["report_sarif"] = _with(f"SELECT rule_id, severity AS level, url, coalesce(declared, canonical, detail) AS subject FROM {_FEW}", True)
+_LEVEL = "CASE WHEN bool_or(severity = 'error') THEN 'error' WHEN bool_or(severity = 'warning') THEN 'warning' ELSE 'info' END"
+_GIVEN = lambda before, after="": " ".join(f"UNION ALL SELECT '{before}{e.capitalize()}:{after}' || {e} FROM few WHERE {e} IS NOT NULL" for e in ("declared", "observed", "canonical"))
+_FEW_ROWS = f", few AS (SELECT * FROM {_FEW})"
+ORACLE_SQL["report_markdown"] = _with(
+    f"""{_FEW_ROWS} SELECT line, count(*) AS n FROM (SELECT '| `' || rule_id || '` | ' || {_LEVEL} || ' | ' || count(*) || ' |' AS line FROM few GROUP BY rule_id UNION ALL SELECT DISTINCT '### ' || rule_id FROM few
+    UNION ALL SELECT '**' || url || '** — `' || upper(severity) || '`' FROM few {_GIVEN("- **", "** ")}) x GROUP BY line""", True)
+ORACLE_SQL["report_text"] = _with(
+    f"""{_FEW_ROWS} SELECT line, count(*) AS n FROM (SELECT rule_id || '  ' || upper(severity) || '  (' || count(*) || CASE WHEN count(*) = 1 THEN ' finding)' ELSE ' findings)' END AS line FROM few GROUP BY rule_id, severity
+    UNION ALL SELECT '  URL:       ' || url FROM few {" ".join(f"UNION ALL SELECT '{f'  {e.capitalize()}:':<13}' || {e} FROM few WHERE {e} IS NOT NULL" for e in ("declared", "observed", "canonical"))}
+    UNION ALL SELECT (SELECT count(*) FROM few) || ' findings: ' || string_agg(n || ' ' || severity || '(s)', ' ' ORDER BY severity) FROM (SELECT severity, count(*) AS n FROM few GROUP BY severity) y HAVING count(*) > 0) x GROUP BY line""", True)
 ORACLE_SQL["findings_gate"] = _with(
     f"""SELECT family, fail_on, EXISTS (SELECT 1 FROM ({_ALL}) g WHERE g.rule_ord = x.o AND g.severity = fail_on) AS fails, false AS fails_if_new
     FROM (SELECT * FROM (VALUES ('canonical_presence', 3), ('canonical_resolution', 4)) a(family, o), (VALUES ('error'), ('warning'), ('info')) b(fail_on)) x""", True)

@@ -211,6 +211,28 @@ def report_sarif(spark, sf_dir):
     return results.select(F.col("ruleId").alias("rule_id"), "level", F.col("locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("url"), key[3].alias("subject"))
 
 
+def _counted(spark, path: str, like: tuple[str, ...]):
+    """Lines of a written report that begin as given, and how often each stands there."""
+    lines = spark.read.text(path).where(" OR ".join(f"value LIKE '{x}%'" for x in like))
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def report_markdown(spark, sf_dir):
+    """The Markdown report that tasks wrote: its lines of rules, URLs and evidence."""
+    path, site = fresh(spark, "report"), synthetic.site(spark, sf_dir).cached()
+    documents.findings_markdown(_few(spark, sf_dir), site).write(path)
+    return _counted(spark, path, ("| `", "### ", "**http", "- **"))
+
+
+@query
+def report_text(spark, sf_dir):
+    """The report for a terminal that tasks wrote: its lines of rules, URLs and evidence, and the last."""
+    path, site = fresh(spark, "report"), synthetic.site(spark, sf_dir).cached()
+    documents.findings_text(_few(spark, sf_dir), site).write(path)
+    return _counted(spark, path, ("CC-", "  URL:", "  Declared:", "  Observed:", "  Canonical:", "_% findings: "))
+
+
 # Gates, settings, streams and further families.
 
 

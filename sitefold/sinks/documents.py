@@ -21,6 +21,7 @@ from sitefold.operators.checkpoints import Tables
 from sitefold.operators.findings import KEY, severity_rank, with_subject
 from sitefold.operators.state import Site, statistics
 from sitefold.schemas import EVIDENCE, ORDER, STATISTICS, URL_STATE
+from sitefold.sinks import wording
 
 LEVELS = {"error": "error", "warning": "warning", "info": "note"}
 _KEPT = {"ignoreNullFields": "false"}
@@ -28,14 +29,15 @@ _KEPT = {"ignoreNullFields": "false"}
 
 @dataclass
 class Items:
-    """The elements of a JSON array or object: rows of ``text`` in the order of the other columns."""
+    """Rows of ``text`` in the order of other columns: elements of a JSON array or object, or what stands by itself."""
 
     rows: DataFrame
     order: list
+    commas: bool = True
 
 
 class Document:
-    """Sections in order: texts of the driver, and items of tables, which are set apart by commas."""
+    """Sections in order: texts of the driver, and items of tables, which commas may set apart."""
 
     def __init__(self, spark: SparkSession, *sections: str | Items):
         tables, parts = Tables(spark, "document"), []
@@ -45,8 +47,11 @@ class Document:
             else:
                 sorted_ = section.rows.orderBy(*section.order).select(F.monotonically_increasing_id().alias("at"), "text")
                 written = tables.write(sorted_, f"section-{k}")
-                first = written.agg(F.coalesce(F.min("at"), F.lit(-1))).head()[0]
-                lines = written.select(F.lit(k).alias("section"), "at", F.concat(F.when(F.col("at") == first, " ").otherwise(","), "text").alias("text"))
+                text = F.col("text")
+                if section.commas:
+                    first = written.agg(F.coalesce(F.min("at"), F.lit(-1))).head()[0]
+                    text = F.concat(F.when(F.col("at") == first, " ").otherwise(","), text)
+                lines = written.select(F.lit(k).alias("section"), "at", text.alias("text"))
             parts.append(lines)
         lines = parts[0]
         for p in parts[1:]:
@@ -147,3 +152,92 @@ def snapshot_json(site: Site, scanned_at: str | None = None) -> Document:
     rows = site.state.select("url_key", F.concat(F.expr(quoted("url_key")), F.lit(": "), state).alias("text"))
     counts = statistics(site.state).select(*STATISTICS).head().asDict()
     return Document(site.state.sparkSession, _json(head)[:-1] + ', "urls": {', Items(rows, ["url_key"]), f'}}, "statistics": {_json(counts)}}}')
+
+
+# Reports for readers. Of findings only what is counted by rule comes to the driver, at most a row for each rule and severity.
+
+
+def _lines(rows: DataFrame, key: str, line: str) -> Items:
+    return Items(rows.select(key, F.expr(line).alias("text")), [key], commas=False)
+
+
+def _compared(baseline: Site, candidate: Site, titles: tuple[str, str, str], url: dict[str, str], change: str, end: str) -> list[str | Items]:
+    """Sections of lost, gained and changed URLs, those that are not empty. ``url`` and ``change`` are SQL of one line each."""
+    n, out = diffs.counts(baseline, candidate).head(), []
+    described = f"CASE kind {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in wording.CHANGES.items())} END"
+    described = f"CASE WHEN kind = 'robots_changed' THEN '{wording.ROBOTS_CHANGED}' ELSE concat({described}, ': ', coalesce(from_value, 'none'), ' → ', coalesce(to_value, 'none')) END"
+    for name, rows, title in (("lost", diffs.lost(baseline, candidate), titles[0]), ("gained", diffs.gained(baseline, candidate), titles[1])):
+        out += [title.format(n[name]), _lines(rows, "url_key", url[name]), end] if n[name] else []
+    if n["changed"]:
+        each = F.struct("seq", F.expr(f"concat('{change}', {described})").alias("t"))
+        listed = diffs.changes(baseline, candidate).groupBy("url_key").agg(F.array_sort(F.collect_list(each)).alias("c"))
+        out += [titles[2].format(n["changed"]), _lines(listed, "url_key", f"concat_ws('\\n', {url['changed']}, array_join(c.t, '\\n'))"), end]
+    return [x for x in out if x is not None]
+
+
+def _evidence(line: str) -> str:
+    """SQL of the lines of a finding's evidence, each with its end."""
+    return ", ".join(f"CASE WHEN {e} IS NOT NULL THEN concat('{line.format(e.capitalize() + ':')}', {e}, '\\n') ELSE '' END" for e in EVIDENCE[:3])
+
+
+def _by_rule(kept: DataFrame) -> list:
+    """``(severity, rule_id, n)`` in report order."""
+    return kept.groupBy("severity", "rule_id").agg(F.count(F.lit(1)).alias("n")).orderBy(severity_rank(F.col("severity")).desc(), "rule_id").collect()
+
+
+def findings_markdown(findings: DataFrame, site: Site, baseline: Site | None = None) -> Document:
+    """The report in Markdown: numbers of the site, what differs from a baseline, findings by rule, and each finding below its rule."""
+    spark = findings.sparkSession
+    kept = Tables(spark, "findings").write(findings, "findings")
+    sections: list[str | Items] = ["\n".join(wording.markdown_head(site.base_url, site.scanned_at, statistics(site.state).head()))]
+    if baseline is not None:
+        n = diffs.counts(baseline, site).head()
+        sections.append("\n".join(wording.markdown_compared(n["indexable_baseline"], n["indexable_candidate"])))
+        url = "concat('- `', url_key, '`')"
+        sections += _compared(baseline, site, tuple(f"### {t} URLs ({{}})\n" for t in ("Lost", "Gained", "Changed")), dict.fromkeys(("lost", "gained", "changed"), url), "  - ", "")
+    rules: dict[str, list] = {}
+    for r in _by_rule(kept):
+        rules.setdefault(r["rule_id"], []).append(r)
+    if not rules:
+        return Document(spark, *sections, "\n".join(wording.MARKDOWN_NONE))
+    count = lambda s: sum(r["n"] for g in rules.values() for r in g if r["severity"] == s)
+    numbers = [(rule, g[0]["severity"], sum(r["n"] for r in g)) for rule, g in sorted(rules.items())]
+    sections.append("\n".join(wording.markdown_rules(count("error"), count("warning"), numbers)))
+    heads = spark.createDataFrame([(rule, f"### {rule}\n") for rule in rules], "rule_id string, text string")
+    heads = heads.select("rule_id", F.lit(0).alias("rank"), F.lit("").alias("url"), *[F.lit(0).cast(kept.schema[c].dataType).alias(c) for c in ORDER], "text")
+    text = F.expr(f"concat('**', url, '** — `', upper(severity), '`\\n\\n', message, '\\n\\n', {_evidence('- **{}** ')})")
+    items = kept.select("rule_id", (F.lit(100) - severity_rank(F.col("severity"))).alias("rank"), "url", *ORDER, text.alias("text"))
+    return Document(spark, *sections, Items(heads.unionByName(items), ["rule_id", "rank", "url", *ORDER], commas=False))
+
+
+def findings_text(findings: DataFrame, site: Site | None = None, baseline: Site | None = None) -> Document:
+    """The report for a terminal: numbers, what differs from a baseline, then findings in report order under headings of rules."""
+    spark = findings.sparkSession
+    kept, sections = Tables(spark, "findings").write(findings, "findings"), []
+    if site is not None:
+        sections.append("\n".join(wording.text_head(site.base_url, statistics(site.state).head())))
+    if baseline is not None:
+        n = diffs.counts(baseline, site).head()
+        sections.append(wording.text_compared(n["indexable_baseline"], n["indexable_candidate"]))
+        url = {"lost": "concat('  - ', url_key)", "gained": "concat('  + ', url_key)", "changed": "concat('  ', url_key, ':')"}
+        sections += _compared(baseline, site, tuple(f"\n{t} URLs ({{}}):" for t in ("Lost", "Gained", "Changed")), url, "    ", None)
+        sections.append("")
+    groups = _by_rule(kept)
+    total = sum(r["n"] for r in groups)
+    if total and "is_new" in kept.columns:
+        sections.append(wording.text_new(kept.where("is_new").count(), total))
+    if not total:
+        return Document(spark, *sections, wording.NOTHING)
+    heads: list[list] = []
+    for r in groups:  # a rule of two severities that follow one another has one heading
+        if heads and heads[-1][1] == r["rule_id"]:
+            heads[-1][2] += r["n"]
+        else:
+            heads.append([r["severity"], r["rule_id"], r["n"]])
+    rank = (F.lit(100) - severity_rank(F.col("severity"))).alias("rank")
+    titles = spark.createDataFrame([(s, rule, wording.text_rule(rule, s, n)) for s, rule, n in heads], "severity string, rule_id string, text string")
+    titles = titles.select(rank, "rule_id", F.lit(0).alias("below"), F.lit("").alias("url"), *[F.lit(0).cast(kept.schema[c].dataType).alias(c) for c in ORDER], "text")
+    text = F.expr(f"concat('{'  URL:':<13}', url, '\\n', {_evidence('  {:<11}')}, '  ', message, '\\n')")
+    items = Items(titles.unionByName(kept.select(rank, "rule_id", F.lit(1).alias("below"), "url", *ORDER, text.alias("text"))), ["rank", "rule_id", "below", "url", *ORDER], commas=False)
+    count = {s: sum(r["n"] for r in groups if r["severity"] == s) for s in LEVELS}
+    return Document(spark, *sections, items, wording.text_end(total, count))

@@ -39,6 +39,12 @@ def test_reports_by_tasks_equal_those_of_lists(spark, of, tmp_path):
         for r in run["results"]:
             r["partialFingerprints"] = {k: json.loads(v) for k, v in r["partialFingerprints"].items()}
     assert sarif == want
+    whole = lambda document: "\n".join(document.stream())
+    compared = reports.diff_of(old, new)
+    assert of == "random" or compared["lost"] and compared["changed"]
+    assert whole(documents.findings_markdown(found, new, old)) == reports.to_markdown(items, new, compared)
+    assert whole(documents.findings_text(found, new, old)) == reports.to_text(items, new, compared)
+    assert whole(documents.findings_markdown(plain, new)) == reports.to_markdown(reports.rows_of(plain), new) and whole(documents.findings_text(plain)) == reports.to_text(reports.rows_of(plain))
     documents.findings_sarif(plain).write(str(tmp_path / "sarif"))
     parts = sorted(glob.glob(str(tmp_path / "sarif" / "part-*")))
     assert json.loads("".join(open(p, encoding="utf-8").read() for p in parts))["version"] == "2.1.0"
@@ -47,6 +53,13 @@ def test_reports_by_tasks_equal_those_of_lists(spark, of, tmp_path):
 def test_documents_without_items_and_with_equal_ones(spark):
     none = findings.run_rules(random_site(spark, 8)).limit(0)
     assert loaded(documents.findings_json("scan", none))["findings"] == [] and loaded(documents.findings_sarif(none))["runs"][0]["results"] == []
+    site = random_site(spark, 8)
+    assert "\n".join(documents.findings_markdown(none, site).stream()) == reports.to_markdown([], site) and "\n".join(documents.findings_text(none).stream()) == reports.to_text([])
+    # one rule with errors and warnings: one heading in Markdown; in the text one where they follow one another
+    rows = findings.run_rules(site).limit(3).withColumn("rule_id", F.lit("OWN")).withColumn("severity", F.lit("error"))
+    mixed = rows.unionByName(rows.withColumn("severity", F.lit("warning"))).cache()
+    assert "\n".join(documents.findings_markdown(mixed, site).stream()) == reports.to_markdown(reports.rows_of(mixed), site)
+    assert "\n".join(documents.findings_text(mixed).stream()) == reports.to_text(reports.rows_of(mixed))
     one = findings.run_rules(random_site(spark, 8)).limit(1)
     twice = loaded(documents.findings_json("scan", one.unionByName(one)))
     assert len(twice["findings"]) == 2 and twice["findings"][0] == twice["findings"][1] and twice["summary"]["total"] == 2
