@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.llm import textkernel as tk
-from sitefold.llm.components import connected_components
+from sitefold.llm.components import linked_components
 from sitefold.llm.workspace import Workspace, bound_arrow_batches
 
 WORDS = 5
@@ -103,20 +103,21 @@ def _sets(words: int):
 
 
 def _leader_pairs(lists: DataFrame, longest: int) -> DataFrame:
-    """``(a, b)``: each member of a posting list with the first of its branch, level by level; ``a`` is the first.
+    """``(a, b)``, once each: every member of a posting list with the first of its branch, level by level; ``a < b``.
 
     First comes the document whose values are the most common ones: of many altered copies that is the least altered.
+    A branch has about FAN_OUT members, dealt by their hashes, so a window holds no more.
     """
     rows, pairs, level = lists, None, 0
     while True:
         rows = rows.withColumn("branch", F.expr(f"h & (shiftleft(1L, greatest(0, cast(ceil(log2(freq)) AS int) - {6 * (level + 1)})) - 1L)"))
-        heads = rows.groupBy("key", "branch").agg(F.min(F.struct("rank", "h", "doc")).alias("head"), F.first("freq").alias("freq"))
-        found = rows.join(heads.select("key", "branch", F.col("head.doc").alias("a")), ["key", "branch"]).where("a <> doc").select("a", F.col("doc").alias("b"))
+        rows = rows.withColumn("a", F.min(F.struct("rank", "h", "doc")).over(Window.partitionBy("key", "branch"))["doc"])
+        found = rows.where("a <> doc").select("a", F.col("doc").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
         level += 1
         if longest <= FAN_OUT**level:
-            return pairs
-        rows = heads.select("key", "freq", F.col("head.rank").alias("rank"), F.col("head.h").alias("h"), F.col("head.doc").alias("doc"))
+            return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = rows.where("a = doc").select("key", "freq", "rank", "h", "doc")
 
 
 def _undecided(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,10 +221,10 @@ def near_duplicates(
     Nodes are posted under their signature's coordinate-value pairs. A value that only one node has is dropped; a node
     left with fewer than ``matches`` values can link with nothing. Of the others just a prefix is walked, rarest values
     first: two nodes with ``matches`` collisions meet in it. Members of a list are paired with the head of their branch,
-    at most about FAN_OUT to a head. Collisions are counted over all coordinates, and the links confirmed on full shingle
-    sets. Members of lists that still hold several components are then compared across components only, list by list: what
-    their sizes and the sketches of their sets leave is counted and confirmed likewise. So no link is lost, and pairs within
-    a component are never made.
+    at most about FAN_OUT to a head, and all these pairs are confirmed at once on full shingle sets. Members of lists that
+    still hold several components are then compared across components only, list by list: what their sizes and the sketches
+    of their sets leave is confirmed likewise. So no link is lost, and pairs within a component are never made. The links
+    found last join components, so only components are followed from them.
 
     Null or empty texts and texts without words have an empty set and link with nothing. Rows with a null doc_id are
     returned as their own component (null). Rows that repeat a doc_id are one document, whose links are those of all its
@@ -262,39 +263,24 @@ def near_duplicates(
     sets = space.write(
         texts.join(survivors.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>, sketch binary"), "sets"
     )
-    values = survivors.select("doc", F.col("values.key").alias("values"))
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """``(a, b, linked)`` of pairs that collide often enough."""
-        met = (
-            pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
-            .where(F.size(F.array_intersect("va", "vb")) >= matches).select("a", "b")
-        )
-        both = met.join(sets.select("doc_id", "shingles").toDF("a", "sa"), "a").join(sets.select("doc_id", "shingles").toDF("b", "sb"), "b")
-        common = both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("n"))
-        out = space.write(common.select("a", "b", F.expr(f"100 * n >= {similar} * (na + nb - n)").alias("linked")), name)
-        return out
+    shingles = sets.select("doc_id", "shingles")
 
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """``(a, b)`` of the pairs whose full sets are similar enough."""
+        both = pairs.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
+        common = both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("n"))
+        return space.write(common.where(f"100 * n >= {similar} * (na + nb - n)").select("a", "b"), name)
+
+    near = links(_leader_pairs(lists, longest), "near")
+    labels = linked_components(near, near.count(), space, "labels")
+    rest = links(_crossing_pairs(_undecided(lists, labels), sets, similar), "rest")
+    space.drop("lists", "sets")
+    rep = F.expr("CASE WHEN n_shingles > 0 AND doc_id IS NOT NULL THEN rep ELSE doc_id END")
+    result = base.join(named, ["mark1", "mark2"], "left").withColumn("rep", rep).join(labels.toDF("rep", "component"), "rep", "left")
+    result = result.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    if n := rest.count():
         one, two = labels.toDF("a", "ca"), labels.toDF("b", "cb")
-        return pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-    ranked = space.write(_leader_pairs(lists, longest).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "ranked")
-    tried = confirmed(ranked.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b"), "round1")
-    labels = connected_components(tried.where("linked").select("a", "b"), space, "labels1")
-    more = confirmed(apart(ranked.select("a", "b"), labels).join(tried, ["a", "b"], "left_anti"), "round2")
-    tried = tried.unionByName(more)
-    labels = connected_components(tried.where("linked").select("a", "b"), space, "labels2")
-    seen = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = confirmed(_crossing_pairs(_undecided(lists, labels), sets, similar).join(seen, ["a", "b"], "left_anti"), "round3").where("linked")
-    if rest.limit(1).count():
-        labels = connected_components(tried.where("linked").select("a", "b").unionByName(rest.select("a", "b")), space, "labels3")
-    space.drop("lists", "ranked", "sets")
-
-    result = (
-        base.join(named, ["mark1", "mark2"], "left")
-        .withColumn("rep", F.expr("CASE WHEN n_shingles > 0 AND doc_id IS NOT NULL THEN rep ELSE doc_id END"))
-        .join(labels.toDF("rep", "component"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    )
+        across = rest.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = linked_components(across, n, space, "joined").toDF("component_id", "least")
+        result = result.join(joined, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

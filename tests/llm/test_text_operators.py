@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitefold.llm import packing, quality, textkernel, token_counts
+from sitefold.llm.components import linked_components
 from sitefold.llm.line_dedup import dedup_lines
 from sitefold.llm.minhash_dedup import near_duplicates
 from sitefold.llm.mixing import mix_to_targets
@@ -23,8 +24,8 @@ from sitefold.llm.quality import score_quality
 from sitefold.llm.substring_dedup import COVER, PERIOD, remove_repeats
 from sitefold.llm.token_counts import count_tokens
 from sitefold.llm.wordunits import distinct, tokenizer
-from sitefold.llm.workspace import spread_join
-from tests.llm.helpers import LOWER, WORDS, deduped_lines, near_copies, repeats
+from sitefold.llm.workspace import Workspace, spread_join
+from tests.llm.helpers import LOWER, WORDS, components, deduped_lines, near_copies, repeats
 
 DATA = "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string, key long, component long, o string, h1 int"
@@ -106,6 +107,36 @@ def test_near_duplicates_of_many_altered_copies(spark):
     assert got == component and 20 < len(set(got.values())) < 230
 
 
+def test_near_duplicates_write_few_tables(spark, monkeypatch):
+    """What a run costs on many small partitions is its shuffles and files: links are confirmed at once, their components found once."""
+    rng = random.Random(5)
+    words = vocabulary(rng, 4000)
+    base = [rng.choice(words) for _ in range(150)]
+    texts = {i: " ".join(rng.choice(words) if rng.random() < (i % 8) / 80 else x for x in base) for i in range(240)}
+    _, component = near_copies(texts)
+    written, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, frame, name, *by: written.append(name) or write(self, frame, name, *by))
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, texts.items())).collect()}
+    assert got == component and "rest" in written and len(written) <= 12
+
+
+@pytest.mark.parametrize("shape", ["path", "star of stars", "random", "loops only", "none"])
+def test_linked_components(spark, shape):
+    rng = random.Random(shape)
+    ids = rng.sample(range(-500, 500), 300)
+    pairs = {
+        "path": list(zip(ids[:-1], ids[1:], strict=True)) + [(600 + k, 601 + k) for k in range(70)],
+        "star of stars": [(ids[k // 17], ids[k]) for k in range(1, 300)],
+        "random": [(rng.choice(ids), rng.choice(ids)) for _ in range(200)],
+        "loops only": [(5, 5)],
+        "none": [],
+    }[shape]
+    edges = spark.createDataFrame(pairs + pairs[:3] + [(b, a) for a, b in pairs[:5]], "a long, b long").repartition(3)
+    got = {r.node: r.component for r in linked_components(edges, len(pairs), Workspace(spark, "test"), "labels").collect()}
+    nodes = {x for pair in pairs for x in pair if pair[0] != pair[1]}
+    assert got == components(nodes, [p for p in pairs if p[0] != p[1]])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats(spark, seed):
     texts = corpus(seed)
