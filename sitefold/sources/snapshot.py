@@ -45,10 +45,14 @@ def _checked(head: Row | None, state: DataFrame) -> Site:
 
 
 def read_json(spark: SparkSession, path: str) -> Site:
-    """A snapshot of one JSON document; by lines where it has one for each URL, else as a whole."""
-    first = spark.read.text(path).head()
-    if first and first[0].startswith('{"version"') and first[0].endswith('"urls": {'):
-        return read_lines(spark, path)
+    """A snapshot of one JSON document; by lines where it has one for each URL, else as a whole.
+
+    The line before the URLs is known by its text: of a folder's files Spark reads the largest first, whichever it is.
+    """
+    lines = spark.read.text(path)
+    ends = _ends(lines)
+    if any(x.startswith("{") for x in ends):
+        return _by_lines(lines, ends, path)
     return from_frame(spark.read.schema(SNAPSHOT).option("multiLine", "true").option("mode", "FAILFAST").json(path))
 
 
@@ -56,12 +60,20 @@ def read_lines(spark: SparkSession, path: str) -> Site:
     """What ``documents.snapshot_json`` wrote, a file or a folder of its parts: lines are read and parsed by tasks wherever the
     files are split. The line before the URLs and the one after them are the header."""
     lines = spark.read.text(path)
-    ends = [r[0] for r in lines.where("value LIKE '{\"version\"%' OR value LIKE '}, \"statistics\"%'").limit(3).collect()]
+    return _by_lines(lines, _ends(lines), path)
+
+
+def _ends(lines: DataFrame) -> list[str]:
+    """The lines before and after the URLs; a third is one too many."""
+    return [r[0] for r in lines.where("value LIKE '{\"version\"%\"urls\": {' OR value LIKE '}, \"statistics\"%'").limit(3).collect()]
+
+
+def _by_lines(lines: DataFrame, ends: list[str], path: str) -> Site:
     if sorted(x[:2] for x in ends) != ['{"', "},"]:
         raise ValueError(f"not a snapshot by lines: {path}")
     head, foot = sorted(ends)
     kinds = T.StructType([f for f in SNAPSHOT if f.name != "urls"])
-    header = spark.createDataFrame([(head + foot,)], "value string").select(F.from_json("value", kinds, {"mode": "FAILFAST"}).alias("x")).select("x.*").head()
+    header = lines.sparkSession.createDataFrame([(head + foot,)], "value string").select(F.from_json("value", kinds, {"mode": "FAILFAST"}).alias("x")).select("x.*").head()
     entry = F.from_json(F.concat(F.lit("{"), F.substring("value", 2, 2147483647), F.lit("}")), T.MapType(T.StringType(), URL_STATE), {"mode": "FAILFAST"})
     urls = lines.where("value LIKE ' %' OR value LIKE ',%'").select(F.explode(entry).alias("url_key", "s"))
     return _checked(header, urls.select("url_key", "s.*"))

@@ -84,3 +84,20 @@ def test_snapshots_by_lines(spark, make, tmp_path):
     (tmp_path / "bad.json").write_text(text.getvalue().replace('"total_urls": ', '"total_urls": 9'), encoding="utf-8")
     with pytest.raises(ValueError):
         snapshot.read_json(spark, str(tmp_path / "bad.json"))
+
+
+def test_snapshots_whose_first_part_is_not_the_largest(spark, tmp_path):
+    """Parts of any sizes, empty ones too; a further header among them is an error."""
+    site, text = odd_site(spark), io.StringIO()
+    documents.snapshot_json(site, "2024-01-01T00:00:00Z").copy_to(text)
+    lines, folder = text.getvalue().splitlines(keepends=True), tmp_path / "parts"
+    folder.mkdir()
+    for k, part in enumerate(([], lines[:2], lines[2:25], [], lines[25:])):
+        (folder / f"part-{k}.txt").write_text("".join(part), encoding="utf-8", newline="")
+    want = sorted(map(str, site.state.select(*snapshot.URL_STATE.names).collect()))
+    for read in (snapshot.read_json, snapshot.read_lines):
+        back = read(spark, str(folder))
+        assert sorted(map(str, back.state.select(*snapshot.URL_STATE.names).collect())) == want and back.base_url == site.base_url
+    (folder / "part-9.txt").write_text(lines[0], encoding="utf-8")
+    with pytest.raises(ValueError, match="by lines"):
+        snapshot.read_json(spark, str(folder))
