@@ -110,9 +110,12 @@ def redirect_last_hop(spark, sf_dir):
 
 @query
 def static_states(spark, sf_dir):
-    """URL states of the pages table as static files, every third page in a sitemap, counted by what is known of them."""
+    """URL states of the pages table as static files, every third page in a sitemap, counted by what is known of them.
+
+    Of pages with one key the last by url holds, of equal urls the first by page_id, as for SQL that reads the table in order."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    state = build_state(pages.select("url", "html"), pages.where("page_id % 3 = 0").select("url"), None, cases.CRAWL_ORIGIN)
+    order = F.struct("url", (-F.col("page_id")).alias("back"))
+    state = build_state(pages, pages.where("page_id % 3 = 0").select("url"), None, cases.CRAWL_ORIGIN, order)
     kinds = state.select("http_status", "found_in_sitemap", "is_indexable", F.array_join(F.array_sort("sources"), ",").alias("sources"), F.size("internal_links_out").cast("long").alias("n_links"))
     return kinds.groupBy("http_status", "found_in_sitemap", "is_indexable", "sources").agg(F.count(F.lit(1)).alias("n"), F.sum("n_links").alias("n_links"))
 

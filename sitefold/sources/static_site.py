@@ -124,14 +124,14 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return facts.select(url_key(F.col("url")).alias("url_key"), "url", "source", "prio")
 
 
-def build_state(pages: DataFrame, listed: DataFrame, robots: robots_txt.RobotsTxt | None, base_url: str) -> DataFrame:
+def build_state(pages: DataFrame, listed: DataFrame, robots: robots_txt.RobotsTxt | None, base_url: str, order: Column | None = None) -> DataFrame:
     """URL states of ``pages (url, html)`` and ``listed (url)`` from sitemaps.
 
-    Where several pages have one URL (``a.htm`` and ``a.html``), the last by ``relative`` (by url, if pages have no such column)
-    gives the state its columns; what the others link to counts as discovered all the same.
+    Where several pages have one URL (``a.htm`` and ``a.html``), the last by ``order`` (by ``relative``, or by url if pages have no
+    such column) gives the state its columns, of equal ones the last by html; what the others link to counts as discovered all the same.
     """
-    order = F.struct("relative" if "relative" in pages.columns else "url", "html")
-    read = pages.withColumn("order", order).withColumn("s", page_signals("html", "url"))
+    ranked = F.col("relative" if "relative" in pages.columns else "url") if order is None else order
+    read = pages.withColumn("order", F.struct(ranked.alias("rank"), "html")).withColumn("s", page_signals("html", "url"))
     in_map = listed.select(url_key(F.col("url")).alias("url_key"), "url", F.lit("Sitemap").alias("source"), F.struct(F.lit(0), F.col("url").alias("page"), F.lit(0)).alias("prio"))
     rows = fold_sources(in_map.unionByName(page_facts(read)))
     last = read.groupBy(url_key(F.col("url")).alias("url_key")).agg(F.max_by("s", "order").alias("s")).select("url_key", "s.*")
