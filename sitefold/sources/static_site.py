@@ -128,13 +128,14 @@ def build_state(pages: DataFrame, listed: DataFrame, robots: robots_txt.RobotsTx
     """URL states of ``pages (url, html)`` and ``listed (url)`` from sitemaps.
 
     Where several pages have one URL (``a.htm`` and ``a.html``), the last by ``order`` (by ``relative``, or by url if pages have no
-    such column) gives the state its columns, of equal ones the last by html; what the others link to counts as discovered all the same.
+    such column) gives the state its columns, of equal ones the last by its signals; what the others link to counts as discovered all
+    the same. Signals are written once and read by all that use them, so each page is parsed once.
     """
     ranked = F.col("relative" if "relative" in pages.columns else "url") if order is None else order
-    read = pages.withColumn("order", F.struct(ranked.alias("rank"), "html")).withColumn("s", page_signals("html", "url"))
+    read = Tables(pages.sparkSession, "signals").write(pages.select("url", ranked.alias("rank"), page_signals("html", "url").alias("s")), "pages")
     in_map = listed.select(url_key(F.col("url")).alias("url_key"), "url", F.lit("Sitemap").alias("source"), F.struct(F.lit(0), F.col("url").alias("page"), F.lit(0)).alias("prio"))
     rows = fold_sources(in_map.unionByName(page_facts(read)))
-    last = read.groupBy(url_key(F.col("url")).alias("url_key")).agg(F.max_by("s", "order").alias("s")).select("url_key", "s.*")
+    last = read.groupBy(url_key(F.col("url")).alias("url_key")).agg(F.max(F.struct("rank", "s"))["s"].alias("s")).select("url_key", "s.*")
     own = with_meta_robots(last, "meta_robots", "html_meta_robots")
     own = own.select("url_key", F.lit(200).alias("http_status"), F.col("canonical").alias("html_canonical"), "html_meta_robots", "hreflang", F.col("internal_links").alias("internal_links_out"), "word_count", "heading_count")
     mapped = in_map.select("url_key", F.lit(True).alias("found_in_sitemap")).distinct()
